@@ -1,14 +1,16 @@
 """The corpus pipeline: each stage works on all its predecessor kept.
 
-run() applies the stages in memory order of STAGES, writing each result as Parquet to the
-shared folder and reading it again as the next stage's documents.
+run() applies STAGES in order, writing each result as Parquet to the shared
+folder and reading it again as the next stage's documents.  All stages but the
+last return the columns of documents; the last returns one row for each kept
+document (or copy) with its shard.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runpath.llm import near_dedup, toxicity
+from runpath.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from runpath.llm.storage import materialize
 
 
@@ -23,9 +25,27 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.keep_one(docs)
 
 
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of test items are cut from the texts; texts that mostly consist of them go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document comes up to twice."""
+    return mixing.take(docs)
+
+
+def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row gets a shard of near equal bytes and its place there."""
+    return sharding.shard(docs)
+
+
 STAGES = [
     ("toxicity", stage_toxicity),
     ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("mix", stage_mix),
+    ("shard", stage_shard),
 ]
 
 #: SQL can't express a trained model, so run() is tested against a brute-force version.

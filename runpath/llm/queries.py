@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runpath.llm import near_dedup, toxicity
+from runpath.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_automaton": decontaminate.op3_suffix_automaton,
     "op5_minhash": near_dedup.op5_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_virtual_slots": sharding.op8_virtual_slots,
+    "op9_pareto_mix": mixing.op9_pareto_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
