@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runpath.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from runpath.llm import decontaminate, katz, mixing, near_dedup, pii, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": katz.op1_katz,
+    "op2_deobfuscated_pii": pii.op2_deobfuscated_pii,
     "op3_suffix_automaton": decontaminate.op3_suffix_automaton,
+    "op4_random_secrets": secrets.op4_random_secrets,
     "op5_minhash": near_dedup.op5_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_pareto_mix": mixing.op9_pareto_mix,
+    "op10_branch_bound": topk.op10_branch_bound,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_branch_bound": topk.OP10_SQL,
+}
