@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runpath.llm import decontaminate, katz, mixing, near_dedup, pii, secrets, sharding, topk, toxicity
+from runpath.llm import decontaminate, katz, mixing, near_dedup, pii, repeats, secrets, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": katz.op1_katz,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_automaton": decontaminate.op3_suffix_automaton,
     "op4_random_secrets": secrets.op4_random_secrets,
     "op5_minhash": near_dedup.op5_minhash,
+    "op6_suffix_sort": repeats.op6_suffix_sort,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_pareto_mix": mixing.op9_pareto_mix,
