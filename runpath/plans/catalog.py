@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from runpath.functions import text as T
 from runpath.functions import values as V
+from runpath.operators import design as D
 from runpath.operators import graph as G
 from runpath.operators import patterns as P
 from runpath.operators import points_to as PT
 from runpath.operators import relational as R
+from runpath.sources.files import cache_hits, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -556,3 +558,95 @@ def _(s, d):
 def _(s, d):
     c = table(s, d, "conversations").select("conv_id", F.col("turn").alias("step"), F.create_map("role", F.md5(F.col("text").cast("binary"))).alias("variables"))
     return c.select("conv_id", F.col("step").alias("turn"), *(F.coalesce(F.try_element_at("variables", F.lit(n)), F.lit("-")).alias(n) for n in ("user", "assistant")))
+
+
+# -- knowledge, changes, labels ---------------------------------------------------------------------------------------
+@query("identify_callbacks", """WITH c(framework, callback) AS (VALUES ('a', 'ring'), ('b', 'gear'), ('b', 'red'), ('c', 'widget')), f AS (SELECT DISTINCT p_name AS name FROM part),
+ m AS (SELECT name, framework, callback, row_number() OVER (PARTITION BY name ORDER BY length(callback) DESC, framework, callback) AS r FROM f JOIN c ON contains(name, callback)) SELECT name, framework, callback FROM m WHERE r = 1""")
+def _(s, d):
+    c = s.createDataFrame([("a", "ring"), ("b", "gear"), ("b", "red"), ("c", "widget")], "framework string, callback string")
+    return D.identify_callbacks(table(s, d, "part").select(F.col("p_name").alias("name")), c)
+
+
+@query("patch_impact", f"""WITH RECURSIVE e AS {NATION_EDGES}, c AS (SELECT DISTINCT 's' || l_suppkey AS name FROM lineitem WHERE l_quantity > 49.5 AND l_linenumber = 1 UNION SELECT e.src FROM c JOIN e ON c.name = e.dst) SELECT name FROM c""")
+def _(s, d):
+    changed = table(s, d, "lineitem").where("l_quantity > 49.5 and l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"))
+    return D.impact(changed, nation_edges(s, d)).select("name")
+
+
+@query("native_bridges", "SELECT DISTINCT p_brand || '.' || p_type AS method, 'Java_' || replace(replace(replace(p_brand || '.' || p_type, '_', '_1'), '$', '_00024'), '.', '_') AS name FROM part")
+def _(s, d):
+    m = table(s, d, "part").select(F.concat_ws(".", "p_brand", "p_type").alias("method")).distinct()
+    return D.bridges(m, m.select(T.jni_name("method").alias("name")))
+
+
+@query("header_resolution", "SELECT doc_id AS include, min_by(p, pr) AS path FROM (SELECT doc_id, unnest([source || '/' || lang, lang || '/x', 'root']) AS p, unnest([0, 1, 2]) AS pr FROM documents) WHERE p IN (SELECT DISTINCT source || '/' || lang FROM documents WHERE n_chars > 5000 UNION SELECT 'root') GROUP BY doc_id")
+def _(s, d):
+    x = table(s, d, "documents")
+    tries = F.array(*(F.struct(p.alias("path"), F.lit(i).alias("priority")) for i, p in enumerate((F.concat_ws("/", "source", "lang"), F.concat("lang", F.lit("/x")), F.lit("root")))))
+    wanted = x.select(F.col("doc_id").alias("include"), F.explode(tries).alias("t")).select("include", "t.path", "t.priority")
+    files = x.where("n_chars > 5000").select(F.concat_ws("/", "source", "lang").alias("path")).union(s.range(1).select(F.lit("root")))
+    return R.first_by_probe(wanted, files, "include", "path", "priority")
+
+
+@query("annotated_calls", "SELECT o_orderkey, a.t AS user_targets FROM orders LEFT JOIN (SELECT user_id, arg_min(event_type, event_id) AS t FROM events GROUP BY user_id) a ON o_custkey = a.user_id")
+def _(s, d):
+    calls = table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("call_site"))
+    notes = table(s, d, "events").select(F.col("user_id").alias("call_site"), F.col("event_type").alias("targets"), F.col("event_id").alias("ord"))
+    return R.apply_annotations(calls, notes).select("o_orderkey", "user_targets")
+
+
+@query("learning_stats", "SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM labels) AS answered, CAST(0 AS BIGINT) AS auto_applied")
+def _(s, d):
+    return R.learning_stats(table(s, d, "documents"), table(s, d, "labels"))
+
+
+@query("file_globs", "SELECT p_partkey, suffix(p_name, 'bolt') AS ends, starts_with(p_name, 'red') AS begins, p_name = 'hot gear' AS exact FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", T.glob_match("p_name", "*bolt").alias("ends"), T.glob_match("p_name", "red*").alias("begins"), T.glob_match("p_name", "hot gear").alias("exact"))
+
+
+@query("directory_listing", """WITH p AS (SELECT DISTINCT source || '/' || lang || '/' || doc_id AS path FROM documents), u AS (SELECT path AS p, false AS is_dir FROM p UNION SELECT regexp_extract(path, '^(.*)/[^/]*$', 1), true FROM p UNION SELECT string_split(path, '/')[1], true FROM p)
+ SELECT p AS path, string_split(p, '/')[-1] AS name, regexp_extract(p, '^(.*)/[^/]*$', 1) AS parent, CAST(len(string_split(p, '/')) - 1 AS INTEGER) AS depth, is_dir FROM u""")
+def _(s, d):
+    return listing(table(s, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
+@query("parse_cache", "SELECT d.doc_id AS path FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND d.n_chars % 2 = l.quality")
+def _(s, d):
+    k = lambda df, m: df.select(F.col("doc_id").alias("path"), F.lit(1).alias("options_hash"), m.cast("long").alias("mtime"), F.lit(2).alias("content_hash"))
+    return cache_hits(k(table(s, d, "documents"), F.col("n_chars") % 2), k(table(s, d, "labels"), F.col("quality"))).select("path")
+
+
+@query("value_kinds", """SELECT DISTINCT t AS c_type, CASE WHEN contains(t, '*') THEN 'pointer' WHEN regexp_matches(t, 'int|long|short|size_t|u8|u16|u32|u64') THEN 'integer' WHEN contains(t, 'char') THEN 'string' ELSE 'integer' END AS kind
+ FROM (SELECT lower(CASE p_size % 4 WHEN 0 THEN 'unsigned int' WHEN 1 THEN 'char' WHEN 2 THEN 'struct ' || p_type || ' *' ELSE p_type END) AS t FROM part)""")
+def _(s, d):
+    k = F.col("p_size") % 4
+    t = F.lower(F.when(k == 0, "unsigned int").when(k == 1, "char").when(k == 2, F.concat(F.lit("struct "), "p_type", F.lit(" *"))).otherwise(F.col("p_type")))
+    return table(s, d, "part").select(t.alias("c_type"), T.guess_value_type(t).alias("kind")).distinct()
+
+
+@query("answer_texts", """SELECT n_regionkey, array_to_string(list_transform(range(1, len(l) + 1), lambda i: i || '. ' || l[i]), chr(10)) AS numbered, array_to_string(list_transform(l, lambda x: '- ' || x), chr(10)) AS bulleted,
+ array_to_string(list_transform(range(1, len(l) + 1), lambda i: repeat('  ', i - 1) || CASE WHEN i > 1 THEN '-> ' ELSE '' END || l[i]), chr(10)) AS nested FROM (SELECT n_regionkey, list_sort(list(n_name)) AS l FROM nation GROUP BY n_regionkey)""")
+def _(s, d):
+    g = R.group_sorted(table(s, d, "nation"), "n_regionkey", "n_name", "l")
+    return g.select("n_regionkey", T.numbered("l").alias("numbered"), T.bulleted("l").alias("bulleted"), T.nested_chain("l").alias("nested"))
+
+
+@query("markdown_html", r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^# (.+)$', '<h1>\1</h1>', 'g'), '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '(?m)^- (.+)$', '<li>\1</li>', 'g') AS html FROM (SELECT p_partkey, '# ' || p_name || chr(10) || '- **' || p_type || '**' AS t FROM part)""")
+def _(s, d):
+    t = F.concat(F.lit("# "), "p_name", F.lit("\n- **"), "p_type", F.lit("**"))
+    return table(s, d, "part").select("p_partkey", T.markdown_to_html(t).alias("html"))
+
+
+@query("conditional_lines", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o_orderstatus = 'F' AND l.l_linenumber BETWEEN 2 AND 3)")
+def _(s, d):
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"))
+    regions = table(s, d, "orders").select(F.col("o_orderkey").alias("path"), F.lit(2).alias("lo"), F.lit(3).alias("hi"), F.col("o_orderstatus").alias("macro"))
+    macros = s.createDataFrame([("O", "1"), ("P", "x"), ("F", "0")], "name string, value string")
+    return D.active_lines(lines, regions, macros).select(F.col("path").alias("l_orderkey"), F.col("line").alias("l_linenumber"))
+
+
+@query("result_page", "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey LIMIT 20 OFFSET 10")
+def _(s, d):
+    return D.page(table(s, d, "supplier").select("s_suppkey", "s_name"), ["s_name", "s_suppkey"], 10, 20)
