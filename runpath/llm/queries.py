@@ -21,6 +21,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_branch_bound": topk.op10_branch_bound,
 }
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS m, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM win),
+d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m),
+hit AS (SELECT pos.doc_id, pos.i, pos.m, win.item FROM pos JOIN win ON pos.m = win.m AND array_to_string(pos.w[pos.i:pos.i + pos.m - 1], ' ') = win.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS l FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a),
+k AS (SELECT id AS doc_id, min(c) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+k AS (SELECT *, (CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || digest), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM d),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+num AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 2 AS cap FROM per),
+lev AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 150 / 100 AS total, coalesce(sum(cap) OVER o, 0.0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0.0) AS remaining FROM num
+        WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+un AS (SELECT *, (total - capped) / remaining AS unit FROM lev),
+goal AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN unit * weight <= cap THEN unit END) OVER () * weight, cap)) AS target FROM un),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM goal),
+g2 AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS sure, ratio - floor(ratio) AS f, target - CAST(floor(ratio) AS BIGINT) * source_size AS rest FROM g),
+q AS (SELECT k.*, source_size, target, sure, rest, CASE WHEN rest > 0 AND size > 0 AND f > 0 THEN (u / (1 - u)) / (f / (1 - f)) END AS q FROM k JOIN g2 ON k.source IS NOT DISTINCT FROM g2.source),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, size, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q WHERE q IS NOT NULL),
+gap AS (SELECT source, max(rest) - coalesce(max(CASE WHEN run <= rest THEN run END), 0) AS gap FROM c GROUP BY source HAVING max(run) > max(rest)),
+fill AS (SELECT c.source, c.doc_id, c.digest, row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), q, size, doc_id, digest) AS r FROM c JOIN gap ON c.source IS NOT DISTINCT FROM gap.source WHERE run > rest AND abs(size - gap) < gap),
+x AS (SELECT q.doc_id, q.size, q.source_size, q.target, q.sure, (c.run IS NOT NULL AND c.run <= c.rest) OR fill.r IS NOT NULL AS extra
+      FROM q LEFT JOIN c ON q.doc_id = c.doc_id AND q.digest = c.digest LEFT JOIN fill ON fill.r = 1 AND fill.doc_id = q.doc_id AND fill.digest = q.digest)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN sure + CAST(extra AS BIGINT) ELSE 0 END AS copies, CASE WHEN size > 0 THEN (sure + CAST(extra AS BIGINT)) * size ELSE 0 END AS taken FROM x
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_automaton": OP3_SQL,
+    "op5_minhash": OP5_SQL,
+    "op9_pareto_mix": OP9_SQL,
     "op10_branch_bound": topk.OP10_SQL,
 }
