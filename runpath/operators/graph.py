@@ -81,6 +81,8 @@ def closure(edges: DataFrame, start: DataFrame, reverse: bool = False, max_round
     links = edges.select(F.col(src).alias("name"), F.col(dst).alias("__to")).distinct()
     seen = front = checkpoint(start.select("name").distinct().withColumn("hops", F.lit(0)))
     for hop in range(1, max_rounds + 1):
+        if hop % 16 == 0:  # keeps plans short however long the way is
+            seen = checkpoint(seen)
         found = front.select("name").join(links, "name").select(F.col("__to").alias("name")).distinct()
         front = checkpoint(found.join(seen.select("name"), "name", "left_anti").withColumn("hops", F.lit(hop)))
         if not front.limit(1).count():

@@ -35,7 +35,9 @@ def solve(constraints: DataFrame, functions: DataFrame | None = None, max_rounds
         pts = pts.union(functions.select(F.col("name").alias("loc"), F.col("name").alias("target")))
     pts = new = checkpoint(pts.distinct())
     edges = checkpoint(c.where("kind = 'Copy'").select("src", "dest").distinct())
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
+        if n % 16 == 15:  # keeps plans short however many rounds it takes
+            pts, edges = checkpoint(pts), checkpoint(edges)
         # Edges that the new pairs make: through the pointer that a load or store goes by.
         load = new.join(c.where("kind in ('Load', 'FieldLoad')").withColumnRenamed("src", "loc"), "loc").select(F.when(F.col("kind") == "Load", F.col("target")).otherwise(F.concat_ws(".", "target", "field")).alias("src"), "dest")
         store = new.join(c.where("kind in ('Store', 'FieldStore')").withColumnRenamed("dest", "loc"), "loc").select("src", F.when(F.col("kind") == "Store", F.col("target")).otherwise(F.concat_ws(".", "target", "field")).alias("dest"))
