@@ -10,10 +10,11 @@
    similarity estimated from the bit counts of the packed signatures, corrected
    for chance agreement of low bits, drops the hopeless pairs; the rest are
    confirmed on the full sets.
-4. What these links do not join yet is searched once more: within each bucket,
-   members of different components are compared block by block on the packed
-   signatures, and the pairs that survive are confirmed on the full sets.  Large
-   buckets are cut into blocks of bounded size, and no pair is left out.
+4. What these links do not join yet is searched once more: within each bucket
+   that holds several components, every member outside the most common one is
+   compared with all others, on the packed signatures first and then on the full
+   sets, and the links that join components are kept.  Large buckets are cut into
+   blocks of bounded size that meet pair by pair, and no pair is left out.
 5. Components of the links, by smallest id.
 
 Every link (similarity of at least ``percent``/100) that shares a band is found;
@@ -52,7 +53,7 @@ class NearDupParams:
     #: Pairs whose estimate lies this many standard deviations under the threshold are dropped.
     sigmas: float = 5.5
     #: Members of one block when a bucket is searched for the second time.
-    block: int = 2000
+    block: int = 1000
 
     @property
     def minima(self) -> int:
@@ -180,9 +181,8 @@ def _agree(p: NearDupParams, x: str, y: str):
 
 def _confirm(documents: DataFrame, pairs: DataFrame, p: NearDupParams) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold. The texts of ids in pairs are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.join(ids, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_set_rows(p.words), "id long, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _sets(documents, ids, p)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= p.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -203,32 +203,95 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(p: NearDupParams):
-    """Pairs of one block pair of one bucket: different components, enough agreeing lanes, neither the centre."""
+class _Merged:
+    """Union-find over the component labels of one block."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (u := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(u, u)
+            x = u
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _block_links(p: NearDupParams):
+    """Links that join components within one pair of blocks of one bucket, confirmed on full sets.
+
+    Two members of the most common component need no comparison; every other member is
+    compared with all of the opposite block: by the bit counts of the signatures first, then
+    by the exact size of the intersection, counted along the postings of its shingles.
+    """
     least, bits, n = p.agreeing, p.bits, p.minima
     lane = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
         side, x, y = (table.column(c).to_numpy() for c in ("side", "x", "y"))
-        sig = np.array(table.column("packed").to_pylist(), dtype=np.int64).view(np.uint64)
-        left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
-        out_a, out_b = [], []
-        for i in left:
-            d = sig[i] ^ sig[right]
-            any_bit = d.copy()
-            for s in range(1, bits):
-                any_bit |= d >> np.uint64(s)
-            agree = n - np.bitwise_count(any_bit & lane).sum(axis=1)
-            j = right[(agree >= least) & (comp[right] != comp[i]) & ((ids[right] > ids[i]) | (x[0] != y[0]))]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        _, label, count = np.unique(comp, return_inverse=True, return_counts=True)
+        out: list[tuple[int, int]] = []
+        if len(count) > 1:
+            sig = np.array(table.column("packed").to_pylist(), dtype=np.int64).view(np.uint64)
+            lists = table.column("shingles").combine_chunks()
+            size = np.diff(lists.offsets.to_numpy())
+            _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            first = np.cumsum(size) - size
+            holder = np.repeat(np.arange(len(ids)), size)[np.argsort(code, kind="stable")]
+            posting = np.concatenate([[0], np.cumsum(np.bincount(code))])
+            merged = _Merged()
+            for i in np.flatnonzero(label != count.argmax()):
+                d = sig[i] ^ sig
+                any_bit = d.copy()
+                for k in range(1, bits):
+                    any_bit |= d >> np.uint64(k)
+                agree = n - np.bitwise_count(any_bit & lane).sum(axis=1)
+                near = (agree >= least) & (label != label[i])
+                if x[0] != y[0]:
+                    near &= side != side[i]
+                if not near.any():
+                    continue
+                own = code[first[i] : first[i] + size[i]]
+                common = np.bincount(np.concatenate([holder[posting[c] : posting[c + 1]] for c in own]), minlength=len(ids))
+                for j in np.flatnonzero(near & (100 * common >= p.percent * (size + size[i] - common))):
+                    if merged.join(int(label[i]), int(label[j])):
+                        out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
 
     return run
 
 
+def _sets(documents: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, shingles) of the ids in ids (id): their texts are read again."""
+    texts = documents.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    return materialize(texts.mapInArrow(_set_rows(p.words), "id long, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+
+
+def _second_search(documents: DataFrame, spokes: DataFrame, signed: DataFrame, found: DataFrame, p: NearDupParams) -> DataFrame | None:
+    """Links within buckets that hold members of several components, or None where there is no such bucket."""
+    placed = spokes.where("members > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by_key = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"))
+    # Buckets of several bands that have the same members are searched once.
+    mixed = materialize(by_key.where("low <> high").groupBy("who", "n").agg(F.min("key").alias("key")).select("key"), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    hard = materialize(placed.join(mixed, "key", "left_semi").select("key", "rep", "component", "members"), "hard")
+    sets = _sets(documents, hard.select(F.col("rep").alias("id")).distinct(), p)
+    blocks = F.ceil(F.col("members") / p.block).cast("int")
+    side = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
+    spread = hard.select("key", "rep", "component", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+        "key", "rep", "component", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")
+    )
+    whole = spread.join(signed, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return materialize(whole.groupBy("key", "x", "y").applyInArrow(_block_links(p), "a long, b long").distinct(), "links")
+
+
 def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of documents."""
     texts = _narrow(documents, id_col, text_col)
@@ -254,25 +317,9 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams(), id
     links = materialize(_confirm(texts, materialize(near, "stars"), p), "links")
     found = components(links)
 
-    # Second search: buckets that hold members of more than one component besides the pairs tried above.
-    spoken = spokes.where("members > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = spoken.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    if mixed.limit(1).count():
-        blocks = F.ceil(F.col("members") / p.block).cast("int")
-        side = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        spread = (
-            spoken.where("rep <> centre").join(mixed, "key", "left_semi")
-            .select("key", "rep", "component", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            .select("key", "rep", "component", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-        )
-        more = (
-            spread.join(signed, "rep").groupBy("key", "x", "y").applyInArrow(_block_pairs(p), "a long, b long").distinct()
-        )
-        more = materialize(more, "pairs")
-        if more.limit(1).count():
-            links = links.union(_confirm(texts, more, p))
-            found = components(links.union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-            return _result(rows, found)
+    more = _second_search(texts, spokes, signed, found, p)
+    if more is not None:
+        links = links.union(more)
     return _result(rows, components(links.union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))))
 
 
