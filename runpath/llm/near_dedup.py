@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runpath.llm import kernel
+from runpath.llm import filters, kernel
 from runpath.llm.storage import materialize
 
 
@@ -268,9 +268,10 @@ def _block_links(p: NearDupParams):
 
 
 def _sets(documents: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, shingles) of the ids in ids (id): their texts are read again."""
-    texts = documents.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(_set_rows(p.words), "id long, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+    """(id, shingles) of the ids in ids (id): their texts are read again. The sets are shuffled, the texts are not."""
+    maybe, _ = filters.split(documents, "doc_id", filters.bit_map(ids.withColumnRenamed("id", "doc_id"), "doc_id"))
+    sets = maybe.mapInArrow(_set_rows(p.words), "id long, shingles array<bigint>").join(ids, "id", "left_semi")
+    return materialize(sets.dropDuplicates(["id"]), "sets")
 
 
 def _second_search(documents: DataFrame, spokes: DataFrame, signed: DataFrame, found: DataFrame, p: NearDupParams) -> DataFrame | None:
@@ -334,11 +335,11 @@ def keep_one(documents: DataFrame, p: NearDupParams = PIPELINE) -> DataFrame:
 
     Rows without an id are all kept.  Columns are those of documents.
     """
-    gone = near_duplicates(documents, p).where(~F.col("kept")).select("doc_id").distinct()
-    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    gone = materialize(near_duplicates(documents, p).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
+    left = filters.without(documents, gone, "doc_id")
     repeated = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    single = left.join(repeated, "doc_id", "left_anti").select(*documents.columns)
-    return single.union(left.join(repeated, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id"]))
+    many, single = filters.split(left, "doc_id", filters.bit_map(repeated, "doc_id"))
+    return single.union(many.dropDuplicates(["doc_id"]))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
