@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runpath.llm import kernel
+from runpath.llm.storage import small_batches
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,9 @@ class ToxicityParams:
 
 PARAMS = ToxicityParams()
 
+#: Texts whose features are held at a time.
+CHUNK = 256
+
 
 def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature number) of every n-gram occurrence, unordered, repeats kept."""
@@ -78,7 +82,7 @@ class Ftrl:
 
     def update(self, feats: np.ndarray, y: float) -> None:
         """One example: feats are distinct; the last coordinate is the bias."""
-        at = np.append(feats, len(self.z) - 1)
+        at = np.append(feats.astype(np.int64), len(self.z) - 1)
         w = self.weights(at)
         g = float(sigmoid(np.asarray(w.sum()))) - y
         n = self.n[at]
@@ -88,13 +92,15 @@ class Ftrl:
 
 def _feature_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, feat = features(b.column("text"), bits)
-            keys = np.unique((doc << bits) | feat)
-            doc, feat = keys >> bits, (keys & ((1 << bits) - 1)).astype("<u4")
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            rows = [feat[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("label"), pa.array(rows, pa.binary())], names=["rank", "label", "feats"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(lo, CHUNK)
+                doc, feat = features(b.column("text"), bits)
+                keys = np.unique((doc << bits) | feat)
+                doc, feat = keys >> bits, (keys & ((1 << bits) - 1)).astype("<u4")
+                cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                rows = [feat[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("label"), pa.array(rows, pa.binary())], names=["rank", "label", "feats"])
 
     return run
 
@@ -103,7 +109,7 @@ def _fit_rows(p: ToxicityParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rows = Ftrl(p), []
         for b in batches:
-            rows += [(np.frombuffer(f, dtype="<u4").astype(np.int64), float(y)) for f, y in zip(b.column("feats").to_pylist(), b.column("label").to_pylist(), strict=True)]
+            rows += [(np.frombuffer(f, dtype="<u4"), float(y)) for f, y in zip(b.column("feats").to_pylist(), b.column("label").to_pylist(), strict=True)]
         order = np.random.default_rng(p.seed)
         for _ in range(p.epochs):
             for i in order.permutation(len(rows)):
@@ -127,6 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) ->
     The sample is the labelled ids whose hash lies in the share max_fit_rows / all of them, so
     it does not depend on the order of rows; the expected size is bounded at every input size.
     """
+    small_batches(documents.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label")).where(~held_out())
     total = known.count()
     space = 1 << 24
@@ -158,14 +165,13 @@ def scorer(spark: SparkSession, weights: DataFrame, p: ToxicityParams = PARAMS):
             w[shared.value[0]] = shared.value[1]
             cache["w"] = w
         w, out = cache["w"], np.empty(len(text))
-        size = 2000
-        for lo in range(0, len(text), size):
-            part = text.slice(lo, size)
+        for lo in range(0, len(text), CHUNK):
+            part = text.slice(lo, CHUNK)
             doc, feat = features(part, bits)
             hit = w[feat] != 0
             keys = np.unique((doc[hit] << bits) | feat[hit])
             total = np.bincount(keys >> bits, weights=w[keys & ((1 << bits) - 1)], minlength=len(part))
-            out[lo : lo + size] = sigmoid(total + w[-1])
+            out[lo : lo + CHUNK] = sigmoid(total + w[-1])
         return pa.array(out, pa.float64())
 
     return lambda column: score(F.col(column).cast("binary"))
