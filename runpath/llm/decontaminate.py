@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runpath.llm import kernel
+from runpath.llm.storage import small_batches
 
 
 @dataclass(frozen=True)
@@ -180,6 +181,7 @@ def build(items: list[tuple[str, np.ndarray]], window: int) -> Automaton:
 
 def automata(items: DataFrame, p: DecontaminationParams = PARAMS, id_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
     """Broadcast automata of blocks of items; items stream to the driver one partition at a time."""
+    small_batches(items.sparkSession)
     sc = items.sparkSession.sparkContext
     out: list[Broadcast] = []
     block: list[tuple[str, np.ndarray]] = []

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpath.llm import filters, kernel
-from runpath.llm.storage import materialize
+from runpath.llm.storage import materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -295,6 +295,7 @@ def _second_search(documents: DataFrame, spokes: DataFrame, signed: DataFrame, f
 
 def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of documents."""
+    small_batches(documents.sparkSession)
     texts = _narrow(documents, id_col, text_col)
     rows = materialize(texts.mapInArrow(_signature_rows(p), "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<bigint>, packed array<bigint>"), "signatures")
     with_set = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
