@@ -24,7 +24,7 @@ def scan(spark: SparkSession, folder: str, endings: tuple[str, ...] = ("c", "h")
     any_of = lambda globs: reduce(lambda a, b: a | b, (T.glob_match(name, g) for g in globs))
     kept = raw if not exclude else raw.where(~any_of(exclude))
     kept = kept if not include else kept.where(any_of(include))
-    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
 def listing(paths: DataFrame, max_depth: int = fixed.DIRECTORY_DEPTH) -> DataFrame:

@@ -22,7 +22,7 @@ def index_stream(spark: SparkSession, folder: str, index: SymbolIndex, state: st
 
     def merge(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "modificationTime").alias("f")).select("path", "f.*")
-        text = last.select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+        text = last.select("path", F.decode("content", "UTF-8").alias("content"))
         rows = c_front.symbols(text)
         index.replace_files("functions", last, rows.where("kind = 'function'").select("path", "name", "line", "end_line", "return_type", "calls"))
         index.replace_files("structs", last, rows.where("kind = 'struct'").select("path", "name", "line", "refs"))

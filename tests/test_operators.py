@@ -14,7 +14,7 @@ from runpath.operators import points_to as PT
 from runpath.operators import relational as R
 from runpath.operators.index import SymbolIndex
 from runpath.plans import samples
-from runpath.sources.files import clang_args, knowledge
+from runpath.sources.files import clang_args, knowledge, scan
 from runpath.streaming import intake
 
 
@@ -180,6 +180,9 @@ def test_index_and_stream(spark, tmp_path):
     src.mkdir()
     (src / "a.c").write_text("int f(void) { g(); }")
     (src / "b.c").write_text("struct s { int x; };\nvoid h(void) { }")
+    (src / "skip.h").write_text("int x;")
+    files = scan(spark, str(src), exclude=("skip*",), include=("*.c", "*.h"))
+    assert {r.content for r in files.collect()} == {"int f(void) { g(); }", "struct s { int x; };\nvoid h(void) { }"}
     index = SymbolIndex(spark, str(tmp_path / "index"), buckets=4)
     intake.prepare(spark, index)
     intake.index_stream(spark, str(src), index, str(tmp_path / "state")).awaitTermination()
