@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from runpath.operators import relational as R
 
 
+#: Columns of the tables, so that an empty one can be read.
+SCHEMAS = {
+    "functions": "path string, name string, line int, end_line int, return_type string, calls array<string>",
+    "structs": "path string, name string, line int, refs array<string>",
+    "versions": "path string, mtime timestamp, size bigint",
+}
+
+
 class SymbolIndex:
     """Tables functions, structs and versions below one folder. A change rewrites the buckets of the changed files only."""
 
@@ -17,8 +25,11 @@ class SymbolIndex:
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int"))
 
+    def _stored(self, table: str) -> DataFrame:
+        return self.spark.read.schema(f"{SCHEMAS[table]}, bucket int").parquet(f"{self.folder}/{table}")
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}").drop("bucket")
+        return self._stored(table).drop("bucket")
 
     def save(self, table: str, rows: DataFrame) -> None:
         """The whole table anew (K3)."""
@@ -29,7 +40,7 @@ class SymbolIndex:
         from runpath.operators.storage import checkpoint
 
         touched = self._bucketed(paths.select("path").distinct()).select("bucket").distinct()
-        old = self.spark.read.parquet(f"{self.folder}/{table}").join(F.broadcast(touched), "bucket", "left_semi")  # at most `buckets` rows
+        old = self._stored(table).join(F.broadcast(touched), "bucket", "left_semi")  # at most `buckets` rows
         kept = old.join(paths.select("path").distinct(), "path", "left_anti")
         new = checkpoint(kept.select(*rows.columns, "bucket").unionByName(self._bucketed(rows)))
         empty = touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()

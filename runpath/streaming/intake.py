@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runpath import fixed
-from runpath.operators.index import SymbolIndex
+from runpath.operators.index import SCHEMAS, SymbolIndex
 from runpath.sources import c_front
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -33,9 +33,8 @@ def index_stream(spark: SparkSession, folder: str, index: SymbolIndex, state: st
 
 def prepare(spark: SparkSession, index: SymbolIndex) -> None:
     """Empty tables of an index that a stream fills."""
-    index.save("functions", spark.createDataFrame([], "path string, name string, line int, end_line int, return_type string, calls array<string>"))
-    index.save("structs", spark.createDataFrame([], "path string, name string, line int, refs array<string>"))
-    index.save("versions", spark.createDataFrame([], "path string, mtime timestamp, size bigint"))
+    for table, schema in SCHEMAS.items():
+        index.save(table, spark.createDataFrame([], schema))
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
