@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpath.llm import kernel
-from runpath.llm.storage import materialize
+from runpath.llm.storage import materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -69,93 +69,105 @@ def prefix_hashes(x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Low bits of an ordered hash that hold a place; places within a step of windows fit in.
+PLACE_BITS = 20
+STEP = 1 << 18
+
+
 def anchors(x: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, number of windows) of each anchor of one text; windows are numbered by their start."""
+    """(hash, place, first window, number of windows) of each anchor of one text; windows are numbered by their start.
+
+    A window's anchor is its gram of least hash (high bits), the first of equal ones.
+    """
     n, k, w = len(x), p.gram, p.length - p.gram + 1
+    none = np.zeros(0, np.int64)
     if n < p.length:
-        none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    hashes, places, starts, counts = [], [], [], []
-    step = 1 << 18  # windows at a time, so that a very long text takes bounded memory
+    out: list[tuple[np.ndarray, ...]] = []
+    mask = U8((1 << PLACE_BITS) - 1)
     last = n - p.length + 1
-    for lo in range(0, last, step):
-        hi = min(lo + step, last)
+    for lo in range(0, last, STEP):  # so that a very long text takes bounded memory
+        hi = min(lo + STEP, last)
         part = x[lo : hi + p.length - 1]
-        s = prefix_hashes(part)
+        sums = prefix_hashes(part)
         m = len(part) - k + 1
-        h = kernel.mix((s[k:] - s[:-k]) * kernel.powers(m)[1][:m])
-        pad = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
-        pad[:m] = h
-        rows = pad.reshape(-1, w)
+        h = kernel.mix((sums[k:] - sums[:-k]) * kernel.powers(m)[1][:m])
+        ranked = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
+        ranked[:m] = (h & ~mask) | np.arange(m, dtype=np.uint64)
+        rows = ranked.reshape(-1, w)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[: hi - lo], ahead[w - 1 : w - 1 + hi - lo])
-        # The first place of the least hash: where it changes it enters at the end or is the next among the rest.
-        at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        size = np.diff(np.append(at, hi - lo))
-        order = np.argsort(h, kind="stable")
-        ranked = h[order]
-        for i, c in zip(at.tolist(), size.tolist(), strict=True):
-            a = np.searchsorted(ranked, least[i])
-            b = np.searchsorted(ranked, least[i], side="right")
-            same = np.sort(order[a:b])
-            while c > 0:  # equal anchors within reach: each window belongs to the first at or after its start
-                place = same[np.searchsorted(same, i)]
-                own = min(c, int(place) - i + 1)
-                hashes.append(least[i])
-                places.append(lo + int(place))
-                starts.append(lo + i)
-                counts.append(own)
-                i, c = i + own, c - own
-    return np.array(hashes, np.uint64), np.array(places, np.int64), np.array(starts, np.int64), np.array(counts, np.int64)
+        place = (np.minimum(behind[: hi - lo], ahead[w - 1 : w - 1 + hi - lo]) & mask).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        out.append((h[place[at]], lo + place[at], lo + at, np.diff(np.append(at, hi - lo))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _anchor_rows(p: RepeatParams):
+    """Distinct anchor hashes of each text, with their numbers of places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = kernel.flat(b.column("text"))
-            found = [anchors(data[off[i] : off[i + 1]], p)[0] for i in range(b.num_rows)]
-            n = np.array([len(f) for f in found], np.int64)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), n))
-            if len(rows):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), b.column("ka").take(rows), b.column("kb").take(rows), pa.array(np.concatenate([np.arange(i) for i in n]), pa.int32())],
-                    names=["anchor", "ka", "kb", "nth"],
-                )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                data, off = kernel.flat(b.column("text"))
+                found = [np.unique(anchors(data[off[i] : off[i + 1]], p)[0], return_counts=True) for i in range(b.num_rows)]
+                rows = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), b.column("ka").take(rows), b.column("kb").take(rows), pa.array(np.concatenate([f[1] for f in found]), pa.int64())],
+                        names=["anchor", "ka", "kb", "n"],
+                    )
 
     return run
 
 
 def _cut_rows(p: RepeatParams, buckets: int):
-    """Of each text with its anchors `nth` of interest: their windows, packed by bucket of the anchor hash."""
+    """The windows around the anchors of interest of each text, packed by bucket of the anchor hash.
+
+    numbers: (anchor, ka, kb, first window, windows, place of the anchor, 1 if the piece came more than once) of each
+    distinct piece of a task.  A piece that comes twice is explained: its other owners go to `done` at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: dict[tuple[int, int, bytes], list[int]] = {}
+        done: list[tuple[int, int, int, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for bucket, items in held.items():
-                numbers = np.array([i[:-1] for i in items], np.int64)
-                rows.append((bucket, numbers.tobytes(), b"".join(i[-1] for i in items)))
+            by: dict[int, list[tuple[list[int], bytes]]] = {}
+            for (key, _, piece), numbers in held.items():
+                by.setdefault(key % buckets, []).append((numbers, piece))
+            rows = [(bucket, np.array([n for n, _ in items], np.int64).tobytes(), b"".join(x for _, x in items), b"") for bucket, items in by.items()]
+            if done:
+                rows.append((done[0][0] % buckets, b"", b"", np.array(done, np.int64).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "numbers", "bytes"])
+                types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "numbers", "bytes", "done"])
 
         for b in batches:
             data, off = kernel.flat(b.column("text"))
-            ka, kb, lists = b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("nth").to_pylist()
+            ka, kb, lists = b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("anchors")
             for i in range(b.num_rows):
                 x = data[off[i] : off[i + 1]]
                 h, place, start, count = anchors(x, p)
-                for j in lists[i]:
-                    s, c = int(start[j]), int(count[j])
-                    key = int(h[j].view(np.int64))
-                    piece = x[s : s + c + p.length - 1].tobytes()
-                    held.setdefault(key % buckets, []).append((key, ka[i], kb[i], s, c, int(place[j]) - s, piece))
-                    size += len(piece)
-                if size > 16 << 20:
+                raw = x.tobytes()
+                wanted = np.flatnonzero(np.isin(h.view(np.int64), lists[i].values.to_numpy()))
+                for key, s, c, at in zip(*(v[wanted].tolist() for v in (h.view(np.int64), start, count, place - start)), strict=True):
+                    piece = raw[s : s + c + p.length - 1]
+                    known = held.get((key, at, piece))
+                    if known is None:
+                        held[key, at, piece] = [key, ka[i], kb[i], s, c, at, 0]
+                        size += len(piece) + 200
+                    else:
+                        known[-1] = 1
+                        done.append((ka[i], kb[i], s, s + c + p.length - 1))
+                        size += 100
+                if size > 24 << 20:
                     yield from flush()
-                    held, size = {}, 0
+                    held.clear()
+                    done.clear()
+                    size = 0
         yield from flush()
 
     return run
@@ -247,23 +259,31 @@ def _settle(p: RepeatParams):
     length = p.length
 
     def run(table: pa.Table) -> pa.Table:
-        numbers = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 6) for x in table.column("numbers")])
-        key, ka, kb, start, count, at = numbers.T
-        data, pieces = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bytes")], []
-        sizes = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 6)[:, 4] + length - 1 for x in table.column("numbers")]
-        for d, s in zip(data, sizes, strict=True):
-            pieces += np.split(d, np.cumsum(s)[:-1])
-        # A text's copies are cut out once; what remains alone with its anchor is done with.
-        _, one = np.unique(np.stack([key, ka, kb, start]), axis=1, return_index=True)
-        k, c = np.unique(key[one], return_counts=True)
-        keep = one[np.isin(key[one], k[c > 1])]
-        key, ka, kb, start, count, at = (v[keep] for v in (key, ka, kb, start, count, at))
+        packed = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 7) for x in table.column("numbers")]
+        pieces: list[np.ndarray] = []
+        for d, s in zip(table.column("bytes"), packed, strict=True):
+            if len(s):
+                pieces += np.split(np.frombuffer(d.as_buffer(), np.uint8), np.cumsum(s[:, 4] + length - 1)[:-1])
+        spans = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in table.column("done")]
+        numbers = np.concatenate(packed)
+        # Pieces that are equal throughout, of other texts or places, explain one another; one of them goes on.
+        kinds: dict[tuple[int, int, bytes], int] = {}
+        same = np.array([kinds.setdefault((n[0], n[5], piece.tobytes()), i) for i, (n, piece) in enumerate(zip(numbers.tolist(), pieces, strict=True))], np.int64)
+        other = same != np.arange(len(same))
+        twice = numbers[:, 6] == 1
+        twice[same[other]] = True
+        explained = twice | other
+        spans.append(np.stack([numbers[explained, 1], numbers[explained, 2], numbers[explained, 3], numbers[explained, 3] + numbers[explained, 4] + length - 1], axis=1))
+        keep = np.flatnonzero(~other)
+        key = numbers[keep, 0]
+        k, c = np.unique(key, return_counts=True)
+        keep = keep[np.isin(key, k[c > 1])]
+        resolved_before = twice[keep]
+        key, ka, kb, start, count, at = numbers[keep, :6].T
         first, last = np.full(len(keep), np.iinfo(np.int64).max), np.full(len(keep), -1)
         if len(keep):
             t = Pieces([pieces[i] for i in keep])
             order = suffix_sort(t, at)
-            resolved = np.zeros(len(keep), bool)
-            spans = []
             for a, b in ((order[:-1], order[1:]), (order[1:], order[:-1])):
                 same = key[a] == key[b]
                 a, b = a[same], b[same]
@@ -273,9 +293,8 @@ def _settle(p: RepeatParams):
                 ok[ok] = [t.equal(x, l, y, l - at[x] + at[y], h - l + length) for x, y, l, h in zip(a[ok].tolist(), b[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True)]
                 np.minimum.at(first, a[ok], lo[ok])
                 np.maximum.at(last, a[ok], hi[ok])
-                spans.append((a[ok], lo[ok], hi[ok]))
             # Everything between the first and the last window goes anyway, so a piece is settled once both ends are reached.
-            resolved = (first == 0) & (last == count - 1)
+            resolved = resolved_before | ((first == 0) & (last == count - 1))
             rest = np.isin(key, key[~resolved])
             if rest.any():
                 i = np.flatnonzero(rest)
@@ -296,7 +315,9 @@ def _settle(p: RepeatParams):
                 np.minimum.at(first, piece[hit], window[hit])
                 np.maximum.at(last, piece[hit], window[hit])
         some = last >= 0
-        return pa.table({"ka": pa.array(ka[some]), "kb": pa.array(kb[some]), "from": pa.array(start[some] + first[some]), "to": pa.array(start[some] + last[some] + length)})
+        spans.append(np.stack([ka[some], kb[some], start[some] + first[some], start[some] + last[some] + length], axis=1))
+        ka, kb, lo, hi = np.concatenate(spans).T
+        return pa.table({"ka": pa.array(ka), "kb": pa.array(kb), "from": pa.array(lo), "to": pa.array(hi)})
 
     return run
 
@@ -332,20 +353,21 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(documents: DataFrame, p: RepeatParams = PARAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of documents; kept: the remaining bytes."""
+    small_batches(documents.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"), F.xxhash64(raw).alias("ka"), F.xxhash64(F.lit(1), raw).alias("kb"))
     long = texts.where(F.octet_length("text") >= p.length)
     copies = long.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").select("ka", "kb")
 
-    found = materialize(long.select("text", "ka", "kb").mapInArrow(_anchor_rows(p), "anchor long, ka long, kb long, nth int"), "anchors")
-    place = F.struct("ka", "kb", "nth")
-    shared = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("anchor")
-    wanted = found.join(shared, "anchor").select("ka", "kb", "nth").distinct().groupBy("ka", "kb").agg(F.sort_array(F.collect_list("nth")).alias("nth"))
+    found = materialize(long.select("text", "ka", "kb").mapInArrow(_anchor_rows(p), "anchor long, ka long, kb long, n long"), "anchors")
+    text = F.struct("ka", "kb")
+    shared = found.groupBy("anchor").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.max("n").alias("n")).where("a <> b or n > 1").select("anchor")
+    wanted = found.join(shared, "anchor").groupBy("ka", "kb").agg(F.collect_set("anchor").alias("anchors"), F.sum("n").alias("n"))
     wanted = materialize(wanted, "wanted")
-    total = wanted.agg(F.coalesce(F.sum(F.size("nth")), F.lit(0))).first()[0]
+    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) * (2 * p.length - p.gram) // p.bucket_bytes + 1)
-    whole = long.join(wanted, ["ka", "kb"]).select("ka", "kb", "nth", "text").dropDuplicates(["ka", "kb"])
-    cut = whole.mapInArrow(_cut_rows(p, buckets), "bucket int, numbers binary, bytes binary")
+    whole = long.join(wanted, ["ka", "kb"]).select("ka", "kb", "anchors", "text").dropDuplicates(["ka", "kb"])
+    cut = whole.mapInArrow(_cut_rows(p, buckets), "bucket int, numbers binary, bytes binary, done binary")
     spans = cut.groupBy("bucket").applyInArrow(_settle(p), "ka long, kb long, from long, to long")
     lists = spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("from", "to")).alias("spans"), F.lit(False).alias("whole"))
     none = F.expr("cast(null as array<struct<from:bigint,to:bigint>>)")
