@@ -16,6 +16,8 @@ log P(w) + log alpha(h), and a token whose pair is kept moreover the gain
 log P(w | h) - log alpha(h) - log P(w), which is stored with the pair.
 
 Both model tables are Parquet in the shared folder, partitioned by ``part``.
+Pairs are joined with their histories, and texts with the model, one slice after
+the other, so that the shuffle files of one slice only are on disk at a time.
 Their most frequent rows, at most ``hot`` of each, are broadcast; all other
 lookups are dealt out by key together with the rest of the model, packed as
 arrays, so no key's rows meet in one task and nothing that grows with the corpus
@@ -34,6 +36,7 @@ import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +63,14 @@ class KatzParams:
     #: Distinct pairs that a counting task holds before it hands them on.
     held_pairs: int = 1_200_000
     parts: int = 8
+    #: Slices of the histories and of the texts that are worked on one after the other.
+    slices: int = 4
+    text_slices: int = 2
 
 
 PARAMS = KatzParams()
+#: Of the query: all pairs are kept.
+OP1 = KatzParams(min_pairs=1)
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -180,14 +188,14 @@ def _unpack(table: pa.Table | pa.RecordBatch, column: str, dtype: str) -> np.nda
 
 
 def _sum_pairs(p: KatzParams, frequent: np.ndarray, frequent_p: np.ndarray):
-    """Kept pairs of one bucket with P(word); and rows of null history that say how many pairs were seen word times."""
+    """Kept pairs of one bucket with P(word) and the slice of their history; and rows of null history, in a slice of their own, that say how many pairs were seen key times."""
 
     def run(pairs: pa.Table, words: pa.Table) -> pa.Table:
         before, word, n = _unpack(pairs, "a", "<u8"), _unpack(pairs, "b", "<u8"), _unpack(pairs, "c", "<u4").astype(np.int64)
-        _, n, before, word = _summed(kernel.combine(before, word), n, before, word)
+        both, n, before, word = _summed(kernel.combine(before, word), n, before, word)
         seen = np.bincount(np.minimum(n, p.top + 2), minlength=p.top + 3)[1 : p.top + 2]
         kept = n >= p.min_pairs
-        before, word, n = before[kept], word[kept], n[kept]
+        both, before, word, n = both[kept], before[kept], word[kept], n[kept]
         key, prob = words.column("key").to_numpy().view(np.uint64), words.column("p").to_numpy()
         order = np.argsort(key)
         low = np.zeros(len(word))
@@ -198,9 +206,10 @@ def _sum_pairs(p: KatzParams, frequent: np.ndarray, frequent_p: np.ndarray):
         return pa.table(
             {
                 "hist": pa.concat_arrays([pa.array(before.view(np.int64)), none]),
-                "word": pa.concat_arrays([pa.array(word.view(np.int64)), pa.array(np.arange(1, len(seen) + 1), pa.int64())]),
+                "key": pa.concat_arrays([pa.array(both.view(np.int64)), pa.array(np.arange(1, len(seen) + 1), pa.int64())]),
                 "n": pa.concat_arrays([pa.array(n, pa.int64()), pa.array(seen, pa.int64())]),
                 "p": pa.concat_arrays([pa.array(low, pa.float64()), pa.nulls(len(seen), pa.float64())]),
+                "slice": pa.concat_arrays([pa.array(before.view(np.int64) % p.slices, pa.int32()), pa.array(np.full(len(seen), p.slices), pa.int32())]),
             }
         )
 
@@ -247,7 +256,7 @@ def _release(spark: SparkSession) -> None:
 
 @dataclass
 class KatzModel:
-    """words (key, n, base, value) and pairs (hist, word, n, gain), both partitioned tables, and what is true of all tokens."""
+    """words (key, n, base, value) and pairs (key, n, gain), both partitioned tables, and what is true of all tokens."""
 
     words: DataFrame
     pairs: DataFrame
@@ -289,29 +298,38 @@ def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text")
     frequent, frequent_p = often["key"].to_numpy(np.int64).view(np.uint64), often["p"].to_numpy(np.float64)
     pairs = texts.mapInArrow(_count_pairs(p, buckets, frequent), "bucket int, a binary, b binary, c binary")
     words = counted.where((F.col("n") >= p.min_pairs) & (F.col("n") <= total / (4 * buckets))).select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", prob.alias("p"))
-    summed = materialize(pairs.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_sum_pairs(p, frequent, frequent_p), "hist long, word long, n long, p double"), "pair-counts")
+    summed = materialize(pairs.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_sum_pairs(p, frequent, frequent_p), "hist long, key long, n long, p double, slice int"), "pair-counts", ["slice"])
     _release(spark)
-    kept = summed.where("hist is not null")
-    seen2 = {int(r.r): r.k for r in summed.where("hist is null").groupBy(F.col("word").alias("r")).agg(F.sum("n").alias("k")).collect()}
+    seen2 = {int(r.r): r.k for r in summed.where(F.col("slice") == p.slices).groupBy(F.col("key").alias("r")).agg(F.sum("n").alias("k")).collect()}
     d2 = discounts(seen2, p.top)
 
     start = int(START.view(np.int64))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(p.parts)).cast("int").alias("part")
     times = counted.select(F.col("key").alias("hist"), F.col("n").alias("times")).union(spark.range(1).select(F.lit(start).alias("hist"), F.lit(rows).cast("long").alias("times")))
-    per = kept.groupBy("hist").agg(F.sum(_discounted("n", d2)).alias("m"), F.sum("p").alias("low")).join(times, "hist")
     share = F.col("m") / F.col("times")
     # A history all of whose followers are frequent would leave nothing for the others.
     shrink = F.when(1 - share < 0.5 / (F.col("times") + 1), F.col("times") / (F.col("times") + 1) / share).otherwise(F.lit(1.0))
-    per = per.withColumn("shrink", shrink).withColumn("alpha", F.log10((1 - share * F.col("shrink")) / (1 - F.col("low"))))
-    hists = materialize(per.select("hist", "times", "shrink", "alpha"), "histories")
     gain = F.log10(_discounted("n", d2) * F.col("shrink") / F.col("times")) - F.col("alpha") - F.log10("p")
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(p.parts)).cast("int").alias("part")
-    pair_model = materialize(kept.join(hists, "hist").select("hist", "word", "n", gain.cast("float").alias("gain"), part("word")), "pairs", ["part"])
+    hists, pair_models = [], []
+    for i in range(p.slices):
+        kept = summed.where(F.col("slice") == i).drop("slice")
+        per = kept.groupBy("hist").agg(F.sum(_discounted("n", d2)).alias("m"), F.sum("p").alias("low")).join(times.where(F.pmod("hist", F.lit(p.slices)) == i), "hist")
+        per = per.withColumn("shrink", shrink).withColumn("alpha", F.log10((1 - share * F.col("shrink")) / (1 - F.col("low"))))
+        hists.append(materialize(per.select("hist", "times", "shrink", "alpha"), "histories"))
+        del per
+        _release(spark)
+        pair_models.append(materialize(kept.join(hists[-1], "hist").select("key", "n", gain.cast("float").alias("gain"), part("key")), "pairs", ["part"]))
+        _release(spark)
+    discard(spark, summed)
+    pair_model = reduce(DataFrame.union, pair_models)
     base = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
-    alphas = hists.select(F.col("hist").alias("key"), "alpha")
+    every = reduce(DataFrame.union, hists)
+    alphas = every.select(F.col("hist").alias("key"), "alpha")
     value = F.log10(prob) + F.coalesce("alpha", F.lit(0.0))
     word_model = materialize(counted.join(alphas, "key", "left").select("key", "n", base.alias("base"), value.alias("value"), part("key")), "words", ["part"])
-    begin = hists.where(F.col("hist") == start).select("alpha").first()
-    discard(spark, summed)
+    begin = every.where(F.col("hist") == start).select("alpha").first()
+    for used in (counted, *hists):
+        discard(spark, used)
     _release(spark)
     return KatzModel(word_model, pair_model, int(total), int(distinct), unknown, begin[0] if begin else 0.0, -math.log10(total + distinct + 1))
 
@@ -328,15 +346,12 @@ def _rows(items: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack_model(kind: int, buckets: int):
-    """Model rows (key or hist and word; one or two values) to packed rows by key."""
+    """Model rows (key; one or two values) to packed rows by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            if kind == PAIRS:
-                key, values = kernel.combine(cols[0].view(np.uint64), cols[1].view(np.uint64)), [cols[2].astype(F4)]
-            else:
-                key, values = cols[0].view(np.uint64), [cols[1].astype(F8), cols[2].astype(F8)]
+            key, values = cols[0].view(np.uint64), [c.astype(F4 if kind == PAIRS else F8) for c in cols[1:]]
             dealt = key.view(np.int64) % buckets
             order, cut = _deal(dealt, buckets)
             out = []
@@ -466,22 +481,29 @@ def score(documents: DataFrame, model: KatzModel, p: KatzParams = PARAMS, id_col
     w = model.words.where(F.col("n") >= words_from).select("key", "base", "value").toPandas()  # at most p.hot rows
     w = w.iloc[np.argsort(w["key"].to_numpy(np.int64).view(np.uint64))]
     hot_words = sc.broadcast((w["key"].to_numpy(np.int64).view(np.uint64), w["base"].to_numpy(np.float64), w["value"].to_numpy(np.float64)))
-    q = model.pairs.where(F.col("n") >= pairs_from).select("hist", "word", "gain").toPandas()  # at most p.hot rows
-    key = kernel.combine(q["hist"].to_numpy(np.int64).view(np.uint64), q["word"].to_numpy(np.int64).view(np.uint64))
+    q = model.pairs.where(F.col("n") >= pairs_from).select("key", "gain").toPandas()  # at most p.hot rows
+    key = q["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     hot_pairs = sc.broadcast((key[order], q["gain"].to_numpy(np.float64)[order]))
 
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held is None else held).alias("held"), F.col(text_col).cast("binary").alias("text"))
-    asked = texts.mapInArrow(_ask(p, model, hot_words, hot_pairs, buckets), ROW)
     told = model.words.where(F.col("n") < words_from).select("key", "base", "value").mapInArrow(_pack_model(WORDS, buckets), ROW)
-    paired = model.pairs.where(F.col("n") < pairs_from).select("hist", "word", "gain").mapInArrow(_pack_model(PAIRS, buckets), ROW)
-    answered = asked.union(told).union(paired).repartition(width, "bucket").mapInArrow(_answer(p, model), ROW)
-    return answered.groupBy("chunk").applyInArrow(
-        _finish(p, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    paired = model.pairs.where(F.col("n") < pairs_from).select("key", "gain").mapInArrow(_pack_model(PAIRS, buckets), ROW)
+    out = []
+    for i in range(p.text_slices):
+        mine = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(p.text_slices)) == i)
+        asked = mine.mapInArrow(_ask(p, model, hot_words, hot_pairs, buckets), ROW)
+        answered = asked.union(told).union(paired).repartition(width, "bucket").mapInArrow(_answer(p, model), ROW)
+        scored = answered.groupBy("chunk").applyInArrow(
+            _finish(p, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        )
+        out.append(materialize(scored, "scores"))
+        del mine, asked, answered, scored
+        _release(spark)
+    return reduce(DataFrame.union, out)
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(documents.where(~held_out()))
-    return score(documents, model, held=held_out())
+    model = train(documents.where(~held_out()), OP1)
+    return score(documents, model, OP1, held=held_out())

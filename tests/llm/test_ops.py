@@ -96,6 +96,39 @@ def test_katz_of_nothing(spark):
     assert katz.score(docs.where("false"), model).count() == 0
 
 
+def test_katz_query_keeps_pairs_seen_once(spark, tmp_path):
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 25))) for _ in range(60)] + ["only once here", None, ""]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    toks = [[*low(t), None] for t in texts]
+    learnt = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c1 = collections.Counter(w for t in learnt for w in t)
+    c2 = collections.Counter(p for t in learnt for p in zip([0, *t[:-1]], t, strict=True))
+    times = collections.Counter()
+    for (a, _), n in c2.items():
+        times[a] += n
+    assert sum(n == 1 for n in c2.values()) > len(c2) / 2
+    coc = lambda c: dict(collections.Counter(min(n, 7) for n in c.values()))
+    d1, d2 = katz.discounts(coc(c1), 5), katz.discounts(coc(c2), 5)
+    disc = lambda n, d: d.get(n, 1.0) * n
+    total = sum(c1.values())
+    mass = sum(disc(n, d1) for n in c1.values()) / total
+    scale = 1.0 if 1 - mass >= 0.5 / (total + 1) else total / (total + 1) / mass
+    p1 = lambda w: disc(c1[w], d1) * scale / total if c1[w] else 1 - mass * scale
+    m, lower = collections.Counter(), collections.Counter()
+    for (a, b), n in c2.items():
+        m[a] += disc(n, d2) / times[a]
+        lower[a] += p1(b)
+    shrink = {a: 1.0 if 1 - m[a] >= 0.5 / (times[a] + 1) else times[a] / (times[a] + 1) / m[a] for a in m}
+    alpha = {a: (1 - m[a] * shrink[a]) / (1 - lower[a]) for a in m}
+    assert set(alpha) == set(times)  # every history backs off with a weight of its own
+    p2 = lambda a, b: disc(c2[a, b], d2) * shrink[a] / times[a] if (a, b) in c2 else alpha.get(a, 1.0) * p1(b)
+    want = {i: sum(math.log10(p2(a, b)) for a, b in zip([0, *t[:-1]], t, strict=True)) for i, t in enumerate(toks)}
+    got = {x.doc_id: x.score for x in katz.op1_katz(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-3)
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------
 CASES = [
     "mail a.b+c@x-y.example.com and a@b, @no.com, q@w.e@r.t.u", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5 01.002.3.255 1.2.3", "card 4111 1111 1111 1111 4111-1111-1111-1112 5 4111111111111111",
