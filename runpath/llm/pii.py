@@ -11,7 +11,8 @@ it came from:
    three or more spelled digits become digits.
 
 Identifiers found in the normalised text are mapped back through both, and those
-that overlap no base span of their kind are added.  Base spans always stay.
+that no base span of their kind covers are added: a base span may be a fragment
+of a partly disguised identifier.  Base spans always stay.
 
 Only texts that hold a digit, an ``@`` or a trigger of a transducer are decoded
 and searched; the triggers are found in the raw bytes.
@@ -176,7 +177,7 @@ def all_spans(text: str) -> list[tuple[str, int, int, bool]]:
     if plain != text:
         for kind, s, e in identifiers(plain):
             a, b = int(start[s]), int(end[e - 1])
-            if not any(k == kind and x < b and a < y for k, x, y in base):
+            if not any(k == kind and x <= a and b <= y for k, x, y in base):
                 spans.append((kind, a, b, False))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -250,7 +251,7 @@ def find_pii(documents: DataFrame, text_col: str = "text", spans_col: str = "spa
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """documents with each span replaced by its kind in brackets; columns are those of documents."""
+    """documents with each span replaced by its kind in brackets, spans that overlap by the kind of the first (of these, the longest); columns are those of documents."""
 
     @F.arrow_udf(T.StringType())
     def masked(text: pa.Array) -> pa.Array:
@@ -262,7 +263,7 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
                 for k, s, e, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
                     if s >= at:
                         pieces += (t[at:s], f"[{k.upper()}]")
-                        at = e
+                    at = max(at, e)
                 out.append(None if raw is None else "".join([*pieces, t[at:]]))
         return pa.array(out, pa.string())
 

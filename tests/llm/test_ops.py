@@ -161,6 +161,21 @@ def test_pii_disguises():
         assert not hits(t)
 
 
+PARTLY = [
+    ("аlice.smith@example.com", [("email", 0, 23, False), ("email", 1, 23, True)], "[EMAIL]"),
+    ("+1 988 555 24８5", [("phone", 0, 13, True), ("phone", 0, 15, False)], "[PHONE]"),
+    ("at 10.0.0.1２ now", [("ip", 3, 12, False), ("ip", 3, 11, True)], "at [IP] now"),
+    ("joe@example.cоm, a@b.cd", [("email", 0, 13, True), ("email", 0, 15, False), ("email", 17, 23, True)], "[EMAIL], [EMAIL]"),
+]
+
+
+def test_pii_partly_disguised(spark):
+    for text, spans, _ in PARTLY:
+        assert sorted(pii.all_spans(text)) == sorted(spans)
+    got = pii.redact(frame(spark, [t for t, _, _ in PARTLY])).select("doc_id", "text").collect()
+    assert {x.doc_id: x.text for x in got} == {i: r for i, (_, _, r) in enumerate(PARTLY)}
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark):
     r = random.Random(2)
