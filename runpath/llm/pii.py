@@ -183,28 +183,29 @@ def all_spans(text: str) -> list[tuple[str, int, int, bool]]:
 
 
 _WORDS = tuple(w.encode() for w in SPELLED)
+#: What \s matches in an ASCII text.
+_BLANK = rb"[\s\x1c-\x1f]"
 
 
 def _triggers(raw: bytes) -> bool:
-    """Something that the word transducer may rewrite stands in the (folded) bytes."""
+    """Something that the word transducer may rewrite stands in the (folded) bytes of an ASCII text without "@"."""
     low = raw.lower()
-    if b"dot" in low or b"at" in low and any(x + b"at" in low or x + b" at" in low for x in (b"[", b"(", b"{", b"<")):
+    if b"dot" in low or b"at" in low and BRACKET_AT.search(low):
         return True
     if sum(low.count(w) for w in _WORDS) >= 3:
         return True
     return any(m for m in BARE_AT.finditer(low))
 
 
-BARE_AT = re.compile(rb"\sat\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:" + b"|".join(t.encode() for t in TOP_DOMAINS) + rb")\b")
+BRACKET_AT = re.compile(rb"[\[({<]" + _BLANK + rb"{0,3}at" + _BLANK + rb"{0,3}[\])}>]")
+BARE_AT = re.compile(_BLANK + rb"at" + _BLANK + rb"{1,3}[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:" + b"|".join(t.encode() for t in TOP_DOMAINS) + rb")\b")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
 
 _HOT = np.zeros(256, dtype=bool)
 _HOT[ord("0") : ord("9") + 1] = True
 _HOT[ord("@")] = True
-_HOT[0xCC:] = True  # first bytes of code points from U+0300 on
-_HOT[0xC2] = True  # soft hyphen and no-break space
-_HOT[0xC4] = True  # dotless i
+_HOT[0xC2:] = True  # first bytes of all characters beyond ASCII
 
 
 def find_in(column: pa.Array) -> list[list[tuple[str, int, int, bool]]]:

@@ -176,6 +176,18 @@ def test_pii_partly_disguised(spark):
     assert {x.doc_id: x.text for x in got} == {i: r for i, (_, _, r) in enumerate(PARTLY)}
 
 
+def test_pii_prefilter_passes_what_is_rewritten():
+    r = random.Random(22)
+    texts = ["write to john ( at ) example.com", "joe at ɡmail.com", "joe(\tat\x1f)mail.org", "ann\x1cat\x1dmail.org", "ann {  AT  } mail.org", "joé x@@ ann (  at ) mail.com", "seven-one\x1ftwo", "look (at me)", "plain"]
+    bits = ["john", "ɡmail", "joé", " ", "  ", "\t", "\x1e", "\n", "(", ")", "[", "]", "<", ">", "at", "AT", "At", "dot", "Dot", ".", "com", "org", "mail.com", "-", "ſeven", "seven", "one", "two", "+", "ı", "á"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    # Nearly an address, so that many are found.
+    texts += [f"{r.choice(bits)}x{''.join(r.choice(bits[3:20]) for _ in range(r.randrange(1, 6)))}mail{r.choice(['.', ' dot ', '(dot)'])}com" for _ in range(4000)]
+    want = [pii.all_spans(t) for t in texts]
+    assert all(want[:6]) and sum(map(bool, want)) > 50
+    assert pii.find_in(pa.array([t.encode() for t in texts], pa.binary())) == want
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------
 def test_decontamination(spark):
     r = random.Random(2)
