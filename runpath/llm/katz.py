@@ -60,7 +60,7 @@ class KatzParams:
     #: Texts and bytes of one chunk of results.
     chunk_rows: int = 4096
     chunk_bytes: int = 4 << 20
-    #: Distinct pairs that a counting task holds before it hands them on.
+    #: Distinct pairs that a counting task, and rows that a packing task, holds before it hands them on.
     held_pairs: int = 1_200_000
     parts: int = 8
     #: Slices of the histories and of the texts that are worked on one after the other.
@@ -318,7 +318,7 @@ def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text")
         hists.append(materialize(per.select("hist", "times", "shrink", "alpha"), "histories"))
         del per
         _release(spark)
-        pair_models.append(materialize(kept.join(hists[-1], "hist").select("key", "n", gain.cast("float").alias("gain"), part("key")), "pairs", ["part"]))
+        pair_models.append(materialize(kept.join(hists[-1], "hist").select("key", "n", gain.cast("float").alias("gain"), F.lit(i).alias("part")), "pairs", ["part"]))
         _release(spark)
     discard(spark, summed)
     pair_model = reduce(DataFrame.union, pair_models)
@@ -345,20 +345,33 @@ def _rows(items: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*items, strict=True), types, strict=True)], names=["bucket", "kind", "chunk", "a", "b", "c", "d"])
 
 
-def _pack_model(kind: int, buckets: int):
-    """Model rows (key; one or two values) to packed rows by key."""
+def _pack_model(kind: int, buckets: int, held_rows: int):
+    """Model rows (key; one or two values) to packed rows by key, many batches at a time."""
+
+    def packed(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, *values = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        key, values = key.view(np.uint64), [v.astype(F4 if kind == PAIRS else F8) for v in values]
+        order, cut = _deal(key.view(np.int64) % buckets, buckets)
+        key, values = key[order], [v[order] for v in values]
+        out = []
+        for i in np.flatnonzero(np.diff(cut)):
+            s = slice(cut[i], cut[i + 1])
+            out.append((int(i), kind, None, _blob(key[s]), _blob(values[0][s]), _blob(values[1][s]) if len(values) > 1 else None, None))
+        yield from _rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            key, values = cols[0].view(np.uint64), [c.astype(F4 if kind == PAIRS else F8) for c in cols[1:]]
-            dealt = key.view(np.int64) % buckets
-            order, cut = _deal(dealt, buckets)
-            out = []
-            for i in np.flatnonzero(np.diff(cut)):
-                at = order[cut[i] : cut[i + 1]]
-                out.append((int(i), kind, None, _blob(key[at]), _blob(values[0][at]), _blob(values[1][at]) if len(values) > 1 else None, None))
-            yield from _rows(out)
+            if b.num_rows:
+                held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
+                size += b.num_rows
+            if size > held_rows:
+                yield from packed(held)
+                size = 0
+        if held:
+            yield from packed(held)
 
     return run
 
@@ -487,8 +500,8 @@ def score(documents: DataFrame, model: KatzModel, p: KatzParams = PARAMS, id_col
     hot_pairs = sc.broadcast((key[order], q["gain"].to_numpy(np.float64)[order]))
 
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held is None else held).alias("held"), F.col(text_col).cast("binary").alias("text"))
-    told = model.words.where(F.col("n") < words_from).select("key", "base", "value").mapInArrow(_pack_model(WORDS, buckets), ROW)
-    paired = model.pairs.where(F.col("n") < pairs_from).select("key", "gain").mapInArrow(_pack_model(PAIRS, buckets), ROW)
+    told = model.words.where(F.col("n") < words_from).select("key", "base", "value").mapInArrow(_pack_model(WORDS, buckets, p.held_pairs), ROW)
+    paired = model.pairs.where(F.col("n") < pairs_from).select("key", "gain").mapInArrow(_pack_model(PAIRS, buckets, p.held_pairs), ROW)
     out = []
     for i in range(p.text_slices):
         mine = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(p.text_slices)) == i)
