@@ -107,3 +107,79 @@ ARCHITECTURES = [
 
 # Prefixes of kernel functions.
 KERNEL_PREFIXES = ["kmalloc", "kzalloc", "kcalloc", "kfree", "vmalloc", "vzalloc", "vfree", "spin_lock", "spin_unlock", "mutex_lock", "mutex_unlock", "printk", "pr_", "dev_", "container_of", "list_"]
+
+# How a confidence is shown (symbol, style class, arrow).
+CONFIDENCES = [
+    ("Certain", "✓", "result-certain", "solid"),
+    ("Possible", "?", "result-possible", "dashed"),
+    ("Unknown", "❓", "result-unknown", "dotted"),
+]
+
+# How asynchronous mechanisms are shown (kind, flag, flag's name, icon, name, tag).
+MECHANISMS = [
+    ("WorkQueue", False, "delayed", "⚙️", "WorkQueue", "WQ"),
+    ("WorkQueue", True, "delayed", "⚙️", "DelayedWork", "DW"),
+    ("Timer", False, "high_resolution", "⏲️", "Timer", "TM"),
+    ("Timer", True, "high_resolution", "⏲️", "HRTimer", "HR"),
+    ("Interrupt", False, "threaded", "⚡", "IRQ", "IRQ"),
+    ("Interrupt", True, "threaded", "⚡", "ThreadedIRQ", "TI"),
+    ("Tasklet", False, None, "🔄", "Tasklet", "TL"),
+    ("Softirq", False, None, "⚡", "SoftIRQ", "SI"),
+    ("KThread", False, None, "🧵", "KThread", "KT"),
+    ("RcuCallback", False, None, "🔒", "RCU", "RCU"),
+    ("Notifier", False, None, "📢", "Notifier", "NF"),
+]
+OTHER_MECHANISM_ICON = "📍"
+
+# Icon and class of a node (type, icon, class).
+NODES = [
+    ("Function", "📦", "function"),
+    ("EntryPoint", "🚀", "entry"),
+    ("KernelApi", "⚙️", "kernel"),
+    ("External", "🔗", "external"),
+    ("AsyncCallback", "⚡", "async"),
+]
+
+# Kinds of outline items in order, with the titles of their sections.
+OUTLINE_KINDS = [("function", "Functions"), ("struct", "Structures"), ("variable", "Variables"), ("macro", "Macros"), ("enum", "Enums"), ("typedef", "Typedefs")]
+
+# Kinds of calls in all languages (kind, group, whether the callee is known at the call).
+CALL_KINDS = [
+    ("Direct", "sync", True),
+    ("Method", "sync", True),
+    ("VirtualMethod", "sync", False),
+    ("StaticMethod", "sync", True),
+    ("FunctionPointer", "sync", False),
+    ("Callback", "sync", False),
+    ("Constructor", "sync", True),
+    ("Closure", "sync", False),
+    ("Goroutine", "async", True),
+    ("CoroutineLaunch", "async", True),
+    ("ExecutorSubmit", "async", True),
+    ("TokioSpawn", "async", True),
+    ("Promise", "async", True),
+    ("KernelWorkQueue", "async", True),
+    ("Generic", "async", True),
+]
+
+# Files that tell a kernel tree, its subsystems, include folders ({arch} is the architecture's) and macros.
+KERNEL_MARKERS = ["Kconfig", "Makefile", "include/linux/kernel.h", "arch/x86/Kconfig"]
+KERNEL_SUBSYSTEMS = ["drivers", "fs", "net", "kernel", "mm", "block", "sound", "crypto", "security"]
+KERNEL_INCLUDES = [
+    "include", "include/uapi", "arch/{arch}/include", "arch/{arch}/include/uapi", "arch/{arch}/include/generated",
+    "arch/{arch}/include/generated/uapi", "include/generated", "include/generated/uapi",
+]
+KERNEL_MACROS = [("__KERNEL__", None), ("__GNUC__", "12"), ("__GNUC_MINOR__", "0")]
+KERNEL_ARGUMENTS = ["-nostdinc", "-fno-builtin"]
+MAKEFILE_LINES = 10
+DRIVER_FILES = 100
+
+# An assignment to a member, and a static table of members.
+ASSIGNMENT = r"(\w+(?:\.\w+|->+\w+)*)\s*=\s*(\w+)\s*;"
+
+# Type letters of native-method signatures.
+NATIVE_TYPES = {"Z": "boolean", "B": "byte", "C": "char", "S": "short", "I": "int", "J": "long", "F": "float", "D": "double", "V": "void"}
+
+# Places of nodes in a layered drawing, and how the drawing opens and folds.
+NODE_WIDTH, NODE_HEIGHT, RANK_SPACING, NODE_SPACING = 180, 40, 80, 20
+EXPAND_BELOW, COLLAPSE_ABOVE, SHOWN_DEPTH = 3, 10, 5

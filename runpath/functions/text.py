@@ -189,8 +189,141 @@ def confidence_of_rank(r: Column | str) -> Column:
     return F.when(col(r) == 0, "Certain").when(col(r) == 1, "Possible").otherwise("Unknown")
 
 
+def from_rows(key: Column, rows: list[tuple], at: int, other: str | None = None) -> Column:
+    """Field `at` of the fixed row whose first field is key."""
+    out = F.lit(other)
+    for r in reversed(rows):
+        out = F.when(key == r[0], F.lit(r[at])).otherwise(out)
+    return out
+
+
 def confidence_symbol(c: Column | str) -> Column:
-    return F.when(col(c) == "Certain", "●").when(col(c) == "Possible", "○").otherwise("?")
+    """How a confidence is shown; anything else counts as unknown."""
+    return from_rows(col(c), fixed.CONFIDENCES, 1, "❓")
+
+
+def confidence_class(c: Column | str) -> Column:
+    return from_rows(col(c), fixed.CONFIDENCES, 2, "result-unknown")
+
+
+def confidence_arrow(c: Column | str) -> Column:
+    return from_rows(col(c), fixed.CONFIDENCES, 3, "dotted")
+
+
+def reason_confidence(reason: Column | str) -> Column:
+    """Default confidence of a reason."""
+    return from_rows(col(reason), fixed.REASONS, 1)
+
+
+def reason_text(reason: Column | str, detail: Column | str | None = None) -> Column:
+    """Description of a reason; those that name something end with the detail."""
+    text = from_rows(col(reason), fixed.REASONS, 2)
+    extra = F.lit("") if detail is None else F.coalesce(col(detail), F.lit(""))
+    return F.when(text.endswith(": "), F.concat(text, extra)).otherwise(text)
+
+
+def _mechanism(kind: Column | str, flag: Column | str, at: int, other: Column) -> Column:
+    out = other
+    for k, f, *rest in reversed(fixed.MECHANISMS):
+        same = (col(kind) == k) & (F.lit(True) if rest[0] is None else F.coalesce(col(flag), F.lit(False)) == f)
+        out = F.when(same, F.lit(rest[at])).otherwise(out)
+    return out
+
+
+def mechanism_icon(kind: Column | str, flag: Column | str) -> Column:
+    """Icon of an asynchronous mechanism."""
+    return _mechanism(kind, flag, 1, F.lit(fixed.OTHER_MECHANISM_ICON))
+
+
+def mechanism_name(kind: Column | str, flag: Column | str) -> Column:
+    return _mechanism(kind, flag, 2, col(kind))
+
+
+def mechanism_tag(kind: Column | str, flag: Column | str) -> Column:
+    """Short tag: for others the first three letters of the kind."""
+    return _mechanism(kind, flag, 3, F.upper(F.substring(col(kind), 1, 3)))
+
+
+def mechanism_text(kind: Column | str, flag: Column | str) -> Column:
+    """A mechanism with its flag, as "Timer { high_resolution: false }"; custom ones as Custom("kind")."""
+    out = F.concat(F.lit('Custom("'), col(kind), F.lit('")'))
+    for k, name in {(k, n) for k, _, n, *_ in fixed.MECHANISMS}:
+        text = F.lit(k) if name is None else F.concat(F.lit(f"{k} {{ {name}: "), F.coalesce(col(flag), F.lit(False)).cast("string"), F.lit(" }"))
+        out = F.when(col(kind) == k, text).otherwise(out)
+    return out
+
+
+def node_icon(node_type: Column | str) -> Column:
+    return from_rows(col(node_type), fixed.NODES, 1, "📦")
+
+
+def node_class(node_type: Column | str) -> Column:
+    return from_rows(col(node_type), fixed.NODES, 2, "function")
+
+
+def info_column(node_type: Column | str, line: Column | str, tag: Column | str | None = None) -> Column:
+    """Left column of a trace, 14 wide: the tag of a mechanism, else the line, else [K] or [E]."""
+    mark = F.lit(None).cast("string") if tag is None else col(tag)
+    text = (
+        F.when(mark.isNotNull(), F.concat(F.lit("   ["), mark, F.lit("]")))
+        .when(col(line).isNotNull() & (col(line) > 0), F.concat(F.lit("   :"), col(line).cast("string")))
+        .when(col(node_type) == "KernelApi", "   [K]")
+        .when(col(node_type) == "External", "   [E]")
+        .otherwise("")
+    )
+    return pad_end(text, 14)
+
+
+def context_text(context: Column | str) -> Column:
+    return F.when(can_sleep(context), "can sleep").otherwise("cannot sleep")
+
+
+def content_hash(text: Column | str) -> Column:
+    """60 bits of the text's digest as a long (F13); a null text is an empty one."""
+    return F.conv(F.substring(F.md5(F.coalesce(col(text).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def options_hash(target: Column | str, defines: Column | str, includes: Column | str) -> Column:
+    """Hash of target, macro definitions and include folders in their order; further arguments do not count."""
+    return content_hash(F.concat_ws("\n", col(target), F.array_join(col(defines), "\u0001", "\u0002"), F.array_join(col(includes), "\u0001", "\u0002")))
+
+
+def query_id(location: Column | str, expr: Column | str) -> Column:
+    """Id of a question about a call."""
+    return F.concat_ws(":", col(location), col(expr))
+
+
+def percent(done: Column | str, total: Column | str) -> Column:
+    """Whole percentage, halves up, 0 of nothing."""
+    return F.when(col(total) > 0, F.floor(col(done) * 100 / col(total) + 0.5)).otherwise(F.lit(0)).cast("int")
+
+
+def native_types(signature: Column | str) -> Column:
+    """Types named in a native-method signature in their order, the last being the result: arrays with [], classes by their last name."""
+    parts = F.regexp_extract_all(col(signature), F.lit(r"(\[*(?:[ZBCSIJFDV]|L[\w/$]+;))"), F.lit(1))
+
+    def named(t: Column) -> Column:
+        core = F.regexp_replace(t, r"^\[+", "")
+        base = F.lit(None).cast("string")
+        for letter, name in fixed.NATIVE_TYPES.items():
+            base = F.when(core == letter, F.lit(name)).otherwise(base)
+        base = F.when(core.startswith("L"), F.regexp_extract(core, r"([^/;]+);$", 1)).otherwise(base)
+        return F.concat(base, F.repeat(F.lit("[]"), F.length(t) - F.length(core)))
+
+    return F.transform(parts, named)
+
+
+def native_signature(method: Column | str, signature: Column | str) -> Column:
+    """A native method as "boolean method(String, int)" (X12)."""
+    types = native_types(signature)
+    n = F.size(types)
+    return F.concat(F.element_at(types, -1), F.lit(" "), col(method), F.lit("("), F.array_join(F.slice(types, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(")"))
+
+
+def tooltip(name: Column | str, node_type: Column | str, file: Column | str, line: Column | str, description: Column | str) -> Column:
+    """Lines shown for a node: what is known of it."""
+    where = F.when(col(file).isNotNull(), F.concat_ws(":", col(file), F.when(col(line) > 0, col(line).cast("string"))))
+    return F.concat_ws("\n", F.concat(col(name), F.lit("()")), col(node_type), where, F.nullif(col(description), F.lit("")))
 
 
 def clang_arg(name: Column | str, value: Column | str, defined: Column) -> Column:
@@ -238,10 +371,10 @@ def elapsed(seconds: Column | str) -> Column:
 
 
 def human_size(n: Column | str) -> Column:
-    """Bytes with one decimal of the largest unit that fits."""
+    """Bytes with two decimals of the largest unit that fits."""
     x = col(n).cast("double")
-    step = lambda power, unit: F.concat(F.format_number(x / 1024.0**power, 1), F.lit(unit))
-    return F.when(x < 1024, F.concat(col(n).cast("string"), F.lit(" B"))).when(x < 1024.0**2, step(1, " KB")).when(x < 1024.0**3, step(2, " MB")).otherwise(step(3, " GB"))
+    step = lambda power, unit: F.format_string(f"%.2f {unit}", F.bround(x / 1024.0**power, 2))
+    return F.when(x < 1024, F.concat(col(n).cast("string"), F.lit(" bytes"))).when(x < 1024.0**2, step(1, "KB")).when(x < 1024.0**3, step(2, "MB")).otherwise(step(3, "GB"))
 
 
 def markdown_to_html(text: Column | str) -> Column:

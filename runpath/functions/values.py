@@ -23,6 +23,11 @@ def value(tag: Column | str, i=None, b=None, s=None, is_null=None, lo=None, hi=N
     )
 
 
+def literal(row) -> Column:
+    """A value that was computed before, as a constant."""
+    return value(row.tag, i=row.i, b=row.b, s=row.s, is_null=row.is_null, lo=row.min, hi=row.max)
+
+
 UNKNOWN = lambda: value("Unknown")
 
 
@@ -265,6 +270,38 @@ def branch(text: str, bindings: dict[str, Column]) -> Column:
     return F.when(known, "AlwaysTrue").when(~known, "AlwaysFalse").otherwise(rest)
 
 
+def _null_state(v: Column, exact: bool) -> Column:
+    """1 for a value that is null, 0 for one that is not, 2 where that can't be told; of integers found by another form of their name only 0 can be told."""
+    flag = Expression.bound(v).null_flag()
+    if exact:
+        flag = F.coalesce(flag, F.when(v["tag"] == "Integer", v["i"] == 0))
+    return F.coalesce(flag.cast("int"), F.lit(2))
+
+
+def null_check(path: Column, negated: Column, bindings: dict[str, Column]) -> Column:
+    """AlwaysTrue, AlwaysFalse or Unknown of "path == NULL" (negated: !=) for a path in each row.
+
+    The path is looked up as in expressions; the bindings are few and known, so each is one comparison.
+    """
+    dotted = F.replace(path, F.lit("->"), F.lit("."))
+    suffix = F.concat(F.lit("."), path)
+    names = {k: k.replace("->", ".") for k in bindings}
+    found = [F.when(path == k, _null_state(v, True)) for k, v in bindings.items()] + [F.when(dotted == k, _null_state(v, False)) for k, v in bindings.items()]
+    found += [F.when((dotted == names[k]) | F.lit(names[k]).endswith(suffix), _null_state(bindings[k], False)) for k in sorted(bindings)]
+    if not found:
+        return F.lit("Unknown")
+    state = F.coalesce(*found, F.lit(2))
+    holds = F.when(negated, F.lit(0)).otherwise(F.lit(1))
+    return F.when(state == 2, "Unknown").when(state == holds, "AlwaysTrue").otherwise("AlwaysFalse")
+
+
+def set_values(state: Column, changes: dict[str, Column]) -> Column:
+    """A state (map of values) with some variables set."""
+    new = F.map_from_arrays(F.array(*(F.lit(k) for k in changes)), F.array(*changes.values()))
+    kept = F.map_filter(state, lambda k, _: ~k.isin(list(changes)))
+    return F.map_concat(kept, new)
+
+
 def condition_of_name(name: Column) -> Column:
     """Condition that a node's name stands for, null if none."""
     strip = lambda parts: reduce(lambda t, p: F.replace(t, F.lit(p), F.lit("")), parts, name)

@@ -50,10 +50,10 @@ def registrations(functions: DataFrame) -> DataFrame:
     return functions.where(T.is_register_function("name") | takes)
 
 
-def parameter_flow(calls: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Copy constraints from arguments to parameters, for the points-to solver (D9). calls(callee, position, argument), parameters(function, position, name)."""
-    p = parameters.select(F.col("function").alias("callee"), "position", F.col("name").alias("dest"))
-    return calls.join(p, ["callee", "position"]).select(F.lit("Copy").alias("kind"), "dest", F.col("argument").alias("src"), F.lit(None).cast("string").alias("field"))
+def parameter_flow(calls: DataFrame, parameters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Copy constraints from arguments to parameters, for the points-to solver (D9). calls(*by, callee, position, argument), parameters(*by, function, position, name)."""
+    p = parameters.select(*by, F.col("function").alias("callee"), "position", F.col("name").alias("dest"))
+    return calls.join(p, [*by, "callee", "position"]).select(*by, F.lit("Copy").alias("kind"), "dest", F.col("argument").alias("src"), F.lit(None).cast("string").alias("field")).distinct()
 
 
 def active_lines(lines: DataFrame, regions: DataFrame, macros: DataFrame) -> DataFrame:
@@ -76,5 +76,5 @@ def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame
 
 
 def export_text(lines: DataFrame, folder: str, order: list[str], column: str = "text") -> None:
-    """Lines as one text file (K8)."""
-    lines.orderBy(*order).select(column).coalesce(1).write.mode("overwrite").text(folder)
+    """Lines in order (K8): one text file for each range of them, whose names are in order too, so that no task writes all."""
+    lines.orderBy(*order).select(column).write.mode("overwrite").text(folder)

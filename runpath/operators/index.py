@@ -1,55 +1,119 @@
-"""A symbol index kept as Parquet, partitioned by bucket of the file."""
+"""Tables kept as Parquet, partitioned by bucket of the file, and the symbol index made of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runpath.functions import text as T
 from runpath.operators import relational as R
+from runpath.operators.storage import Scratch, new_path, remove
+
+
+class BucketedTable:
+    """Rows with a path, in buckets of its hash.  A change rewrites the buckets of the changed paths only."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 64):
+        self.spark, self.folder, self.schema, self.buckets = spark, folder.rstrip("/"), schema, buckets
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int"))
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def save(self, rows: DataFrame) -> None:
+        """The whole table anew (K3)."""
+        self._bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(self.folder)
+
+    def clear(self) -> None:
+        self.save(self.spark.createDataFrame([], self.schema))
+
+    def replace(self, keys: DataFrame, rows: DataFrame, key: tuple[str, ...] = ("path",)) -> None:
+        """All rows whose key is in keys are replaced by rows (K1, K2, K4: no rows deletes)."""
+        with Scratch(self.spark) as scratch:
+            keys = scratch.write(keys.select(*key).distinct())
+            touched = scratch.write(self._bucketed(keys).select("bucket").union(self._bucketed(rows).select("bucket")).distinct())
+            old = self._stored().join(F.broadcast(touched), "bucket", "left_semi")  # at most `buckets` rows
+            kept = old.join(keys, list(key), "left_anti")
+            new = scratch.write(kept.select(*rows.columns, "bucket").unionByName(self._bucketed(rows)))
+            gone = [r.bucket for r in touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()]  # at most `buckets` rows
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+            for bucket in gone:  # buckets that have no row left
+                remove(self.spark, f"{self.folder}/bucket={bucket}")
+
+    def upsert(self, rows: DataFrame, key: tuple[str, ...]) -> None:
+        """rows take the place of those of equal keys, the last of equal ones in any order (K1, K2)."""
+        once = rows.dropDuplicates(list(key))
+        self.replace(once, once, key)
 
 
 #: Columns of the tables, so that an empty one can be read.
 SCHEMAS = {
     "functions": "path string, name string, line int, end_line int, return_type string, calls array<string>",
     "structs": "path string, name string, line int, refs array<string>",
-    "versions": "path string, mtime timestamp, size bigint",
+    "versions": "path string, mtime timestamp, size bigint, hash bigint",
 }
 
 
 class SymbolIndex:
-    """Tables functions, structs and versions below one folder. A change rewrites the buckets of the changed files only."""
+    """Tables functions, structs and versions below one folder."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.tables = {name: BucketedTable(spark, f"{self.folder}/{name}", schema, buckets) for name, schema in SCHEMAS.items()}
 
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int"))
+    @classmethod
+    def temporary(cls, spark: SparkSession, buckets: int = 64) -> SymbolIndex:
+        """An empty index in the shared folder, for one session (M6)."""
+        index = cls(spark, new_path(spark, "index"), buckets)
+        index.clear()
+        return index
 
-    def _stored(self, table: str) -> DataFrame:
-        return self.spark.read.schema(f"{SCHEMAS[table]}, bucket int").parquet(f"{self.folder}/{table}")
+    def clear(self) -> None:
+        for t in self.tables.values():
+            t.clear()
 
     def read(self, table: str) -> DataFrame:
-        return self._stored(table).drop("bucket")
+        return self.tables[table].read()
 
     def save(self, table: str, rows: DataFrame) -> None:
-        """The whole table anew (K3)."""
-        self._bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}")
+        self.tables[table].save(rows)
 
     def replace_files(self, table: str, paths: DataFrame, rows: DataFrame) -> None:
-        """All rows of paths(path) are replaced by rows (K1, K2, K4: no rows deletes)."""
-        from runpath.operators.storage import checkpoint
-
-        touched = self._bucketed(paths.select("path").distinct()).select("bucket").distinct()
-        old = self._stored(table).join(F.broadcast(touched), "bucket", "left_semi")  # at most `buckets` rows
-        kept = old.join(paths.select("path").distinct(), "path", "left_anti")
-        new = checkpoint(kept.select(*rows.columns, "bucket").unionByName(self._bucketed(rows)))
-        empty = touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{table}")
-        for r in empty:  # buckets that have no row left
-            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-            path = hadoop.Path(f"{self.folder}/{table}/bucket={r.bucket}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables[table].replace(paths, rows)
+
+    def remove_files(self, paths: DataFrame) -> None:
+        """Forget files and all their symbols (K4, ST4)."""
+        for t in self.tables.values():
+            t.replace(paths, t.read().where("false"))
 
     def changed(self, snapshot: DataFrame) -> DataFrame:
         """Files of snapshot(path, mtime, size) that need to be read again."""
         return R.needs_reindex(snapshot, self.read("versions"), by_size=True)
+
+    def refresh(self, files: DataFrame) -> DataFrame:
+        """Read again what has changed of files(path, mtime, size, content), by the hash of the content, and return its paths (S6, ST4).
+
+        A file that only has a new time keeps its symbols and gets the new time.
+        """
+        from runpath.sources import c_front
+
+        with Scratch(self.spark) as scratch:
+            now = scratch.write(files.select("path", "mtime", "size", T.content_hash("content").alias("hash")))
+            before = self.read("versions").select("path", F.col("hash").alias("__h"), F.col("mtime").alias("__m"))
+            state = scratch.write(now.join(before, "path", "left"))
+            stale = scratch.write(state.where("__h is null or __h <> hash").select("path"))
+            rows = scratch.write(c_front.symbols(files.join(stale, "path", "left_semi")))
+            self.replace_files("functions", stale, rows.where("kind = 'function'").select("path", "name", "line", "end_line", "return_type", "calls"))
+            self.replace_files("structs", stale, rows.where("kind = 'struct'").select("path", "name", "line", "refs"))
+            touched = state.where("__h is null or __h <> hash or __m is null or __m <> mtime")
+            self.replace_files("versions", touched, touched.select("path", "mtime", "size", "hash"))
+            return scratch.keep(stale)
+
+    def stats(self) -> DataFrame:
+        """(what, n) of functions, structs and files (A1)."""
+        return R.index_stats(self.read("functions"), self.read("structs"), self.read("versions"))

@@ -1,7 +1,8 @@
 """Inclusion-based points-to analysis as a fixpoint of joins.
 
 constraints(kind, dest, src, field): AddressOf, Copy, Load, Store, FieldLoad, FieldStore, ArrayLoad, ArrayStore.
-Elements of an array share the location name[].
+Elements of an array share the location name[].  Where `by` names columns, each of their values (each file, say) is
+analysed on its own, all of them in the same joins.
 """
 
 from __future__ import annotations
@@ -11,49 +12,67 @@ from pyspark.sql import functions as F
 
 from runpath import fixed
 from runpath.functions import text as T
-from runpath.operators.storage import checkpoint
+from runpath.operators.storage import Scratch
 
+Keys = tuple[str, ...]
 
-def lower_arrays(constraints: DataFrame) -> DataFrame:
+
+def lower_arrays(constraints: DataFrame, by: Keys = ()) -> DataFrame:
     """Array loads and stores as copies of the element location (G6d, G6e)."""
     dest = F.when(F.col("kind") == "ArrayStore", F.concat("dest", F.lit("[]"))).otherwise(F.col("dest"))
     src = F.when(F.col("kind") == "ArrayLoad", F.concat("src", F.lit("[]"))).otherwise(F.col("src"))
     kind = F.when(F.col("kind").isin("ArrayStore", "ArrayLoad"), "Copy").otherwise(F.col("kind"))
-    return constraints.select(kind.alias("kind"), dest.alias("dest"), src.alias("src"), "field")
+    return constraints.select(*by, kind.alias("kind"), dest.alias("dest"), src.alias("src"), "field")
 
 
-def solve(constraints: DataFrame, functions: DataFrame | None = None, max_rounds: int = fixed.SOLVER_ROUNDS) -> DataFrame:
-    """(loc, target), all pairs that follow.
+def solve(constraints: DataFrame, functions: DataFrame | None = None, max_rounds: int = fixed.SOLVER_ROUNDS, by: Keys = ()) -> DataFrame:
+    """(*by, loc, target), all pairs that follow.
 
-    functions(name), if given, point to themselves.  Semi-naive: a round joins what the last one found with the
+    functions(*by, name), if given, point to themselves.  Semi-naive: a round joins what the last one found with the
     constraints, and only pairs that are new go on.  Copy edges that loads and stores give rise to are kept as edges, so
     each pair of pointer and target is expanded once.
     """
-    c = checkpoint(lower_arrays(constraints).distinct())
-    pts = c.where("kind = 'AddressOf'").select(F.col("dest").alias("loc"), F.col("src").alias("target"))
-    if functions is not None:
-        pts = pts.union(functions.select(F.col("name").alias("loc"), F.col("name").alias("target")))
-    pts = new = checkpoint(pts.distinct())
-    edges = checkpoint(c.where("kind = 'Copy'").select("src", "dest").distinct())
-    for n in range(max_rounds):
-        if n % 16 == 15:  # keeps plans short however many rounds it takes
-            pts, edges = checkpoint(pts), checkpoint(edges)
-        # Edges that the new pairs make: through the pointer that a load or store goes by.
-        load = new.join(c.where("kind in ('Load', 'FieldLoad')").withColumnRenamed("src", "loc"), "loc").select(F.when(F.col("kind") == "Load", F.col("target")).otherwise(F.concat_ws(".", "target", "field")).alias("src"), "dest")
-        store = new.join(c.where("kind in ('Store', 'FieldStore')").withColumnRenamed("dest", "loc"), "loc").select("src", F.when(F.col("kind") == "Store", F.col("target")).otherwise(F.concat_ws(".", "target", "field")).alias("dest"))
-        fresh = checkpoint(load.union(store).distinct().join(edges, ["src", "dest"], "left_anti"))
-        # Old pairs along new edges, new pairs along all edges.
-        along_new = pts.join(fresh.withColumnRenamed("src", "loc"), "loc").select(F.col("dest").alias("loc"), "target")
-        along_old = new.join(edges.withColumnRenamed("src", "loc"), "loc").select(F.col("dest").alias("loc"), "target")
-        new = checkpoint(along_new.union(along_old).distinct().join(pts, ["loc", "target"], "left_anti"))
-        edges = edges.union(fresh)
-        if not new.limit(1).count():
-            break
-        pts = pts.union(new)
-    return pts
-
-
-def function_targets(pts: DataFrame) -> DataFrame:
-    """(loc, targets): what may be called through each location."""
+    with Scratch(constraints.sparkSession) as scratch:
+        c = scratch.write(lower_arrays(constraints, by).distinct())
+        loads = c.where("kind in ('Load', 'FieldLoad')").withColumnRenamed("src", "loc")
+        stores = c.where("kind in ('Store', 'FieldStore')").withColumnRenamed("dest", "loc")
+        pts = c.where("kind = 'AddressOf'").select(*by, F.col("dest").alias("loc"), F.col("src").alias("target"))
+        if functions is not None:
+            pts = pts.union(functions.select(*by, F.col("name").alias("loc"), F.col("name").alias("target")))
+        pts = new = scratch.write(pts.distinct())
+        edges = scratch.write(c.where("kind = 'Copy'").select(*by, "src", "dest").distinct())
+        place = lambda whole: F.when(F.col("kind") == whole, F.col("target")).otherwise(F.concat_ws(".", "target", "field"))
+        for n in range(max_rounds):
+            if n % 16 == 15:  # keeps plans short however many rounds it takes
+                pts, edges = scratch.write(pts), scratch.write(edges)
+            # Edges that the new pairs make: through the pointer that a load or store goes by.
+            load = new.join(loads, [*by, "loc"]).select(*by, place("Load").alias("src"), "dest")
+            store = new.join(stores, [*by, "loc"]).select(*by, "src", place("Store").alias("dest"))
+            fresh = scratch.write(load.union(store).distinct().join(edges, [*by, "src", "dest"], "left_anti").select(*by, "src", "dest"))
+            # Old pairs along new edges, new pairs along all edges.
+            along_new = pts.join(fresh.withColumnRenamed("src", "loc"), [*by, "loc"]).select(*by, F.col("dest").alias("loc"), "target")
+            along_old = new.join(edges.withColumnRenamed("src", "loc"), [*by, "loc"]).select(*by, F.col("dest").alias("loc"), "target")
+            new = scratch.write(along_new.union(along_old).distinct().join(pts, [*by, "loc", "target"], "left_anti").select(*by, "loc", "target"))
+            edges = edges.union(fresh)
+            if new.isEmpty():
+                break
+            pts = pts.union(new)
+        return scratch.keep(pts)
+
+
+def function_targets(pts: DataFrame, by: Keys = ()) -> DataFrame:
+    """(*by, loc, targets): what may be called through each location."""
     kept = pts.where(T.is_function_target("target"))
-    return kept.groupBy("loc").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    return kept.groupBy(*by, "loc").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+
+
+def constraint(kind: str, dest: str, src: str, field: str | None = None) -> tuple[str, str, str, str | None]:
+    """One constraint as a row (M17); its kind is checked."""
+    if kind not in ("AddressOf", "Copy", "Load", "Store", "FieldLoad", "FieldStore", "ArrayLoad", "ArrayStore"):
+        raise ValueError(f"unknown constraint: {kind}")
+    return kind, dest, src, field
+
+
+def points_to_of(pts: DataFrame, location: str) -> DataFrame:
+    """What one location may point to."""
+    return pts.where(F.col("loc") == location).select("target")

@@ -6,6 +6,8 @@ events(key, seq, ...), files(path, mtime, size, hash).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def callbacks(functions: DataFrame) -> DataFrame:
     return functions.where("is_callback").withColumn("callback_context", F.coalesce("callback_context", F.lit("unknown")))
 
 
-def in_file(symbols: DataFrame, file: str) -> DataFrame:
-    return symbols.where(F.col("file") == file)
+def in_file(symbols: DataFrame, file: str, by: str = "path") -> DataFrame:
+    return symbols.where(F.col(by) == file)
 
 
 def outline_filter(symbols: DataFrame, query: str, columns: list[str]) -> DataFrame:
@@ -95,33 +97,68 @@ def resolve_invocations(bindings: DataFrame, invocations: DataFrame) -> DataFram
     return exact.union(arrays).groupBy("expr").agg(F.array_sort(F.collect_set("handler")).alias("handlers"))
 
 
+def _type_class(t: Column, pointers: bool) -> Column:
+    """A type with the interchangeable integers as one, and all pointers as one if asked for."""
+    n = T.normalize_type(t)
+    out = F.when(n.isin(fixed.INTEGER_TYPES), "#int")
+    return (out.when(n.endswith("*"), "#pointer") if pointers else out).otherwise(n)
+
+
+def _signature_class(pointers: bool) -> Column:
+    each = F.transform("params", lambda p: _type_class(p, pointers))
+    return F.concat(_type_class(F.col("return_type"), pointers), F.lit("("), F.array_join(each, ","), F.lit(")"))
+
+
 def compatible_functions(types: DataFrame, signatures: DataFrame) -> DataFrame:
     """(type_name, functions) with compatible return types and parameters.
 
-    The number of parameters is the join key; types are few, but nothing depends on it.
+    Without void* compatible signatures are equal but for their integers, which is the join key.  Signatures with void*
+    meet those of their number and kinds of types (every pointer is one kind) and are compared.  Functions of one
+    signature join once, as their list.
     """
-    t, s = types.alias("t"), signatures.alias("s")
-    n = lambda c: F.size(c)
-    each = F.forall(F.zip_with(F.col("s.params"), F.col("t.params"), lambda x, y: T.types_compatible(x, y)), lambda ok: ok)
-    ok = t.join(s, n(F.col("t.params")) == n(F.col("s.params"))).where(T.types_compatible(F.col("s.return_type"), F.col("t.return_type")) & each)
-    return ok.groupBy(F.col("t.name").alias("type_name")).agg(F.array_sort(F.collect_set("s.name")).alias("functions"))
+    void = (T.normalize_type("return_type") == "void*") | F.exists("params", lambda p: T.normalize_type(p) == "void*")
+    keyed = lambda df: df.withColumns({"exact": _signature_class(False), "wide": _signature_class(True), "void": void})
+    t = keyed(types.select(F.col("name").alias("type_name"), "return_type", "params"))
+    s = keyed(signatures.groupBy("return_type", "params").agg(F.collect_set("name").alias("names"))).withColumnsRenamed({"return_type": "fr", "params": "fp", "void": "fvoid"})
+    plain = t.where("not void").join(s.where("not fvoid").select("exact", "names"), "exact").select("type_name", "names")
+    each = F.forall(F.zip_with("fp", "params", lambda x, y: T.types_compatible(x, y)), lambda ok: ok)
+    pairs = t.where("void").drop("exact").join(s.drop("exact"), "wide").unionByName(t.where("not void").drop("exact").join(s.where("fvoid").drop("exact"), "wide"))
+    loose = pairs.where(T.types_compatible("fr", "return_type") & each).select("type_name", "names")
+    return plain.union(loose).groupBy("type_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("functions"))
 
 
-def candidates(types: DataFrame, functions: DataFrame) -> DataFrame:
-    """(type_name, function, score), scores over 0.
+def _scored_forms(types: DataFrame, functions: DataFrame, names: Column) -> DataFrame:
+    """(type_name, fr, fp, names, score): each type with each distinct signature, scores over 0.
 
     A score over 0 needs an equal number of parameters or compatible return types, so both are joined by what must agree
     and no pair of rows without a score is formed.
     """
     void = lambda c: F.when(F.trim(c).isin("void *", "void*"), "void*").when(F.trim(c).isin("int", "long"), "int").otherwise(F.trim(c))
     t = types.select(F.col("name").alias("type_name"), F.col("return_type").alias("tr"), F.col("params").alias("tp"))
-    f = functions.select(F.col("name").alias("function"), F.col("return_type").alias("fr"), F.col("params").alias("fp"))
+    f = functions.groupBy(F.col("return_type").alias("fr"), F.col("params").alias("fp")).agg(names.alias("names"))
     pointer = lambda c: F.when(c.contains("struct") & c.contains("*"), F.array(void(c), F.lit("void*struct"))).when(F.trim(c).isin("void *", "void*"), F.array(F.lit("void*"), F.lit("void*struct"))).otherwise(F.array(void(c)))
     by_size = t.join(f, F.size("tp") == F.size("fp"))
     keyed_t, keyed_f = t.withColumn("k", F.explode(pointer(F.col("tr")))), f.withColumn("k", F.explode(pointer(F.col("fr"))))
-    by_return = keyed_t.join(keyed_f, "k").drop("k").where(F.size("tp") != F.size("fp"))
+    by_return = keyed_t.join(keyed_f, "k").drop("k").where(F.size("tp") != F.size("fp")).dropDuplicates(["type_name", "tr", "tp", "fr", "fp"])
     score = T.match_score(F.col("tr"), F.col("tp"), F.col("fr"), F.col("fp"))
-    return by_size.unionByName(by_return).withColumn("score", score).where("score > 0").select("type_name", "function", "score").distinct()
+    return by_size.unionByName(by_return).withColumn("score", score).where("score > 0")
+
+
+def candidates(types: DataFrame, functions: DataFrame) -> DataFrame:
+    """(type_name, function, score), scores over 0 (J11, F20). Distinct signatures are scored, whose functions are listed after."""
+    forms = _scored_forms(types, functions, F.collect_set("name"))
+    return forms.select("type_name", F.explode("names").alias("function"), "score").distinct()
+
+
+def best_candidates(types: DataFrame, functions: DataFrame, k: int) -> DataFrame:
+    """(type_name, rank, function, score): the k best functions of each type, by score, then name (O3).
+
+    At most k functions of a signature can be among them, so no more are listed; ranks are cut before the shuffle.
+    """
+    first = F.slice(F.array_sort(F.collect_set("name")), 1, k)
+    rows = _scored_forms(types, functions, first).select("type_name", F.explode("names").alias("function"), "score").groupBy("type_name", "function").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("type_name").orderBy(F.desc("score"), "function")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("type_name", "rank", "function", "score")
 
 
 def first_by_probe(wanted: DataFrame, files: DataFrame, key: str, path: str, priority: str) -> DataFrame:
@@ -195,9 +232,9 @@ def variables(states: DataFrame, steps: str = "step", values: str = "variables")
     return states.select(F.explode(F.map_keys(values)).alias("name")).distinct().orderBy("name")
 
 
-def state_table(states: DataFrame, names: list[str]) -> DataFrame:
+def state_table(states: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
     """Steps by variables, - for a missing value."""
-    return states.select("step", *(F.coalesce(F.try_element_at("variables", F.lit(n)), F.lit("-")).alias(n) for n in names))
+    return states.select(*(keys or ["step"]), *(F.coalesce(F.try_element_at("variables", F.lit(n)), F.lit("-")).alias(n) for n in names))
 
 
 # -- windows ----------------------------------------------------------------------------------------------------------
@@ -265,6 +302,11 @@ def answered(pending: DataFrame, answers: DataFrame, key: str = "id") -> DataFra
     return pending.join(answers.select(key).distinct(), key, "left_anti")
 
 
+def reduce_union(parts: list[DataFrame]) -> DataFrame:
+    """All rows of some tables of equal columns."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_occurrence(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -6,38 +6,19 @@ and classified edges, events as accesses, documents as files, pages as sources,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpath.functions import text as T
 from runpath.functions import values as V
+from runpath.operators import caches
 from runpath.operators import design as D
 from runpath.operators import graph as G
 from runpath.operators import patterns as P
 from runpath.operators import points_to as PT
 from runpath.operators import relational as R
-from runpath.sources.files import cache_hits, listing
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from runpath.plans.registry import query, table
+from runpath.sources.files import listing
 
 SYMBOLS_SQL = """(SELECT p_name AS name, CASE p_size % 5 WHEN 0 THEN 'struct' WHEN 1 THEN 'macro' WHEN 2 THEN 'enum' ELSE 'function' END AS kind, p_brand AS file,
  CAST(p_partkey % 1000 + 1 AS BIGINT) AS line, p_size % 7 = 0 AS is_callback, p_type AS return_type, p_partkey AS id FROM part)"""
@@ -291,12 +272,19 @@ def _(s, d):
 
 @query("replace_all", "SELECT doc_id, md5(replace(text, 'the', 'THE')) AS digest FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5(F.regexp_replace("text", "the", "THE").cast("binary")).alias("digest"))
+    new = P.replace_in(table(s, d, "documents").select("doc_id", "text"), "the", "THE", content="text")
+    return new.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("replace_first", r"SELECT doc_id, md5(regexp_replace(text, '(?i)tion[ ,.]', '[TION]')) AS digest FROM documents")
+def _(s, d):
+    new = P.replace_in(table(s, d, "documents").select("doc_id", "text"), r"tion[ ,.]", "[TION]", regex=True, case_sensitive=False, first_only=True, content="text")
+    return new.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("content_hash", "SELECT doc_id, md5(text) AS digest FROM documents")
+@query("content_hash", "SELECT doc_id, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS hash FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return table(s, d, "documents").select("doc_id", T.content_hash("text").alias("hash"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -369,7 +357,7 @@ def nation_tree(s: SparkSession, d: str) -> DataFrame:
 
 @query("flow_tree", _TREE + "SELECT root, node, parent, depth, array_to_string(path, '/') AS path, node_type FROM t")
 def _(s, d):
-    return nation_tree(s, d).select("root", "node", "parent", "depth", F.array_join("path", "/").alias("path"), "node_type")
+    return nation_tree(s, d).select("root", "node", "parent", "depth", F.array_join("trail", "/").alias("path"), "node_type")
 
 
 @query("tree_children", _TREE + "SELECT root, parent, count(*) AS n_children FROM t WHERE parent IS NOT NULL GROUP BY root, parent")
@@ -424,65 +412,65 @@ def _(s, d):
     return G.shortest_path(nation_edges(s, d), "r1", f"s{t}").select(F.array_join("path", "/").alias("path"), "hops")
 
 
-@query("entry_points", f"""WITH f AS (SELECT id, name || id AS name, line, is_callback, file < 'Brand#3' AS is_static, CASE WHEN id = 17 THEN 0 WHEN id = 5 THEN 1 END AS rank FROM {SYMBOLS_SQL})
- SELECT CAST(row_number() OVER (ORDER BY coalesce(rank, 10), line, name) AS INTEGER) AS ord, name FROM f WHERE rank IS NOT NULL OR is_callback""")
+@query("entry_points", f"""WITH f AS (SELECT file, id, name || id AS name, line, is_callback, file < 'Brand#3' AS is_static, CASE WHEN id % 97 = 17 THEN 0 WHEN id % 97 = 5 THEN 1 END AS rank FROM {SYMBOLS_SQL} WHERE file <> 'Brand#11' OR NOT is_callback),
+ l AS (SELECT *, CASE WHEN rank IS NOT NULL OR is_callback THEN 1 WHEN NOT is_static THEN 2 ELSE 3 END AS level FROM f), b AS (SELECT *, min(level) OVER (PARTITION BY file) AS best FROM l)
+ SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY coalesce(rank, 10), line, name) AS INTEGER) AS ord, name FROM b WHERE level = best""")
 def _(s, d):
-    f = symbols(s, d).select(F.concat("name", F.col("id").cast("string")).alias("name"), "line", "is_callback", (F.col("file") < "Brand#3").alias("is_static"), "id")
-    m = f.where("id in (17, 5)").select("name", F.when(F.col("id") == 17, 0).otherwise(1).alias("rank"))
-    return G.entry_points(f.drop("id"), m)
+    f = symbols(s, d).where("file <> 'Brand#11' or not is_callback").select("file", F.concat("name", F.col("id").cast("string")).alias("name"), "line", "is_callback", (F.col("file") < "Brand#3").alias("is_static"), "id")
+    m = f.where("id % 97 in (17, 5)").select("file", "name", F.when(F.col("id") % 97 == 17, 0).otherwise(1).alias("rank"))
+    return G.entry_points(f.drop("id"), m, ("file",))
 
 
 @query("chain_injection", """WITH c AS (SELECT 'c' || n_regionkey AS chain_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS ord, n_name AS function, r_name AS trigger FROM nation JOIN region ON n_regionkey = r_regionkey),
  z AS (SELECT chain_id, count(*) AS n, min(trigger) AS trigger FROM c GROUP BY chain_id), en AS (SELECT 's' || s_suppkey AS root, 'c' || s_nationkey % 7 AS chain_id FROM supplier)
- SELECT root, root AS node, CAST(coalesce(n, 0) AS INTEGER) AS depth FROM en LEFT JOIN z USING (chain_id) UNION ALL SELECT root, trigger, 0 FROM en JOIN z USING (chain_id) UNION ALL SELECT root, function, ord FROM en JOIN c USING (chain_id) JOIN z USING (chain_id) WHERE ord < n""")
+ SELECT root, root AS node, CAST(coalesce(n + 1, 0) AS INTEGER) AS depth FROM en LEFT JOIN z USING (chain_id) UNION ALL SELECT root, trigger, 0 FROM en JOIN z USING (chain_id) UNION ALL SELECT root, function, ord FROM en JOIN c USING (chain_id)""")
 def _(s, d):
     n, r = table(s, d, "nation"), table(s, d, "region")
     c = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("chain_id"), F.row_number().over(R.Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("ord"), F.col("n_name").alias("function"), F.col("r_name").alias("trigger"))
     u = table(s, d, "supplier")
     name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    tree = u.select(name.alias("root"), name.alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit("Function").alias("node_type"))
+    tree = u.select(name.alias("root"), name.alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.array(name).alias("trail"), F.lit("Function").alias("node_type"))
     entries = u.select(name.alias("root"), F.concat(F.lit("c"), (F.col("s_nationkey") % 7).cast("string")).alias("chain_id"))
     return G.inject_chain(tree, c, entries).select("root", "node", "depth")
 
 
-def constraints(s: SparkSession, d: str) -> DataFrame:
-    k, cat = F.col("l_linenumber") % 4, lambda c: F.concat(F.lit("d"), (F.col(c) % 40).cast("string"))
-    x = table(s, d, "lineitem").select(k.alias("k"), cat("l_suppkey").alias("dest"), cat("l_partkey").alias("src"), F.lit(None).cast("string").alias("field"))
-    kinds = F.when(F.col("k") == 0, "AddressOf").when(F.col("k") == 1, "Copy").when(F.col("k") == 2, "Load").otherwise("Store")
-    return x.select(kinds.alias("kind"), "dest", F.when(F.col("k") == 0, F.concat(F.lit("f"), "src")).otherwise(F.col("src")).alias("src"), "field").distinct()
+CONSTRAINTS_SQL = """(SELECT DISTINCT CASE WHEN z < 7 THEN 'AddressOf' WHEN z = 7 THEN 'Copy' WHEN z = 8 THEN 'Load' WHEN z = 9 THEN 'Store' WHEN z = 10 THEN 'FieldStore' ELSE 'FieldLoad' END AS kind,
+ 'd' || k // 2 || CASE WHEN z = 7 AND k % 3 = 1 THEN '[]' ELSE '' END AS dest, CASE WHEN z < 7 AND k % 40 > 0 THEN 'f' || k % 499 ELSE 'd' || (k * 7919 % 10007) * (k + 1) // 10007 // 2 END || CASE WHEN z = 7 AND k % 3 = 2 THEN '[]' ELSE '' END AS src
+ FROM (SELECT p_partkey AS k, p_size % 12 AS z FROM part))"""
 
 
-@query("points_to", """WITH RECURSIVE c AS (SELECT DISTINCT l_linenumber % 4 AS k, 'd' || l_suppkey % 40 AS dest, CASE WHEN l_linenumber % 4 = 0 THEN 'fd' ELSE 'd' END || l_partkey % 40 AS src FROM lineitem),
- p AS (SELECT dest AS loc, src AS target FROM c WHERE k = 0 UNION SELECT c.dest, p.target FROM p JOIN c ON c.k = 1 AND c.src = p.loc) SELECT loc, target FROM p""")
-def _(s, d):
-    # The targets are functions, which nothing is loaded from or stored to, so loads and stores add pairs only for them.
-    return PT.solve(constraints(s, d)).where(~F.col("loc").startswith("fd"))
-
-
-# -- patterns ---------------------------------------------------------------------------------------------------------
-_LINK = r'href="/(\w+)">(\w+)'
-
-
-def page_lines(s: SparkSession, d: str) -> DataFrame:
-    return P.lines_of(table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content")))
+def constraints(s: SparkSession, d: str) -> DataFrame:
+    """All eight kinds over locations d0, d1, ... and functions f0, f1, ..."""
+    x = table(s, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 12).alias("z"))
+    kinds = F.when(F.col("z") < 7, "AddressOf")
+    for test, name in (("z = 7 and k % 3 = 0", "Copy"), ("z = 7 and k % 3 = 1", "ArrayStore"), ("z = 7", "ArrayLoad"), ("z = 8", "Load"), ("z = 9", "Store"), ("z = 10", "FieldStore"), ("z = 11", "FieldLoad")):
+        kinds = kinds.when(F.expr(test), name)
+    place = lambda e: F.concat(F.lit("d"), F.expr(f"({e}) div 2").cast("string"))
+    src = F.when((F.col("z") < 7) & (F.col("k") % 40 > 0), F.concat(F.lit("f"), (F.col("k") % 499).cast("string"))).otherwise(place("(k * 7919 % 10007) * (k + 1) div 10007"))
+    return x.select(kinds.alias("kind"), place("k").alias("dest"), src.alias("src"), F.when(F.col("z").isin(10, 11), "f").alias("field"))
 
 
-_PAGE_LINES = "(SELECT page_id, unnest(string_split(html, chr(10))) AS t FROM pages)"
+POINTS_TO_SQL = f"""WITH RECURSIVE c AS {CONSTRAINTS_SQL}, p(loc, target) USING KEY (loc, target) AS (
+ SELECT DISTINCT dest AS loc, src AS target FROM c WHERE kind = 'AddressOf' UNION SELECT DISTINCT n.loc, n.target FROM (
+  SELECT c.dest AS loc, q.target FROM recurring.p q JOIN c ON c.kind = 'Copy' AND c.src = q.loc
+  UNION ALL SELECT c.dest, q.target FROM recurring.p x JOIN c ON c.kind = 'Load' AND c.src = x.loc JOIN recurring.p q ON q.loc = x.target
+  UNION ALL SELECT c.dest, q.target FROM recurring.p x JOIN c ON c.kind = 'FieldLoad' AND c.src = x.loc JOIN recurring.p q ON q.loc = x.target || '.f'
+  UNION ALL SELECT x.target, q.target FROM recurring.p x JOIN c ON c.kind = 'Store' AND c.dest = x.loc JOIN recurring.p q ON q.loc = c.src
+  UNION ALL SELECT x.target || '.f', q.target FROM recurring.p x JOIN c ON c.kind = 'FieldStore' AND c.dest = x.loc JOIN recurring.p q ON q.loc = c.src) n
+ LEFT JOIN recurring.p o ON o.loc = n.loc AND o.target = n.target WHERE o.loc IS NULL) """
 
 
-@query("pattern_bindings", rf"""SELECT CAST(page_id AS VARCHAR) AS path, regexp_extract(t, '{_LINK}', 1) AS variable, regexp_extract(t, '{_LINK}', 2) AS handler, count(*) AS n FROM {_PAGE_LINES} WHERE regexp_matches(t, '{_LINK}') GROUP BY 1, 2, 3""")
+@query("points_to", POINTS_TO_SQL + "SELECT loc, target FROM p")
 def _(s, d):
-    lines = page_lines(s, d)
-    functions = lines.select("path", F.explode(F.regexp_extract_all("text", F.lit(_LINK), F.lit(2))).alias("name")).distinct()
-    found = P.bindings(lines, functions, [("Link", False, "Process", [_LINK], [])])
-    return found.groupBy("path", "variable", "handler").agg(F.count("*").alias("n"))
+    return PT.solve(constraints(s, d))
 
 
-@query("pattern_triggers", r"""SELECT CAST(page_id AS VARCHAR) AS path, regexp_extract(t, '<(h\d)>', 1) AS variable, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS t FROM pages) WHERE regexp_matches(t, '<(h\d)>') GROUP BY 1, 2""")
+@query("function_targets", POINTS_TO_SQL + "SELECT loc, array_to_string(list_sort(list(DISTINCT target)), ',') AS targets FROM p WHERE NOT starts_with(target, 'alloc:') AND NOT contains(target, '.') GROUP BY loc")
 def _(s, d):
-    return P.triggers(page_lines(s, d), [("Head", False, "Process", [], [r"<(h\d)>"])]).groupBy("path", "variable").agg(F.count("*").alias("n"))
+    return PT.function_targets(PT.solve(constraints(s, d))).select("loc", F.array_join("targets", ",").alias("targets"))
 
 
+# -- paths ------------------------------------------------------------------------------------------------------------
 @query("url_parts", "SELECT page_id, string_split(url, '/')[-1] AS name, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, CAST(len(string_split(url, '/')) - 1 AS INTEGER) AS depth FROM pages")
 def _(s, d):
     return table(s, d, "pages").select("page_id", T.base_name("url").alias("name"), T.parent_path("url").alias("parent"), T.depth("url").alias("depth"))
@@ -508,11 +496,12 @@ def _(s, d):
     return x.select("p_partkey", T.signature_return("g").alias("ret"), F.array_join(T.signature_params("g"), "|").alias("params"))
 
 
-@query("label_functions", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '●' WHEN 'O' THEN '○' ELSE '?' END AS symbol, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS ago,
+@query("label_functions", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '✓' WHEN 'O' THEN '?' ELSE '❓' END AS symbol, CASE o_orderstatus WHEN 'F' THEN 'result-certain' WHEN 'O' THEN 'result-possible' ELSE 'result-unknown' END AS style,
+ CASE o_orderstatus WHEN 'F' THEN 'solid' WHEN 'O' THEN 'dashed' ELSE 'dotted' END AS arrow, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS ago,
  lpad(lower(hex(o_orderkey)), 16, '0') || '.i' AS file FROM (SELECT *, o_custkey * 7 % 4000 AS m FROM orders)""")
 def _(s, d):
     o = table(s, d, "orders").withColumn("m", F.col("o_custkey") * 7 % 4000).withColumn("c", conf("o_orderstatus"))
-    return o.select("o_orderkey", T.confidence_symbol("c").alias("symbol"), T.relative_time("m").alias("ago"), T.hex_name("o_orderkey").alias("file"))
+    return o.select("o_orderkey", T.confidence_symbol("c").alias("symbol"), T.confidence_class("c").alias("style"), T.confidence_arrow("c").alias("arrow"), T.relative_time("m").alias("ago"), T.hex_name("o_orderkey").alias("file"))
 
 
 @query("config_reader", r"""SELECT p_partkey AS line, n AS name, CASE p_size % 5 WHEN 0 THEN '1' WHEN 1 THEN '1' WHEN 2 THEN '0' WHEN 3 THEN p_brand ELSE '0' END AS value FROM (SELECT *, 'CONFIG_' || replace(p_type, ' ', '_') AS n FROM part)""")
@@ -557,7 +546,7 @@ def _(s, d):
 @query("scenario_table", """SELECT conv_id, turn, coalesce(CASE WHEN role = 'user' THEN md5(text) END, '-') AS "user", coalesce(CASE WHEN role = 'assistant' THEN md5(text) END, '-') AS assistant FROM conversations""")
 def _(s, d):
     c = table(s, d, "conversations").select("conv_id", F.col("turn").alias("step"), F.create_map("role", F.md5(F.col("text").cast("binary"))).alias("variables"))
-    return c.select("conv_id", F.col("step").alias("turn"), *(F.coalesce(F.try_element_at("variables", F.lit(n)), F.lit("-")).alias(n) for n in ("user", "assistant")))
+    return R.state_table(c, ["user", "assistant"], ["conv_id", "step"]).withColumnRenamed("step", "turn")
 
 
 # -- knowledge, changes, labels ---------------------------------------------------------------------------------------
@@ -615,7 +604,7 @@ def _(s, d):
 @query("parse_cache", "SELECT d.doc_id AS path FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND d.n_chars % 2 = l.quality")
 def _(s, d):
     k = lambda df, m: df.select(F.col("doc_id").alias("path"), F.lit(1).alias("options_hash"), m.cast("long").alias("mtime"), F.lit(2).alias("content_hash"))
-    return cache_hits(k(table(s, d, "documents"), F.col("n_chars") % 2), k(table(s, d, "labels"), F.col("quality"))).select("path")
+    return caches.hits(k(table(s, d, "documents"), F.col("n_chars") % 2), k(table(s, d, "labels"), F.col("quality"))).select("path")
 
 
 @query("value_kinds", """SELECT DISTINCT t AS c_type, CASE WHEN contains(t, '*') THEN 'pointer' WHEN regexp_matches(t, 'int|long|short|size_t|u8|u16|u32|u64') THEN 'integer' WHEN contains(t, 'char') THEN 'string' ELSE 'integer' END AS kind

@@ -35,16 +35,16 @@ def clean(text: str) -> str:
     return _PREPROCESSOR.sub(blank, _BLANKED.sub(literal, text))
 
 
+_PAIRS = {pair: re.compile(f"[{re.escape(pair)}]") for pair in ("{}", "()")}
+
+
 def matching(text: str, at: int, pair: str = "{}") -> int:
     """Place of the bracket that closes the one at `at`, or -1."""
     depth = 0
-    for i in range(at, len(text)):
-        if text[i] == pair[0]:
-            depth += 1
-        elif text[i] == pair[1]:
-            depth -= 1
-            if not depth:
-                return i
+    for m in _PAIRS[pair].finditer(text, at):
+        depth += 1 if m[0] == pair[0] else -1
+        if not depth:
+            return m.start()
     return -1
 
 
@@ -198,6 +198,9 @@ def constraints_of(text: str, known: set[str]) -> list[tuple[str, str, str, str
     return out
 
 
+_BEFORE = re.compile(r"(\w+|\*)\s*\Z")
+
+
 def facts_of(text: str, known: set[str]) -> list[dict]:
     """Callback facts: binding, invocation, registration, event_loop, queue, signal."""
     t, out = clean(text), []
@@ -211,7 +214,9 @@ def facts_of(text: str, known: set[str]) -> list[dict]:
     for m in re.finditer(rf"({member})\s*=(?!=)\s*&?(\w+)\s*;", t):
         if m[2] in known:
             add("binding", m.start(), target=target(m[1]), name=m[2])
-    indirect = [(m.start(), m[1]) for m in re.finditer(rf"({member})\s*\(", t)] + [(m.start(), m[1]) for m in re.finditer(r"\(\s*\*\s*(\w+)\s*\)\s*\((?!\s*\))", t)]
+    # (*name)( after a type declares a pointer; elsewhere it is a call through one.
+    starred = [m for m in re.finditer(r"\(\s*\*\s*(\w+)\s*\)\s*\(", t) if not (before := _BEFORE.search(t, 0, m.start())) or before[1] == "return"]
+    indirect = [(m.start(), m[1]) for m in re.finditer(rf"({member})\s*\(", t)] + [(m.start(), m[1]) for m in starred]
     for at, expr in indirect:
         add("invocation", at, target=target(expr))
     for m in _CALL.finditer(t):
@@ -232,6 +237,36 @@ def facts_of(text: str, known: set[str]) -> list[dict]:
     return out
 
 
+def arguments_of(text: str) -> list[dict]:
+    """Calls by name within function bodies, with each argument: caller, callee, position, argument, line."""
+    t, out = clean(text), []
+    for d in definitions(text)[0]:
+        if d["kind"] != "function":
+            continue
+        start, end = d["body_at"], d["body_at"] + len(d["body"])
+        for m in _CALL.finditer(t, start, end):
+            if m[1] in NOT_CALLED:
+                continue
+            close = matching(t, m.end() - 1, "()")
+            parts = split_top(t[m.end() : close]) if close > 0 else []
+            line = t.count("\n", 0, m.start()) + 1
+            out += [{"caller": d["name"], "callee": m[1], "position": i, "argument": _place(a), "line": line} for i, a in enumerate(parts)]
+    return out
+
+
+def member_calls_of(text: str) -> list[dict]:
+    """Calls through a member: target, line, and the struct its base was declared as, if one declaration tells."""
+    t, out = clean(text), []
+    declared: dict[str, set[str]] = {}
+    for m in re.finditer(r"\bstruct\s+(\w+)\s*\*?\s*(\w+)\s*[=;,)]", t):
+        declared.setdefault(m[2], set()).add(m[1])
+    for m in re.finditer(r"\b([A-Za-z_]\w*)((?:(?:->|\.)\w+)+)\s*\(", t):
+        types = declared.get(m[1], set())
+        plain = len(re.findall(r"->|\.", m[2])) == 1  # of a member of a member only the field is known
+        out.append({"target": m[1] + m[2], "line": t.count("\n", 0, m.start()) + 1, "struct_type": next(iter(types)) if plain and len(types) == 1 else None})
+    return out
+
+
 def types_of(text: str) -> list[dict]:
     """Function-pointer types (typedef, struct field, param) and function signatures."""
     t, out = clean(text), []
@@ -294,3 +329,25 @@ def pointer_types(files: DataFrame) -> DataFrame:
             yield _frame(rows, ["path", "kind", "name", "return_type", "params", "line"])
 
     return files.select("path", "content").mapInPandas(run, "path string, kind string, name string, return_type string, params array<string>, line int")
+
+
+def call_arguments(files: DataFrame) -> DataFrame:
+    """(path, caller, callee, position, argument, line)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [{**x, "path": p} for p, text in zip(b["path"], b["content"], strict=True) for x in arguments_of(text or "")]
+            yield _frame(rows, ["path", "caller", "callee", "position", "argument", "line"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, caller string, callee string, position int, argument string, line int")
+
+
+def member_calls(files: DataFrame) -> DataFrame:
+    """(path, target, line, struct_type)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [{**x, "path": p} for p, text in zip(b["path"], b["content"], strict=True) for x in member_calls_of(text or "")]
+            yield _frame(rows, ["path", "target", "line", "struct_type"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, target string, line int, struct_type string")

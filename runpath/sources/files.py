@@ -6,15 +6,15 @@ import json
 from functools import reduce
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpath import fixed
+from runpath.errors import ScenarioError
 from runpath.functions import text as T
 
-# Directories that no scan enters, and marker files of a kernel tree.
+# Directories that no scan enters.
 SKIPPED_DIRECTORIES = ["target", "node_modules", "build", "dist", "__pycache__"]
-KERNEL_MARKERS = ["Kconfig", "Kbuild", "include/linux/kernel.h"]
 
 
 def scan(spark: SparkSession, folder: str, endings: tuple[str, ...] = ("c", "h"), exclude: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
@@ -37,9 +37,21 @@ def listing(paths: DataFrame, max_depth: int = fixed.DIRECTORY_DEPTH) -> DataFra
     return out.where(F.col("depth") <= max_depth)
 
 
+def driver_files(files: DataFrame, most: int = fixed.DRIVER_FILES) -> DataFrame:
+    """The first C files below drivers/ by path."""
+    return files.where(F.col("path").rlike(r"(?:^|/)drivers/.*\.c$")).orderBy("path").limit(most)
+
+
+def children(listed: DataFrame, parent: str) -> DataFrame:
+    """One directory of a listing, directories first, then by name in any case; with the ending of files."""
+    own = listed.where(F.col("parent") == parent)
+    ending = F.when(~F.col("is_dir"), F.nullif(F.regexp_extract("name", r"\.([^.]+)$", 1), F.lit("")))
+    return own.withColumn("extension", ending).orderBy(F.desc("is_dir"), F.lower("name"), "name")
+
+
 def is_kernel_source(paths: DataFrame) -> DataFrame:
     """One row: some marker file is there."""
-    return paths.agg(F.coalesce(F.max(F.col("path").isin(KERNEL_MARKERS)), F.lit(False)).alias("is_kernel"))
+    return paths.agg(F.coalesce(F.max(F.col("path").isin(fixed.KERNEL_MARKERS)), F.lit(False)).alias("is_kernel"))
 
 
 def knowledge(spark: SparkSession) -> dict[str, DataFrame]:
@@ -55,14 +67,24 @@ def knowledge(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
-def pattern_pack(spark: SparkSession, packs: list[dict]) -> DataFrame:
-    """kb_patterns(pack, mechanism, role, regex) of loaded packs (X12, T11); named groups in Java's form."""
-    rows = [(p.get("name", ""), m.get("name", ""), role, str(rx.get("pattern", rx) if isinstance(rx, dict) else rx).replace("(?P<", "(?<")) for p in packs for m in p.get("mechanisms", []) for role in ("bind", "trigger", "cancel", "create", "destroy") for rx in m.get(role, [])]
-    return spark.createDataFrame(rows, "pack string, mechanism string, role string, regex string")
+def scenario_rows(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
+    """A collection as rows (E17): (name, entry_function, bindings map<string,struct<text,hint>>, max_depth, show_kernel_api, follow_async)."""
+    rows = [(s.name, s.entry_function, {k: tuple(v) for k, v in s.bindings.items()}, s.max_depth, s.show_kernel_api, s.follow_async) for s in scenarios]
+    return spark.createDataFrame(rows, "name string, entry_function string, bindings map<string,struct<text:string,hint:string>>, max_depth int, show_kernel_api boolean, follow_async boolean")
+
+
+SCENARIO = "name string, entry_function string, bindings map<string,struct<text:string,hint:string>>, max_depth int, show_kernel_api boolean, follow_async boolean"
+
 
+def parse_scenarios(texts: DataFrame, column: str = "text") -> DataFrame:
+    """Scenario rows from JSON texts, with the defaults of what they leave out; texts that name no entry function are dropped."""
+    s = texts.select(F.from_json(column, SCENARIO).alias("s")).select("s.*").where("entry_function is not null")
+    none = F.expr("cast(map() as map<string,struct<text:string,hint:string>>)")
+    return s.select("name", "entry_function", F.coalesce("bindings", none).alias("bindings"), F.coalesce("max_depth", F.lit(fixed.SCENARIO_DEPTH)).alias("max_depth"), F.coalesce("show_kernel_api", F.lit(True)).alias("show_kernel_api"), F.coalesce("follow_async", F.lit(True)).alias("follow_async"))
 
-class ScenarioError(ValueError):
-    """A scenario file of an unknown format or without what a scenario needs."""
+
+def find_scenario(collection: DataFrame, name: str) -> DataFrame:
+    return collection.where(F.col("name") == name)
 
 
 @dataclass
@@ -107,22 +129,3 @@ class Scenario:
             raise ScenarioError(f"unknown format: {path}")
         with open(path, "w") as f:
             f.write(text)
-
-
-def clang_args(macros: DataFrame, includes: DataFrame, triple: str) -> DataFrame:
-    """(ord, arg): target, macros and include paths, the last definition of a macro counting."""
-    last = macros.groupBy("name").agg(F.max_by(F.struct("value", "defined"), "ord").alias("m"), F.max("ord").alias("ord"))
-    return (
-        macros.sparkSession.range(1).select(F.lit(-1).cast("long").alias("ord"), F.lit(f"--target={triple}").alias("arg"))
-        .union(last.select(F.col("ord").cast("long"), T.clang_arg("name", "m.value", F.col("m.defined"))))
-        .union(includes.select((F.col("ord") + 1_000_000).cast("long"), F.concat(F.lit("-I"), "path")))
-    )
-
-
-def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Preprocessed text of requests whose options, time and content are those of the cache."""
-    return requests.join(cache, ["path", "options_hash", "mtime", "content_hash"])
-
-
-def options_hash(*columns: Column) -> Column:
-    return F.xxhash64(*columns)

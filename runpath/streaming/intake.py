@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runpath import fixed
-from runpath.operators.index import SCHEMAS, SymbolIndex
-from runpath.sources import c_front
+from runpath.operators.index import SymbolIndex
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -22,19 +21,19 @@ def index_stream(spark: SparkSession, folder: str, index: SymbolIndex, state: st
 
     def merge(batch: DataFrame, _: int) -> None:
         last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "modificationTime").alias("f")).select("path", "f.*")
-        text = last.select("path", F.decode("content", "UTF-8").alias("content"))
-        rows = c_front.symbols(text)
-        index.replace_files("functions", last, rows.where("kind = 'function'").select("path", "name", "line", "end_line", "return_type", "calls"))
-        index.replace_files("structs", last, rows.where("kind = 'struct'").select("path", "name", "line", "refs"))
-        index.replace_files("versions", last, last.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size")))
+        index.refresh(last.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content")))
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
 def prepare(spark: SparkSession, index: SymbolIndex) -> None:
     """Empty tables of an index that a stream fills."""
-    for table, schema in SCHEMAS.items():
-        index.save(table, spark.createDataFrame([], schema))
+    index.clear()
+
+
+def restarted(snapshot: DataFrame, index: SymbolIndex) -> DataFrame:
+    """Paths of snapshot(path) that the index does not track yet (ST4)."""
+    return snapshot.join(index.read("versions").select("path"), "path", "left_anti").select("path")
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
@@ -42,53 +41,78 @@ def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str) -> Data
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("burst"), F.max(ts).alias(ts)).select(key, ts, "burst")
 
 
+def _replayed(rows: DataFrame, key: str, start, step, end, schema: str) -> DataFrame:
+    """Rows of each key in order of seq through step(state, row) -> rows; end(key, state) -> rows when the key is over.
+
+    The partitions are sorted by key and seq and stream through, so a task holds the state of one key, however many rows
+    the key has.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = state = None
+        begun = False
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                k = getattr(r, key)
+                if not begun or k != now:
+                    if begun:
+                        out += end(now, state)
+                    now, state, begun = k, start(), True
+                out += step(state, r)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if begun:
+            yield pd.DataFrame(end(now, state), columns=names, dtype=object)
+
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
+
+
 def navigation(steps: DataFrame, keep: int = fixed.NAVIGATION_STEPS) -> DataFrame:
     """Histories with a cursor (ST3): steps(user, seq, action, place); actions push, back, forward.
 
     A push after going back drops what lay ahead, an equal push does nothing, the oldest of more than `keep` entries
-    goes.  Returns (user, seq, place) where the cursor stands after each step; one user's steps are replayed in order.
+    goes.  Returns (user, seq, place) where the cursor stands after each step.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        stack: list[str] = []
-        at, out = -1, []
-        for r in rows.sort_values("seq").itertuples():
-            if r.action == "push":
-                if not (0 <= at < len(stack) and stack[at] == r.place):
-                    stack = [*stack[: at + 1], r.place][-keep:]
-                    at = len(stack) - 1
-            elif r.action == "back":
-                at = max(at - 1, 0) if stack else -1
-            else:
-                at = min(at + 1, len(stack) - 1)
-            out.append((r.user, r.seq, stack[at] if stack else None))
-        return pd.DataFrame(out, columns=["user", "seq", "place"])
+    def step(state: dict, r) -> list[tuple]:
+        stack, at = state["stack"], state["at"]
+        if r.action == "push":
+            if not (0 <= at < len(stack) and stack[at] == r.place):
+                stack = [*stack[: at + 1], r.place][-keep:]
+                at = len(stack) - 1
+        elif r.action == "back":
+            at = max(at - 1, 0) if stack else -1
+        else:
+            at = min(at + 1, len(stack) - 1)
+        state["stack"], state["at"] = stack, at
+        return [(r.user, r.seq, stack[at] if stack else None)]
 
-    return steps.groupBy("user").applyInPandas(replay, "user string, seq long, place string")
+    return _replayed(steps.select("user", "seq", "action", "place"), "user", lambda: {"stack": [], "at": -1}, step, lambda *_: [], "user string, seq long, place string")
 
 
 def lru_trace(accesses: DataFrame, capacity: int = fixed.CACHE_ENTRIES, evict_on_overwrite: bool = False) -> DataFrame:
-    """(cache, key) left after accesses(cache, seq, key, op): get, insert, remove, replayed for each cache (ST1, ST2).
+    """(cache, key) left after accesses(cache, seq, key, op[, hash]): get, insert, remove, replayed for each cache (ST1, ST2).
 
-    evict_on_overwrite: an insert at capacity evicts even if its key is there already.
+    evict_on_overwrite: an insert at capacity evicts even if its key is there already.  With a hash, a get whose hash is
+    not that of the entry misses, and does not count as a use.
     """
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, None] = {}
-        for r in rows.sort_values("seq").itertuples():
-            if r.op == "remove":
-                held.pop(r.key, None)
-            elif r.op == "insert":
-                if len(held) >= capacity and (evict_on_overwrite or r.key not in held):
-                    held.pop(next(iter(held)))
-                held.pop(r.key, None)
-                held[r.key] = None
-            elif r.key in held:
-                held.pop(r.key)
-                held[r.key] = None
-        return pd.DataFrame({"cache": [rows["cache"].iloc[0]] * len(held), "key": list(held)})
-
-    return accesses.groupBy("cache").applyInPandas(replay, "cache string, key string")
+    hashed = "hash" in accesses.columns
+
+    def step(held: dict, r) -> list[tuple]:
+        if r.op == "remove":
+            held.pop(r.key, None)
+        elif r.op == "insert":
+            while len(held) >= capacity and (evict_on_overwrite or r.key not in held):
+                held.pop(next(iter(held)))
+            held.pop(r.key, None)
+            held[r.key] = r.hash if hashed else None
+        elif r.key in held and (not hashed or held[r.key] == r.hash):
+            held[r.key] = held.pop(r.key)
+        return []
+
+    rows = accesses.select("cache", "seq", "key", "op", *(["hash"] if hashed else []))
+    return _replayed(rows, "cache", dict, step, lambda cache, held: [(cache, k) for k in held], "cache string, key string")
 
 
 def progress(batches: Iterator[tuple[str, int, int]]) -> list[str]:

@@ -89,7 +89,7 @@ def test_functions(session):
     assert set(rows) == {"lamp_work", "lamp_tick", "lamp_dim", "lamp_probe", "lamp_gone", "lamp_init", "lamp_exit"}
     assert rows["lamp_work"].calls == ["container_of", "mod_timer", "printk"]
     assert rows["lamp_dim"].return_type == "int" and [p.name for p in rows["lamp_dim"].params] == ["l", "to"]
-    assert rows["lamp_probe"].callback_context == "lamp_driver.probe" and rows["lamp_work"].callback_context == "async_WorkQueue"
+    assert rows["lamp_probe"].callback_context == "lamp_driver.probe" and rows["lamp_work"].callback_context == "async_WorkQueue { delayed: false }"
     assert rows["lamp_init"].attributes == ["static", "__init"] and not rows["lamp_init"].is_callback
     assert rows["lamp_work"].end_line - rows["lamp_work"].line == 5
 
@@ -121,7 +121,7 @@ def test_strict_mode(spark):
 def test_flow_trees(session):
     tree = session.flow_trees("lamp.c").collect()
     probe = {(r.node, r.depth) for r in tree if r.root == "lamp_probe"}
-    assert ("usb_hub_port_connect", 1) in probe and ("lamp_probe", 9) in probe and ("USB device plugged in", 0) in probe
+    assert ("usb_hub_port_connect", 1) in probe and ("drv->probe()", 9) in probe and ("lamp_probe", 10) in probe and ("USB device plugged in", 0) in probe
     kinds = {(r.root, r.node): r.node_type for r in tree}
     assert kinds["lamp_init", "usb_register"] == "KernelApi" and kinds["lamp_work", "lamp_tick"] in ("Function", "Ref")
     assert any(r.node_type == "Ref" for r in tree)
@@ -149,7 +149,7 @@ def test_callback_facts():
 
 
 def test_scenario(spark, tmp_path):
-    tree = spark.createDataFrame([("check", "check", None, 0, ["check"], "Function", "a"), ("check", "if_ptr_null", "check", 1, ["check", "if_ptr_null"], "Function", "a/b"), ("check", "kfree", "if_ptr_null", 2, ["check", "if_ptr_null", "kfree"], "KernelApi", "a/b/c")], "root string, node string, parent string, depth int, path array<string>, node_type string, ord string")
+    tree = spark.createDataFrame([("check", "check", None, 0, ["check"], "Function", "a"), ("check", "if_ptr_null", "check", 1, ["check", "if_ptr_null"], "Function", "a/b"), ("check", "kfree", "if_ptr_null", 2, ["check", "if_ptr_null", "kfree"], "KernelApi", "a/b/c")], "root string, node string, parent string, depth int, trail array<string>, node_type string, ord string")
     s = Scenario("s", "check").bind("ptr", "valid", "pointer").bind("n", "300")
     rows = run_scenario(tree, s).orderBy("step").collect()
     assert [(r.step, r.function, r.reachable) for r in rows] == [(1, "check", True), (2, "if_ptr_null", False), (3, "kfree", False)]

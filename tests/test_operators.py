@@ -14,7 +14,8 @@ from runpath.operators import points_to as PT
 from runpath.operators import relational as R
 from runpath.operators.index import SymbolIndex
 from runpath.plans import samples
-from runpath.sources.files import clang_args, knowledge, scan
+from runpath.sources.files import knowledge, scan
+from runpath.sources.preprocess import clang_args
 from runpath.streaming import intake
 
 
@@ -120,7 +121,7 @@ def test_points_to(spark):
 def test_tree_cycles_and_depth(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "ext"), ("a", "c")], "src string, dst string")
     known = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
-    rows = {(tuple(r.path), r.node_type) for r in G.flow_tree(spark, e, spark.createDataFrame([("a",), ("zz",)], "name string"), known).collect()}
+    rows = {(tuple(r.trail), r.node_type) for r in G.flow_tree(spark, e, spark.createDataFrame([("a",), ("zz",)], "name string"), known).collect()}
     assert rows == {(("a",), "Function"), (("a", "b"), "Function"), (("a", "c"), "Function"), (("a", "b", "a"), "Ref"), (("a", "b", "ext"), "KernelApi"), (("zz",), "External")}
     tree = G.flow_tree(spark, e, known.where("name = 'a'"), known)
     assert [r.text for r in G.render(tree).orderBy("ord").collect()] == ["a", "├─ b", "   ├─ a", "   └─ ext", "└─ c"]
@@ -144,9 +145,9 @@ def test_closure_and_path(spark):
 def test_entry_points(spark):
     f = spark.createDataFrame([("a", 9, False, True), ("b", 3, False, False), ("i", 5, False, True)], "name string, line int, is_callback boolean, is_static boolean")
     none = spark.createDataFrame([], "name string, rank int")
-    assert [r.name for r in G.entry_points(f, none).orderBy("ord").collect()] == ["b"]
-    assert [r.name for r in G.entry_points(f.where("is_static"), none).orderBy("ord").collect()] == ["i", "a"]
-    assert [r.name for r in G.entry_points(f, spark.createDataFrame([("i", 0)], "name string, rank int")).orderBy("ord").collect()] == ["i"]
+    assert [r.name for r in G.entry_points(f, none, ()).orderBy("ord").collect()] == ["b"]
+    assert [r.name for r in G.entry_points(f.where("is_static"), none, ()).orderBy("ord").collect()] == ["i", "a"]
+    assert [r.name for r in G.entry_points(f, spark.createDataFrame([("i", 0)], "name string, rank int"), ()).orderBy("ord").collect()] == ["i"]
 
 
 def test_candidates_match_brute_force(spark):

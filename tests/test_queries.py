@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from runpath.plans import catalog
+from runpath.plans import c_queries, catalog, more_queries, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,9 +26,9 @@ def rows(columns, data):
     return sorted((tuple(r[i] for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
-    rel = duck.sql(catalog.SQL[name])
+    df = registry.QUERIES[name](spark, DATA)
+    rel = duck.sql(registry.SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows(df.columns, df.collect()) == rows(list(rel.columns), rel.fetchall())
