@@ -12,12 +12,17 @@ another in no item resets the matching length to at most one, so stretches
 between such pairs that are too short for any window are passed over, with the
 same result as streaming them.
 
-Items are taken in blocks of at most ``block_words`` words: the driver holds one
-automaton at a time and executors load one at a time, however many items exist.
+Items are taken in blocks of at most ``block_words`` words, or of one longer item.
+However many items exist, the driver builds one automaton at a time and a task
+holds one at a time: with several blocks it takes texts of up to ``HELD_BYTES``
+together and loads the blocks for them one after the other.
 
 Defined results: null texts and texts without words have no hit; a null item
 has no window; items of a repeated id count once; a null item_id is written as
-an empty string; with no items nothing is hit.
+an empty string; with no items nothing is hit; an empty table gives no rows;
+texts are read whole, however long; rows of a repeated id are texts of their own;
+a text with exactly the share max_coverage of its words hit stays; columns besides
+the text, and n_chars with it, pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -228,41 +233,81 @@ def _stretches(a: Automaton, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarr
     return number, lo[long], hi[long]
 
 
-def find(column: pa.Array, shared: list[Broadcast]) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
-    """For each text: number of words, hit flag of each word, ids of items with windows in it."""
-    h, first = kernel.word_hashes(column, kernel.NON_ALNUM)
-    hit = np.zeros(len(h), dtype=bool)
-    items: list[set[str]] = [set() for _ in range(len(column))]
-    for b in shared if len(h) else ():
-        a = b.value
-        number, lo, hi = _stretches(a, h, first)
-        own = np.searchsorted(first, lo, side="right") - 1
-        for i, j, d in zip(lo.tolist(), hi.tolist(), own.tolist(), strict=True):
-            spans, found = a.stream(number[i:j].tolist())
-            for x, y in spans:
-                hit[i + x : i + y] = True
-            items[d] |= found
-    return np.diff(first), np.split(hit, first[1:-1]) if len(column) else [], items
+def each_block(shared: list[Broadcast]) -> Iterator[Automaton]:
+    """The automata one after the other; of several, only one is held at a time."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1 and getattr(b, "_path", None):
+            b.__dict__.pop("_value", None)  # value reads it again from its file
+
+
+def find(columns: list[pa.Array], shared: list[Broadcast]) -> list[tuple[np.ndarray, list[np.ndarray], list[set[str]]]]:
+    """For each column of texts, and each text of it: number of words, hit flag of each word, ids of items with windows in it."""
+    hashed = [kernel.word_hashes(c, kernel.NON_ALNUM) for c in columns]
+    hits = [np.zeros(len(h), dtype=bool) for h, _ in hashed]
+    items: list[list[set[str]]] = [[set() for _ in range(len(c))] for c in columns]
+    for a in each_block(shared):
+        for (h, first), hit, met in zip(hashed, hits, items, strict=True):
+            if not len(h):
+                continue
+            number, lo, hi = _stretches(a, h, first)
+            own = np.searchsorted(first, lo, side="right") - 1
+            for i, j, d in zip(lo.tolist(), hi.tolist(), own.tolist(), strict=True):
+                spans, found = a.stream(number[i:j].tolist())
+                for x, y in spans:
+                    hit[i + x : i + y] = True
+                met[d] |= found
+    return [(np.diff(first), np.split(hit, first[1:-1]) if len(c) else [], met) for c, (_, first), hit, met in zip(columns, hashed, hits, items, strict=True)]
 
 
 FOUND = T.StructType(
     [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType())]
 )
 
+#: Texts that meet a block of items together: with several blocks many, as each block is loaded anew for them.
+CHUNK_ROWS, CHUNK_BYTES, HELD_BYTES = 1000, 4 << 20, 32 << 20
+
+
+def _groups(arrays: Iterator[pa.Array], shared: list[Broadcast]) -> Iterator[list[pa.Array]]:
+    """Arrays that are searched together: one at a time with one block, up to HELD_BYTES of text with several."""
+    held, size = [], 0
+    for text in arrays:
+        held.append(text)
+        size += text.nbytes
+        if len(shared) <= 1 or size > HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _parts(text: pa.Array) -> list[pa.Array]:
+    return [b.column("text") for b in kernel.chunks(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), CHUNK_ROWS, CHUNK_BYTES)]
+
+
+def searched(arrays: Iterator[pa.Array], shared: list[Broadcast]) -> Iterator[list[tuple[pa.Array, tuple]]]:
+    """For each array its parts of bounded size, each with what find() says of it."""
+    for group in _groups(arrays, shared):
+        parts = [_parts(text) for text in group]
+        found = iter(find([p for ps in parts for p in ps], shared))
+        for ps in parts:
+            yield [(p, next(found)) for p in ps]
+        kernel.trim()
+
 
 def match_column(shared: list[Broadcast]):
     """Column function text -> struct(n_words, n_hit, items, items_sha256)."""
 
     @F.arrow_udf(FOUND)
-    def match(text: pa.Array) -> pa.Array:
-        n_words, n_hit, lists, digests = [], [], [], []
-        for lo in range(0, len(text), 1000):
-            n, hits, items = find(text.slice(lo, 1000), shared)
-            n_words += n.tolist()
-            n_hit += [int(x.sum()) for x in hits]
-            lists += [sorted(x) for x in items]
-        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
-        return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(digests)], names=FOUND.names)
+    def match(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for parts in searched(texts, shared):
+            n_words, n_hit, lists = [], [], []
+            for _, (n, hits, items) in parts:
+                n_words += n.tolist()
+                n_hit += [int(x.sum()) for x in hits]
+                lists += [sorted(x) for x in items]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
+            yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(digests, pa.string())], names=FOUND.names)
 
     return lambda column: match(F.col(column).cast("binary"))
 
@@ -283,7 +328,7 @@ def clean_text(raw: bytes, shared: list[Broadcast], max_coverage: float) -> byte
     """raw without contaminated spans (again where a cut joins words to a new hit); None if too much of it is hit."""
     total = 0
     while True:
-        n, hits, _ = find(pa.array([raw]), shared)
+        [(n, hits, _)] = find([pa.array([raw])], shared)
         hit = hits[0]
         if not hit.any():
             return raw
@@ -303,17 +348,18 @@ def decontaminate(documents: DataFrame, items: DataFrame, p: DecontaminationPara
     result = T.StructType([T.StructField("keep", T.BooleanType()), T.StructField("text", T.StringType())])
 
     @F.arrow_udf(result)
-    def clean(text: pa.Array) -> pa.Array:
-        keep, new = [], []
-        for lo in range(0, len(text), 1000):
-            part = text.slice(lo, 1000)
-            _, hits, _ = find(part, shared)
-            for raw, hit in zip(part.to_pylist(), hits, strict=True):
-                done = clean_text(raw, shared, limit) if hit.any() else raw
-                keep.append(done is not None or raw is None)
-                new.append(done.decode() if hit.any() and done is not None else None)
-        return pa.StructArray.from_arrays([pa.array(keep, pa.bool_()), pa.array(new, pa.string())], names=["keep", "text"])
-
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for parts in searched(texts, shared):
+            keep, new = [], []
+            for part, (_, hits, _) in parts:
+                for raw, hit in zip(part.to_pylist(), hits, strict=True):
+                    done = clean_text(raw, shared, limit) if hit.any() else raw
+                    keep.append(done is not None or raw is None)
+                    new.append(done.decode() if hit.any() and done is not None else None)
+            yield pa.StructArray.from_arrays([pa.array(keep, pa.bool_()), pa.array(new, pa.string())], names=["keep", "text"])
+
+    # Marked as not deterministic, so that the filter doesn't run it a second time.
+    clean = clean.asNondeterministic()
     mark = "__clean"
     out = documents.withColumn(mark, clean(F.col(text_col).cast("binary"))).where(f"{mark}.keep")
     changed = {text_col: F.coalesce(F.col(f"{mark}.text"), F.col(text_col))}

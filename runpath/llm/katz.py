@@ -92,19 +92,6 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, before, np.repeat(np.arange(n), np.diff(first) + 1)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, and of few rows where texts are long."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        _, off = kernel.flat(b.column("text"))
-        at = 0
-        while at < b.num_rows:
-            to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, side="right")) - 1))
-            yield b.slice(at, to - at)
-            at = to
-
-
 def _summed(key: np.ndarray, n: np.ndarray, *other: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys with their sums of n and any of their other values."""
     order = np.argsort(key)
@@ -117,7 +104,7 @@ def _summed(key: np.ndarray, n: np.ndarray, *other: np.ndarray) -> tuple[np.ndar
 def _count_words(p: KatzParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in chunks(batches, p.chunk_rows, p.chunk_bytes):
+        for b in kernel.chunks(batches, p.chunk_rows, p.chunk_bytes):
             word, _, _ = tokens(b.column("text"))
             k, n = np.unique(word, return_counts=True)
             keys, sums = _summed(np.concatenate([keys, k]), np.concatenate([sums, n]))
@@ -168,7 +155,7 @@ def _count_pairs(p: KatzParams, buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for b in chunks(batches, p.chunk_rows, p.chunk_bytes):
+        for b in kernel.chunks(batches, p.chunk_rows, p.chunk_bytes):
             word, before, _ = tokens(b.column("text"))
             got = _summed(kernel.combine(before, word), np.ones(len(word), np.uint32), before, word)
             held.append(got)
@@ -383,7 +370,7 @@ def _ask(p: KatzParams, model: KatzModel, hot_words, hot_pairs, buckets: int):
         wk, wbase, wvalue = hot_words.value
         pk, pgain = hot_pairs.value
         number = TaskContext.get().partitionId() << 32
-        for batch in chunks(batches, p.chunk_rows, p.chunk_bytes):
+        for batch in kernel.chunks(batches, p.chunk_rows, p.chunk_bytes):
             word, before, doc = tokens(batch.column("text"))
             n = batch.num_rows
             at, hot = _in(wk, word)

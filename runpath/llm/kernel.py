@@ -7,6 +7,9 @@ binary column is already.  Nothing here is per-row Python.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -82,6 +85,45 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, and of few rows where texts are long: at most `size` bytes of text, or one text."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        _, off = flat(b.column(column))
+        at = 0
+        while at < b.num_rows:
+            to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + size, side="right")) - 1))
+            yield b.slice(at, to - at)
+            at = to
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, and what it holds counts."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(run: Task) -> Task:
+    """A task function that gives its memory back when it is over."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit; in place."""
     h ^= h >> U(33)

@@ -4,28 +4,35 @@ Records hash into ``slots`` virtual slots for good; a small versioned map says
 which shard holds each slot.  Bytes are summed by slot (partial sums before the
 shuffle).  Version 1 deals the slots out in turn; a rebalance edits the map: it
 moves slots from the fullest shard to the emptiest as long as this brings the
-two closer, and writes the next version.  Only the map, of ``slots`` rows at any
-input size, reaches the driver.
+two closer, and writes the next version.  The versions of a corpus stand in one
+folder (``map_path``): a run starts from the last whole one, so few slots move
+when the corpus grows, and it writes no version if no slot moves.  Only the map,
+of ``slots`` rows at any input size, reaches the driver.
 
 The law of the query is ``bytes``: the sizes of shards are near equal.  Within a
 shard each row has a place, gapless from 0, counted by slot first: the slots of
-a shard follow one another, and rows are ranked within their slot only.
+a shard follow one another, and rows are ranked within their slot only.  Equal
+texts (groups of copies) are not kept together: rows of other ids have slots of
+their own, and so a group of any size is spread over the shards.
 
 Defined results: a null text counts 0 bytes and has the checksum of an empty
-text; rows hash by id, source size and text checksum, so null ids spread; equal
-rows share a slot and get different places; an empty table has an empty result.
+text; rows hash by id, size and text checksum, so null ids spread; equal rows
+share a slot and get different places in any order; an empty table has an empty
+result; texts of any length count whole; columns besides id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from runpath.llm.storage import materialize
+from runpath.llm.storage import children, exists, materialize, new_path, shared_folder
 
 
 @dataclass(frozen=True)
@@ -39,9 +46,6 @@ class ShardParams:
 
 PARAMS = ShardParams()
 
-MAP = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("vslot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("bytes", T.LongType())])
-
-
 def initial_map(p: ShardParams = PARAMS) -> list[int]:
     """Shard of each slot in version 1: dealt out in turn."""
     return [s % p.shards for s in range(p.slots)]
@@ -97,22 +101,53 @@ def records(documents: DataFrame, p: ShardParams = PARAMS, id_col: str = "doc_id
     return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(p.slots)).cast("int"))
 
 
-def slot_map(rows: DataFrame, p: ShardParams = PARAMS, previous: list[int] | None = None) -> DataFrame:
-    """Both versions of the slot map, stored as a table partitioned by version: (version, vslot, shard, bytes)."""
+def last_version(spark: SparkSession, map_path: str, p: ShardParams = PARAMS) -> tuple[int, list[int]] | None:
+    """Number and shards of the last version that was written whole."""
+    numbers = [int(n.split("=")[1]) for n in children(spark, map_path) if n.startswith("version=") and exists(spark, f"{map_path}/{n}/_SUCCESS")]
+    if not numbers:
+        return None
+    rows = spark.read.parquet(f"{map_path}/version={max(numbers)}").select("vslot", "shard").collect()  # slots rows
+    if len(rows) != p.slots:
+        raise ValueError(f"the map at {map_path} has {len(rows)} slots, not {p.slots}: their number is fixed for the life of a corpus")
+    shard_of = [0] * p.slots
+    for r in rows:
+        shard_of[r.vslot] = r.shard
+    return max(numbers), shard_of
+
+
+def _write_version(spark: SparkSession, map_path: str, version: int, shard_of: list[int], bytes_of: list[int]) -> None:
+    n = len(shard_of)
+    table = pa.table({"vslot": pa.array(range(n), pa.int32()), "shard": pa.array(shard_of, pa.int32()), "bytes": pa.array(bytes_of, pa.int64())})
+    spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{map_path}/version={version}")  # slots rows
+
+
+def slot_map(rows: DataFrame, p: ShardParams = PARAMS, map_path: str | None = None) -> DataFrame:
+    """(vslot, shard, version) of the version that fits rows, which is written to map_path unless it is there."""
     spark = rows.sparkSession
+    map_path = map_path or new_path(spark, "slot-map")
     bytes_of = [0] * p.slots
     for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect():  # at most p.slots rows
         bytes_of[r.vslot] = r.bytes
-    first = previous or initial_map(p)
-    second = rebalance(first, bytes_of, p.shards)
-    table = [(v, s, m[s], bytes_of[s]) for v, m in ((1, first), (2, second)) for s in range(p.slots)]
-    return materialize(spark.createDataFrame(table, MAP), "slot-map", ["version"])
+    known = last_version(spark, map_path, p)
+    version, shard_of = known or (1, initial_map(p))
+    if known is None:
+        _write_version(spark, map_path, 1, shard_of, bytes_of)
+    balanced = rebalance(shard_of, bytes_of, p.shards)
+    if balanced != shard_of:
+        version += 1
+        _write_version(spark, map_path, version, balanced, bytes_of)
+    return spark.read.schema("vslot int, shard int, bytes bigint").parquet(f"{map_path}/version={version}").select("vslot", "shard", F.lit(version).alias("version"))
+
+
+def map_folder(spark: SparkSession, corpus: str) -> str:
+    """Where the versions of a corpus's map stand, by the name of the corpus."""
+    return f"{shared_folder(spark)}/slot-maps/{hashlib.md5(corpus.encode()).hexdigest()}"
 
 
-def shard(documents: DataFrame, p: ShardParams = PARAMS) -> DataFrame:
+def shard(documents: DataFrame, p: ShardParams = PARAMS, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version), one row for each row of documents."""
     rows = materialize(records(documents, p), "records")
-    placed = slot_map(rows, p).where("version = 2").select("vslot", "shard", "version")
+    placed = slot_map(rows, p, map_path)
     counts = rows.groupBy("vslot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.join(counts, "vslot").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -126,4 +161,4 @@ def shard(documents: DataFrame, p: ShardParams = PARAMS) -> DataFrame:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), map_path=map_folder(spark, sf_dir))

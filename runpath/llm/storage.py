@@ -2,48 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder (local tests).
-LOCAL_FOLDER = "file:///tmp/checkpoints"
+from runpath.operators.storage import Scratch, exists, new_path, remove, shared_folder, store  # noqa: F401
+
 
+def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back with its schema."""
+    path = path or new_path(df.sparkSession, name)
+    out = store(df, path, partition_by)
+    out.table_path = path
+    return out
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = LOCAL_FOLDER
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by materialize(); only of those that nothing reads any more."""
+    for df in tables:
+        remove(spark, df.table_path)
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+class Tables(Scratch):
+    """Tables of one run of an operator: when it ends, all of them go but the result given to keep()."""
 
-def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back with its schema."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out.select(*df.columns)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by materialize(); only for one that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    top = shared_folder(spark).removeprefix("file:").lstrip("/")
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if top in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    def write(self, df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
+        out = materialize(df, name, partition_by)
+        self.paths.append(out.table_path)
+        return out
+
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        return materialize(df, name)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch is held several times over on both sides of the pipe.
@@ -51,7 +45,10 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS where it is higher."""
+    """Lower the session's rows per Arrow batch to BATCH_ROWS where it is higher.
+
+    The setting is read when a plan runs, which is after an operator has returned, so it stays lowered.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > BATCH_ROWS:

@@ -7,9 +7,12 @@ weights, at most 2**bits, which are broadcast for scoring.
 
 Defined results: a null or empty text has no features and gets the score of the
 bias alone; a null id is hashed as an empty string by the split; rows of a
-repeated id each get the same score as their text; labels that are null, and
-labels without a document, teach nothing; when no row can be learnt from, every
-score is 0.0 plus the bias of an untrained model (0.5).
+repeated id each get the same score as their text, and each is learnt from; labels
+that are null, and labels without a document, teach nothing, of different labels
+of one id the larger counts; when no row can be learnt from, every score is 0.0
+plus the bias of an untrained model (0.5).  Texts are read whole, however long; a
+tie with the threshold counts as toxic.  An empty table gives no rows.  Columns
+besides id and text pass through, but for one that has the name of the score's.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ class ToxicityParams:
 
 PARAMS = ToxicityParams()
 
-#: Texts whose features are held at a time.
-CHUNK = 256
+#: Texts, and bytes of them, whose features are held at a time.
+CHUNK, CHUNK_BYTES = 256, 1 << 20
 
 
 def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,17 +95,15 @@ class Ftrl:
 
 def _feature_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, CHUNK):
-                b = whole.slice(lo, CHUNK)
-                doc, feat = features(b.column("text"), bits)
-                keys = np.unique((doc << bits) | feat)
-                doc, feat = keys >> bits, (keys & ((1 << bits) - 1)).astype("<u4")
-                cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                rows = [feat[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("label"), pa.array(rows, pa.binary())], names=["rank", "label", "feats"])
+        for b in kernel.chunks(batches, CHUNK, CHUNK_BYTES):
+            doc, feat = features(b.column("text"), bits)
+            keys = np.unique((doc << bits) | feat)
+            doc, feat = keys >> bits, (keys & ((1 << bits) - 1)).astype("<u4")
+            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            rows = [feat[cut[i] : cut[i + 1]].tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("label"), pa.array(rows, pa.binary())], names=["rank", "label", "feats"])
 
-    return run
+    return kernel.trimmed(run)
 
 
 def _fit_rows(p: ToxicityParams):
@@ -119,7 +120,7 @@ def _fit_rows(p: ToxicityParams):
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["feature", "weight"])
 
-    return run
+    return kernel.trimmed(run)
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 4, kept_out: int = 2):
@@ -164,15 +165,15 @@ def scorer(spark: SparkSession, weights: DataFrame, p: ToxicityParams = PARAMS):
             w = np.zeros((1 << bits) + 1, dtype=np.float32)
             w[shared.value[0]] = shared.value[1]
             cache["w"] = w
-        w, out = cache["w"], np.empty(len(text))
-        for lo in range(0, len(text), CHUNK):
-            part = text.slice(lo, CHUNK)
-            doc, feat = features(part, bits)
+        w, out = cache["w"], []
+        for part in kernel.chunks(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), CHUNK, CHUNK_BYTES):
+            doc, feat = features(part.column("text"), bits)
             hit = w[feat] != 0
             keys = np.unique((doc[hit] << bits) | feat[hit])
-            total = np.bincount(keys >> bits, weights=w[keys & ((1 << bits) - 1)], minlength=len(part))
-            out[lo : lo + CHUNK] = sigmoid(total + w[-1])
-        return pa.array(out, pa.float64())
+            total = np.bincount(keys >> bits, weights=w[keys & ((1 << bits) - 1)], minlength=part.num_rows)
+            out.append(sigmoid(total + w[-1]))
+        kernel.trim()
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return lambda column: score(F.col(column).cast("binary"))
 
