@@ -1,29 +1,38 @@
 """Removal of repeated long byte strings by a hash-compared suffix sort.
 
 A byte goes if a string of ``length`` bytes that covers it starts anywhere else
-too.  Every window of that length holds one anchor: the ``gram``-byte string of
-least hash in it (the first of equal ones).  Equal windows have equal anchors at
-equal places, so only windows around equal anchors need comparison.
+too.  Shorter repeats are only told of: ``has_repeat`` is 1 if a string of
+``report`` bytes (a passage of about 50 words) occurs anywhere else.
+
+A string of ``report`` bytes has one anchor: its ``gram``-byte string of least
+hash (the first of equal ones), and a longer string has that of its first
+``report`` bytes.  Equal strings have equal anchors at equal places, so only
+strings around equal anchors need comparison.
 
 1. Each text gives the hashes of its anchors; those of an anchor that no other
    text or place has are done with (counts are summed before the shuffle).
-2. Around the other anchors the windows that own them are cut out and dealt by
+2. Around the other anchors the strings that own them are cut out and dealt by
    anchor hash.  In each bucket the suffixes that start at the anchors are put
    in order by a mergesort whose comparisons look for the first difference by
    binary search over prefix polynomial hashes (a logarithmic number of steps),
    and the common extension of each suffix with its neighbours is found the same
    way to both sides and verified byte by byte.
-3. Anchors whose windows are not all explained by a neighbour are settled with
-   the whole group of their anchor: equal windows have equal prefix hashes, and
+3. Anchors whose strings are not all explained by a neighbour are settled with
+   the whole group of their anchor: equal strings have equal prefix hashes, and
    are verified byte by byte as well.
-4. Windows that contain the same anchor cover one unbroken stretch, so the first
+4. Strings that contain the same anchor cover one unbroken stretch, so the first
    and the last repeated one say what goes.
 
-Equal texts are found by their digest; from ``length`` bytes on they go entirely.
+Copies cost nothing: equal texts are found by their digest, go entirely from
+``length`` bytes on, and one row of them is cut.  Texts without a shared anchor
+are not shuffled: a bit map of bounded size tells them.  Equal pieces of one task
+collapse before they leave it, and so does a stretch that repeats itself.
 
 Defined results: a null or empty text has no bytes and nothing to remove; texts
 shorter than ``length`` stay; matches never cross texts; rows of a repeated id
-are texts of their own.
+are texts of their own; equal strings are all removed, so there are no ties to
+break; texts are worked on whole, however long; an empty table gives no rows;
+columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,18 +46,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runpath.llm import kernel
-from runpath.llm.storage import materialize, small_batches
+from runpath.llm import filters, kernel
+from runpath.llm.storage import Tables, small_batches
 
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """length of strings that must be unique; gram: bytes of an anchor; bucket_bytes dealt to one group, about."""
+    """length of strings that must be unique; report: length of those that are told of; gram: bytes of an anchor; bucket_bytes dealt to one group, about."""
 
     length: int = 400
-    gram: int = 200
+    report: int = 250
+    gram: int = 125
     bucket_bytes: int = 4 << 20
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.report <= self.length:
+            raise ValueError("gram, report and length must ascend")
+
 
 PARAMS = RepeatParams()
 U8 = np.uint64
@@ -75,20 +89,20 @@ STEP = 1 << 18
 
 
 def anchors(x: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, number of windows) of each anchor of one text; windows are numbered by their start.
+    """(hash, place, first string, number of strings) of each anchor of one text; strings of `report` bytes are numbered by their start.
 
-    A window's anchor is its gram of least hash (high bits), the first of equal ones.
+    A string's anchor is its gram of least hash (high bits), the first of equal ones.
     """
-    n, k, w = len(x), p.gram, p.length - p.gram + 1
+    n, k, w = len(x), p.gram, p.report - p.gram + 1
     none = np.zeros(0, np.int64)
-    if n < p.length:
+    if n < p.report:
         return none.astype(np.uint64), none, none, none
     out: list[tuple[np.ndarray, ...]] = []
     mask = U8((1 << PLACE_BITS) - 1)
-    last = n - p.length + 1
+    last = n - p.report + 1
     for lo in range(0, last, STEP):  # so that a very long text takes bounded memory
         hi = min(lo + STEP, last)
-        part = x[lo : hi + p.length - 1]
+        part = x[lo : hi + p.report - 1]
         sums = prefix_hashes(part)
         m = len(part) - k + 1
         h = kernel.mix((sums[k:] - sums[:-k]) * kernel.powers(m)[1][:m])
@@ -103,36 +117,57 @@ def anchors(x: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+#: Texts, and bytes of them, that are worked on at a time.
+CHUNK_ROWS, CHUNK_BYTES = 500, 4 << 20
+
+
 def _anchor_rows(p: RepeatParams):
     """Distinct anchor hashes of each text, with their numbers of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                data, off = kernel.flat(b.column("text"))
-                found = [np.unique(anchors(data[off[i] : off[i + 1]], p)[0], return_counts=True) for i in range(b.num_rows)]
-                rows = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), b.column("ka").take(rows), b.column("kb").take(rows), pa.array(np.concatenate([f[1] for f in found]), pa.int64())],
-                        names=["anchor", "ka", "kb", "n"],
-                    )
-
-    return run
+        for b in kernel.chunks(batches, CHUNK_ROWS, CHUNK_BYTES):
+            data, off = kernel.flat(b.column("text"))
+            found = [np.unique(anchors(data[off[i] : off[i + 1]], p)[0], return_counts=True) for i in range(b.num_rows)]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), b.column("ka").take(rows), b.column("kb").take(rows), pa.array(np.concatenate([f[1] for f in found]), pa.int64())],
+                    names=["anchor", "ka", "kb", "n"],
+                )
+
+    return kernel.trimmed(run)
+
+
+def _self_repeats(raw: bytes, h: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each piece of a text the number of the piece whose stretch it belongs to (its own if to none): pieces that follow at equal distance and repeat one another."""
+    head = np.arange(len(h))
+    if len(h) < 4:
+        return head
+    same = (h[1:] == h[:-1]) & (count[1:] == count[:-1]) & (at[1:] == at[:-1]) & (size[1:] == size[:-1])
+    step = np.diff(start)
+    joined = same & np.concatenate([[True], (step[1:] == step[:-1]) | ~same[:-1]])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8)))
+    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # pieces i to j
+        if j - i < 3:
+            continue
+        lo, hi, d = int(start[i]), int(start[j] + size[j]), int(step[i])
+        if raw[lo : hi - d] == raw[lo + d : hi]:
+            head[i : j + 1] = i
+    return head
 
 
 def _cut_rows(p: RepeatParams, buckets: int):
-    """The windows around the anchors of interest of each text, packed by bucket of the anchor hash.
+    """The strings around the anchors of interest of each text, packed by bucket of the anchor hash.
 
-    numbers: (anchor, ka, kb, first window, windows, place of the anchor, 1 if the piece came more than once) of each
-    distinct piece of a task.  A piece that comes twice is explained: its other owners go to `done` at once.
+    numbers: (anchor, ka, kb, first string, strings, place of the anchor, bytes, 1 if the piece came more than once) of
+    each distinct piece of a task.  A piece that comes twice is explained: its other owners go to `done` at once, as
+    (ka, kb, from, to) of what goes; a piece shorter than `length` is only told of, by an empty stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, bytes], list[int]] = {}
         done: list[tuple[int, int, int, int]] = []
-        size = 0
+        size_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             by: dict[int, list[tuple[list[int], bytes]]] = {}
@@ -145,7 +180,7 @@ def _cut_rows(p: RepeatParams, buckets: int):
                 types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "numbers", "bytes", "done"])
 
-        for b in batches:
+        for b in kernel.chunks(batches, CHUNK_ROWS, CHUNK_BYTES):
             data, off = kernel.flat(b.column("text"))
             ka, kb, lists = b.column("ka").to_pylist(), b.column("kb").to_pylist(), b.column("anchors")
             for i in range(b.num_rows):
@@ -153,24 +188,33 @@ def _cut_rows(p: RepeatParams, buckets: int):
                 h, place, start, count = anchors(x, p)
                 raw = x.tobytes()
                 wanted = np.flatnonzero(np.isin(h.view(np.int64), lists[i].values.to_numpy()))
-                for key, s, c, at in zip(*(v[wanted].tolist() for v in (h.view(np.int64), start, count, place - start)), strict=True):
-                    piece = raw[s : s + c + p.length - 1]
-                    known = held.get((key, at, piece))
+                h, start, count, at = h.view(np.int64)[wanted], start[wanted], count[wanted], (place - start)[wanted]
+                size = np.minimum(start + count + p.length - 1, len(x)) - start
+                head = _self_repeats(raw, h, start, count, at, size)
+                for j, (key, s, c, a, z, first) in enumerate(zip(*(v.tolist() for v in (h, start, count, at, size, head)), strict=True)):
+                    if first != j:  # told of by the piece at the head of its stretch
+                        continue
+                    last = j
+                    if j + 1 < len(head) and head[j + 1] == j:
+                        last = int(np.searchsorted(head, j, side="right")) - 1
+                    piece = raw[s : s + z]
+                    known = held.get((key, a, piece))
                     if known is None:
-                        held[key, at, piece] = [key, ka[i], kb[i], s, c, at, 0]
-                        size += len(piece) + 200
+                        held[key, a, piece] = [key, ka[i], kb[i], s, c, a, z, int(last > j)]
+                        size_held += z + 200
                     else:
                         known[-1] = 1
-                        done.append((ka[i], kb[i], s, s + c + p.length - 1))
-                        size += 100
-                if size > 24 << 20:
+                    if known is not None or last > j:
+                        done.append((ka[i], kb[i], s, int(start[last] + size[last]) if z >= p.length else s))
+                        size_held += 100
+                if size_held > 24 << 20:
                     yield from flush()
                     held.clear()
                     done.clear()
-                    size = 0
+                    size_held = 0
         yield from flush()
 
-    return run
+    return kernel.trimmed(run)
 
 
 class Pieces:
@@ -254,68 +298,83 @@ def suffix_sort(t: Pieces, at: np.ndarray) -> np.ndarray:
     return order
 
 
+def _group_hits(t: Pieces, key: np.ndarray, pieces: np.ndarray, count: np.ndarray, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, string) of strings of so many bytes that some other string of the same anchor equals, among pieces; those of two known pieces need no proof and are left out."""
+    piece = np.repeat(pieces, count[pieces])
+    string = np.concatenate([np.arange(c) for c in count[pieces]]) if len(pieces) else np.zeros(0, np.int64)
+    if not len(piece):
+        return piece, string
+    h = t.hash(piece, string, length)
+    by = np.lexsort((h, key[piece]))
+    same = np.flatnonzero((h[by][1:] == h[by][:-1]) & (key[piece[by]][1:] == key[piece[by]][:-1]))
+    hit = np.zeros(len(by), bool)
+    for s in same.tolist():
+        x, y = by[s], by[s + 1]
+        a, b = int(piece[x]), int(piece[y])
+        if (known[a] and known[b]) or (hit[x] and hit[y]):
+            continue
+        if t.equal(a, int(string[x]), b, int(string[y]), length):
+            hit[x] = hit[y] = True
+    return piece[hit], string[hit]
+
+
 def _settle(p: RepeatParams):
-    """One bucket: for each cut-out piece with a repeated window, the stretch that goes."""
+    """One bucket: for each cut-out piece with a repeated string of `length` bytes, the stretch that goes; an empty stretch for one that is only told of."""
     length = p.length
 
     def run(table: pa.Table) -> pa.Table:
-        packed = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 7) for x in table.column("numbers")]
+        packed = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 8) for x in table.column("numbers")]
         pieces: list[np.ndarray] = []
         for d, s in zip(table.column("bytes"), packed, strict=True):
             if len(s):
-                pieces += np.split(np.frombuffer(d.as_buffer(), np.uint8), np.cumsum(s[:, 4] + length - 1)[:-1])
+                pieces += np.split(np.frombuffer(d.as_buffer(), np.uint8), np.cumsum(s[:, 6])[:-1])
         spans = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in table.column("done")]
         numbers = np.concatenate(packed)
         # Pieces that are equal throughout, of other texts or places, explain one another; one of them goes on.
         kinds: dict[tuple[int, int, bytes], int] = {}
         same = np.array([kinds.setdefault((n[0], n[5], piece.tobytes()), i) for i, (n, piece) in enumerate(zip(numbers.tolist(), pieces, strict=True))], np.int64)
         other = same != np.arange(len(same))
-        twice = numbers[:, 6] == 1
+        twice = numbers[:, 7] == 1
         twice[same[other]] = True
-        explained = twice | other
-        spans.append(np.stack([numbers[explained, 1], numbers[explained, 2], numbers[explained, 3], numbers[explained, 3] + numbers[explained, 4] + length - 1], axis=1))
+        done = numbers[twice | other]
+        spans.append(np.stack([done[:, 1], done[:, 2], done[:, 3], done[:, 3] + np.where(done[:, 6] >= length, done[:, 6], 0)], axis=1))
         keep = np.flatnonzero(~other)
         key = numbers[keep, 0]
         k, c = np.unique(key, return_counts=True)
         keep = keep[np.isin(key, k[c > 1])]
-        resolved_before = twice[keep]
-        key, ka, kb, start, count, at = numbers[keep, :6].T
+        before = twice[keep]
+        key, ka, kb, start, count, at, size = numbers[keep, :7].T
+        long = np.clip(size - length + 1, 0, count)  # strings of `length` bytes
         first, last = np.full(len(keep), np.iinfo(np.int64).max), np.full(len(keep), -1)
+        told = before.copy()
         if len(keep):
             t = Pieces([pieces[i] for i in keep])
             order = suffix_sort(t, at)
             for a, b in ((order[:-1], order[1:]), (order[1:], order[:-1])):
-                same = key[a] == key[b]
-                a, b = a[same], b[same]
+                near = key[a] == key[b]
+                a, b = a[near], b[near]
                 right, left = t.forward(a, at[a], b, at[b]), t.backward(a, at[a], b, at[b])
-                lo, hi = np.maximum(at[a] - left, 0), np.minimum(at[a] + right - length, count[a] - 1)
-                ok = hi >= lo
-                ok[ok] = [t.equal(x, l, y, l - at[x] + at[y], h - l + length) for x, y, l, h in zip(a[ok].tolist(), b[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True)]
-                np.minimum.at(first, a[ok], lo[ok])
-                np.maximum.at(last, a[ok], hi[ok])
-            # Everything between the first and the last window goes anyway, so a piece is settled once both ends are reached.
-            resolved = resolved_before | ((first == 0) & (last == count - 1))
-            rest = np.isin(key, key[~resolved])
-            if rest.any():
-                i = np.flatnonzero(rest)
-                piece = np.repeat(i, count[i])
-                window = np.concatenate([np.arange(c) for c in count[i]])
-                h = t.hash(piece, window, length)
-                by = np.lexsort((h, key[piece]))
-                same = np.flatnonzero((h[by][1:] == h[by][:-1]) & (key[piece[by]][1:] == key[piece[by]][:-1]))
-                hit = np.zeros(len(by), bool)
-                for s in same.tolist():
-                    x, y = by[s], by[s + 1]
-                    a, b = int(piece[x]), int(piece[y])
-                    # Windows of pieces that are settled on both sides need no proof.
-                    if (resolved[a] and resolved[b]) or (hit[x] and hit[y]):
-                        continue
-                    if t.equal(a, int(window[x]), b, int(window[y]), length):
-                        hit[x] = hit[y] = True
-                np.minimum.at(first, piece[hit], window[hit])
-                np.maximum.at(last, piece[hit], window[hit])
+                common = right + left >= p.report
+                a, b, right, left = a[common], b[common], right[common], left[common]
+                ok = np.array([t.equal(x, m - l, y, n - l, l + r) for x, y, m, n, l, r in zip(a.tolist(), b.tolist(), at[a].tolist(), at[b].tolist(), left.tolist(), right.tolist(), strict=True)], bool)
+                a, right, left = a[ok], right[ok], left[ok]
+                told[a] = True
+                lo, hi = np.maximum(at[a] - left, 0), np.minimum(at[a] + right - length, long[a] - 1)
+                whole = hi >= lo
+                np.minimum.at(first, a[whole], lo[whole])
+                np.maximum.at(last, a[whole], hi[whole])
+            # Everything between the first and the last string goes anyway, so a piece is settled once both ends are reached.
+            resolved = before | (long == 0) | ((first == 0) & (last == long - 1))
+            piece, string = _group_hits(t, key, np.flatnonzero(np.isin(key, key[~resolved])), long, length, resolved)
+            np.minimum.at(first, piece, string)
+            np.maximum.at(last, piece, string)
+            told[last >= 0] = True
+            piece, _ = _group_hits(t, key, np.flatnonzero(np.isin(key, key[~told])), count, p.report, told)
+            told[piece] = True
         some = last >= 0
         spans.append(np.stack([ka[some], kb[some], start[some] + first[some], start[some] + last[some] + length], axis=1))
+        only = told & ~some & ~before
+        spans.append(np.stack([ka[only], kb[only], start[only], start[only]], axis=1))
         ka, kb, lo, hi = np.concatenate(spans).T
         return pa.table({"ka": pa.array(ka), "kb": pa.array(kb), "from": pa.array(lo), "to": pa.array(hi)})
 
@@ -326,54 +385,65 @@ REMOVAL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            b = whole.slice(lo, 500)
-            removed, runs, digest, kept = [], [], [], []
-            for raw, spans, all_ in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "whole")), strict=True):
-                raw = raw or b""
-                merged: list[list[int]] = []
-                for s in [{"from": 0, "to": len(raw)}] if all_ else sorted(spans or (), key=lambda s: s["from"]):
-                    if merged and s["from"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["to"])
-                    else:
-                        merged.append([s["from"], s["to"]])
-                parts, at = [], 0
-                for s, e in merged:
-                    parts.append(raw[at:s])
-                    at = e
-                left = b"".join([*parts, raw[at:]])
-                removed.append(len(raw) - len(left))
-                runs.append(len(merged))
-                digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            n = pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    for b in kernel.chunks(batches, CHUNK_ROWS, CHUNK_BYTES):
+        removed, runs, digest, kept = [], [], [], []
+        for raw, spans, all_ in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "whole")), strict=True):
+            merged: list[list[int]] = []
+            for s in [{"from": 0, "to": len(raw)}] if all_ else sorted(spans or (), key=lambda s: s["from"]):
+                if s["from"] == s["to"]:
+                    continue
+                if merged and s["from"] <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], s["to"])
+                else:
+                    merged.append([s["from"], s["to"]])
+            parts, at = [], 0
+            for s, e in merged:
+                parts.append(raw[at:s])
+                at = e
+            left = b"".join([*parts, raw[at:]])
+            removed.append(len(raw) - len(left))
+            runs.append(len(merged))
+            digest.append(hashlib.sha256(left).hexdigest())
+            kept.append(left)
+        n = pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    kernel.trim()
 
 
 def remove_repeats(documents: DataFrame, p: RepeatParams = PARAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row of documents; kept: the remaining bytes."""
-    small_batches(documents.sparkSession)
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeat, kept) of each row of documents; kept: the remaining bytes."""
+    spark = documents.sparkSession
+    small_batches(spark)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"), F.xxhash64(raw).alias("ka"), F.xxhash64(F.lit(1), raw).alias("kb"))
-    long = texts.where(F.octet_length("text") >= p.length)
-    copies = long.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").select("ka", "kb")
-
-    found = materialize(long.select("text", "ka", "kb").mapInArrow(_anchor_rows(p), "anchor long, ka long, kb long, n long"), "anchors")
-    text = F.struct("ka", "kb")
-    shared = found.groupBy("anchor").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.max("n").alias("n")).where("a <> b or n > 1").select("anchor")
-    wanted = found.join(shared, "anchor").groupBy("ka", "kb").agg(F.collect_set("anchor").alias("anchors"), F.sum("n").alias("n"))
-    wanted = materialize(wanted, "wanted")
-    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) * (2 * p.length - p.gram) // p.bucket_bytes + 1)
-    whole = long.join(wanted, ["ka", "kb"]).select("ka", "kb", "anchors", "text").dropDuplicates(["ka", "kb"])
-    cut = whole.mapInArrow(_cut_rows(p, buckets), "bucket int, numbers binary, bytes binary, done binary")
-    spans = cut.groupBy("bucket").applyInArrow(_settle(p), "ka long, kb long, from long, to long")
-    lists = spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("from", "to")).alias("spans"), F.lit(False).alias("whole"))
-    none = F.expr("cast(null as array<struct<from:bigint,to:bigint>>)")
-    gone = lists.join(copies, ["ka", "kb"], "left_anti").select("ka", "kb", "spans", "whole").union(copies.select("ka", "kb", none, F.lit(True)))
-    gone = materialize(gone, "repeats")
-    return texts.join(gone, ["ka", "kb"], "left").select("doc_id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(_apply, REMOVAL)
+    # One row of each group of copies is cut; a repeated row of one id is as good as another.
+    long = texts.where(F.octet_length("text") >= p.report).withColumn("row", F.xxhash64("doc_id"))
+    key = ["ka", "kb"]
+    with Tables(spark) as tables:
+        groups = tables.write(long.groupBy(*key).agg(F.count("*").alias("n"), F.min("row").alias("row"), F.max(F.octet_length("text")).alias("bytes")), "texts")
+        copies = groups.where("n > 1")
+        found = tables.write(long.select("text", *key).mapInArrow(_anchor_rows(p), "anchor long, ka long, kb long, n long"), "anchors")
+        text = F.struct(*key)
+        shared = found.groupBy("anchor").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.max("n").alias("n")).where("a <> b or n > 1").select("anchor")
+        wanted = found.join(shared, "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("anchors"), F.sum("n").alias("n"))
+        wanted = tables.write(wanted.join(groups.select(*key, "row"), key).select(*key, "row", F.xxhash64(*key, "row").alias("cut"), "anchors", "n"), "wanted")
+        total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) * (p.length + p.report - p.gram) // p.bucket_bytes + 1)
+        maybe, _ = filters.split(long.withColumn("cut", F.xxhash64(*key, "row")), "cut", filters.bit_map(wanted, "cut"))
+        whole = maybe.join(wanted.select(*key, "row", "anchors"), [*key, "row"]).select(*key, "anchors", "text").dropDuplicates(key)
+        cut = whole.mapInArrow(_cut_rows(p, buckets), "bucket int, numbers binary, bytes binary, done binary")
+        spans = cut.groupBy("bucket").applyInArrow(_settle(p), "ka long, kb long, from long, to long")
+        lists = spans.groupBy(*key).agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+        gone = lists.join(groups.withColumnRenamed("row", "__row"), key, "full_outer").where("spans is not null or n > 1")
+        gone = tables.keep(gone.select(*key, F.col("spans"), (F.coalesce("n", F.lit(0)) > 1).alias("copied"), ((F.coalesce("n", F.lit(0)) > 1) & (F.col("bytes") >= p.length)).alias("whole")), "repeats")
+        # What is lazy from here on reads the texts and this one table.
+        hit, clean = filters.split(texts, "ka", filters.bit_map(gone, "ka"))
+        marked = hit.join(gone, key, "left")
+        untouched = clean.select("doc_id", "text").union(marked.where("whole is null").select("doc_id", "text"))
+        plain = untouched.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(0).alias("has_repeat"), F.col("text").alias("kept"))
+        done = marked.where("whole is not null").select("doc_id", "text", "spans", "whole").mapInArrow(_apply, REMOVAL)
+        done = done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.lit(1).alias("has_repeat"), "kept")
+        return plain.union(done)
 
 
 def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
