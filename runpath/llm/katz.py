@@ -20,14 +20,18 @@ Pairs are joined with their histories, and texts with the model, one slice after
 the other, so that the shuffle files of one slice only are on disk at a time.
 Their most frequent rows, at most ``hot`` of each, are broadcast; all other
 lookups are dealt out by key together with the rest of the model, packed as
-arrays, so no key's rows meet in one task and nothing that grows with the corpus
-is held by one.  Counts are summed within each task before they are shuffled,
-and pairs of very frequent words are dealt by pair instead of by word.
+arrays, so no key's rows meet in one task.  A task of the evaluation holds its
+part of the model, of about ``task_tokens`` at most, and streams the lookups, which
+come sorted after it; there are never more packed lookups than tokens.  Counts
+are summed within each task before they are shuffled, and pairs of very frequent
+words are dealt by pair instead of by word.
 
 Defined results: a null or empty text is the end word alone; rows of a repeated
-id are scored each on its own; a null id is hashed as an empty string by the
-split; without training rows every token is unknown with probability one and
-base probability one.
+id are scored each on its own, and each is learnt from; a null id is hashed as an
+empty string by the split; without training rows every token is unknown with
+probability one and base probability one; an empty table gives no rows; texts are
+read whole, however long; words of equal counts are all treated alike, so there
+are no ties to break; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -116,10 +120,12 @@ def _count_words(p: KatzParams):
     return run
 
 
-def _deal(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings buckets together and keeps the order within, and where each begins."""
+def _deal(bucket: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Order that brings buckets together and keeps the order within, and the place of each bucket that has something."""
     order = np.argsort(bucket.astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+    there, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first[1:], len(bucket))[: len(first)]
+    return order, [(b, slice(i, j)) for b, i, j in zip(there.tolist(), first.tolist(), ends.tolist(), strict=True)]
 
 
 def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +146,9 @@ def _count_pairs(p: KatzParams, buckets: int, frequent: np.ndarray):
     def packed(before: np.ndarray, word: np.ndarray, n: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
         dealt = np.where(_in(frequent, word)[1], key, word).view(np.int64) % buckets
         order = np.lexsort((before, dealt))
-        cut = np.searchsorted(dealt[order], np.arange(buckets + 1))
-        rows = [(b, _blob(before[i]), _blob(word[i]), _blob(n[i])) for b in range(buckets) if len(i := order[cut[b] : cut[b + 1]])]
+        there, first = np.unique(dealt[order], return_index=True)
+        parts = np.split(order, first[1:]) if len(there) else []
+        rows = [(b, _blob(before[i]), _blob(word[i]), _blob(n[i])) for b, i in zip(there.tolist(), parts, strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "a", "b", "c"])
 
@@ -280,11 +287,13 @@ def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text")
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * width, total // 1_000_000 + 1)
-    often = counted.where(F.col("n") > total / (4 * buckets)).select("key", prob.alias("p")).toPandas()  # fewer than 4 * buckets rows
+    # Words of more than a quarter of a bucket's share, at most p.hot of them, are dealt out by pair.
+    dealt_from = max(total // (4 * buckets) + 1, _frequent_from(counted, p.hot))
+    often = counted.where(F.col("n") >= dealt_from).select("key", prob.alias("p")).toPandas()  # at most p.hot rows
     often = often.sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
     frequent, frequent_p = often["key"].to_numpy(np.int64).view(np.uint64), often["p"].to_numpy(np.float64)
     pairs = texts.mapInArrow(_count_pairs(p, buckets, frequent), "bucket int, a binary, b binary, c binary")
-    words = counted.where((F.col("n") >= p.min_pairs) & (F.col("n") <= total / (4 * buckets))).select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", prob.alias("p"))
+    words = counted.where((F.col("n") >= p.min_pairs) & (F.col("n") < dealt_from)).select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", prob.alias("p"))
     summed = materialize(pairs.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_sum_pairs(p, frequent, frequent_p), "hist long, key long, n long, p double, slice int"), "pair-counts", ["slice"])
     _release(spark)
     seen2 = {int(r.r): r.k for r in summed.where(F.col("slice") == p.slices).groupBy(F.col("key").alias("r")).agg(F.sum("n").alias("k")).collect()}
@@ -339,12 +348,11 @@ def _pack_model(kind: int, buckets: int, held_rows: int):
         key, *values = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         key, values = key.view(np.uint64), [v.astype(F4 if kind == PAIRS else F8) for v in values]
-        order, cut = _deal(key.view(np.int64) % buckets, buckets)
+        order, places = _deal(key.view(np.int64) % buckets, buckets)
         key, values = key[order], [v[order] for v in values]
         out = []
-        for i in np.flatnonzero(np.diff(cut)):
-            s = slice(cut[i], cut[i + 1])
-            out.append((int(i), kind, None, _blob(key[s]), _blob(values[0][s]), _blob(values[1][s]) if len(values) > 1 else None, None))
+        for i, s in places:
+            out.append((i, kind, None, _blob(key[s]), _blob(values[0][s]), _blob(values[1][s]) if len(values) > 1 else None, None))
         yield from _rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,11 +394,10 @@ def _ask(p: KatzParams, model: KatzModel, hot_words, hot_pairs, buckets: int):
             items = []
             for kind, keys, own in ((ASK_WORDS, word[rest], doc[rest]), (ASK_PAIRS, key[~paired], doc[~paired])):
                 dealt = keys.view(np.int64) % buckets
-                order, cut = _deal(dealt, buckets)
+                order, places = _deal(dealt, buckets)
                 keys, own = keys[order], own[order].astype("<u2" if p.chunk_rows <= 1 << 16 else "<u4")
-                for i in np.flatnonzero(np.diff(cut)):
-                    s = slice(cut[i], cut[i + 1])
-                    items.append((int(i), kind, number, _blob(keys[s]), _blob(own[s]), None, None))
+                for i, s in places:
+                    items.append((i, kind, number, _blob(keys[s]), _blob(own[s]), None, None))
             ids = batch.column("doc_id")
             info = np.stack([every, known], axis=1).astype(I8)
             flags = np.stack([np.array(ids.is_valid().to_numpy(zero_copy_only=False)), batch.column("held").to_numpy(zero_copy_only=False)], axis=1).astype("u1")
@@ -401,46 +408,74 @@ def _ask(p: KatzParams, model: KatzModel, hot_words, hot_pairs, buckets: int):
     return run
 
 
+def _grouped(place: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct places, ascending, with the sums of their values."""
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+    return place[at], *(np.add.reduceat(v[order], at) if len(place) else v for v in values)
+
+
 def _answer(p: KatzParams, model: KatzModel):
-    """One task's lookups: sums by chunk and text; what chunks know passes through."""
+    """One task's lookups: sums by chunk and text; what chunks know passes through.
+
+    The partition is sorted: first the model's rows, which are held, then the lookups by chunk, which stream through.
+    """
     unknown, base_unknown = model.unknown, model.base_unknown
     small = "<u2" if p.chunk_rows <= 1 << 16 else "<u4"
 
+    def table(held: list[tuple[bytes, bytes, bytes | None]], kind: int) -> tuple[np.ndarray, ...]:
+        get = lambda i, t: np.concatenate([np.frombuffer(r[i], t) for r in held]) if held else np.zeros(0, t)
+        key = get(0, "<u8")
+        order = np.argsort(key)
+        values = (get(1, F8)[order], get(2, F8)[order]) if kind == WORDS else (get(1, F4)[order],)
+        held.clear()
+        return key[order], *values
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {k: [] for k in range(4)}
+        held: dict[int, list] = {WORDS: [], PAIRS: []}
+        words = pairs = None
         for b in batches:
-            through = []
-            for kind, *row in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "chunk", "a", "b", "c", "d")), strict=True):
-                if kind == CHUNK:
-                    through.append((row[0], kind, *row[1:]))
+            through, asked = [], {ASK_WORDS: [], ASK_PAIRS: []}
+            for row in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "chunk", "a", "b", "c", "d")), strict=True):
+                kind = row[0]
+                if kind in held:
+                    held[kind].append(row[3:6])
+                elif kind == CHUNK:
+                    through.append((row[1], kind, *row[2:]))
                 else:
-                    held[kind].append(tuple(row))
+                    asked[kind].append(row[2:5])
             yield from _rows(through)
-        sums: dict[int, np.ndarray] = {}
-        for told, asked in ((WORDS, ASK_WORDS), (PAIRS, ASK_PAIRS)):
-            get = lambda i, t: np.concatenate([np.frombuffer(r[i], t) for r in held[told]]) if held[told] else np.zeros(0, t)  # noqa: E731, B023
-            key = get(2, "<u8")
-            order = np.argsort(key)
-            key, first = key[order], get(3, F8 if told == WORDS else F4)[order]
-            second = get(4, F8)[order] if told == WORDS else first
-            held[told] = []
-            for _, chunk, a, b, *_ in held[asked]:
-                at, there = _in(key, np.frombuffer(a, "<u8"))
-                doc, at = np.frombuffer(b, small)[there], at[there]
-                total = sums.setdefault(chunk, np.zeros((3, p.chunk_rows)))
-                if told == WORDS:
-                    total[0] += np.bincount(doc, minlength=p.chunk_rows)
-                    total[1] += np.bincount(doc, weights=first[at] - base_unknown, minlength=p.chunk_rows)
-                    total[2] += np.bincount(doc, weights=second[at] - unknown, minlength=p.chunk_rows)
+            if not any(asked.values()):
+                continue
+            if words is None:
+                words, pairs = table(held[WORDS], WORDS), table(held[PAIRS], PAIRS)
+            chunk = np.unique([r[0] for rows in asked.values() for r in rows])
+            places, sums = [], []
+            for kind, model_rows in ((ASK_WORDS, words), (ASK_PAIRS, pairs)):
+                rows = asked[kind]
+                if not rows:
+                    continue
+                keys = [np.frombuffer(r[1], "<u8") for r in rows]
+                place = np.concatenate([np.frombuffer(r[2], small) for r in rows]).astype(np.int64)
+                place += np.repeat(np.searchsorted(chunk, [r[0] for r in rows]), [len(k) for k in keys]) * p.chunk_rows
+                at, there = _in(model_rows[0], np.concatenate(keys))
+                place, at = place[there], at[there]
+                places.append(place)
+                if kind == ASK_WORDS:
+                    sums.append((np.ones(len(at), np.uint32), words[1][at] - base_unknown, words[2][at] - unknown))
                 else:
-                    total[2] += np.bincount(doc, weights=first[at], minlength=p.chunk_rows)
-            held[asked] = []
-        for chunk, total in sums.items():
-            doc = np.flatnonzero(total.any(axis=0))
-            t = total[:, doc]
-            yield from _rows([(0, ASK_PAIRS, chunk, _blob(doc.astype(small)), _blob(t[0].astype("<u4")), _blob(t[1].astype(F8)), _blob(t[2].astype(F4)))])
+                    sums.append((np.zeros(len(at), np.uint32), np.zeros(len(at)), pairs[1][at].astype(F8)))
+            place, known, base, gain = _grouped(np.concatenate(places), *(np.concatenate(x) for x in zip(*sums, strict=True)))
+            cut = np.searchsorted(place, np.arange(len(chunk) + 1) * p.chunk_rows)
+            out = []
+            for i, c in enumerate(chunk.tolist()):
+                s = slice(cut[i], cut[i + 1])
+                if cut[i] < cut[i + 1]:
+                    out.append((0, ASK_PAIRS, c, _blob((place[s] - i * p.chunk_rows).astype(small)), _blob(known[s].astype("<u4")), _blob(base[s].astype(F8)), _blob(gain[s].astype(F4))))
+            yield from _rows(out)
 
-    return run
+    return kernel.trimmed(run)
 
 
 def _finish(p: KatzParams, total: int):
@@ -475,8 +510,8 @@ def score(documents: DataFrame, model: KatzModel, p: KatzParams = PARAMS, id_col
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of documents."""
     spark = documents.sparkSession
     sc = spark.sparkContext
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // p.task_tokens + 1)
-    buckets = 8 * width
+    # A bucket is a partition: keys are hashes, so buckets are even without more of them than tasks.
+    buckets = width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // p.task_tokens + 1)
     words_from, pairs_from = _frequent_from(model.words, p.hot), _frequent_from(model.pairs, p.hot)
     w = model.words.where(F.col("n") >= words_from).select("key", "base", "value").toPandas()  # at most p.hot rows
     w = w.iloc[np.argsort(w["key"].to_numpy(np.int64).view(np.uint64))]
@@ -493,7 +528,8 @@ def score(documents: DataFrame, model: KatzModel, p: KatzParams = PARAMS, id_col
     for i in range(p.text_slices):
         mine = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(p.text_slices)) == i)
         asked = mine.mapInArrow(_ask(p, model, hot_words, hot_pairs, buckets), ROW)
-        answered = asked.union(told).union(paired).repartition(width, "bucket").mapInArrow(_answer(p, model), ROW)
+        every = asked.union(told).union(paired).repartitionById(width, "bucket")
+        answered = every.sortWithinPartitions(F.col("kind") >= ASK_WORDS, "chunk", "kind").mapInArrow(_answer(p, model), ROW)
         scored = answered.groupBy("chunk").applyInArrow(
             _finish(p, model.tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         )
