@@ -15,7 +15,8 @@ Evaluation is this recursion per token, unrolled: every token contributes
 log P(w) + log alpha(h), and a token whose pair is kept moreover the gain
 log P(w | h) - log alpha(h) - log P(w), which is stored with the pair.
 
-Both model tables are Parquet in the shared folder, partitioned by ``part``.
+The model's tables are Parquet in the shared folder, partitioned by ``part``; pairs
+are packed as arrays by bucket of their key when they are stored.
 Pairs are joined with their histories, and texts with the model, one slice after
 the other, so that the shuffle files of one slice only are on disk at a time.
 Their most frequent rows, at most ``hot`` of each, are broadcast; all other
@@ -250,10 +251,12 @@ def _release(spark: SparkSession) -> None:
 
 @dataclass
 class KatzModel:
-    """words (key, n, base, value) and pairs (key, n, gain), both partitioned tables, and what is true of all tokens."""
+    """words (key, n, base, value), pairs (packed rows of keys and gains by bucket) and the most frequent pairs (key, gain), all stored tables; and what is true of all tokens."""
 
     words: DataFrame
     pairs: DataFrame
+    hot_pairs: DataFrame
+    buckets: int
     tokens: int
     distinct: int
     unknown: float  # log10 P of the unknown word
@@ -306,7 +309,10 @@ def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text")
     # A history all of whose followers are frequent would leave nothing for the others.
     shrink = F.when(1 - share < 0.5 / (F.col("times") + 1), F.col("times") / (F.col("times") + 1) / share).otherwise(F.lit(1.0))
     gain = F.log10(_discounted("n", d2) * F.col("shrink") / F.col("times")) - F.col("alpha") - F.log10("p")
-    hists, pair_models = [], []
+    # A bucket is a partition of the evaluation: keys are hashes, so buckets are even without more of them than tasks.
+    model_buckets = max(width, total // p.task_tokens + 1)
+    pairs_from = _frequent_from(summed.where(F.col("slice") < p.slices), p.hot)
+    hists, pair_models, hot_models = [], [], []
     for i in range(p.slices):
         kept = summed.where(F.col("slice") == i).drop("slice")
         per = kept.groupBy("hist").agg(F.sum(_discounted("n", d2)).alias("m"), F.sum("p").alias("low")).join(times.where(F.pmod("hist", F.lit(p.slices)) == i), "hist")
@@ -314,7 +320,10 @@ def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text")
         hists.append(materialize(per.select("hist", "times", "shrink", "alpha"), "histories"))
         del per
         _release(spark)
-        pair_models.append(materialize(kept.join(hists[-1], "hist").select("key", "n", gain.cast("float").alias("gain"), F.lit(i).alias("part")), "pairs", ["part"]))
+        gains = lambda rows: rows.join(hists[-1], "hist").select("key", gain.cast("float").alias("gain"))
+        packed = gains(kept.where(F.col("n") < pairs_from)).mapInArrow(_pack_model(PAIRS, model_buckets, p.held_pairs), ROW)
+        pair_models.append(materialize(packed.withColumn("part", F.lit(i)), "pairs", ["part"]))
+        hot_models.append(materialize(gains(kept.where(F.col("n") >= pairs_from)), "hot-pairs"))
         _release(spark)
     discard(spark, summed)
     pair_model = reduce(DataFrame.union, pair_models)
@@ -327,7 +336,7 @@ def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text")
     for used in (counted, *hists):
         discard(spark, used)
     _release(spark)
-    return KatzModel(word_model, pair_model, int(total), int(distinct), unknown, begin[0] if begin else 0.0, -math.log10(total + distinct + 1))
+    return KatzModel(word_model, pair_model, reduce(DataFrame.union, hot_models), model_buckets, int(total), int(distinct), unknown, begin[0] if begin else 0.0, -math.log10(total + distinct + 1))
 
 
 # Kinds of packed rows: the model's words and pairs, lookups of both, and what a chunk knows without them.
@@ -510,20 +519,19 @@ def score(documents: DataFrame, model: KatzModel, p: KatzParams = PARAMS, id_col
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of documents."""
     spark = documents.sparkSession
     sc = spark.sparkContext
-    # A bucket is a partition: keys are hashes, so buckets are even without more of them than tasks.
-    buckets = width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.tokens // p.task_tokens + 1)
-    words_from, pairs_from = _frequent_from(model.words, p.hot), _frequent_from(model.pairs, p.hot)
+    buckets = width = model.buckets
+    words_from = _frequent_from(model.words, p.hot)
     w = model.words.where(F.col("n") >= words_from).select("key", "base", "value").toPandas()  # at most p.hot rows
     w = w.iloc[np.argsort(w["key"].to_numpy(np.int64).view(np.uint64))]
     hot_words = sc.broadcast((w["key"].to_numpy(np.int64).view(np.uint64), w["base"].to_numpy(np.float64), w["value"].to_numpy(np.float64)))
-    q = model.pairs.where(F.col("n") >= pairs_from).select("key", "gain").toPandas()  # at most p.hot rows
+    q = model.hot_pairs.toPandas()  # at most p.hot rows
     key = q["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     hot_pairs = sc.broadcast((key[order], q["gain"].to_numpy(np.float64)[order]))
 
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held is None else held).alias("held"), F.col(text_col).cast("binary").alias("text"))
     told = model.words.where(F.col("n") < words_from).select("key", "base", "value").mapInArrow(_pack_model(WORDS, buckets, p.held_pairs), ROW)
-    paired = model.pairs.where(F.col("n") < pairs_from).select("key", "gain").mapInArrow(_pack_model(PAIRS, buckets, p.held_pairs), ROW)
+    paired = model.pairs.drop("part")
     out = []
     for i in range(p.text_slices):
         mine = texts.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(p.text_slices)) == i)
