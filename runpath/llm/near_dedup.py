@@ -20,11 +20,18 @@
 Every link (similarity of at least ``percent``/100) that shares a band is found;
 a pair at the threshold itself shares one but for about 3 in a million.
 
+Sets are compared as sets of 64-bit hashes of their shingles; sets are taken for
+equal if their sizes and two 64-bit sums over their hashes are.
+
 Defined results: null and empty texts, and texts of separators only, have an
 empty set, are linked with nothing and keep their own id; texts with fewer words
 than a shingle are one shingle; rows of a repeated id are one node of the graph
 (each row is returned) with the union of their links; a row whose id is null is
-returned with a null component and is kept.
+returned with a null component and is kept; of a group the smallest id stays, so
+there are no ties; texts are read whole, however long; an empty table gives no
+rows; columns besides id and text are not looked at, and pass through keep_one()
+whatever their names.  keep_one() takes rows of one id with different texts for
+different documents.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpath.llm import filters, kernel
-from runpath.llm.storage import materialize, small_batches
+from runpath.llm.storage import Tables, materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,10 @@ OP5 = NearDupParams(words=4)
 PIPELINE = NearDupParams(words=5)
 
 
+#: Texts, and bytes of them, that are worked on at a time.
+CHUNK_ROWS, CHUNK_BYTES = 500, 4 << 20
+
+
 def shingle_hashes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of all texts, and the number of the first shingle of each text."""
     h, first = kernel.word_hashes(column)
@@ -124,41 +135,37 @@ def _signature_rows(p: NearDupParams):
     a, b = _permutations(p.minima)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                sh, cut = shingle_hashes(batch.column("text"), p.words)
-                n = batch.num_rows
-                size, sig = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
-                mins = np.zeros((n, p.minima), np.uint32)
-                for i in range(n):
-                    if cut[i] < cut[i + 1]:
-                        s = np.unique(sh[cut[i] : cut[i + 1]])
-                        size[i] = len(s)
-                        sig[i] = s.sum(dtype=np.uint64), kernel.mix(s ^ kernel.STEP).sum(dtype=np.uint64)
-                        mins[i] = minima(s, a, b)
-                groups = mins.reshape(n, p.bands, p.rows).astype(np.uint64)
-                keys = kernel.combine(np.broadcast_to(np.arange(p.bands, dtype=np.uint64), (n, p.bands)).copy(), *(groups[:, :, j].copy() for j in range(p.rows)))
-                packed = pack(mins, p.bits)
-                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m.shape[1], pa.int32()), pa.array(m.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(size), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)), lists(keys), lists(packed)],
-                    names=["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "packed"],
-                )
-
-    return run
+        for batch in kernel.chunks(batches, CHUNK_ROWS, CHUNK_BYTES):
+            sh, cut = shingle_hashes(batch.column("text"), p.words)
+            n = batch.num_rows
+            size, sig = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
+            mins = np.zeros((n, p.minima), np.uint32)
+            for i in range(n):
+                if cut[i] < cut[i + 1]:
+                    s = np.unique(sh[cut[i] : cut[i + 1]])
+                    size[i] = len(s)
+                    sig[i] = s.sum(dtype=np.uint64), kernel.mix(s ^ kernel.STEP).sum(dtype=np.uint64)
+                    mins[i] = minima(s, a, b)
+            groups = mins.reshape(n, p.bands, p.rows).astype(np.uint64)
+            keys = kernel.combine(np.broadcast_to(np.arange(p.bands, dtype=np.uint64), (n, p.bands)).copy(), *(groups[:, :, j].copy() for j in range(p.rows)))
+            packed = pack(mins, p.bits)
+            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m.shape[1], pa.int32()), pa.array(m.view(np.int64).ravel()))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(size), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)), lists(keys), lists(packed)],
+                names=["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "packed"],
+            )
+
+    return kernel.trimmed(run)
 
 
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                sh, cut = shingle_hashes(batch.column("text"), width)
-                sets = [np.unique(sh[cut[i] : cut[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        for batch in kernel.chunks(batches, CHUNK_ROWS, CHUNK_BYTES):
+            sh, cut = shingle_hashes(batch.column("text"), width)
+            sets = [np.unique(sh[cut[i] : cut[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return run
+    return kernel.trimmed(run)
 
 
 def _narrow(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,10 +186,10 @@ def _agree(p: NearDupParams, x: str, y: str):
     return out
 
 
-def _confirm(documents: DataFrame, pairs: DataFrame, p: NearDupParams) -> DataFrame:
+def _confirm(tables: Tables, documents: DataFrame, pairs: DataFrame, p: NearDupParams) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold. The texts of ids in pairs are read again."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(documents, ids, p)
+    sets = _sets(tables, documents, ids, p)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= p.percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -190,17 +197,17 @@ def _confirm(documents: DataFrame, pairs: DataFrame, p: NearDupParams) -> DataFr
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): smallest label of the neighbours, then pointer jumping, until nothing changes."""
-    edges = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
-    while True:
-        seen = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        met = labels.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = materialize(met.join(jump, "component").select("id", "was", F.least("component", "further").alias("component")), "labels")
-        changed = after.where(F.col("was") != F.col("component")).limit(1).count()
-        labels = after.select("id", "component")
-        if not changed:
-            return labels
+    with Tables(links.sparkSession) as tables:
+        edges = tables.write(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        labels = tables.write(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+        while True:
+            seen = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+            met = labels.join(seen, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+            jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+            after = tables.write(met.join(jump, "component").select("id", "was", F.least("component", "further").alias("component")), "labels")
+            labels = after.select("id", "component")
+            if after.where(F.col("was") != F.col("component")).isEmpty():
+                return tables.keep(labels, "components")
 
 
 class _Merged:
@@ -267,47 +274,52 @@ def _block_links(p: NearDupParams):
     return run
 
 
-def _sets(documents: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
+def _sets(tables: Tables, documents: DataFrame, ids: DataFrame, p: NearDupParams) -> DataFrame:
     """(id, shingles) of the ids in ids (id): their texts are read again. The sets are shuffled, the texts are not."""
     maybe, _ = filters.split(documents, "doc_id", filters.bit_map(ids.withColumnRenamed("id", "doc_id"), "doc_id"))
     sets = maybe.mapInArrow(_set_rows(p.words), "id long, shingles array<bigint>").join(ids, "id", "left_semi")
-    return materialize(sets.dropDuplicates(["id"]), "sets")
+    return tables.write(sets.dropDuplicates(["id"]), "sets")
 
 
-def _second_search(documents: DataFrame, spokes: DataFrame, signed: DataFrame, found: DataFrame, p: NearDupParams) -> DataFrame | None:
+def _second_search(tables: Tables, documents: DataFrame, spokes: DataFrame, signed: DataFrame, found: DataFrame, p: NearDupParams) -> DataFrame | None:
     """Links within buckets that hold members of several components, or None where there is no such bucket."""
     placed = spokes.where("members > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     by_key = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"))
     # Buckets of several bands that have the same members are searched once.
-    mixed = materialize(by_key.where("low <> high").groupBy("who", "n").agg(F.min("key").alias("key")).select("key"), "mixed")
-    if not mixed.limit(1).count():
+    mixed = tables.write(by_key.where("low <> high").groupBy("who", "n").agg(F.min("key").alias("key")).select("key"), "mixed")
+    if mixed.isEmpty():
         return None
-    hard = materialize(placed.join(mixed, "key", "left_semi").select("key", "rep", "component", "members"), "hard")
-    sets = _sets(documents, hard.select(F.col("rep").alias("id")).distinct(), p)
+    hard = tables.write(placed.join(mixed, "key", "left_semi").select("key", "rep", "component", "members"), "hard")
+    sets = _sets(tables, documents, hard.select(F.col("rep").alias("id")).distinct(), p)
     blocks = F.ceil(F.col("members") / p.block).cast("int")
     side = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
     spread = hard.select("key", "rep", "component", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
         "key", "rep", "component", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")
     )
     whole = spread.join(signed, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    return materialize(whole.groupBy("key", "x", "y").applyInArrow(_block_links(p), "a long, b long").distinct(), "links")
+    return tables.write(whole.groupBy("key", "x", "y").applyInArrow(_block_links(p), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of documents."""
     small_batches(documents.sparkSession)
     texts = _narrow(documents, id_col, text_col)
-    rows = materialize(texts.mapInArrow(_signature_rows(p), "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<bigint>, packed array<bigint>"), "signatures")
+    with Tables(documents.sparkSession) as tables:
+        return tables.keep(_near_duplicates(tables, texts, p), "classes")
+
+
+def _near_duplicates(tables: Tables, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    rows = tables.write(texts.mapInArrow(_signature_rows(p), "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<bigint>, packed array<bigint>"), "signatures")
     with_set = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     one = ["n_shingles", "sig_a", "sig_b"]
     classes = with_set.groupBy(*one).agg(F.min("doc_id").alias("rep"))
-    reps = materialize(with_set.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"] + one).select(F.col("doc_id").alias("rep"), "bands", "packed"), "reps")
+    reps = tables.write(with_set.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"] + one).select(F.col("doc_id").alias("rep"), "bands", "packed"), "reps")
     # Different sets under one id, and an id that represents one set and also has another, are joined through the id.
     member = with_set.select("doc_id", *one).distinct().join(classes, one).select("doc_id", "rep").where("doc_id <> rep").distinct()
 
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    spokes = materialize(keyed.join(buckets, "key"), "spokes")
+    spokes = tables.write(keyed.join(buckets, "key"), "spokes")
     signed = reps.select("rep", "packed").dropDuplicates(["rep"])
     stars = spokes.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     near = (
@@ -316,10 +328,10 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams(), id
         .where(_agree(p, "pa", "pb") >= p.agreeing)
         .select("a", "b")
     )
-    links = materialize(_confirm(texts, materialize(near, "stars"), p), "links")
+    links = tables.write(_confirm(tables, texts, tables.write(near, "stars"), p), "links")
     found = components(links)
 
-    more = _second_search(texts, spokes, signed, found, p)
+    more = _second_search(tables, texts, spokes, signed, found, p)
     if more is not None:
         links = links.union(more)
     return _result(rows, components(links.union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))))
@@ -332,15 +344,23 @@ def _result(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, p: NearDupParams = PIPELINE) -> DataFrame:
-    """documents with one row of each group of near duplicates: that of the smallest id, one row of a repeated id.
+    """documents with one row of each group of near duplicates: that of the smallest id; of equal rows of one id, one.
 
-    Rows without an id are all kept.  Columns are those of documents.
+    Rows of one id with different texts are different documents: the text of the smallest digest goes by the id, others by
+    a number of their own beyond all ids.  Rows without an id are all kept.  Columns are those of documents.
     """
-    gone = materialize(near_duplicates(documents, p).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    left = filters.without(documents, gone, "doc_id")
-    repeated = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    many, single = filters.split(left, "doc_id", filters.bit_map(repeated, "doc_id"))
-    return single.union(many.dropDuplicates(["doc_id"]))
+    repeated = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("first")).where("n > 1")
+    twins = materialize(repeated.select("doc_id", "first"), "repeated-ids")
+    many, single = filters.split(documents, "doc_id", filters.bit_map(twins, "doc_id"))
+    key, digest = "__key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", digest), 2).bitwiseOR(F.lit(1 << 61))
+    named = many.join(twins.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
+    named = named.withColumn(key, F.when(F.col("__id").isNull() | (digest == F.col("first")), F.col("doc_id").cast("long")).otherwise(own)).select(*(F.col(f"`{c}`") for c in documents.columns), key, F.col("__id").isNotNull().alias("__twin"))
+    rows = named.where("not __twin").drop("__twin").union(named.where("__twin").drop("__twin").dropDuplicates([key]))
+    rows = single.withColumn(key, F.col("doc_id").cast("long")).union(rows)
+    classes = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), p)
+    gone = materialize(classes.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "duplicates")
+    return filters.without(rows, gone, key).drop(key)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
