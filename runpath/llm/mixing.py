@@ -4,22 +4,26 @@ Each source gets a target of words.  A document of a source whose target is
 m times the source's size has an expected number of copies m: floor(m) copies
 are certain, and one more is drawn with inclusion probability f = m - floor(m).
 Documents are ranked by Pareto's order variable, the random odds u / (1 - u)
-divided by the inclusion odds f / (1 - f), and taken in this order until the
-source's remaining words are used up; the last place goes to the document whose
-size closes the remaining gap best.
+divided by the inclusion odds f / (1 - f), and taken in this order as long as the
+source's remaining words allow it: one that is larger than what remains is passed
+over, and the draw goes on with those after it until none is left that fits.
 
 A source may hold any share of all rows: ranks are first cut into ``bins`` equal
 steps, words are summed by source and bin (partial sums before the shuffle), and
 only the documents of the one bin in which a source's target falls are put in
-order.
+order.  What remains then is less than one document's words, so only documents
+smaller than that go on, the next ``step`` of each source at a time.  Sources are
+taken to be few: one task holds a row for each of them, not their documents.
 
 The random number of a document is a hash of the seed and its id, text size and
 text digest, so that reruns agree.
 
 Defined results: a null text and a text without words have size 0 and are taken
 0 times; a null source is a source of its own, the last; rows that are equal in
-all columns share their random number, and ties between rows of different size go
-to the smaller one first; an empty table gives no rows.
+all columns share their random number and are taken or passed over together as far
+as they stand in the same step, and ties between rows of different size go to the
+smaller one first; an empty table gives no rows; texts of any length count whole;
+columns besides id, text and source pass through take() whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runpath.llm.storage import materialize
+from runpath.llm.storage import Tables, materialize
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,8 @@ class MixParams:
     percent: int = 150
     most_copies: int = 2
     bins: int = 1 << 14
+    #: Documents of a source that are gone through at a time once its draw has passed one over.
+    step: int = 4096
     seed: str = "mix-1"
 
 
@@ -104,28 +110,50 @@ def with_targets(rows: DataFrame, goal: DataFrame, p: MixParams = PARAMS) -> Dat
 
 
 def plan(slim: DataFrame, p: MixParams = PARAMS) -> DataFrame:
-    """One row for each source: size, target, certain copies, and where the draw among its documents ends."""
+    """One row for each source: size, target, certain copies, where the first part of the draw ends, and what is taken after it."""
     goal = targets(slim, p).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = goal.withColumn("sure", F.floor("ratio").cast("long")).withColumn("f", F.col("ratio") - F.floor("ratio"))
-    goal = materialize(goal.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size")).drop("ratio"), "targets")
-    drawn = with_targets(slim, goal, p).where("q is not null")
-
-    by_bin = drawn.groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = by_bin.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > F.col("rest"))
-    edge = edges.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"))).alias("e")).select("s", F.col("e.bin").alias("edge"), F.col("e.below").alias("below"))
-    at_edge = drawn.join(edge, drawn["source"].eqNullSafe(edge["s"])).where("bin = edge")
-    within = Window.partitionBy("s").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fitting = at_edge.withColumn("run", F.col("below") + F.sum("size").over(within)).where(F.col("run") <= F.col("rest"))
-    last = fitting.groupBy(F.col("s").alias("t")).agg(F.max(F.struct(*PLACE)).alias("last"), F.max("run").alias("run"))
-    cut = edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t").withColumn("run", F.coalesce("run", "below")).drop("below")
-    with_cut = materialize(goal.join(cut, goal["source"].eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
-
-    gap = F.col("rest") - F.col("run")
-    left = with_targets(slim, with_cut, p).where(F.col("q").isNotNull() & F.col("edge").isNotNull() & ~_inside() & (F.abs(F.col("size") - gap) < gap))
-    best = left.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), *PLACE)).alias("b"))
-    best = best.select("s", F.struct(*(F.col(f"b.{c}").alias(c) for c in PLACE)).alias("best"))
-    return materialize(with_cut.join(best, with_cut["source"].eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
+    with Tables(slim.sparkSession) as tables:
+        goal = tables.write(goal.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size")).drop("ratio"), "targets")
+        drawn = with_targets(slim, goal, p).where("q is not null")
+
+        by_bin = drawn.groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        edges = by_bin.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > F.col("rest"))
+        edge = edges.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("below"))).alias("e")).select("s", F.col("e.bin").alias("edge"), F.col("e.below").alias("below"))
+        at_edge = drawn.join(edge, drawn["source"].eqNullSafe(edge["s"])).where("bin = edge")
+        within = Window.partitionBy("s").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        fitting = at_edge.withColumn("run", F.col("below") + F.sum("size").over(within)).where(F.col("run") <= F.col("rest"))
+        last = fitting.groupBy(F.col("s").alias("t")).agg(F.max(F.struct(*PLACE)).alias("last"), F.max("run").alias("run"))
+        cut = edge.join(last, F.col("s").eqNullSafe(F.col("t")), "left").drop("t").withColumn("run", F.coalesce("run", "below")).drop("below")
+        with_cut = tables.write(goal.join(cut, goal["source"].eqNullSafe(F.col("s")), "left").drop("s"), "cuts")
+
+        none = F.lit(None).cast(with_cut.schema["last"].dataType)
+        kind = with_cut.schema["last"].dataType.simpleString()
+        state = tables.write(
+            with_cut.where("edge is not null").select(F.col("source").alias("s"), F.col("edge").alias("from_bin"), F.coalesce(F.col("last"), none).alias("after"), (F.col("rest") - F.col("run")).alias("gap"), F.expr(f"cast(array() as array<{kind}>)").alias("more")), "draw"
+        )
+        while True:
+            ahead = with_targets(slim, with_cut.select(*goal.columns), p).where("q is not null")
+            later = (F.col("bin") > F.col("from_bin")) | (F.col("bin") == F.col("from_bin")) & (F.col("after").isNull() | (F.struct(*PLACE) > F.col("after")))
+            fits = ahead.join(state, ahead["source"].eqNullSafe(state["s"])).where(later & (F.col("size") <= F.col("gap")))
+            counts = fits.groupBy("s", "bin").agg(F.count("*").alias("n"))
+            before = F.sum("n").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+            near = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < p.step).groupBy(F.col("s").alias("t")).agg(F.max("bin").alias("to_bin"))
+            rank = F.row_number().over(Window.partitionBy("s").orderBy(*PLACE))
+            next_ = fits.join(near, fits["s"].eqNullSafe(near["t"])).where("bin <= to_bin").withColumn("rank", rank).where(F.col("rank") <= p.step)
+            lists = tables.write(next_.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(*PLACE, "bin"))).alias("docs")), "next")
+            if lists.isEmpty():
+                break
+            place = lambda d: F.struct(*(d[c].alias(c) for c in PLACE))
+            start = F.struct(F.col("gap").alias("gap"), F.expr(f"cast(array() as array<{kind}>)").alias("taken"))
+            taken = lambda a, d: F.struct((a["gap"] - d["size"]).alias("gap"), F.concat(a["taken"], F.array(place(d))).alias("taken"))
+            gone = lists.withColumnRenamed("s", "t").join(state, F.col("t").eqNullSafe(F.col("s")))
+            gone = gone.withColumn("r", F.aggregate("docs", start, lambda a, d: F.when(d["size"] <= a["gap"], taken(a, d)).otherwise(a))).withColumn("end", F.element_at("docs", -1))
+            moved = gone.select("s", F.col("end.bin").alias("from_bin"), place(F.col("end")).alias("after"), F.col("r.gap").alias("gap"), F.concat("more", "r.taken").alias("more"))
+            rest = state.join(lists.select(F.col("s").alias("t"), F.lit(True).alias("moved")), F.col("s").eqNullSafe(F.col("t")), "left").where("moved is null").select(*state.columns)
+            state = tables.write(rest.unionByName(moved), "draw")
+        return tables.keep(with_cut.join(state.select("s", "more"), with_cut["source"].eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
 
 
 def _inside() -> Column:
@@ -137,7 +165,7 @@ def _inside() -> Column:
 def decide(rows: DataFrame, planned: DataFrame, p: MixParams = PARAMS) -> DataFrame:
     """rows (with the columns of keyed()) and their copies."""
     found = with_targets(rows, planned, p)
-    extra = F.coalesce(_inside(), F.lit(False)) | F.coalesce(F.col("q").isNotNull() & (F.struct(*PLACE) == F.col("best")), F.lit(False))
+    extra = F.coalesce(_inside(), F.lit(False)) | F.coalesce(F.col("q").isNotNull() & F.array_contains("more", F.struct(*PLACE)), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("sure") + extra.cast("long")).otherwise(F.lit(0).cast("long"))
     return found.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
 

@@ -69,9 +69,9 @@ def naive_clean(text, items):
         text = "\n".join([*parts, text[end:]])
 
 
-def naive_mix(rows):
+def naive_mix(rows, p=mixing.PARAMS):
     """Copies of each (doc_id, text, source)."""
-    p, size, by = mixing.PARAMS, collections.Counter(), collections.defaultdict(list)
+    size, by = collections.Counter(), collections.defaultdict(list)
     for i, t, s in rows:
         n = len(t.split())
         digest = hashlib.md5(t.encode()).hexdigest()
@@ -97,13 +97,10 @@ def naive_mix(rows):
         copies |= {i: sure for _, _, i, _ in docs}
         if f <= 0:
             continue
-        order, run = sorted((u / (1 - u) / (f / (1 - f)), n, i, d) for u, n, i, d in docs), 0
-        while order and run + order[0][1] <= rest:
-            run += order[0][1]
-            copies[order.pop(0)[2]] += 1
-        fill = [(abs(x[1] - (rest - run)), x) for x in order if abs(x[1] - (rest - run)) < rest - run]
-        if fill:
-            copies[min(fill)[1][2]] += 1
+        for _, n, i, _ in sorted((u / (1 - u) / (f / (1 - f)), n, i, d) for u, n, i, d in docs):
+            if n <= rest:
+                rest -= n
+                copies[i] += 1
     return copies
 
 
