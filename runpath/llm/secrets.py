@@ -8,18 +8,26 @@ random from that alphabet: chi-squared for uniform counts, the Wald-Wolfowitz
 runs test about the alphabet's middle, and lag-one serial correlation.  Their
 smallest p-value, corrected for three tests, is the run's p-value.
 
-Few characters give the tests little power, so runs are compared only with runs
-of their own length band: within each band the Benjamini-Hochberg procedure at
-level ``fdr`` picks the runs that are not random.  A run is reported if it is
-not among them, if its alphabet mixes letters and digits, and if so many draws
-from that alphabet carry at least ``min_bits`` bits.
+A run can be reported if its alphabet mixes letters and digits and so many draws
+from that alphabet carry at least ``min_bits`` bits.  Few characters give the tests
+little power, so these runs are compared only with runs of their own length band,
+and within each band the share of false reports is held at ``fdr``: a random run
+has a p-value of at least t with probability (1 - t / 3)^3, and runs that are not
+random hardly ever have one above the band's ``tail``, which is lower the longer the
+runs are.  The runs above it tell how many random ones the band holds, so for every
+cut t the reports beyond those that random runs explain are the false ones; the
+smallest cut at which they are at most ``fdr`` of the reports is taken.  What is
+reported of one text thus depends on all texts.
 
 All positions come out of one pass over the texts: a pattern's matches and the
 pieces between them have lengths, whose running sums are the offsets.  Only these
 small rows are shuffled, by document.
 
 Defined results: a null or empty text has no spans; rows of a repeated id are
-treated each on its own; offsets are code points, ends exclusive.
+treated each on its own; offsets are code points, ends exclusive; spans that start
+together stand in the order of their kinds; runs of equal p-values are reported
+together or not at all; texts are read whole, however long; an empty table gives
+no rows; columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +42,14 @@ from runpath.llm.storage import materialize
 
 @dataclass(frozen=True)
 class SecretParams:
-    """min_length characters of a tested run; false-discovery level; bits a reported run carries; length bands."""
+    """min_length characters of a tested run; share of false reports in a band; bits a reported run carries; length bands."""
 
-    min_length: int = 20
+    min_length: int = 24
     fdr: float = 0.1
     min_bits: float = 80.0
-    bands: tuple[int, ...] = (20, 24, 32, 40, 64, 128)
+    bands: tuple[int, ...] = (24, 32, 40, 64, 128)
+    #: For each band the p-value above which runs count as random.
+    tails: tuple[float, ...] = (0.9, 0.3, 0.1, 0.05, 0.05)
     steps: int = 10_000
 
 
@@ -154,18 +164,32 @@ def battery(runs: DataFrame, piece: str = "piece") -> DataFrame:
 
 
 def random_runs(runs: DataFrame, p: SecretParams = PARAMS) -> DataFrame:
-    """The runs that pass for random: Benjamini-Hochberg within length bands on p-values in steps of 1/steps, rounded up."""
+    """The runs that pass for random, with the estimated share of false ones among the reports of each length band at fdr at most."""
     n = F.length("piece")
     band = F.greatest(*(F.when(n >= b, F.lit(b)).otherwise(F.lit(0)) for b in p.bands))
-    tested = materialize(battery(runs).withColumn("band", band).withColumn("step", F.ceil(F.col("p") * p.steps).cast("int")), "battery")
-    counts = tested.groupBy("band", "step").agg(F.count("*").alias("n"))  # at most steps rows in each band
-    rank = F.sum("n").over(Window.partitionBy("band").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy("band"))
-    ok = counts.withColumn("rank", rank).withColumn("total", total).where(F.col("step") / p.steps <= p.fdr * F.col("rank") / F.col("total"))
-    limit = ok.groupBy("band").agg(F.max("step").alias("limit"))
-    left = tested.join(F.broadcast(limit), "band", "left").where(F.col("step") > F.coalesce("limit", F.lit(-1)))  # a row for each band
     mixed = F.col("piece").rlike("[0-9]") & F.col("piece").rlike("[A-Za-z]")
-    return left.where(mixed & (F.length("piece") * F.log2("letters") >= p.min_bits))
+    tested = battery(runs.where(mixed)).where(n * F.log2("letters") >= p.min_bits)
+    tested = materialize(tested.withColumn("band", band).withColumn("step", F.floor(F.col("p") * p.steps).cast("int")), "battery")  # p-values rounded down
+    limit = cuts(tested.groupBy("band", "step").agg(F.count("*").alias("n")), p)  # at most steps rows in each band
+    return tested.join(F.broadcast(limit), "band").where(F.col("step") >= F.col("cut"))  # a row for each band
+
+
+def cuts(counts: DataFrame, p: SecretParams = PARAMS) -> DataFrame:
+    """(band, cut) from (band, step, n): the smallest step from which the reports beyond what random runs explain are at most fdr of them.
+
+    A band without any run above its tail has no random ones, and no cut.
+    """
+    # Of all cuts between two steps the lowest one leaves most to random runs.
+    low = F.coalesce(F.lag("step").over(Window.partitionBy("band").orderBy("step")), F.lit(-1)) + 1
+    t = F.col("low") / p.steps
+    tail = F.element_at(F.create_map(*(F.lit(x) for pair in zip(p.bands, p.tails, strict=True) for x in pair)), F.col("band"))
+    above = F.sum("n").over(Window.partitionBy("band").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0))
+    upper = F.sum(F.when(F.col("step") / p.steps >= tail, F.col("n"))).over(Window.partitionBy("band"))
+    explained = lambda x: F.pow(1 - x / 3, F.lit(3.0))
+    random = F.col("upper") / explained(tail) * explained(t)
+    false = F.greatest(F.col("above") - random, F.lit(0.0))
+    ok = F.col("upper").isNotNull() & (false <= p.fdr * F.col("above"))
+    return counts.withColumns({"above": above, "upper": upper, "low": low}).where(ok).groupBy("band").agg(F.min("low").alias("cut"))
 
 
 def find_secrets(documents: DataFrame, p: SecretParams = PARAMS) -> DataFrame:
