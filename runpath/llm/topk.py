@@ -1,23 +1,28 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
 Vectors are turned into integers (floor of 1024 times each component).  Queries
-are taken in blocks of bounded size; each block is broadcast and meets all rows
-in one pass.  Within a batch of rows the integers lie in vertical layout, one
-array for each dimension.  Inner products are accumulated block of dimensions by
-block, largest query components first.  After each block the largest value a row
-can still reach is its sum so far plus the product of the norms of what remains
-of query and row (Cauchy-Schwarz); rows that cannot reach the k-th best score
-so far are dropped and the survivors are compacted.  The bound is rounded up, so
-the result is exact, ties included.
-
+are dealt into blocks of about ``query_block``; each pass over the rows takes
+``pass_blocks`` of them, broadcasts them, and writes its results, so neither what
+is broadcast nor a plan grows with the number of queries.  Within a batch of rows
+the integers lie in vertical layout, one array for each dimension.  Inner products
+are accumulated block of dimensions by block, largest query components first.
+After each block the largest value a row can still reach is its sum so far plus
+the product of the norms of what remains of query and row (Cauchy-Schwarz); rows
+that cannot reach the k-th best score so far are dropped and the survivors are
+compacted.  The bound is rounded up, so the result is exact, ties included.
+
+A pass begins with an exact search among ``seed_rows`` of the rows, about, chosen by
+a hash of their id; its k-th best scores are floors that all tasks start from.
 Each task keeps k rows for each query; their union is ranked by query.
 
 Defined results: vectors that are null, empty or hold a null or a component that
 is not finite take no part, neither as queries nor as candidates; a query meets
 only rows of its own dimension; rows of the query's own vec_id are its own and
 are no candidates; of a repeated query id the row of the smallest vector is the
-query; repeated rows of another id are candidates each.  Scores must fit in a
-signed 64-bit integer.
+query; repeated rows of another id are candidates each; of equal scores the
+smaller vec_id comes first; an empty table gives no rows; vectors of any length
+are compared whole; columns besides id and vector are not looked at.  Scores must
+fit in a signed 64-bit integer.
 """
 
 from __future__ import annotations
@@ -31,16 +36,22 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runpath.llm.storage import discard, materialize
+
 
 @dataclass(frozen=True)
 class TopKParams:
-    """k results; queries are ids divisible by every; queries broadcast at once; dimensions accumulated at once."""
+    """k results; queries are ids divisible by every; queries of a block, about; dimensions accumulated at once."""
 
     k: int = 10
     every: int = 100
     query_block: int = 2048
     dims_block: int = 8
     scale: int = 1024
+    #: Blocks of queries that one pass over the rows takes.
+    pass_blocks: int = 4
+    #: Rows, about, of the search that gives each query a floor; none for tables of less than four times as many.
+    seed_rows: int = 8192
 
 
 PARAMS = TopKParams()
@@ -62,6 +73,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims_block: int):
         self.ids, self.vectors = ids, vectors
+        self.floor: np.ndarray | None = None  # a score that the k-th best of each query reaches at least
         mass = np.square(vectors.astype(np.float64)).sum(axis=0)
         self.order = np.argsort(-mass, kind="stable")  # dimensions of most mass first
         self.steps = [self.order[i : i + dims_block] for i in range(0, len(self.order), dims_block)]
@@ -79,6 +91,8 @@ def search_batch(block: Block, ids: np.ndarray, vectors: np.ndarray, best: list[
         alive = np.flatnonzero(ids != block.ids[q])
         total = np.zeros(len(alive), dtype=np.int64)
         least = scores[-1] if len(scores) >= k else None
+        if block.floor is not None:
+            least = block.floor[q] if least is None else max(least, block.floor[q])
         for step, dims in enumerate(block.steps):
             for d in dims:
                 total += block.vectors[q, d] * columns[d][alive]
@@ -131,25 +145,40 @@ def top_k(rows: DataFrame, queries: DataFrame, p: TopKParams = PARAMS, id_col: s
         return v.select("vec_id", integers(F.col("v"), p.scale).alias("v"))
 
     candidates, wanted = shaped(rows), shaped(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    parts, last = [], None
-    while True:  # one pass over the rows for each block of queries
-        left = wanted if last is None else wanted.where(F.col("vec_id") > last)
-        block = left.orderBy("vec_id").limit(p.query_block).collect()  # at most query_block vectors
-        if not block:
-            break
-        last = block[-1].vec_id
-        sizes = sorted({len(r.v) for r in block})
-        made = {n: Block(np.array([r.vec_id for r in block if len(r.v) == n], np.int64), np.array([r.v for r in block if len(r.v) == n], np.int64), p.dims_block) for n in sizes}
-        parts.append(candidates.mapInArrow(_search(spark.sparkContext.broadcast(made), p), "query_id long, vec_id long, score long"))
-        if len(block) < p.query_block:
-            break
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    found = "query_id long, vec_id long, score long"
+
+    def searched(blocks: dict[int, Block], among: DataFrame, name: str) -> DataFrame:
+        shared = spark.sparkContext.broadcast(blocks)
+        out = materialize(ranked(among.mapInArrow(_search(shared, p), found)), name)
+        shared.destroy()
+        return out
+
+    n_rows = rows.count()
+    seeds = candidates.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(max(n_rows // p.seed_rows, 1))) == 0) if n_rows >= 4 * p.seed_rows else None
+    few = wanted.limit(p.query_block + 1).collect()  # at most a block and one
+    if not few:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if len(few) <= p.query_block:
+        passes = iter([few])
+    else:
+        n_blocks = -(-wanted.count() // p.query_block)
+        stored = materialize(wanted.withColumn("pass", F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) / p.pass_blocks).cast("int")), "queries", ["pass"])
+        passes = (stored.where(F.col("pass") == i).collect() for i in range(-(-n_blocks // p.pass_blocks)))  # about pass_blocks * query_block vectors at a time
+    paths = []
+    for block in passes:
+        if not block:
+            continue
+        made = {n: Block(np.array([r.vec_id for r in block if len(r.v) == n], np.int64), np.array([r.v for r in block if len(r.v) == n], np.int64), p.dims_block) for n in sorted({len(r.v) for r in block})}
+        if seeds is not None:
+            first = searched(made, seeds, "seeds")
+            floors = {r.query_id: r.score for r in first.where(F.col("rank") == p.k).select("query_id", "score").collect()}  # a row for each query of the pass
+            discard(spark, first)
+            for b in made.values():
+                b.floor = np.array([floors.get(i, np.iinfo(np.int64).min) for i in b.ids.tolist()], np.int64)
+        paths.append(searched(made, candidates, "top-k").table_path)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*paths)
 
 
 def op10_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:

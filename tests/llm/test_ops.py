@@ -247,6 +247,58 @@ def test_secrets(spark):
     assert not got[4] and len(got) == len(docs)
 
 
+def plain_battery(s):
+    """(alphabet, chi p, runs p, serial p) of one run."""
+    name, letters = next((a, x) for a, pattern, x in secrets.ALPHABETS if re.fullmatch(pattern, s))
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * z + 0.070566 * z**3))
+    n, k, x = len(s), len(letters), [letters.index(c) + 1 - (len(letters) + 1) / 2 for c in s]
+    chi = sum(m * m for m in collections.Counter(s).values()) * k / n - n
+    df = k - 1
+    z = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = sum(v > 0 for v in x)
+    turns = 1 + sum((a > 0) != (b > 0) for a, b in zip(x, x[1:], strict=False))
+    mean = 2 * high * (n - high) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = abs(turns - mean) / math.sqrt(spread) if spread > 0 else 0.0
+    var = sum(v * v for v in x) - sum(x) ** 2 / n
+    serial = (sum(a * b for a, b in zip(x, x[1:], strict=False)) - sum(x) ** 2 / n) / var if var > 0 else 1.0
+    return name, tail(z), min(1.0, 2 * tail(runs)), min(1.0, 2 * tail(abs(serial) * math.sqrt(n)))
+
+
+def test_battery_is_plain_statistics(spark):
+    r = random.Random(41)
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(20, 90))) for _, _, letters in secrets.ALPHABETS for _ in range(4)] + ["a" * 30, "ab" * 20, "0123456789" * 3]
+    rows = secrets.battery(spark.createDataFrame([(t,) for t in texts], "piece string")).collect()
+    for x in rows:
+        name, *want = plain_battery(x.piece)
+        assert x.alphabet == name and [x.chi_p, x.runs_p, x.serial_p] == pytest.approx(want, abs=1e-9)
+        assert x.p == pytest.approx(min(1.0, 3 * min(want)), abs=1e-9)
+
+
+def test_false_reports_by_band(spark):
+    """Keys among identifiers, paths and versions that mix letters and digits: the share of false reports and of keys found, by length band."""
+    r = random.Random(42)
+    words = "user profile backup config server client request handler update version account release temporary storage session cluster monitor history service archive".split()
+    alnum = secrets.ALPHABETS[9][2]
+    lengths = {24: (24, 31), 32: (32, 39), 40: (40, 63), 64: (64, 127)}
+
+    def ordinary(lo, hi):
+        while True:
+            sep = r.choice(["_", "-", "/", "", "_"])
+            parts = [r.choice([str.lower, str.title])(r.choice(words)) if r.random() < 0.8 else str(r.randrange(1, 2030)) for _ in range(r.randrange(3, 18))]
+            s = sep.join([*parts, str(r.randrange(1, 100))])
+            if lo <= len(s) <= hi:
+                return s
+
+    rows = [(band, True, "".join(r.choice(alnum) for _ in range(r.randrange(lo, hi + 1)))) for band, (lo, hi) in lengths.items() for _ in range(120)]
+    rows += [(band, False, ordinary(lo, hi)) for band, (lo, hi) in lengths.items() for _ in range(120)]
+    got = collections.Counter((x.b, x.key) for x in secrets.random_runs(spark.createDataFrame(rows, "b int, key boolean, piece string")).collect())
+    share = {b: got[b, False] / max(got[b, False] + got[b, True], 1) for b in lengths}
+    found = {b: got[b, True] / 120 for b in lengths}
+    most = {24: 0.3, 32: 0.2, 40: 0.1, 64: 0.05}  # as many identifiers as keys, made to look like keys: the tests tell short ones apart less well
+    assert all(share[b] <= most[b] for b in lengths) and all(v >= 0.95 for v in found.values())
+
+
 # -- 5 ----------------------------------------------------------------------------------------------------------------
 def naive_components(texts, ids, width, percent):
     sets = {}
@@ -285,8 +337,16 @@ def test_near_duplicates(spark, block):
 
 def test_keep_one(spark):
     t = " ".join(f"w{i}" for i in range(40))
-    docs = frame(spark, [t, t, t + " x", "other", "other words", None], ids=[5, 5, 3, 9, None, 7])
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near_dedup.keep_one(docs).collect()) == [(False, 3), (False, 7), (False, 9), (True, 0)]
+    docs = frame(spark, [t, t, t + " x", "other", "other words", None], ids=[5, 5, 3, 9, None, 7], extra=True)
+    out = near_dedup.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 3), (False, 7), (False, 9), (True, 0)]
+    # Different texts of one id are different documents; equal ones are one, and links of any of them count.
+    u = " ".join(f"u{i}" for i in range(40))
+    docs = frame(spark, ["one thing", "quite another", "one thing", t, u, u + " y", t + " x"], ids=[9, 9, 9, 4, 4, 6, 8])
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
+    assert kept[9, "one thing"] == 1 and kept[9, "quite another"] == 1 and sum(n for (i, _), n in kept.items() if i == 9) == 2
+    assert sum(x.startswith("w0") for _, x in kept) == 1 and sum(x.startswith("u0") for _, x in kept) == 1
     assert near_dedup.keep_one(docs.where("false")).count() == 0
 
 
@@ -309,15 +369,41 @@ def naive_repeats(texts, length):
     return out
 
 
+def naive_reports(texts, length):
+    """1 for texts with a string of so many bytes that occurs elsewhere."""
+    return [int(n > 0) for _, n, _, _ in naive_repeats(texts, length)]
+
+
+def check_repeats(spark, texts, p):
+    got = repeats.remove_repeats(frame(spark, texts, extra=True), p).collect()
+    assert len(got) == len(texts)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == dict(enumerate(naive_repeats(texts, p.length)))
+    assert {x.doc_id: x.has_repeat for x in got} == dict(enumerate(naive_reports(texts, p.report)))
+
+
 def test_repeats(spark):
     r = random.Random(8)
     word = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
-    shared, other = word(90), word(70)
+    shared, other, short = word(90), word(70), word(26)
     texts = [word(r.randrange(5, 200)) + (shared[r.randrange(30) : 90 - r.randrange(30)] if i % 2 else other) + word(30) for i in range(40)]
-    texts += [texts[0], texts[1] + texts[1], None, "", "a" * 300, "ab" * 200, shared, word(20)]
-    for length, gram in ((40, 20), (25, 9)):
-        got = repeats.remove_repeats(frame(spark, texts, extra=True), repeats.RepeatParams(length=length, gram=gram)).collect()
-        assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == dict(enumerate(naive_repeats(texts, length)))
+    texts += [word(r.randrange(5, 60)) + short[r.randrange(4) : 26 - r.randrange(4)] + word(40) for _ in range(20)]
+    texts += [texts[0], texts[1] + texts[1], None, "", "a" * 300, "ab" * 200, "abc" * 50 + word(30) + "abc" * 50, shared, word(20)]
+    for length, report, gram in ((40, 40, 20), (40, 25, 12), (25, 20, 9), (60, 20, 20)):
+        check_repeats(spark, texts, repeats.RepeatParams(length=length, report=report, gram=gram))
+
+
+def test_repeats_of_long_texts(spark):
+    """Texts beyond one step of anchors, a shared stretch across the boundary, and texts of one letter."""
+    r = random.Random(28)
+    word = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    shared = word(1000)
+    long = word(repeats.STEP - 500) + shared + word(300_000)
+    texts = [long, word(2000) + shared + word(700), "z" * 300_000, "z" * 401, "y" * 400, word(900)]
+    got = {x.doc_id: x for x in repeats.remove_repeats(frame(spark, texts)).collect()}
+    assert (got[0].n_removed, got[0].n_spans) == (1000, 1) and got[0].kept_sha256 == hashlib.sha256((long[: repeats.STEP - 500] + long[repeats.STEP + 500 :]).encode()).hexdigest()
+    assert (got[1].n_removed, got[1].n_spans) == (1000, 1)
+    assert (got[2].n_removed, got[3].n_removed, got[4].n_removed, got[5].n_removed) == (300_000, 401, 0, 0) and [got[i].has_repeat for i in range(6)] == [1, 1, 1, 1, 1, 0]
+    assert repeats.remove_repeats(frame(spark, texts).where("false")).count() == 0
 
 
 def test_suffix_sort():
@@ -350,6 +436,55 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.score_toxicity(docs, lab.where("false")).collect()} == {0.5}
 
 
+def test_ftrl_is_plain_per_coordinate():
+    """The same weights as a dictionary version of FTRL-proximal, coordinate by coordinate."""
+    p = toxicity.ToxicityParams(bits=6, l1=0.3, l2=0.2, alpha=0.7, beta=0.9)
+    r = random.Random(43)
+    rows = [(sorted(r.sample(range(64), r.randrange(0, 9))), float(r.random() < 0.4)) for _ in range(300)]
+    model, z, n = toxicity.Ftrl(p), collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for feats, y in rows:
+        model.update(np.array(feats, np.uint32), y)
+        w = {i: weight(i) for i in [*feats, 64]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i, v in w.items():
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * v
+            n[i] += g * g
+    assert model.weights(slice(None)) == pytest.approx([weight(i) for i in range(65)], abs=1e-9)
+    assert 0 < np.count_nonzero(model.weights(slice(None))) < 65
+
+
+def test_toxicity_edges(spark):
+    """Repeated rows, clashing columns, long texts and an empty table."""
+    long = "vile scum " * 200_000
+    docs = frame(spark, ["fine words here", long, None, "", "fine words here"], ids=[1, 2, 3, None, 1]).withColumns({"label": F.lit("x"), "rank": F.lit("y"), "feats": F.lit("z"), "__toxicity2": F.lit("w")})
+    lab = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, lab).collect()
+    assert len(rows) == 5 and all(0 <= x.score <= 1 and x.label == "x" for x in rows)
+    assert len({x.score for x in rows if x.text == "fine words here"}) == 1
+    assert toxicity.score_toxicity(docs.where("false"), lab).count() == 0 and toxicity.reject_toxic(docs.where("false"), lab).columns == docs.columns
+
+
+def test_edges_of_searches(spark):
+    """Long texts, repeated rows and empty tables for the searches of personal data, test items and secrets."""
+    filler = "plain words of no interest " * 60_000
+    texts = [filler + "a@b.cd " + filler, filler + "token: abcdefgh12 " + filler, "w1 w2 w3", "w1 w2 w3", None]
+    docs = frame(spark, texts, ids=[0, 1, 2, 2, 4], extra=True)
+    got = {x.doc_id: x.found for x in pii.find_pii(docs, spans_col="found").collect()}
+    assert [(s.kind, s.start) for s in got[0]] == [("email", len(filler))]
+    found = secrets.find_secrets(docs).collect()
+    assert len(found) == 5 and [(s.kind, s.start) for x in found if x.doc_id == 1 for s in x.spans] == [("assign", len(filler))]
+    bench = spark.createDataFrame([("q", "w1 w2 w3")], "item_id string, text string")
+    match = decontaminate.match_column(decontaminate.automata(bench))
+    hits = collections.Counter((x.doc_id, x.m.n_hit) for x in docs.select("doc_id", match("text").alias("m")).collect())
+    assert hits == {(0, 0): 1, (1, 0): 1, (2, 3): 2, (4, 0): 1}
+    none = docs.where("false")
+    assert pii.find_pii(none, spans_col="found").count() == secrets.find_secrets(none).count() == none.select(match("text")).count() == decontaminate.decontaminate(none, bench).count() == 0
+
+
 # -- 8 ----------------------------------------------------------------------------------------------------------------
 def test_sharding(spark, texts):
     ids = [*range(len(texts) - 3), None, None, 4]
@@ -374,6 +509,27 @@ def test_rebalance():
     assert sharding.rebalance(m, sizes, 7) == m
 
 
+def test_map_is_read_again(spark, tmp_path):
+    """A second run moves few slots, a run on the same rows none; a broken version is not read."""
+    r = random.Random(44)
+    p = sharding.ShardParams(shards=5, slots=256)
+    text = lambda: "x" * r.randrange(1, 400)
+    first = frame(spark, [text() for _ in range(900)])
+    more = first.union(frame(spark, [text() for _ in range(60)], ids=[*range(2000, 2060)]))
+    path = f"file://{tmp_path}/map"
+    a = {x.vslot: (x.shard, x.version) for x in sharding.slot_map(sharding.records(first, p), p, path).collect()}
+    b = {x.vslot: (x.shard, x.version) for x in sharding.slot_map(sharding.records(first, p), p, path).collect()}
+    assert a == b and {v for _, v in a.values()} == {2}
+    c = {x.vslot: (x.shard, x.version) for x in sharding.slot_map(sharding.records(more, p), p, path).collect()}
+    assert {v for _, v in c.values()} == {3} and sum(c[i][0] != a[i][0] for i in a) < 40
+    fresh = {x.vslot: x.shard for x in sharding.slot_map(sharding.records(more, p), p).collect()}
+    assert sum(fresh[i] != a[i][0] for i in a) >= sum(c[i][0] != a[i][0] for i in a)
+    (tmp_path / "map" / "version=9").mkdir()
+    assert {x.version for x in sharding.slot_map(sharding.records(more, p), p, path).collect()} == {3}
+    with pytest.raises(ValueError):
+        sharding.slot_map(sharding.records(more, p), sharding.ShardParams(shards=5, slots=300), path)
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------------------
 def test_mixing(spark, texts):
     sources = ["b", "a", None, "c", "é", "a"]
@@ -414,6 +570,23 @@ def test_mixing_comes_near(spark):
         assert abs(row.taken - row.target) <= 30
 
 
+def test_mixing_passes_over_large_documents(spark):
+    """A document larger than what remains is passed over, and the draw goes on: the result is that of going through all documents in order."""
+    from test_pipeline import naive_mix
+
+    r = random.Random(45)
+    texts = [" ".join("w" for _ in range(r.choice([1, 2, 3, 5, 40, 60]))) for _ in range(400)]
+    texts[::100] = ["w " * 3000] * 4
+    sources = ["a", "b"]
+    rows = [(i, t, sources[i % 2]) for i, t in enumerate(texts)]
+    for step in (4096, 3):
+        p = mixing.MixParams(percent=130, step=step)
+        got = {x.doc_id: x.copies for x in mixing.mix(frame(spark, texts, sources=sources), p).collect()}
+        assert got == naive_mix(rows, p)
+    for row in mixing.mix(frame(spark, texts, sources=sources)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert 0 <= row.target - row.taken <= 3
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------
 def test_top_k(spark):
     r = random.Random(13)
@@ -429,3 +602,11 @@ def test_top_k(spark):
     want = {q: sorted(((sum(a * b for a, b in zip(e, c, strict=True)), i) for i, c in ok if i != q and len(c) == len(e)), key=lambda s: (-s[0], s[1]))[:5] for q, e in ok if q % 20 == 0}
     assert dict(got) == {q: w for q, w in want.items() if w}
     assert topk.top_k(df.where("false"), df.where("false"), p).count() == 0
+    # With floors from a search among some rows, and blocks of queries that take several passes.
+    for p in (topk.TopKParams(k=5, every=20, query_block=4, dims_block=3, pass_blocks=2, seed_rows=20), topk.TopKParams(k=5, every=20, dims_block=4, seed_rows=50)):
+        again = collections.defaultdict(list)
+        out = topk.top_k(df, df.where("vec_id % 20 = 0"), p)
+        for x in out.orderBy("query_id", "rank").collect():
+            again[x.query_id].append((x.score, x.vec_id))
+        assert again == got
+        assert len(out._jdf.queryExecution().executedPlan().toString()) < 5000  # a plan that does not grow with the queries
