@@ -1,0 +1,31 @@
+"""Registered queries of the training-data operators against their SQL in DuckDB on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from runpath.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+def rows(columns, data):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted((tuple(r[i] for i in order) for r in data), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query(spark, duck, name):
+    df, rel = queries.QUERIES[name](spark, DATA), duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert rows(df.columns, df.collect()) == rows(list(rel.columns), rel.fetchall())
