@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runpath.llm import decontaminate, katz, mixing, near_dedup, pii, repeats, secrets, sharding, topk, toxicity
+from runpath.llm import bpe, decontaminate, katz, lexical, mixing, near_dedup, pii, repeats, secrets, sharding, topk, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": katz.op1_katz,
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_pareto_mix": mixing.op9_pareto_mix,
     "op10_branch_bound": topk.op10_branch_bound,
+    "op11_block_lanczos": whitening.op11_block_lanczos,
+    "op12_prefix_trie": bpe.op12_prefix_trie,
+    "op13_threshold_search": lexical.op13_threshold_search,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,6 +129,7 @@ QUERIES |= {
     "pii_base_spans": _columns("op2_deobfuscated_pii", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
     "secret_base_spans": _columns("op4_random_secrets", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
     "language_model_counts": lambda spark, sf_dir: QUERIES["op1_katz"](spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score")),
+    "embedding_deviations": lambda spark, sf_dir: QUERIES["op11_block_lanczos"](spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation"),
 }
 
 KATZ_SQL = r"""
@@ -149,4 +153,6 @@ ORACLE_SQL: dict[str, str] = {
     "language_model_counts": KATZ_SQL,
     "op9_pareto_mix": OP9_SQL,
     "op10_branch_bound": topk.OP10_SQL,
+    "embedding_deviations": whitening.DEVIATIONS_SQL,
+    "op13_threshold_search": lexical.OP13_SQL,
 }
