@@ -150,16 +150,21 @@ def pointer_bindings(mappings: DataFrame, assigned: DataFrame) -> DataFrame:
     return tables.unionByName(assigned.select(*tables.columns))
 
 
-def resolve_ops_calls(calls: DataFrame, mappings: DataFrame) -> DataFrame:
+def resolve_ops_calls(calls: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(path, line, target, handlers, confidence): calls through a member ops->field, by the tables of the struct that the base is.
 
-    calls(path, line, target, struct_type); a call whose struct is not known meets the field of every table.
+    calls(path, line, target, struct_type); a call whose struct is not known meets the field of every table.  Where `by`
+    names columns of both (the file, say), only tables with a call's own values count.  Tables become one set of functions
+    for each struct and field, and for each field, before they meet the calls.
     """
-    asked = calls.withColumn("field", F.element_at(F.split("target", r"->|\."), -1))
-    tables = mappings.select(F.col("struct_type").alias("__type"), "field", "function").distinct()
-    hit = asked.join(tables, "field").where(F.col("struct_type").isNull() | (F.col("struct_type") == F.col("__type")))
-    found = hit.groupBy("path", "line", "target").agg(F.array_sort(F.collect_set("function")).alias("handlers"))
-    return found.withColumn("confidence", F.when(F.size("handlers") == 1, "Certain").otherwise("Possible"))
+    asked = calls.withColumn("field", F.element_at(F.split("target", r"->|\."), -1)).distinct()
+    sets = lambda *key: mappings.groupBy(*by, *key).agg(F.array_sort(F.collect_set("function")).alias("handlers"))
+    known = asked.where("struct_type is not null").join(sets("struct_type", "field"), [*by, "struct_type", "field"])
+    free = asked.where("struct_type is null").join(sets("field"), [*by, "field"])
+    found = known.select("path", "line", "target", "handlers").union(free.select("path", "line", "target", "handlers"))
+    # Two calls through one expression in a line may know different structs.
+    one = found.groupBy("path", "line", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("handlers")))).alias("handlers"))
+    return one.withColumn("confidence", F.when(F.size("handlers") == 1, "Certain").otherwise("Possible"))
 
 
 def module_entries(files: DataFrame) -> DataFrame:

@@ -1,13 +1,22 @@
-"""Inclusion-based points-to analysis as a fixpoint of joins.
+"""Inclusion-based points-to analysis.
 
 constraints(kind, dest, src, field): AddressOf, Copy, Load, Store, FieldLoad, FieldStore, ArrayLoad, ArrayStore.
 Elements of an array share the location name[].  Where `by` names columns, each of their values (each file, say) is
-analysed on its own, all of them in the same joins.
+analysed on its own.
+
+Groups of constraints that no location connects are independent.  A group of at most ``group_limit`` constraints is
+solved in one task, by a worklist over bitmaps; larger ones together by a fixpoint of joins.  Without `by` the groups are
+the connected components of the constraints, found by joins, unless all of them together are within the limit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runpath import fixed
@@ -16,6 +25,16 @@ from runpath.operators.storage import Scratch
 
 Keys = tuple[str, ...]
 
+#: Constraints of a group that one task solves; some hundred bytes of memory each, besides its result.
+GROUP_LIMIT = 200_000
+
+GROUP = "__group"
+
+#: The bits set in each byte.
+_BITS = [[bit for bit in range(8) if byte >> bit & 1] for byte in range(256)]
+
+log = logging.getLogger(__name__)
+
 
 def lower_arrays(constraints: DataFrame, by: Keys = ()) -> DataFrame:
     """Array loads and stores as copies of the element location (G6d, G6e)."""
@@ -25,39 +44,273 @@ def lower_arrays(constraints: DataFrame, by: Keys = ()) -> DataFrame:
     return constraints.select(*by, kind.alias("kind"), dest.alias("dest"), src.alias("src"), "field")
 
 
-def solve(constraints: DataFrame, functions: DataFrame | None = None, max_rounds: int = fixed.SOLVER_ROUNDS, by: Keys = ()) -> DataFrame:
-    """(*by, loc, target), all pairs that follow.
-
-    functions(*by, name), if given, point to themselves.  Semi-naive: a round joins what the last one found with the
-    constraints, and only pairs that are new go on.  Copy edges that loads and stores give rise to are kept as edges, so
-    each pair of pointer and target is expanded once.
-    """
+def solve(constraints: DataFrame, functions: DataFrame | None = None, max_rounds: int = fixed.SOLVER_ROUNDS, by: Keys = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(*by, loc, target), all pairs that follow (G6, U5, D10); functions(*by, name), if given, point to themselves."""
     with Scratch(constraints.sparkSession) as scratch:
-        c = scratch.write(lower_arrays(constraints, by).distinct())
-        loads = c.where("kind in ('Load', 'FieldLoad')").withColumnRenamed("src", "loc")
-        stores = c.where("kind in ('Store', 'FieldStore')").withColumnRenamed("dest", "loc")
-        pts = c.where("kind = 'AddressOf'").select(*by, F.col("dest").alias("loc"), F.col("src").alias("target"))
+        rows = lower_arrays(constraints, by)
         if functions is not None:
-            pts = pts.union(functions.select(*by, F.col("name").alias("loc"), F.col("name").alias("target")))
-        pts = new = scratch.write(pts.distinct())
-        edges = scratch.write(c.where("kind = 'Copy'").select(*by, "src", "dest").distinct())
-        place = lambda whole: F.when(F.col("kind") == whole, F.col("target")).otherwise(F.concat_ws(".", "target", "field"))
-        for n in range(max_rounds):
-            if n % 16 == 15:  # keeps plans short however many rounds it takes
-                pts, edges = scratch.write(pts), scratch.write(edges)
-            # Edges that the new pairs make: through the pointer that a load or store goes by.
-            load = new.join(loads, [*by, "loc"]).select(*by, place("Load").alias("src"), "dest")
-            store = new.join(stores, [*by, "loc"]).select(*by, "src", place("Store").alias("dest"))
-            fresh = scratch.write(load.union(store).distinct().join(edges, [*by, "src", "dest"], "left_anti").select(*by, "src", "dest"))
-            # Old pairs along new edges, new pairs along all edges.
-            along_new = pts.join(fresh.withColumnRenamed("src", "loc"), [*by, "loc"]).select(*by, F.col("dest").alias("loc"), "target")
-            along_old = new.join(edges.withColumnRenamed("src", "loc"), [*by, "loc"]).select(*by, F.col("dest").alias("loc"), "target")
-            new = scratch.write(along_new.union(along_old).distinct().join(pts, [*by, "loc", "target"], "left_anti").select(*by, "loc", "target"))
-            edges = edges.union(fresh)
-            if new.isEmpty():
-                break
-            pts = pts.union(new)
-        return scratch.keep(pts)
+            rows = rows.union(functions.select(*by, F.lit("AddressOf"), "name", "name", F.lit(None).cast("string")))
+        c = scratch.write(rows.distinct())
+        if by:  # in a struct, null is a value like others
+            c = c.select(F.struct(*by).alias(GROUP), "kind", "dest", "src", "field")
+        else:
+            c = c.withColumn(GROUP, F.lit("")) if c.count() <= group_limit else scratch.write(_with_components(c, scratch, max_rounds))
+        large = scratch.write(c.groupBy(GROUP).count().where(F.col("count") > group_limit).select(GROUP))
+        if large.isEmpty():
+            found = solve_in_tasks(c)
+        else:
+            found = solve_in_tasks(c.join(large, GROUP, "left_anti")).unionByName(_solve_by_joins(c.join(large, GROUP, "left_semi"), max_rounds, scratch))
+        return scratch.keep(found.select(*(F.col(GROUP)[b].alias(b) for b in by), "loc", "target"))
+
+
+# -- one task for each group ------------------------------------------------------------------------------------------
+class Worklist:
+    """Difference propagation over the constraints of one group.
+
+    What a location may point to is a bitmap over numbered locations.  A location that has gained targets is worked on
+    with these alone: loads and stores through it, each of which knows the targets it has met, add edges between
+    locations, along which whole bitmaps go.  Whenever there are twice as many edges as before, the locations of each
+    cycle become one, as they point to the same.
+    """
+
+    def __init__(self, constraints: list[dict]):
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.parent: list[int] = []
+        self.points: list[int] = []
+        self.gained: list[int] = []
+        self.edges: list[set[int]] = []
+        #: Loads and stores through a location: (is a load, field, other side) -> targets met.
+        self.through: list[dict[tuple[bool, str | None, int], int]] = []
+        self.work: deque[int] = deque()
+        self.n_edges, self.next_collapse = 0, 0
+        for c in constraints:
+            kind, dest, src = c["kind"], self.at(c["dest"]), self.at(c["src"])
+            if kind == "AddressOf":
+                self.gain(dest, 1 << src)
+            elif kind == "Copy":
+                self.edges[src].add(dest)
+            elif kind in ("Load", "FieldLoad"):
+                self.through[src][True, c["field"] if kind == "FieldLoad" else None, dest] = 0
+            elif kind in ("Store", "FieldStore"):
+                self.through[dest][False, c["field"] if kind == "FieldStore" else None, src] = 0
+        self.collapse()
+
+    def at(self, name: str) -> int:
+        n = self.number.get(name)
+        if n is None:
+            n = self.number[name] = len(self.names)
+            self.names.append(name)
+            self.parent.append(n)
+            self.points.append(0)
+            self.gained.append(0)
+            self.edges.append(set())
+            self.through.append({})
+        return n
+
+    def find(self, n: int) -> int:
+        while self.parent[n] != n:
+            self.parent[n] = self.parent[self.parent[n]]
+            n = self.parent[n]
+        return n
+
+    def gain(self, n: int, targets: int) -> bool:
+        new = targets & ~self.points[n]
+        if new:
+            self.points[n] |= new
+            if not self.gained[n]:
+                self.work.append(n)
+            self.gained[n] |= new
+        return bool(new)
+
+    def connect(self, src: int, dest: int) -> None:
+        src, dest = self.find(src), self.find(dest)
+        if src != dest and dest not in self.edges[src]:
+            self.edges[src].add(dest)
+            self.n_edges += 1
+            self.gain(dest, self.points[src])
+
+    def run(self) -> None:
+        while self.work:
+            n = self.work.popleft()
+            if self.parent[n] != n or not self.gained[n]:
+                continue
+            new, self.gained[n] = self.gained[n], 0
+            for key, met in [*self.through[n].items()]:
+                load, field, other = key
+                fresh = self.points[n] & ~met
+                self.through[n][key] = met | fresh
+                for t in bits(fresh):
+                    place = t if field is None else self.at(f"{self.names[t]}.{field}")
+                    if load:
+                        self.connect(place, other)
+                    else:
+                        self.connect(other, place)
+            for dest in list(self.edges[n]):
+                to = self.find(dest)
+                if to != n:
+                    self.gain(to, new)
+            if self.n_edges > self.next_collapse:
+                self.collapse()
+
+    def collapse(self) -> None:
+        """Make one location of those of each strongly connected component of the edges (Tarjan's algorithm, without recursion)."""
+        order: dict[int, int] = {}
+        low: dict[int, int] = {}
+        held: list[int] = []
+        on: set[int] = set()
+        for root in range(len(self.names)):
+            if self.parent[root] != root or root in order:
+                continue
+            calls = [(root, iter(()))]
+            while calls:
+                n, successors = calls[-1]
+                if n not in order:
+                    order[n] = low[n] = len(order)
+                    held.append(n)
+                    on.add(n)
+                    self.edges[n] = {to for e in self.edges[n] if (to := self.find(e)) != n}
+                    successors = iter([*self.edges[n]])
+                    calls[-1] = n, successors
+                for to in successors:
+                    if to not in order:
+                        calls.append((to, iter(())))
+                        break
+                    if to in on:
+                        low[n] = min(low[n], order[to])
+                else:
+                    calls.pop()
+                    if calls:
+                        low[calls[-1][0]] = min(low[calls[-1][0]], low[n])
+                    if low[n] == order[n]:
+                        same = [held.pop()]
+                        while same[-1] != n:
+                            same.append(held.pop())
+                        on.difference_update(same)
+                        if len(same) > 1:
+                            self.merge(same)
+        self.n_edges = sum(len(e) for e in self.edges)
+        self.next_collapse = 2 * self.n_edges + 1000
+
+    def merge(self, same: list[int]) -> None:
+        """Make one of locations that point to the same in the end."""
+        n = same[0]
+        for at in same[1:]:
+            self.parent[at] = n
+            self.edges[n] |= self.edges[at]
+            self.points[n] |= self.points[at]
+            for key, met in self.through[at].items():
+                self.through[n][key] = self.through[n].get(key, met) & met
+            self.edges[at], self.through[at], self.gained[at] = set(), {}, 0
+        self.edges[n] -= set(same)
+        self.gained[n] = self.points[n]  # an edge of one may not have seen what the others have
+        self.work.append(n)
+
+    def pairs(self) -> Iterator[tuple[int, list[int]]]:
+        """(location, targets) by number."""
+        known: dict[int, list[int]] = {}
+        for n in range(len(self.names)):
+            at = self.find(n)
+            if at not in known:
+                known[at] = [*bits(self.points[at])]
+            yield n, known[at]
+
+
+def bits(mask: int) -> Iterator[int]:
+    """The numbers of the bits that are set."""
+    for at, byte in enumerate(mask.to_bytes((mask.bit_length() + 7) // 8, "little")):
+        if byte:
+            for bit in _BITS[byte]:
+                yield at * 8 + bit
+
+
+def solve_in_tasks(constraints: DataFrame) -> DataFrame:
+    """(group, loc, target): each group in the task that holds it."""
+    lists = constraints.groupBy(GROUP).agg(F.collect_list(F.struct("kind", "dest", "src", "field")).alias("__c"))
+    kind = constraints.schema[GROUP].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                w = Worklist(b.column("__c")[i].as_py())
+                w.run()
+                names, locs, targets = pa.array(w.names, pa.string()), [], []
+                for n, found in w.pairs():
+                    locs += [n] * len(found)
+                    targets += found
+                    if len(locs) > 50_000:
+                        yield rows(b, i, names, locs, targets)
+                        locs, targets = [], []
+                yield rows(b, i, names, locs, targets)
+
+    def rows(b: pa.RecordBatch, i: int, names: pa.Array, locs: list[int], targets: list[int]) -> pa.RecordBatch:
+        own = b.column(GROUP).take(pa.array([i] * len(locs), pa.int32()))
+        return pa.RecordBatch.from_arrays([own, names.take(pa.array(locs, pa.int32())), names.take(pa.array(targets, pa.int32()))], names=[GROUP, "loc", "target"])
+
+    return lists.mapInArrow(run, f"{GROUP} {kind}, loc string, target string")
+
+
+# -- joins ------------------------------------------------------------------------------------------------------------
+def _with_components(c: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
+    """Constraints with their group, the least location that they are connected with; a field's location goes with what it is a field of.
+
+    Labels only fall: each round takes the least label around a location, then the label of that label's location.
+    """
+    base = lambda n: F.when(F.col(n).contains("."), F.regexp_extract(n, r"^(.*)\.[^.]*$", 1))
+    links = c.select(F.col("dest").alias("a"), F.col("src").alias("b"))
+    names = links.select("a").union(links.select("b")).distinct()
+    of_fields = names.where(F.col("a").contains(".")).select("a", base("a").alias("b"))
+    # Fields of fields: every shorter name is a location too.
+    chain = names.where(F.col("a").contains(".")).select(F.split("a", r"\.").alias("p")).select(F.explode(F.transform(F.sequence(F.lit(2), F.size("p")), lambda n: F.struct(F.array_join(F.slice("p", 1, n), ".").alias("a"), F.array_join(F.slice("p", 1, n - 1), ".").alias("b")))).alias("l")).select("l.a", "l.b")
+    links = scratch.write(links.union(of_fields).union(chain).distinct())
+    both = scratch.write(links.union(links.select("b", "a")).where("a <> b").distinct())
+    label = scratch.write(both.select("a").union(names).distinct().select("a", F.col("a").alias("g")))
+    for n in range(max_rounds):
+        around = both.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("g").alias("m"))
+        lower = label.join(around, "a", "left").select("a", "g", F.least("g", F.coalesce("m", "g")).alias("m"))
+        lower = scratch.write(lower)
+        jump = lower.select(F.col("a").alias("m"), F.col("m").alias("j"))
+        label = scratch.write(lower.join(jump, "m", "left").select("a", F.col("g").alias("old"), F.least("m", F.coalesce("j", "m")).alias("g")))
+        moved = label.where("old <> g").count()
+        log.info("components, round %d: %d labels fell", n + 1, moved)
+        if not moved:
+            break
+        label = label.drop("old")
+    return c.join(label.select(F.col("a").alias("dest"), F.col("g").alias(GROUP)), "dest")
+
+
+def _solve_by_joins(c: DataFrame, max_rounds: int, scratch: Scratch) -> DataFrame:
+    """(group, loc, target), all pairs by a semi-naive fixpoint: a round joins what the last one found with the constraints, and only pairs that
+    are new go on.  Copy edges that loads and stores give rise to are kept as edges, so each pair of pointer and target is
+    expanded once.
+    """
+    c, by = scratch.write(c), (GROUP,)
+    loads = c.where("kind in ('Load', 'FieldLoad')").withColumnRenamed("src", "loc")
+    stores = c.where("kind in ('Store', 'FieldStore')").withColumnRenamed("dest", "loc")
+    pts = new = scratch.write(c.where("kind = 'AddressOf'").select(*by, F.col("dest").alias("loc"), F.col("src").alias("target")).distinct())
+    edges = scratch.write(c.where("kind = 'Copy'").select(*by, "src", "dest").distinct())
+
+    def place(whole: str) -> Column:
+        return F.when(F.col("kind") == whole, F.col("target")).otherwise(F.concat_ws(".", "target", "field"))
+
+    for n in range(max_rounds):
+        if n % 16 == 15:  # keeps plans short however many rounds it takes
+            pts, edges = scratch.write(pts), scratch.write(edges)
+        # Edges that the new pairs make: through the pointer that a load or store goes by.
+        load = new.join(loads, [*by, "loc"]).select(*by, place("Load").alias("src"), "dest")
+        store = new.join(stores, [*by, "loc"]).select(*by, "src", place("Store").alias("dest"))
+        fresh = scratch.write(load.union(store).distinct().join(edges, [*by, "src", "dest"], "left_anti").select(*by, "src", "dest"))
+        # Old pairs along new edges, new pairs along all edges.
+        along_new = pts.join(fresh.withColumnRenamed("src", "loc"), [*by, "loc"]).select(*by, F.col("dest").alias("loc"), "target")
+        along_old = new.join(edges.withColumnRenamed("src", "loc"), [*by, "loc"]).select(*by, F.col("dest").alias("loc"), "target")
+        new = scratch.write(along_new.union(along_old).distinct().join(pts, [*by, "loc", "target"], "left_anti").select(*by, "loc", "target"))
+        edges = edges.union(fresh)
+        found = new.count()
+        log.info("points-to, round %d: %d new pairs", n + 1, found)
+        if not found:
+            break
+        pts = pts.union(new)
+    return pts
 
 
 def function_targets(pts: DataFrame, by: Keys = ()) -> DataFrame:

@@ -88,13 +88,18 @@ def needs_reindex(snapshot: DataFrame, versions: DataFrame, by_size: bool = Fals
     return snapshot.join(v, "path", "left").where(other).select(*snapshot.columns)
 
 
-def resolve_invocations(bindings: DataFrame, invocations: DataFrame) -> DataFrame:
-    """Handlers of invoked expressions: the same target, or elements of the same array."""
-    b, i = bindings.select("target", "handler").distinct().alias("b"), invocations.select("expr").distinct().alias("i")
+def resolve_invocations(bindings: DataFrame, invocations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, expr, handlers): handlers of invoked expressions, bound to the same target, or to elements of the same array.
+
+    Where `by` names columns (the file, say), a call meets the bindings of its own values only.  Bindings become one set
+    of handlers for each target, and for each array, before they meet the calls, so a join adds at most two rows to one.
+    """
     base = lambda c: F.substring_index(c, "[", 1)
-    exact = b.join(i, F.col("b.target") == F.col("i.expr"))
-    arrays = b.where(F.col("target").contains("[")).join(i.where(F.col("expr").contains("[")), base(F.col("b.target")) == base(F.col("i.expr")))
-    return exact.union(arrays).groupBy("expr").agg(F.array_sort(F.collect_set("handler")).alias("handlers"))
+    b, i = bindings.select(*by, "target", "handler").distinct(), invocations.select(*by, "expr").distinct()
+    sets = lambda df, key: df.groupBy(*by, key.alias("__key")).agg(F.collect_set("handler").alias("hs"))
+    exact = i.withColumn("__key", F.col("expr")).join(sets(b.where(~F.col("target").contains("[")), F.col("target")), [*by, "__key"])
+    arrays = i.where(F.col("expr").contains("[")).withColumn("__key", base(F.col("expr"))).join(sets(b.where(F.col("target").contains("[")), base(F.col("target"))), [*by, "__key"])
+    return exact.unionByName(arrays).select(*by, "expr", F.array_sort("hs").alias("handlers"))
 
 
 def _type_class(t: Column, pointers: bool) -> Column:

@@ -492,14 +492,8 @@ def _(s, d):
 def _(s, d):
     text = "static struct usb_driver a = { .probe = probe_{k}, };\nstatic struct pci_driver b = { .probe = other_{k}, };\nint run_{k}(struct usb_driver *o) {\n\to{m}probe(1);\n}\n"
     x = c_files(s, d).select(F.concat(F.lit("o"), F.col("k").cast("string"), F.lit(".c")).alias("path"), filled(text, {"m": F.when(F.col("z") % 2 == 0, "->").otherwise("->x->"), "k": F.col("k")}).alias("content"))
-    ops = P.ops_initializers(x)
-    # Each file is a program of its own here, so struct and file go together.
-    calls = c_front.member_calls(x).withColumn("struct_type", F.when(F.col("struct_type").isNotNull(), F.concat_ws("@", "struct_type", "path")))
-    by_file = ops.withColumn("struct_type", F.concat_ws("@", "struct_type", "path"))
-    known, free = calls.where("struct_type is not null"), calls.where("struct_type is null")
-    each = free.join(by_file.select("path", F.col("struct_type").alias("t"), "field", "function"), "path").where("field = 'probe'")
-    unknown = each.groupBy("path", "line", "target").agg(F.array_sort(F.collect_set("function")).alias("handlers")).withColumn("confidence", F.when(F.size("handlers") == 1, "Certain").otherwise("Possible"))
-    return P.resolve_ops_calls(known, by_file).unionByName(unknown).withColumn("handlers", F.array_join("handlers", ","))
+    # Each file is a program of its own here.
+    return P.resolve_ops_calls(c_front.member_calls(x), P.ops_initializers(x), ("path",)).withColumn("handlers", F.array_join("handlers", ","))
 
 
 # -- index, learning --------------------------------------------------------------------------------------------------

@@ -161,9 +161,10 @@ class AnalysisSession:
         return self.constraints().unionByName(D.parameter_flow(c_front.call_arguments(self.files), names, BY))
 
     def resolved_callbacks(self) -> DataFrame:
-        """Handlers of indirect calls."""
+        """(path, expr, handlers): handlers of the indirect calls of each file."""
         facts = checkpoint(c_front.callback_facts(self.files, self.defined.select("path", "name")))
-        return R.resolve_invocations(facts.where("fact = 'binding'").select("target", F.col("name").alias("handler")), facts.where("fact = 'invocation'").select(F.col("target").alias("expr")))
+        bound, calls = facts.where("fact = 'binding'"), facts.where("fact = 'invocation'")
+        return R.resolve_invocations(bound.select("path", "target", F.col("name").alias("handler")), calls.select("path", F.col("target").alias("expr")), BY)
 
     def types(self) -> TypeDatabase:
         """Function-pointer types and signatures of all files."""

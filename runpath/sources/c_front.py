@@ -1,117 +1,85 @@
-"""A small C front end: files(path, content) to symbol and fact rows.
+"""The C front end: files(path, content) to symbol and fact rows.
 
-It reads kernel-style C without a grammar: comments and literals are blanked in
-place, preprocessor lines are dropped, and braces at the top level tell function
-and struct definitions.  Each file is read by one task (mapInPandas over files),
-as everything here is local to a file; whatever relates files is a DataFrame
-operator.
+Each file is read by one task (mapInPandas over files), as everything here is local to a file; whatever relates files
+is a DataFrame operator.  How C is read, and what becomes of text that is no C, is told in c_reader.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runpath import fixed
+from runpath.sources.c_reader import NOT_CALLED, STORAGE, TAGS, Declared, Reader, is_attribute, is_word, walk
 
-# Words of C that look like a call or a type but are none.
-NOT_CALLED = frozenset("if while for switch return sizeof do else case defined typeof __typeof__ __attribute__ _Alignof alignof".split())
-ATTRIBUTES = frozenset("static inline extern __init __exit __always_inline noinline asmlinkage __must_check __cold __user".split())
 
-_BLANKED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
-_PREPROCESSOR = re.compile(r"(?m)^[ \t]*#(?:[^\n\\]|\\\n|\\.)*")
-_CALL = re.compile(r"(?<![\w.>])([A-Za-z_]\w*)\s*\(")
-_STRUCT = re.compile(r"\bstruct\s+(\w+)")
+def _struct_body(r: Reader, brace: int) -> tuple[int, str] | None:
+    """(struct word, name) of the body that a brace opens."""
+    tag = r._tag_before(brace) if r.tok[brace] == "{" else None
+    if tag is None or r.tok[tag] != "struct":
+        return None
+    name = next((r.tok[k] for k in range(tag + 1, brace) if is_word(r.tok[k]) and not is_attribute(r.tok[k]) and r.tok[k] != "__attribute__"), "")
+    return tag, name
 
 
-def clean(text: str) -> str:
-    """Same length and lines; comments, literals and preprocessor lines blank."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    literal = lambda m: m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1] if m[0][0] in "\"'" else blank(m)
-    return _PREPROCESSOR.sub(blank, _BLANKED.sub(literal, text))
+def pointer_of(r: Reader, x: Declared) -> dict | None:
+    """return_type and params (types) of a declared pointer to functions."""
+    if not x.declarator.is_function_pointer:
+        return None
+    words = [w for w in x.words if w not in STORAGE and not is_attribute(w)]
+    return {"return_type": r._pointed(" ".join(words), x.declarator.stars), "params": [t for _, t in r.parameters(x.declarator.params)]}
 
 
-_PAIRS = {pair: re.compile(f"[{re.escape(pair)}]") for pair in ("{}", "()")}
-
-
-def matching(text: str, at: int, pair: str = "{}") -> int:
-    """Place of the bracket that closes the one at `at`, or -1."""
-    depth = 0
-    for m in _PAIRS[pair].finditer(text, at):
-        depth += 1 if m[0] == pair[0] else -1
-        if not depth:
-            return m.start()
-    return -1
-
-
-def split_top(text: str, sep: str = ",") -> list[str]:
-    """Parts between separators outside all brackets, trimmed, without empty ones."""
-    parts, depth, at = [], 0, 0
-    for i, ch in enumerate(text):
-        depth += (ch in "([{") - (ch in ")]}")
-        if ch == sep and not depth:
-            parts.append(text[at:i])
-            at = i + 1
-    return [p.strip() for p in [*parts, text[at:]] if p.strip()]
-
-
-def param(text: str) -> tuple[str, str]:
-    """(name, type) of one parameter."""
-    if m := re.match(r"(.*)\(\s*\*\s*(\w*)\s*\)\s*(\(.*\))$", text, re.S):
-        return m[2], f"{m[1].strip()} (*){m[3]}"
-    m = re.match(r"^(.*?[\s*])(\w+)\s*((?:\[[^\]]*\])*)$", text, re.S)
-    if not m or m[2] in ("int", "char", "long", "void", "short", "unsigned", "double", "float"):
-        return "", " ".join(text.split())
-    return m[2], re.sub(r"\s+", " ", m[1]).strip() + m[3]
-
-
-def fields(body: str) -> list[dict]:
-    """Members of a struct body, function pointers among them."""
+def fields(r: Reader, lo: int, hi: int) -> list[dict]:
+    """Members of a struct body, those of unions and structs without a name among them."""
     out = []
-    for part in split_top(body, ";"):
-        if "{" in part:
+    for a, b in r.parts(lo, hi, ";"):
+        words, k, body = r.specifiers(a, b)
+        if body and k >= b:
+            if len(words) == 1 and words[0] in TAGS - {"enum"}:
+                out += fields(r, *body)
             continue
-        if m := re.match(r"(.*?)\(\s*\*\s*(\w+)\s*\)\s*(\(.*\))\s*$", part, re.S):
-            out.append({"name": m[2], "type_name": re.sub(r"\s+", " ", m[1]).strip(), "is_pointer": True, "is_function_ptr": True, "signature": f"{m[1].strip()} (*){m[3]}"})
-        elif m := re.match(r"^(.*?[\s*])(\w+)\s*((?:\[[^\]]*\])*)\s*$", part, re.S):
-            t = re.sub(r"\s+", " ", m[1]).strip()
-            out.append({"name": m[2], "type_name": t + m[3], "is_pointer": "*" in t, "is_function_ptr": False, "signature": None})
+        for x in r.declared(a, b)[0] if words else []:
+            pointer, t = pointer_of(r, x), r.type_text(x.words, x.declarator)
+            out.append({"name": x.declarator.named.name, "type_name": pointer["return_type"] if pointer else t, "is_pointer": "*" in t, "is_function_ptr": pointer is not None, "signature": t if pointer else None, "pointer": pointer})
     return out
 
 
+def _functions(r: Reader) -> Iterator[tuple[dict, int, int]]:
+    """(head, brace, token after the body) of functions; one that runs to the end of the file is an error instead."""
+    for kind, first, brace, after in r.items():
+        if kind == "function" and brace not in r.unclosed and (head := r.function_head(first, brace)):
+            yield head, brace, after
+
+
 def definitions(text: str) -> tuple[list[dict], list[str]]:
     """Functions and structs with bodies, and what could not be read."""
-    t, found, errors, at = clean(text), [], [], 0
-    line = lambda i: t.count("\n", 0, i) + 1
-    while (brace := t.find("{", at)) >= 0:
-        end = matching(t, brace)
-        start = max(t.rfind(";", at, brace), t.rfind("}", at, brace), at - 1) + 1
-        if end < 0:
-            errors.append(f"unbalanced brace at line {line(brace)}")
-            break
-        head = t[start:brace]
-        start += len(head) - len(head.lstrip())
-        head = head.strip()
-        if m := re.match(r"^(?:typedef\s+|static\s+|const\s+)*struct\s+(\w+)$", head):
-            inner = t[brace + 1 : end]
-            found.append({"kind": "struct", "name": m[1], "line": line(start), "end_line": line(end), "fields": fields(inner), "refs": sorted({r for r in _STRUCT.findall(inner) if r != m[1]})})
-        elif "=" not in head and (m := re.match(r"^(.*?)(\w+)\s*\(", head, re.S)):
-            close = matching(head, m.end() - 1, "()")
-            words = m[1].replace("*", " * ").split()
-            if close > 0 and re.fullmatch(r"[\s\w()]*", head[close + 1 :]) and m[2] not in NOT_CALLED and words and "struct" != m[2]:
-                inner = t[brace + 1 : end]
-                ret = re.sub(r"\s*\*", " *", " ".join(w for w in words if w not in ATTRIBUTES)).replace("* *", "**")
-                params = [] if head[m.end() : close].strip() in ("", "void") else [dict(zip(("name", "type_name"), param(p), strict=True)) for p in split_top(head[m.end() : close])]
-                found.append({
-                    "kind": "function", "name": m[2], "line": line(start), "end_line": line(end), "return_type": ret, "params": params,
-                    "attributes": [w for w in words if w in ATTRIBUTES], "calls": sorted({c for c in _CALL.findall(inner) if c not in NOT_CALLED}), "body_at": brace + 1, "body": inner,
-                })
-        at = end + 1
-    return found, errors
+    r = Reader(text)
+    return read_definitions(r), r.errors
+
+
+def read_definitions(r: Reader) -> list[dict]:
+    found = []
+    for brace in range(r.n):
+        s = _struct_body(r, brace)
+        if s and s[1] and brace not in r.unclosed:
+            first, end = s[0], r.close[brace]
+            while first and r.tok[first - 1] in STORAGE | {"const"}:
+                first -= 1
+            refs = {r.tok[k + 1] for k in range(brace + 1, end - 1) if r.tok[k] == "struct" and is_word(r.tok[k + 1])}
+            found.append({"kind": "struct", "name": s[1], "line": r.line(first), "end_line": r.line(r.after[brace] - 1), "fields": fields(r, brace + 1, end), "refs": sorted(refs - {s[1]})})
+    for head, brace, after in _functions(r):
+        inside = range(brace + 1, r.close[brace])
+        calls = {r.tok[k] for k in inside if is_word(r.tok[k]) and r.peek(k + 1) == "(" and r.tok[k] not in NOT_CALLED and r.tok[k - 1] not in (".", "->")}
+        found.append({
+            "kind": "function", "name": head["name"], "line": r.line(head["first"]), "end_line": r.line(after - 1), "return_type": head["return_type"],
+            "params": [{"name": n, "type_name": t} for n, t in head["params"]], "attributes": head["attributes"], "calls": sorted(calls),
+        })
+    return sorted(found, key=lambda d: d["line"])
 
 
 SYMBOLS = (
@@ -125,168 +93,324 @@ def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Functions, structs and errors of files (S5, X8, X9); derive tables from it by kind."""
+def _rows(files: DataFrame, schema: str, read: Callable[..., list[dict]], *more: str) -> DataFrame:
+    """Rows that read(content, *more columns) gives for each file, with its path."""
+    columns = [c.split(" ", 1)[0] for c in re.split(r", (?=\w+ )", schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                found, errors = definitions(content or "")
-                rows += [{**f, "path": path} for f in found] + [{"path": path, "kind": "error", "error": e} for e in errors]
-            yield _frame(rows, _COLUMNS)
+            rows = [{**x, "path": path} for path, content, *rest in zip(b["path"], b["content"], *(b[m] for m in more), strict=True) for x in read(content or "", *rest)]
+            yield _frame(rows, columns)
 
-    return files.select("path", "content").mapInPandas(run, SYMBOLS)
+    return files.select("path", "content", *more).mapInPandas(run, schema)
 
 
-_SPECIAL = {"INIT_WORK": "func", "INIT_DELAYED_WORK": "func", "timer_setup": "function"}
-_ALLOC = re.compile(r"^(?:k[mzc]alloc|vmalloc|vzalloc|malloc|calloc|devm_k[mzc]alloc)$")
-_TARGET = r"[A-Za-z_][\w.]*(?:->[\w.]+)*"
+def symbols_of(text: str) -> list[dict]:
+    found, errors = definitions(text)
+    return found + [{"kind": "error", "error": e} for e in errors]
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """Functions, structs and errors of files (S5, X8, X9); derive tables from it by kind."""
+    return _rows(files, SYMBOLS, symbols_of)
+
+
+# -- nodes of whole files ---------------------------------------------------------------------------------------------
+def _statements(r: Reader, lo: int, hi: int) -> Iterator[tuple[str, int, object]]:
+    """Statements of a body, with those of statement expressions."""
+    for kind, at, x in r.statements(lo, hi):
+        yield kind, at, x
+        node = x.init if kind == "declared" else x if kind == "expression" else None
+        for n in walk(node) if node else ():
+            if n[0] == "block":
+                yield from _statements(r, n[3] + 1, min(r.close[n[3]], hi))
+
+
+def bodies(r: Reader) -> Iterator[tuple[dict | None, list[tuple[str, int, object]]]]:
+    """(head, statements) of each function, and last (None, declarations and loose statements) of the top level."""
+    top = []
+    for kind, first, brace, _ in r.items():
+        if kind == "declaration":
+            top += _statements(r, first, brace)
+        else:
+            yield r.function_head(first, brace), [*_statements(r, brace + 1, r.close[brace])]
+    yield None, top
+
+
+def _nodes(statements: list[tuple[str, int, object]]) -> Iterator[tuple]:
+    for kind, _, x in statements:
+        node = x.init if kind == "declared" else x if kind == "expression" else None
+        if node:
+            yield from walk(node)
+
+
+def _bare(node: tuple) -> tuple:
+    """A node without casts, and the last of commas."""
+    while node[0] in ("cast", "comma"):
+        node = node[3] if node[0] == "cast" else node[3][-1]
+    return node
+
+
+def _flat(r: Reader, node: tuple) -> str:
+    return re.sub(r"\s+", "", r.raw(node[1], node[2]))
 
 
 def _place(text: str) -> str:
     return re.sub(r"\s+", "", text).lstrip("&")
 
 
-def constraints_of(text: str, known: set[str]) -> list[tuple[str, str, str, str | None]]:
-    """(kind, dest, src, field) of the statements in function bodies and initialisers."""
-    t, out = clean(text), []
-
-    def assign(left: str, right: str, at: int) -> None:
-        l, r = _place(left), re.sub(r"\s+", "", right)
-        r = re.sub(r"^\((?:struct)?[\w*]+\*\)", "", r)
-        if m := re.fullmatch(r"\*(\w+)", left.strip()):
-            out.append(("Store", m[1], _place(r), None))
-        elif m := re.fullmatch(rf"({_TARGET})\[[^\]]*\]", l):
-            out.append(("ArrayStore", m[1], _place(r), None))
-        elif "->" in l or "." in l:
-            base, name = re.split(r"->|\.(?=[^.]*$)", l, maxsplit=1)
-            out.append(("FieldStore", base, _place(r), name))
-        elif re.fullmatch(r"\w+", l):
-            if r.startswith("&"):
-                out.append(("AddressOf", l, _place(r), None))
-            elif m := re.fullmatch(r"\*(\w+)", r):
-                out.append(("Load", l, m[1], None))
-            elif m := re.fullmatch(rf"({_TARGET})\[[^\]]*\]", r):
-                out.append(("ArrayLoad", l, m[1], None))
-            elif (m := re.match(r"^(\w+)\(", r)) and _ALLOC.match(m[1]):
-                out.append(("AddressOf", l, f"alloc:{t.count(chr(10), 0, at) + 1}", None))
-            elif r in known:
-                out.append(("AddressOf", l, r, None))
-            elif re.fullmatch(_TARGET, r) and ("->" in r or "." in r):
-                base, name = re.split(r"->|\.(?=[^.]*$)", r, maxsplit=1)
-                out.append(("FieldLoad", l, base, name))
-            elif re.fullmatch(r"[A-Za-z_]\w*", r):
-                out.append(("Copy", l, r, None))
-
-    for m in re.finditer(rf"(?:^|(?<=[;{{}}]))\s*(?:(?:\w+\s+)+\**)?(\*?\s*{_TARGET}(?:\s*\[[^\]]*\])?)\s*=(?!=)\s*([^;{{}}]+);", t):
-        assign(m[1], m[2], m.start(2))
-    for m in re.finditer(r"\b(\w+)\s*(\[[^\]]*\])?\s*=\s*\{", t):
-        end = matching(t, m.end() - 1)
-        for part in split_top(t[m.end() : end]):
-            if p := re.match(r"^\.(\w+)\s*=\s*&?(\w+)$", part):
-                out.append(("FieldStore", m[1], p[2], p[1]))
-            elif m[2] and re.fullmatch(r"(?:\[[^\]]*\]\s*=\s*)?\w+", part):
-                out.append(("ArrayStore", m[1], part.split("=")[-1].strip(), None))
-    for m in re.finditer(r"\b(INIT_WORK|INIT_DELAYED_WORK|timer_setup|request_irq|request_threaded_irq)\s*\(", t):
-        args = split_top(t[m.end() : matching(t, m.end() - 1, "()")])
-        if len(args) >= 2 and args[1] in known:
-            if m[1] in _SPECIAL:
-                out.append(("FieldStore", args[0].lstrip("&"), args[1], _SPECIAL[m[1]]))
+# -- constraints ------------------------------------------------------------------------------------------------------
+_SPECIAL = {"INIT_WORK": "func", "INIT_DELAYED_WORK": "func", "timer_setup": "function"}
+_ALLOC = re.compile(r"^(?:k[mzc]alloc|vmalloc|vzalloc|malloc|calloc|devm_k[mzc]alloc)$")
+_NO_PLACE = frozenset(("NULL", "true", "false", "nullptr"))
+
+
+class _Collector:
+    """Constraints of a file.
+
+    A value that has to be loaded before it is stored goes by a location named like its text.  Elements of an array share
+    a location, base[]; p->a.b is the field a.b of p, as is (*p).a.b.
+    """
+
+    def __init__(self, r: Reader, known: set[str]):
+        self.r, self.known, self.out = r, known, []
+
+    def add(self, kind: str, dest: str, src: str, field: str | None = None) -> None:
+        self.out.append((kind, dest, src, field))
+
+    def location(self, node: tuple) -> str:
+        return re.sub(r"\[[^\]]*\]", "[]", _place(_flat(self.r, node)))
+
+    def member(self, node: tuple) -> tuple[str, str]:
+        """(base, field) of a member: the first arrow parts them, else the last dot."""
+        base = node
+        while base[0] == "member":
+            base = base[3]
+        base, text = _bare(base), self.location(node)
+        if base[0] == "unary" and base[3] == "*":
+            return self.value(base[4]) or self.location(base[4]), re.sub(r"->", ".", text[text.rindex(")") + 1 :].lstrip(".>-")) if ")" in text else text
+        if ")" in text and base[0] != "call":  # a cast or brackets around the base
+            return self.location(base), text[text.rindex(")") + 1 :].lstrip(".>-")
+        first, last = re.split(r"->|\.(?=[^.]*$)", text, maxsplit=1)
+        return first, last
+
+    def value(self, node: tuple) -> str | None:
+        """The location that holds the value of a node."""
+        node = _bare(node)
+        kind = node[0]
+        if kind == "id":
+            return None if node[3] in _NO_PLACE else node[3]
+        if kind == "assign":
+            return self.value(node[5])
+        if kind == "index":
+            return f"{self.location(node[3])}[]"
+        if kind == "unary" and node[3] == "&":
+            place = self.location(node[4])
+            if place in self.known:
+                return place
+            self.add("AddressOf", f"&{place}", place)
+            return f"&{place}"
+        if kind == "unary" and node[3] == "*" and (src := self.value(node[4])):
+            self.add("Load", f"*{src}", src)
+            return f"*{src}"
+        if kind == "member":
+            base, field = self.member(node)
+            name = self.location(node)
+            self.add("FieldLoad", name, base, field)
+            return name
+        if alloc := self.allocated(node):
+            self.add("AddressOf", f"&{alloc}", alloc)
+            return f"&{alloc}"
+        return None
+
+    def allocated(self, node: tuple) -> str | None:
+        if node[0] == "call" and node[3][0] == "id" and _ALLOC.match(node[3][3]):
+            return f"alloc:{self.r.line(node[1])}"
+        return None
+
+    def assign(self, left: tuple, right: tuple) -> None:
+        left, right = _bare(left), _bare(right)
+        if right[0] == "cond":
+            for side in right[4:6]:
+                self.assign(left, side)
+            return
+        if right[0] == "assign":
+            self.assign(left, right[5])
+            return
+        if left[0] == "id":
+            self.into(left[3], right)
+        elif left[0] == "unary" and left[3] == "*":
+            if (dest := self.value(left[4])) and (src := self.value(right)):
+                self.add("Store", dest, src)
+        elif left[0] == "index":
+            if src := self.value(right):
+                self.add("ArrayStore", self.location(left[3]), src)
+        elif left[0] == "member" and (src := self.value(right)):
+            base, field = self.member(left)
+            self.add("FieldStore", base, src, field)
+
+    def into(self, name: str, right: tuple) -> None:
+        kind = right[0]
+        if kind == "unary" and right[3] == "&":
+            self.add("AddressOf", name, self.location(right[4]))
+        elif kind == "unary" and right[3] == "*":
+            if src := self.value(right[4]):
+                self.add("Load", name, src)
+        elif kind == "index":
+            self.add("ArrayLoad", name, self.location(right[3]))
+        elif alloc := self.allocated(right):
+            self.add("AddressOf", name, alloc)
+        elif kind == "member":
+            base, field = self.member(right)
+            self.add("FieldLoad", name, base, field)
+        elif kind == "id" and right[3] not in _NO_PLACE:
+            self.add("AddressOf" if right[3] in self.known else "Copy", name, right[3])
+
+    def filled(self, name: str, array: bool, items: list[tuple[str, tuple]]) -> None:
+        """An initialiser in braces: designated members of name, or elements of an array."""
+        for designator, node in items:
+            node = _bare(node)
+            if node[0] == "list":
+                self.filled(designator[1:] if designator.startswith(".") else name, designator == "[]" or (array and any(d == "" for d, _ in node[3])), node[3])
+            elif node[0] == "id" or (node[0] == "unary" and node[3] == "&"):
+                if designator.startswith("."):
+                    self.add("FieldStore", name, self.location(node), designator[1:])
+                elif array or designator == "[]":
+                    self.add("ArrayStore", name, self.location(node))
+
+    def call(self, node: tuple) -> None:
+        name, args = node[3][3], node[4]
+        if name in ("INIT_WORK", "INIT_DELAYED_WORK", "timer_setup", "request_irq", "request_threaded_irq") and len(args) >= 2 and (handler := self.location(args[1])) in self.known:
+            if name in _SPECIAL:
+                self.add("FieldStore", self.location(args[0]), handler, _SPECIAL[name])
             else:
-                out.append(("AddressOf", f"irq_{args[0]}", args[1], None))
-    return out
-
-
-_BEFORE = re.compile(r"(\w+|\*)\s*\Z")
+                self.add("AddressOf", f"irq_{_flat(self.r, args[0])}", handler)
 
 
+def constraints_of(text: str, known: set[str]) -> list[tuple[str, str, str, str | None]]:
+    """(kind, dest, src, field) of the statements in function bodies and initialisers."""
+    r = Reader(text)
+    c = _Collector(r, known)
+    for _, statements in bodies(r):
+        for kind, _, x in statements:
+            if kind == "declared" and x.init and "typedef" not in x.words:
+                d, init = x.declarator.named, _bare(x.init)
+                if init[0] == "list":
+                    c.filled(d.name, "[" in d.arrays, init[3])
+                else:
+                    c.assign(("id", x.init[1], x.init[1], d.name), x.init)
+        for n in _nodes(statements):
+            if n[0] == "assign" and n[3] == "=":
+                c.assign(n[4], n[5])
+            elif n[0] == "call" and n[3][0] == "id":
+                c.call(n)
+    return c.out
+
+
+# -- callback facts ---------------------------------------------------------------------------------------------------
 def facts_of(text: str, known: set[str]) -> list[dict]:
     """Callback facts: binding, invocation, registration, event_loop, queue, signal."""
-    t, out = clean(text), []
+    r, out = Reader(text), []
     low = lambda name, parts: any(p in name.lower() for p in parts)
+    target = lambda node: re.sub(r"\[\d+\]", "[*]", _flat(r, node))
+    handler = lambda node: h if (h := _place(r.raw(node[1], node[2]))) in known else None
 
     def add(fact: str, at: int, **k: str | None) -> None:
-        out.append({"fact": fact, "line": t.count("\n", 0, at) + 1, **k})
-
-    member = r"[A-Za-z_]\w*(?:(?:->|\.)\w+|\s*\[[^\]]*\])+"
-    target = lambda s: re.sub(r"\[\d+\]", "[*]", s.replace(" ", ""))
-    for m in re.finditer(rf"({member})\s*=(?!=)\s*&?(\w+)\s*;", t):
-        if m[2] in known:
-            add("binding", m.start(), target=target(m[1]), name=m[2])
-    # (*name)( after a type declares a pointer; elsewhere it is a call through one.
-    starred = [m for m in re.finditer(r"\(\s*\*\s*(\w+)\s*\)\s*\(", t) if not (before := _BEFORE.search(t, 0, m.start())) or before[1] == "return"]
-    indirect = [(m.start(), m[1]) for m in re.finditer(rf"({member})\s*\(", t)] + [(m.start(), m[1]) for m in starred]
-    for at, expr in indirect:
-        add("invocation", at, target=target(expr))
-    for m in _CALL.finditer(t):
-        name = m[1]
-        args = split_top(t[m.end() : matching(t, m.end() - 1, "()")]) if matching(t, m.end() - 1, "()") > 0 else []
-        handler = next((a.lstrip("&") for a in args if a.lstrip("&") in known), None)
-        if handler and low(name, fixed.REGISTER_NAMES):
-            add("registration", m.start(), target=name, name=handler)
+        out.append({"fact": fact, "line": r.line(at), **k})
+
+    def through(callee: tuple) -> str | None:
+        """What an indirect call goes through."""
+        callee = _bare(callee)
+        if callee[0] in ("member", "index"):
+            return target(callee)
+        return _flat(r, callee[4]) if callee[0] == "unary" and callee[3] == "*" else None
+
+    def called(name: str, args: list[tuple], at: int) -> None:
+        first = next((h for a in args if (h := handler(a))), None)
+        if first and low(name, fixed.REGISTER_NAMES):
+            add("registration", at, target=name, name=first)
         if low(name, fixed.QUEUE_NAMES):
-            add("queue", m.start(), target=name, name=args[-1].lstrip("&") if args else None)
-        if handler and low(name, fixed.SIGNAL_NAMES) and len(args) >= 2:
-            add("signal", m.start(), target=args[0] if args[0].lstrip("&") != handler else args[1], name=handler)
-    for m in re.finditer(r"\bwhile\s*\(", t):
-        close = matching(t, m.end() - 1, "()")
-        body = t[close + 1 : matching(t, t.find("{", close)) if t.find("{", close) >= 0 else close + 1]
-        for x in re.finditer(rf"({member})\s*\(", body):
-            add("event_loop", m.start(), target=target(x[1]))
+            last = _place(r.raw(args[-1][1], args[-1][2])) if args else None
+            add("queue", at, target=name, name=next((_place(t) for a in args if "->" in (t := _flat(r, a)) and "work" in t), last))
+        if low(name, fixed.SIGNAL_NAMES) and len(args) >= 2 and (h := handler(args[-1]) or (handler(args[-2]) if len(args) >= 3 else None)):
+            add("signal", at, target=_flat(r, args[0]), name=h)
+
+    for _, statements in bodies(r):
+        for n in _nodes(statements):
+            if n[0] == "assign" and n[3] == "=" and n[4][0] in ("member", "index") and (h := handler(_bare(n[5]))):
+                add("binding", n[4][1], target=target(n[4]), name=h)
+            elif n[0] == "call" and n[3][0] == "id":
+                called(n[3][3], n[4], n[1])
+            elif n[0] == "call" and (expr := through(n[3])):
+                add("invocation", n[1], target=expr)
+        for kind, at, x in statements:
+            if kind == "while":
+                for dispatch in dict.fromkeys(target(n[3]) for n in _nodes([*_statements(r, *x[1])]) if n[0] == "call" and n[3][0] in ("member", "index")):
+                    add("event_loop", at, target=dispatch)
     return out
 
 
+# -- calls and types --------------------------------------------------------------------------------------------------
 def arguments_of(text: str) -> list[dict]:
-    """Calls by name within function bodies, with each argument: caller, callee, position, argument, line."""
-    t, out = clean(text), []
-    for d in definitions(text)[0]:
-        if d["kind"] != "function":
-            continue
-        start, end = d["body_at"], d["body_at"] + len(d["body"])
-        for m in _CALL.finditer(t, start, end):
-            if m[1] in NOT_CALLED:
-                continue
-            close = matching(t, m.end() - 1, "()")
-            parts = split_top(t[m.end() : close]) if close > 0 else []
-            line = t.count("\n", 0, m.start()) + 1
-            out += [{"caller": d["name"], "callee": m[1], "position": i, "argument": _place(a), "line": line} for i, a in enumerate(parts)]
+    """Calls by name within function bodies, with each argument, literals empty: caller, callee, position, argument, line."""
+    r, out = Reader(text), []
+    argument = lambda a: "".join(t[0] * 2 if t[0] in "\"'" else t for t in r.tok[a[1] : a[2]]).lstrip("&")
+    for head, statements in bodies(r):
+        for n in _nodes(statements) if head else ():
+            if n[0] == "call" and n[3][0] == "id" and n[3][3] not in NOT_CALLED:
+                out += [{"caller": head["name"], "callee": n[3][3], "position": i, "argument": argument(a), "line": r.line(n[1])} for i, a in enumerate(n[4])]
     return out
 
 
+def _struct_of(words: list[str]) -> str | None:
+    return next((b for a, b in zip(words, words[1:], strict=False) if a == "struct"), None)
+
+
 def member_calls_of(text: str) -> list[dict]:
-    """Calls through a member: target, line, and the struct its base was declared as, if one declaration tells."""
-    t, out = clean(text), []
-    declared: dict[str, set[str]] = {}
-    for m in re.finditer(r"\bstruct\s+(\w+)\s*\*?\s*(\w+)\s*[=;,)]", t):
-        declared.setdefault(m[2], set()).add(m[1])
-    for m in re.finditer(r"\b([A-Za-z_]\w*)((?:(?:->|\.)\w+)+)\s*\(", t):
-        types = declared.get(m[1], set())
-        plain = len(re.findall(r"->|\.", m[2])) == 1  # of a member of a member only the field is known
-        out.append({"target": m[1] + m[2], "line": t.count("\n", 0, m.start()) + 1, "struct_type": next(iter(types)) if plain and len(types) == 1 else None})
+    """Calls through a member: target, line, and the struct its base was declared as, in the function, else in the file, if the declarations agree."""
+    r, out = Reader(text), []
+    parts = [*bodies(r)]
+
+    def declared(head: dict | None, statements: list) -> dict[str, set[str]]:
+        types: dict[str, set[str]] = {}
+        for name, words in [(n, t.replace("*", " ").split()) for n, t in (head or {}).get("params", ())] + [(x.declarator.named.name, x.words) for kind, _, x in statements if kind == "declared"]:
+            if s := _struct_of(words):
+                types.setdefault(name, set()).add(s)
+        return types
+
+    everywhere = declared(*parts[-1])
+    for head, statements in parts[:-1]:
+        types = everywhere | declared(head, statements)
+        for n in _nodes(statements):
+            if n[0] == "call" and n[3][0] == "member":
+                base = n[3]
+                while base[0] == "member":
+                    base = base[3]
+                if base[0] == "id":
+                    # Of a member of a member only the field is known.
+                    found = types.get(base[3], set()) if n[3][3] is base else set()
+                    out.append({"target": _flat(r, n[3]), "line": r.line(n[1]), "struct_type": next(iter(found)) if len(found) == 1 else None})
     return out
 
 
 def types_of(text: str) -> list[dict]:
     """Function-pointer types (typedef, struct field, param) and function signatures."""
-    t, out = clean(text), []
-    for m in re.finditer(r"\btypedef\s+([\w\s*]+?)\(\s*\*\s*(\w+)\s*\)\s*\(([^;]*)\)\s*;", t):
-        out.append({"kind": "Typedef", "name": m[2], "return_type": " ".join(m[1].split()), "params": [param(p)[1] for p in split_top(m[3])], "line": t.count("\n", 0, m.start()) + 1})
-    for d in definitions(text)[0]:
+    r, out = Reader(text), []
+    for kind, first, end, _ in r.items():
+        if kind == "declaration" and r.tok[first] == "typedef":
+            out += [{"kind": "Typedef", "name": x.declarator.named.name, "line": r.line(first), **p} for x in r.declared(first, end)[0] if (p := pointer_of(r, x))]
+        elif kind == "function" and end not in r.unclosed and (head := r.function_head(first, end)):
+            out.append({"kind": "Function", "name": head["name"], "return_type": head["return_type"], "params": [t for _, t in head["params"]], "line": r.line(head["first"])})
+            for a, b in r.parts(*head["span"], ","):
+                if b > a and (found := r.declared(a, b)[0]) and (p := pointer_of(r, found[0])):
+                    out.append({"kind": "Param", "name": f"{head['name']}.{found[0].declarator.named.name}", "line": r.line(head["first"]), **p})
+    for d in read_definitions(r):
         if d["kind"] == "struct":
-            for f in d["fields"]:
-                if f["is_function_ptr"]:
-                    inner = f["signature"][f["signature"].index("(*)(") + 4 : -1]
-                    out.append({"kind": "StructField", "name": f"{d['name']}.{f['name']}", "return_type": f["type_name"], "params": [param(p)[1] for p in split_top(inner)], "line": d["line"]})
-        else:
-            out.append({"kind": "Function", "name": d["name"], "return_type": d["return_type"], "params": [p["type_name"] for p in d["params"]], "line": d["line"]})
-            for p in d["params"]:
-                if "(*)" in p["type_name"]:
-                    ret, inner = p["type_name"].split(" (*)", 1)
-                    out.append({"kind": "Param", "name": f"{d['name']}.{p['name']}", "return_type": ret, "params": [param(x)[1] for x in split_top(inner[1:-1])], "line": d["line"]})
+            out += [{"kind": "StructField", "name": f"{d['name']}.{f['name']}", "line": d["line"], **f["pointer"]} for f in d["fields"] if f["pointer"]]
     return out
 
 
+# -- tables -----------------------------------------------------------------------------------------------------------
 def _with_functions(files: DataFrame, functions: DataFrame | None) -> DataFrame:
     """files and the names that count as functions: those given for the path, else those defined in it."""
     if functions is None:
@@ -295,59 +419,30 @@ def _with_functions(files: DataFrame, functions: DataFrame | None) -> DataFrame:
 
 
 def _known(content: str, known) -> set[str]:
-    return set(known) if known is not None else {d["name"] for d in definitions(content)[0] if d["kind"] == "function"}
+    return set(known) if known is not None else {head["name"] for head, *_ in _functions(Reader(content))}
 
 
 def constraints(files: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """(path, kind, dest, src, field) for the points-to solver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(p, *c) for p, text, k in zip(b["path"], b["content"], b["known"], strict=True) for c in constraints_of(text or "", _known(text or "", k))]
-            yield pd.DataFrame(rows, columns=["path", "kind", "dest", "src", "field"], dtype=object)
-
-    return _with_functions(files, functions).mapInPandas(run, "path string, kind string, dest string, src string, field string")
+    read = lambda text, known: [dict(zip(("kind", "dest", "src", "field"), c, strict=True)) for c in constraints_of(text, _known(text, known))]
+    return _rows(_with_functions(files, functions), "path string, kind string, dest string, src string, field string", read, "known")
 
 
 def callback_facts(files: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """(path, fact, line, target, name)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{**f, "path": p} for p, text, k in zip(b["path"], b["content"], b["known"], strict=True) for f in facts_of(text or "", _known(text or "", k))]
-            yield _frame(rows, ["path", "fact", "line", "target", "name"])
-
-    return _with_functions(files, functions).mapInPandas(run, "path string, fact string, line int, target string, name string")
+    return _rows(_with_functions(files, functions), "path string, fact string, line int, target string, name string", lambda text, known: facts_of(text, _known(text, known)), "known")
 
 
 def pointer_types(files: DataFrame) -> DataFrame:
     """(path, kind, name, return_type, params, line)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{**x, "path": p} for p, text in zip(b["path"], b["content"], strict=True) for x in types_of(text or "")]
-            yield _frame(rows, ["path", "kind", "name", "return_type", "params", "line"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, kind string, name string, return_type string, params array<string>, line int")
+    return _rows(files, "path string, kind string, name string, return_type string, params array<string>, line int", types_of)
 
 
 def call_arguments(files: DataFrame) -> DataFrame:
     """(path, caller, callee, position, argument, line)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{**x, "path": p} for p, text in zip(b["path"], b["content"], strict=True) for x in arguments_of(text or "")]
-            yield _frame(rows, ["path", "caller", "callee", "position", "argument", "line"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, caller string, callee string, position int, argument string, line int")
+    return _rows(files, "path string, caller string, callee string, position int, argument string, line int", arguments_of)
 
 
 def member_calls(files: DataFrame) -> DataFrame:
     """(path, target, line, struct_type)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{**x, "path": p} for p, text in zip(b["path"], b["content"], strict=True) for x in member_calls_of(text or "")]
-            yield _frame(rows, ["path", "target", "line", "struct_type"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, target string, line int, struct_type string")
+    return _rows(files, "path string, target string, line int, struct_type string", member_calls_of)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from runpath.plans import c_queries, catalog, more_queries, registry  # noqa: F401
+from runpath.plans import c_queries, c_units, catalog, more_queries, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
