@@ -34,10 +34,10 @@ DEEPEST = 100
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 _TOKEN = re.compile(
-    r"""\s+|//(?:[^\n\\]|\\.|\\\n)*|/\*.*?(?:\*/|\Z)|\\\n
-    |(?P<directive>\#(?:[^\n\\/"]|\\\n|\\.|"(?:\\.|[^"\\\n])*"?|/(?!\*)|/\*.*?(?:\*/|\Z))*)
-    |(?P<token>[A-Za-z_]\w*|\.?\d(?:[eEpP][+-]|[\w.])*|(?:u8|[LuU])?"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?
-     |<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|[<>=!]=|&&|\|\||[-+*/%&|^]=|.)""",
+    r"""\s*(?:(?P<token>[A-Za-z_]\w*+(?!")|[()\[\]{};,]|(?:u8|[LuU])?"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|\.?\d(?:[eEpP][+-]|[\w.])*
+     |[A-Za-z_]\w*|<<=|>>=|\.\.\.|->|\+\+|--|<<|>>|[<>=!]=|&&|\|\||/(?![/*])=?|[-+*%&|^]=|[^\s/\#\\])
+    |//(?:[^\n\\]|\\.|\\\n)*|/\*.*?(?:\*/|\Z)
+    |(?P<directive>\#(?:[^\n\\/"]|\\\n|\\.|"(?:\\.|[^"\\\n])*"?|/(?!\*)|/\*.*?(?:\*/|\Z))*)|\\)""",
     re.S | re.X,
 )
 _DIRECTIVE = re.compile(r"#\s*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b")
@@ -90,7 +90,7 @@ def tokens(text: str) -> list[Token]:
 
     for m in _TOKEN.finditer(text):
         if m["token"]:
-            out.append((m["token"], m.start()))
+            out.append((m["token"], m.start("token")))
         elif m["directive"] and (d := _DIRECTIVE.match(m["directive"])):
             if d[1].startswith("if"):
                 groups.append((out, []))
