@@ -324,18 +324,24 @@ def _cut(raw: bytes, hit: np.ndarray) -> bytes:
     return b"\n".join([*parts, raw[at:]])
 
 
-def clean_text(raw: bytes, shared: list[Broadcast], max_coverage: float) -> bytes | None:
-    """raw without contaminated spans (again where a cut joins words to a new hit); None if too much of it is hit."""
-    total = 0
-    while True:
-        [(n, hits, _)] = find([pa.array([raw])], shared)
-        hit = hits[0]
-        if not hit.any():
-            return raw
-        total = total or int(n[0])
-        if hit.sum() > max_coverage * total:
-            return None
-        raw = _cut(raw, hit)
+def clean_texts(texts: list[tuple[bytes, np.ndarray]], shared: list[Broadcast], max_coverage: float) -> list[bytes | None]:
+    """The texts, given with their hit words, without contaminated spans; None for those of which too much is hit.
+
+    Where a cut joins words to a new hit, it is cut again: all texts cut in one round are searched together.
+    """
+    out: list[bytes | None] = [None] * len(texts)
+    left = [(i, raw, hit, len(hit)) for i, (raw, hit) in enumerate(texts)]
+    while left:
+        cut = [(i, _cut(raw, hit), total) for i, raw, hit, total in left if hit.sum() <= max_coverage * total]
+        left = []
+        if cut:
+            [(_, hits, _)] = find([pa.array([raw for _, raw, _ in cut], pa.binary())], shared)
+            for (i, raw, total), hit in zip(cut, hits, strict=True):
+                if hit.any():
+                    left.append((i, raw, hit, total))
+                else:
+                    out[i] = raw
+    return out
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, p: DecontaminationParams = PARAMS, text_col: str = "text") -> DataFrame:
@@ -352,20 +358,21 @@ def decontaminate(documents: DataFrame, items: DataFrame, p: DecontaminationPara
         for parts in searched(texts, shared):
             keep, new = [], []
             for part, (_, hits, _) in parts:
-                for raw, hit in zip(part.to_pylist(), hits, strict=True):
-                    done = clean_text(raw, shared, limit) if hit.any() else raw
-                    keep.append(done is not None or raw is None)
-                    new.append(done.decode() if hit.any() and done is not None else None)
+                touched = [i for i, hit in enumerate(hits) if hit.any()]
+                done = dict(zip(touched, clean_texts([(part[i].as_py(), hits[i]) for i in touched], shared, limit), strict=True))
+                keep += [i not in done or done[i] is not None for i in range(len(part))]
+                new += [text.decode("utf-8", "replace") if (text := done.get(i)) is not None else None for i in range(len(part))]
             yield pa.StructArray.from_arrays([pa.array(keep, pa.bool_()), pa.array(new, pa.string())], names=["keep", "text"])
 
     # Marked as not deterministic, so that the filter doesn't run it a second time.
     clean = clean.asNondeterministic()
-    mark = "__clean"
-    out = documents.withColumn(mark, clean(F.col(text_col).cast("binary"))).where(f"{mark}.keep")
-    changed = {text_col: F.coalesce(F.col(f"{mark}.text"), F.col(text_col))}
-    if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col(f"{mark}.text").isNotNull(), F.length(F.col(f"{mark}.text")).cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*documents.columns)
+    # Rows go whole, in one column, so that no name of theirs meets one of ours.
+    row, new = F.col("row"), F.col("done.text")
+    out = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), clean(F.col(text_col).cast("binary")).alias("done")).where("done.keep")
+    columns = {c: row[c] for c in documents.columns} | {text_col: F.coalesce(new, row[text_col])}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(new.isNotNull(), F.length(new).cast(documents.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return out.select(*(columns[c].alias(c) for c in documents.columns))
 
 
 def op3_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -481,7 +481,7 @@ def _answer(p: KatzParams, model: KatzModel):
             for i, c in enumerate(chunk.tolist()):
                 s = slice(cut[i], cut[i + 1])
                 if cut[i] < cut[i + 1]:
-                    out.append((0, ASK_PAIRS, c, _blob((place[s] - i * p.chunk_rows).astype(small)), _blob(known[s].astype("<u4")), _blob(base[s].astype(F8)), _blob(gain[s].astype(F4))))
+                    out.append((0, ASK_PAIRS, c, _blob((place[s] - i * p.chunk_rows).astype(small)), _blob(known[s].astype("<u4")), _blob(base[s].astype(F8)), _blob(gain[s].astype(F8))))
             yield from _rows(out)
 
     return kernel.trimmed(run)
@@ -499,7 +499,7 @@ def _finish(p: KatzParams, total: int):
             doc = np.frombuffer(r["a"], small)
             info[doc, 1] += np.frombuffer(r["b"], "<u4")
             scores[doc, 0] += np.frombuffer(r["c"], F8)
-            scores[doc, 1] += np.frombuffer(r["d"], F4)
+            scores[doc, 1] += np.frombuffer(r["d"], F8)
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64(), mask=flags[:, 0] == 0),

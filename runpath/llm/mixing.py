@@ -182,9 +182,9 @@ def take(documents: DataFrame, p: MixParams = PARAMS) -> DataFrame:
     The texts are not shuffled: a row's copies follow from itself and the plan's row of its source.
     """
     slim = materialize(documents.select(*keyed(documents, p)), "sizes")
-    whole = documents.select(F.struct(*documents.columns).alias("__row"), *keyed(documents, p))
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__row"), *keyed(documents, p))
     chosen = decide(whole, plan(slim, p), p).where("copies > 0")
-    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*(F.col(f"__row.`{c}`") for c in documents.columns))
+    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*(F.col("__row")[c].alias(c) for c in documents.columns))
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,18 +349,21 @@ def keep_one(documents: DataFrame, p: NearDupParams = PIPELINE) -> DataFrame:
     Rows of one id with different texts are different documents: the text of the smallest digest goes by the id, others by
     a number of their own beyond all ids.  Rows without an id are all kept.  Columns are those of documents.
     """
-    repeated = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("first")).where("n > 1")
+    digest = lambda text: F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    repeated = documents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(digest(F.col("text"))).alias("first")).where("n > 1")
     twins = materialize(repeated.select("doc_id", "first"), "repeated-ids")
-    many, single = filters.split(documents, "doc_id", filters.bit_map(twins, "doc_id"))
-    key, digest = "__key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    own = F.shiftrightunsigned(F.xxhash64("doc_id", digest), 2).bitwiseOR(F.lit(1 << 61))
-    named = many.join(twins.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    named = named.withColumn(key, F.when(F.col("__id").isNull() | (digest == F.col("first")), F.col("doc_id").cast("long")).otherwise(own)).select(*(F.col(f"`{c}`") for c in documents.columns), key, F.col("__id").isNotNull().alias("__twin"))
-    rows = named.where("not __twin").drop("__twin").union(named.where("__twin").drop("__twin").dropDuplicates([key]))
-    rows = single.withColumn(key, F.col("doc_id").cast("long")).union(rows)
-    classes = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), p)
-    gone = materialize(classes.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "duplicates")
-    return filters.without(rows, gone, key).drop(key)
+    # Rows go whole, in one column, so that no name of theirs meets one of ours.
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").alias("id"))
+    many, single = filters.split(whole, "id", filters.bit_map(twins.select(F.col("doc_id").alias("id")), "id"))
+    text = F.col("row")["text"]
+    own = F.shiftrightunsigned(F.xxhash64("id", digest(text)), 2).bitwiseOR(F.lit(1 << 61))
+    named = many.join(twins.withColumnRenamed("doc_id", "twin"), F.col("id") == F.col("twin"), "left")
+    named = named.select("row", F.when(F.col("twin").isNull() | (digest(text) == F.col("first")), F.col("id").cast("long")).otherwise(own).alias("key"), F.col("twin").isNotNull().alias("is_twin"))
+    rows = named.where("not is_twin").select("row", "key").union(named.where("is_twin").select("row", "key").dropDuplicates(["key"]))
+    rows = single.select("row", F.col("id").cast("long").alias("key")).union(rows)
+    classes = near_duplicates(rows.select(F.col("key").alias("doc_id"), text.alias("text")), p)
+    gone = materialize(classes.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "duplicates")
+    return filters.without(rows, gone, "key").select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

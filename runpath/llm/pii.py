@@ -17,8 +17,11 @@ of a partly disguised identifier.  Base spans always stay.
 Only texts that hold a digit, an ``@`` or a trigger of a transducer are decoded
 and searched; the triggers are found in the raw bytes.
 
-Defined results: a null or empty text has no spans; rows of a repeated id are
-treated each on its own; offsets are code points, ends exclusive.
+Defined results: a null or empty text has no spans; rows of a repeated id, and equal
+rows, are treated each on its own; offsets are code points, ends exclusive; texts of any
+length are searched whole; spans that tie stand by kind, then start, then end; an empty
+table gives no rows; columns besides the text pass through whatever their names, but for
+one named like the column of spans that is added, which that replaces.
 """
 
 from __future__ import annotations

@@ -6,8 +6,11 @@ shuffle).  Version 1 deals the slots out in turn; a rebalance edits the map: it
 moves slots from the fullest shard to the emptiest as long as this brings the
 two closer, and writes the next version.  The versions of a corpus stand in one
 folder (``map_path``): a run starts from the last whole one, so few slots move
-when the corpus grows, and it writes no version if no slot moves.  Only the map,
-of ``slots`` rows at any input size, reaches the driver.
+when the corpus grows, and it writes no version if no slot moves.  A version is
+written aside and renamed, which fails where it is there already: of two runs at
+once one starts again from the other's version.  Without a folder a run has a map
+of its own, so that its result follows from the rows alone.  Only the map, of
+``slots`` rows at any input size, reaches the driver.
 
 The law of the query is ``bytes``: the sizes of shards are near equal.  Within a
 shard each row has a place, gapless from 0, counted by slot first: the slots of
@@ -24,15 +27,16 @@ looked at, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runpath.llm.storage import children, exists, materialize, new_path, shared_folder
+from runpath.llm.storage import children, exists, materialize, new_path, remove
 
 
 @dataclass(frozen=True)
@@ -115,10 +119,24 @@ def last_version(spark: SparkSession, map_path: str, p: ShardParams = PARAMS) ->
     return max(numbers), shard_of
 
 
-def _write_version(spark: SparkSession, map_path: str, version: int, shard_of: list[int], bytes_of: list[int]) -> None:
+def _write_version(spark: SparkSession, map_path: str, version: int, shard_of: list[int], bytes_of: list[int]) -> bool:
+    """Write a version whole or not at all; False if another run has written it in the meantime."""
     n = len(shard_of)
     table = pa.table({"vslot": pa.array(range(n), pa.int32()), "shard": pa.array(shard_of, pa.int32()), "bytes": pa.array(bytes_of, pa.int64())})
-    spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{map_path}/version={version}")  # slots rows
+    draft = f"{map_path}/draft-{uuid.uuid4().hex}"
+    spark.createDataFrame(table).coalesce(1).write.parquet(draft)  # slots rows
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        # Fails where the version is there already.
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(map_path).toUri(), conf).rename(path(draft), path(f"{map_path}/version={version}"), plain)
+    except Py4JJavaError:
+        remove(spark, draft)
+        if not exists(spark, f"{map_path}/version={version}"):
+            raise
+        return False
+    return True
 
 
 def slot_map(rows: DataFrame, p: ShardParams = PARAMS, map_path: str | None = None) -> DataFrame:
@@ -128,22 +146,20 @@ def slot_map(rows: DataFrame, p: ShardParams = PARAMS, map_path: str | None = No
     bytes_of = [0] * p.slots
     for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect():  # at most p.slots rows
         bytes_of[r.vslot] = r.bytes
-    known = last_version(spark, map_path, p)
-    version, shard_of = known or (1, initial_map(p))
-    if known is None:
-        _write_version(spark, map_path, 1, shard_of, bytes_of)
-    balanced = rebalance(shard_of, bytes_of, p.shards)
-    if balanced != shard_of:
+    while True:  # once more where another run was first with a version
+        known = last_version(spark, map_path, p)
+        version, shard_of = known or (1, initial_map(p))
+        if known is None and not _write_version(spark, map_path, 1, shard_of, bytes_of):
+            continue
+        balanced = rebalance(shard_of, bytes_of, p.shards)
+        if balanced == shard_of:
+            break
         version += 1
-        _write_version(spark, map_path, version, balanced, bytes_of)
+        if _write_version(spark, map_path, version, balanced, bytes_of):
+            break
     return spark.read.schema("vslot int, shard int, bytes bigint").parquet(f"{map_path}/version={version}").select("vslot", "shard", F.lit(version).alias("version"))
 
 
-def map_folder(spark: SparkSession, corpus: str) -> str:
-    """Where the versions of a corpus's map stand, by the name of the corpus."""
-    return f"{shared_folder(spark)}/slot-maps/{hashlib.md5(corpus.encode()).hexdigest()}"
-
-
 def shard(documents: DataFrame, p: ShardParams = PARAMS, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version), one row for each row of documents."""
     rows = materialize(records(documents, p), "records")
@@ -161,4 +177,4 @@ def shard(documents: DataFrame, p: ShardParams = PARAMS, map_path: str | None =
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), map_path=map_folder(spark, sf_dir))
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -186,8 +186,10 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams =
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) -> DataFrame:
     """documents without the rows scored at the threshold or above; same columns."""
-    score = "__toxicity"
-    return score_toxicity(documents, labels, p, score).where(F.col(score) < p.threshold).drop(score)
+    score = scorer(documents.sparkSession, fit(documents, labels, p), p)
+    # Rows go whole, in one column, so that no name of theirs meets one of ours.
+    scored = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), score("text").alias("score"))
+    return scored.where(F.col("score") < p.threshold).select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
