@@ -19,3 +19,7 @@ class PackError(EngineError, ValueError):
 
 class PreprocessError(EngineError, RuntimeError):
     """No compiler, or an unknown architecture."""
+
+
+class ConcurrentChangeError(EngineError, RuntimeError):
+    """Another change of a table came first; read it again and repeat the change."""

@@ -65,6 +65,70 @@ def flow_tree(spark: SparkSession, edges: DataFrame, roots: DataFrame, known: Da
         return scratch.keep(out.withColumn("ord", order_key(F.col("trail"))))
 
 
+def _cycle_bound(links: DataFrame, rounds: int, by: Keys, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes that may still reach a cycle, nodes that may lie on one): what is left when nodes without a callee, then also
+    those without a caller, are taken away so many times.  Long chains that are not used up only make more nodes count.
+    """
+
+    def peel(left: DataFrame, end: str, other: str) -> DataFrame:
+        for _ in range(rounds):
+            ends = left.select(*by, F.col(end).alias(other)).distinct()
+            fewer = scratch.write(left.join(ends, [*by, other], "left_semi").select(*by, "parent", "node"))
+            if fewer.count() == left.count():
+                break
+            left = fewer
+        return left
+
+    reaching = peel(scratch.write(links.select(*by, "parent", "node")), "parent", "node")
+    on = peel(reaching, "node", "parent")
+    return reaching.select(*by, F.col("parent").alias("node")).distinct(), on.select(*by, F.col("parent").alias("node")).distinct()
+
+
+def shared_tree(spark: SparkSession, edges: DataFrame, roots: DataFrame, known: DataFrame, max_depth: int = fixed.TREE_DEPTH, by: Keys = ()) -> DataFrame:
+    """The trees of flow_tree() with equal subtrees kept once: (*by, root, node, depth, inside, node_type, paths, first).
+
+    What stands below a place depends on the function, its depth, and those callers on the way that may be met again:
+    inside holds these, none where no cycle can be reached.  Places that agree are one row with the number of paths to it
+    and the first of them in depth-first order, so a graph of n functions without cycles has n * max_depth rows at most
+    for a root, however many paths it has.
+    """
+    known = known.select(*by, F.col("name").alias("node"), F.lit(True).alias("__known")).distinct()
+    with Scratch(spark) as scratch:
+        links = scratch.write(edges.select(*by, F.col("src").alias("parent"), F.col("dst").alias("node")).distinct())
+        reaching, on = _cycle_bound(links, max_depth, by, scratch)
+        marks = reaching.withColumn("__reaches", F.lit(True)).join(on.withColumn("__on", F.lit(True)), [*by, "node"], "left")
+        # Each link with what is known of the callee, worked out once for all levels.
+        steps = scratch.write(links.join(known, [*by, "node"], "left").join(marks, [*by, "node"], "left"))
+        none = F.array().cast("array<string>")
+        level = roots.select(*by, F.col("name").alias("node")).distinct().join(known, [*by, "node"], "left").join(marks, [*by, "node"], "left")
+        level = level.select(
+            *by, F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.when(F.col("__on"), F.array("node")).otherwise(none).alias("inside"),
+            F.when(F.col("__known").isNull(), "External").otherwise("Function").alias("node_type"), F.lit(1).cast("decimal(38,0)").alias("paths"), F.array("node").alias("first"),
+        )
+        out = level = scratch.write(level)
+        kind = F.when(F.array_contains("inside", F.col("node")), "Ref").when(F.col("__known").isNull(), "KernelApi").otherwise("Function")
+        inside = F.when(F.col("__reaches").isNull(), none).when(F.col("__on") & ~F.array_contains("inside", F.col("node")), F.array_sort(F.concat("inside", F.array("node")))).otherwise(F.col("inside"))
+        for d in range(1, max_depth + 1):
+            grown = level.where("node_type = 'Function'").withColumnRenamed("node", "parent").join(steps, [*by, "parent"])
+            placed = grown.select(*by, "root", "node", inside.alias("next"), kind.alias("node_type"), "paths", F.concat("first", F.array("node")).alias("first"))
+            merged = placed.groupBy(*by, "root", "node", F.col("next").alias("inside"), "node_type").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"), F.min_by("first", order_key(F.col("first"))).alias("first"))
+            level = scratch.write(merged.select(*by, "root", "node", F.lit(d).alias("depth"), "inside", "node_type", "paths", "first"))
+            if level.isEmpty():
+                break
+            out = out.union(level)
+        return scratch.keep(out)
+
+
+def tree_sizes(shared: DataFrame, by: Keys = ()) -> DataFrame:
+    """(*by, root, node_type, places, deepest): how many places of each type the whole tree of a root has."""
+    return shared.groupBy(*by, "root", "node_type").agg(F.sum("paths").cast("decimal(38,0)").alias("places"), F.max("depth").alias("deepest"))
+
+
+def shared_paths(shared: DataFrame, by: Keys = ()) -> DataFrame:
+    """(*by, root, node, paths, first): the number of places of each function below a root, and the first path to it."""
+    return shared.groupBy(*by, "root", "node").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"), F.min_by("first", order_key(F.col("first"))).alias("first"))
+
+
 def inject_chain(tree: DataFrame, chains: DataFrame, entries: DataFrame, by: Keys = ()) -> DataFrame:
     """Trees below the kernel chain that leads to their root.
 

@@ -1,49 +1,123 @@
-"""Tables kept as Parquet, partitioned by bucket of the file, and the symbol index made of them."""
+"""Tables kept as Parquet, partitioned by bucket of a key, and the symbol index made of them."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runpath.errors import ConcurrentChangeError
 from runpath.functions import text as T
 from runpath.operators import relational as R
 from runpath.operators.storage import Scratch, new_path, remove
 
 
 class BucketedTable:
-    """Rows with a path, in buckets of its hash.  A change rewrites the buckets of the changed paths only."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 64):
-        self.spark, self.folder, self.schema, self.buckets = spark, folder.rstrip("/"), schema, buckets
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int"))
-
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(self.folder)
-
-    def read(self) -> DataFrame:
-        return self._stored().drop("bucket")
+    """Rows in buckets of the hash of one column (the path, as a rule).  A change writes the buckets of the changed keys only.
+
+    A version of the table is a small file that names the folder of each bucket.  A change writes its buckets to a folder
+    of its own and then the next version, all of it or nothing: the file is written aside and renamed, which fails if
+    another change has made that version.  What is there is never overwritten, so a reader goes on with the version that
+    it began with; vacuum() deletes what no version that is kept names.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, buckets: int = 64, column: str = "path"):
+        self.spark, self.folder, self.schema, self.buckets, self.column = spark, folder.rstrip("/"), schema, buckets, column
+
+    # -- versions -----------------------------------------------------------------------------------------------------
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        where = self._path(folder)
+        return [s.getPath().getName() for s in self._fs().listStatus(where)] if self._fs().exists(where) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self._names("versions") if n.startswith("v"))
+
+    def manifest(self, version: int | None = None) -> tuple[int, dict[str, str]]:
+        """(version, bucket -> folder below the table's) of the last version, or of the one given; version 0 is empty."""
+        version = max(self.versions(), default=0) if version is None else version
+        if not version:
+            return 0, {}
+        stream = self._fs().open(self._path(f"versions/v{version}"))
+        try:
+            return version, json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, buckets: dict[str, str]) -> None:
+        jvm = self.spark.sparkContext._jvm
+        draft, done = self._path(f"drafts/{uuid.uuid4().hex}"), self._path(f"versions/v{version}")
+        self._fs().mkdirs(done.getParent())
+        stream = self._fs().create(draft, False)
+        stream.write(json.dumps(buckets).encode())
+        stream.close()
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, done, plain)
+        except Py4JJavaError as e:
+            self._fs().delete(draft, False)
+            if not self._fs().exists(done):
+                raise
+            raise ConcurrentChangeError(f"version {version} of {self.folder} was made by another change") from e
+
+    def _written(self, rows: DataFrame) -> dict[str, str]:
+        """Write rows to a new folder; the folder of each bucket that has any."""
+        name = f"data/{uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64(self.column), F.lit(self.buckets)).cast("int")
+        rows.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        return {n.split("=")[1]: f"{name}/{n}" for n in self._names(name) if n.startswith("bucket=")}
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete all but the last versions, and the folders that these do not name."""
+        kept = self.versions()[-keep:]
+        used = {folder for v in kept for folder in self.manifest(v)[1].values()}
+        for v in self.versions():
+            if v not in kept:
+                remove(self.spark, f"{self.folder}/versions/v{v}")
+        for name in self._names("data"):
+            for bucket in self._names(f"data/{name}"):
+                if bucket.startswith("bucket=") and f"data/{name}/{bucket}" not in used:
+                    remove(self.spark, f"{self.folder}/data/{name}/{bucket}")
+
+    # -- rows ---------------------------------------------------------------------------------------------------------
+    def _stored(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{f}" for f in folders))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._stored([*self.manifest(version)[1].values()])
 
     def save(self, rows: DataFrame) -> None:
         """The whole table anew (K3)."""
-        self._bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(self.folder)
+        self._commit(self.manifest()[0] + 1, self._written(rows))
 
     def clear(self) -> None:
-        self.save(self.spark.createDataFrame([], self.schema))
+        self._commit(self.manifest()[0] + 1, {})
 
-    def replace(self, keys: DataFrame, rows: DataFrame, key: tuple[str, ...] = ("path",)) -> None:
+    def replace(self, keys: DataFrame, rows: DataFrame, key: tuple[str, ...] | None = None) -> None:
         """All rows whose key is in keys are replaced by rows (K1, K2, K4: no rows deletes)."""
+        key = key or (self.column,)
+        version, now = self.manifest()
+        bucket = F.pmod(F.xxhash64(self.column), F.lit(self.buckets)).cast("int").alias("b")
         with Scratch(self.spark) as scratch:
-            keys = scratch.write(keys.select(*key).distinct())
-            touched = scratch.write(self._bucketed(keys).select("bucket").union(self._bucketed(rows).select("bucket")).distinct())
-            old = self._stored().join(F.broadcast(touched), "bucket", "left_semi")  # at most `buckets` rows
-            kept = old.join(keys, list(key), "left_anti")
-            new = scratch.write(kept.select(*rows.columns, "bucket").unionByName(self._bucketed(rows)))
-            gone = [r.bucket for r in touched.join(new.select("bucket").distinct(), "bucket", "left_anti").collect()]  # at most `buckets` rows
-            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
-            for bucket in gone:  # buckets that have no row left
-                remove(self.spark, f"{self.folder}/bucket={bucket}")
+            keys, rows = scratch.write(keys.select(*key).distinct()), scratch.write(rows)
+            touched = {str(r.b) for r in keys.select(bucket).union(rows.select(bucket)).distinct().collect()}  # at most `buckets` rows
+            old = self._stored([f for b, f in now.items() if b in touched])
+            new = self._written(old.join(keys, list(key), "left_anti").select(*rows.columns).unionByName(rows))
+        self._commit(version + 1, {b: f for b, f in now.items() if b not in touched} | new)
+
+    def append(self, rows: DataFrame) -> None:
+        """rows besides those that are there."""
+        self.replace(rows.select(self.column).where("false"), rows)
 
     def upsert(self, rows: DataFrame, key: tuple[str, ...]) -> None:
         """rows take the place of those of equal keys, the last of equal ones in any order (K1, K2)."""
@@ -117,3 +191,53 @@ class SymbolIndex:
     def stats(self) -> DataFrame:
         """(what, n) of functions, structs and files (A1)."""
         return R.index_stats(self.read("functions"), self.read("structs"), self.read("versions"))
+
+
+class DefinitionIndex:
+    """Symbols of files, kept by the chunks that they are cut into: a chunk that is there is not read again, wherever it stands.
+
+    places(path, ord, first_line, hash) tells the chunks of each file; rows holds the symbols of each distinct chunk, lines
+    counted from its first.  Chunks that many files share are read once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        from runpath.sources import c_front
+
+        folder = folder.rstrip("/")
+        self.spark = spark
+        self.places = BucketedTable(spark, f"{folder}/places", "path string, ord int, first_line int, hash string", buckets)
+        self.rows = BucketedTable(spark, f"{folder}/rows", c_front.SYMBOLS.replace("path string", "hash string", 1), buckets, "hash")
+
+    @classmethod
+    def temporary(cls, spark: SparkSession, buckets: int = 64) -> DefinitionIndex:
+        return cls(spark, new_path(spark, "definitions"), buckets)
+
+    def refresh(self, files: DataFrame) -> DataFrame:
+        """Take in files(path, content); returns the chunks (hash, content) that had to be read.
+
+        Rows of new chunks are committed before the places that name them, so that what is read is whole at any time.
+        """
+        from runpath.sources import c_chunks
+
+        with Scratch(self.spark) as scratch:
+            found = scratch.write(c_chunks.chunks(files))
+            new = scratch.write(found.dropDuplicates(["hash"]).join(self.rows.read().select("hash").distinct(), "hash", "left_anti").select("hash", "content"))
+            self.rows.append(c_chunks.symbols(new))
+            self.places.replace(files.select("path"), found.drop("content"))
+            return scratch.keep(new)
+
+    def remove_files(self, paths: DataFrame) -> None:
+        self.places.replace(paths.select("path"), self.places.read().where("false"))
+
+    def symbols(self) -> DataFrame:
+        """The columns of c_front.symbols, of all files."""
+        from runpath.sources import c_chunks
+
+        return c_chunks.placed(self.places.read(), self.rows.read())
+
+    def vacuum(self) -> None:
+        """Forget chunks that no file has any more, and what is left of older versions."""
+        gone = self.rows.read().select("hash").distinct().join(self.places.read().select("hash").distinct(), "hash", "left_anti")
+        self.rows.replace(gone, self.rows.read().where("false"))
+        self.rows.vacuum(1)
+        self.places.vacuum(1)

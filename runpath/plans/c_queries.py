@@ -18,7 +18,7 @@ from runpath.operators import patterns as P
 from runpath.operators import points_to as PT
 from runpath.operators import relational as R
 from runpath.operators import views
-from runpath.operators.index import SymbolIndex
+from runpath.operators.index import DefinitionIndex, SymbolIndex
 from runpath.plans.registry import query, table
 from runpath.plans.session import AnalysisSession
 from runpath.sources import c_front
@@ -391,6 +391,16 @@ def _(s, d):
     return session(s, d).user_trees.select("path", "root", "node", "parent", "depth", F.replace("ord", F.lit("\u0001"), F.lit("/")).alias("trail"), "node_type")
 
 
+@query("c_tree_sizes", TREES_SQL + " SELECT path, root, node_type, CAST(count(*) AS BIGINT) AS places, CAST(max(depth) AS INTEGER) AS deepest FROM t GROUP BY path, root, node_type")
+def _(s, d):
+    return G.tree_sizes(session(s, d).shared_trees, ("path",)).withColumn("places", F.col("places").cast("long"))
+
+
+@query("c_tree_paths", TREES_SQL + " SELECT path, root, node, CAST(count(*) AS BIGINT) AS paths, min(array_to_string(trail, chr(1))) AS first FROM t GROUP BY path, root, node")
+def _(s, d):
+    return G.shared_paths(session(s, d).shared_trees, ("path",)).withColumns({"paths": F.col("paths").cast("long"), "first": G.order_key(F.col("first"))})
+
+
 @query("c_chained_trees", CHAINED_SQL + """SELECT t.path, t.root, t.node, CASE WHEN t.depth = 0 THEN ro.last ELSE t.parent END AS parent, CAST(t.depth + coalesce(ro.n, 0) AS INTEGER) AS depth, t.node_type, false AS kernel_internal FROM t LEFT JOIN ro ON t.path = ro.path AND t.root = ro.root
  UNION ALL SELECT ro.path, ro.root, a.function, b.function, CAST(a.ord AS INTEGER), CASE WHEN a.ord = 0 THEN 'External' ELSE 'KernelApi' END, true FROM ro JOIN ch a ON a.chain_id = ro.chain_id LEFT JOIN ch b ON b.chain_id = a.chain_id AND b.ord = a.ord - 1""")
 def _(s, d):
@@ -530,6 +540,36 @@ def _(s, d):
     return index.read("functions").select("path", "name", "line")
 
 
+def _edited(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All files, and those of one size in four with one more line in one function."""
+    files = c_files(s, d)
+    edited = files.where("z % 4 = 1").withColumn("content", F.replace(F.col("content"), F.lit("\twake_up_process(task);\n"), F.lit("\tnote(irq);\n\twake_up_process(task);\n")))
+    return files, edited
+
+
+@query("index_edited_chunks", f"SELECT 'static int irq_' || k || '(int irq, void *data)' AS head, CAST(6 AS BIGINT) AS lines FROM {P_SQL} WHERE z % 4 = 1")
+def _(s, d):
+    """What is read again after an edit of one function of a file: that function."""
+    index = DefinitionIndex.temporary(s, 8)
+    files, edited = _edited(s, d)
+    index.refresh(files)
+    read = index.refresh(edited).withColumn("lines", F.split(F.rtrim(F.regexp_replace("content", r"\n\z", "")), "\n"))
+    return read.select(F.get("lines", F.lit(0)).alias("head"), F.size("lines").cast("long").alias("lines"))
+
+
+@query("index_edited_symbols", f"""SELECT path, 'function' AS kind, name, CAST(line + CASE WHEN z % 4 = 1 AND line > 24 THEN 1 ELSE 0 END AS INTEGER) AS line, CAST(end_line + CASE WHEN z % 4 = 1 AND line >= 24 THEN 1 ELSE 0 END AS INTEGER) AS end_line,
+ CASE WHEN z % 4 = 1 AND line = 24 THEN 'note,' || calls ELSE calls END AS calls FROM {FUNCTIONS_SQL} UNION ALL SELECT path, 'struct', 'dev_' || k, 3, 9, '' FROM {P_SQL}
+ UNION ALL SELECT path, 'error', 'unbalanced brace at line ' || (59 + CAST(z % 4 = 1 AS INTEGER)), NULL, NULL, '' FROM {P_SQL} WHERE {IS['broken']}""")
+def _(s, d):
+    """Symbols after the edit: lines behind it are shifted, chunks without a file are forgotten."""
+    index = DefinitionIndex.temporary(s, 8)
+    files, edited = _edited(s, d)
+    index.refresh(files)
+    index.refresh(edited)
+    index.vacuum()
+    return index.symbols().select("path", "kind", F.coalesce("name", "error").alias("name"), "line", "end_line", F.coalesce(F.array_join("calls", ","), F.lit("")).alias("calls"))
+
+
 @query("learning_store", f"""SELECT 'pending' AS what, path || ':35:d' || k || '->handler' AS id, 'No assignment' AS value FROM {P_SQL} WHERE z % 7 > 0 AND z % 3 > 0
  UNION ALL SELECT 'annotation', path || ':35:d' || k || '->handler', 'dim_' || k FROM {P_SQL} WHERE z % 7 > 0 AND z % 3 = 0 UNION ALL SELECT 'stats', CAST(count(*) FILTER (z % 7 > 0) AS VARCHAR), CAST(count(*) FILTER (z % 7 > 0 AND z % 3 = 0) AS VARCHAR) FROM {P_SQL}""")
 def _(s, d):

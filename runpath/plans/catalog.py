@@ -470,6 +470,22 @@ def _(s, d):
     return PT.function_targets(PT.solve(constraints(s, d))).select("loc", F.array_join("targets", ",").alias("targets"))
 
 
+#: Suppliers whose calls double at every step: both functions of a step call both of the next.
+@query("shared_trees", """SELECT 's' || s_suppkey || '_0_0' AS root, 's' || s_suppkey || '_' || d || '_' || i AS node, CAST(power(2, d - 1) AS BIGINT) AS paths, array_to_string(list_transform(range(0, d + 1), lambda x: 's' || s_suppkey || '_' || x || '_' || CASE WHEN x = d THEN i ELSE 0 END), '/') AS first
+ FROM supplier, unnest(range(1, 21)) a(d), unnest([0, 1]) b(i) UNION ALL SELECT 's' || s_suppkey || '_0_0', 's' || s_suppkey || '_0_0', 1, 's' || s_suppkey || '_0_0' FROM supplier""")
+def _(s, d):
+    """A million paths end in the last functions of each supplier."""
+    u = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("u"))
+    name = lambda step, i: F.concat_ws("_", "u", step.cast("string"), i.cast("string"))
+    step = u.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    both = step.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+    calls = both.select(name(F.col("step"), F.col("i")).alias("src"), name(F.col("step") + 1, F.col("j")).alias("dst"))
+    known = calls.select(F.col("src").alias("name")).union(calls.select("dst"))
+    roots = u.select(F.concat("u", F.lit("_0_0")).alias("name"))
+    shared = G.shared_tree(s, calls, roots, known)
+    return G.shared_paths(shared).select("root", "node", F.col("paths").cast("long").alias("paths"), F.array_join("first", "/").alias("first"))
+
+
 # -- paths ------------------------------------------------------------------------------------------------------------
 @query("url_parts", "SELECT page_id, string_split(url, '/')[-1] AS name, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, CAST(len(string_split(url, '/')) - 1 AS INTEGER) AS depth FROM pages")
 def _(s, d):

@@ -129,6 +129,12 @@ class AnalysisSession:
         roots = self.entry_points.join(known, ["path", "name"], "left_semi")
         return G.flow_tree(self.spark, self.edges.select("path", "src", "dst"), roots, known, by=BY)
 
+    @cached_property
+    def shared_trees(self) -> DataFrame:
+        """The trees of all files with equal subtrees once, for sizes and paths of trees of any number of places."""
+        known = self.defined.select("path", "name")
+        return G.shared_tree(self.spark, self.edges.select("path", "src", "dst"), self.entry_points.join(known, ["path", "name"], "left_semi"), known, by=BY)
+
     def chain_entries(self) -> DataFrame:
         """(path, root, chain_id): by the operation table's type and field, else by the mechanism of the handler."""
         chains = knowledge(self.spark)["chains"].select("chain_id").distinct()
