@@ -59,9 +59,9 @@ def parameter_flow(calls: DataFrame, parameters: DataFrame, by: tuple[str, ...]
 def active_lines(lines: DataFrame, regions: DataFrame, macros: DataFrame) -> DataFrame:
     """Lines outside conditional regions whose macro is off (D12). regions(path, lo, hi, macro), macros(name, value)."""
     on = macros.where("value <> '0'").select(F.col("name").alias("macro")).distinct()
-    off = regions.join(on, "macro", "left_anti").alias("r")
-    x = lines.alias("l")
-    return x.join(off, (F.col("l.path") == F.col("r.path")) & F.col("l.line").between(F.col("r.lo"), F.col("r.hi")), "left_anti")
+    off = regions.join(on, "macro", "left_anti").select("path", "lo", "hi")
+    hidden = R.in_range(lines.select("path", "line").distinct(), off, "path", "line", "lo", "hi").select("path", "line").distinct()
+    return lines.join(hidden, ["path", "line"], "left_anti").select(*lines.columns)
 
 
 def lanes(chains: DataFrame) -> DataFrame:

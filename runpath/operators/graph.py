@@ -187,6 +187,45 @@ def closure(edges: DataFrame, start: DataFrame, reverse: bool = False, max_round
         return scratch.keep(seen)
 
 
+def maintain_closure(seen: DataFrame, edges: DataFrame, removed: DataFrame, added: DataFrame, start: DataFrame, reverse: bool = False, max_rounds: int = fixed.SOLVER_ROUNDS) -> DataFrame:
+    """closure() of edges after a change, from what it was before.
+
+    seen(name, hops) is the closure before the change; edges are those after it, removed and added the difference.  Delete
+    and derive again: names whose shortest way may have used a removed edge go, along edges by which the ways went on; then
+    they, and what added edges reach, are reached again from those that stay, only improvements being joined in each round.
+    The work follows the names that the change concerns, not the closure.
+    """
+    src, dst = ("dst", "src") if reverse else ("src", "dst")
+    turned = lambda df: df.select(F.col(src).alias("name"), F.col(dst).alias("__to")).distinct()
+    with Scratch(edges.sparkSession) as scratch:
+        links, before = scratch.write(turned(edges)), scratch.write(seen.select("name", "hops"))
+        at = before.select(F.col("name").alias("__to"), F.col("hops").alias("__h"))
+        gone = front = scratch.write(before.join(turned(removed), "name").join(at, "__to").where("__h = hops + 1").select(F.col("__to").alias("name"), F.col("__h").alias("hops")).distinct())
+        for n in range(max_rounds):  # along edges of shortest ways
+            if n % 16 == 15:
+                gone = scratch.write(gone)
+            found = front.join(links, "name").join(at, "__to").where("__h = hops + 1").select(F.col("__to").alias("name"), F.col("__h").alias("hops")).distinct()
+            front = scratch.write(found.join(gone, "name", "left_anti"))
+            if front.isEmpty():
+                break
+            gone = gone.union(front)
+        roots = start.select("name").distinct().withColumn("hops", F.lit(0))
+        kept = scratch.write(before.join(gone, "name", "left_anti").unionByName(roots.join(before, "name", "left_anti")))
+        lost = scratch.write(gone.select("name").distinct())
+        # Ways into what went, and along what is new.
+        new = links.join(lost.withColumnRenamed("name", "__to"), "__to", "left_semi").select("name", "__to").union(turned(added).join(links, ["name", "__to"], "left_semi").select("name", "__to")).distinct()
+        offers = kept.join(new, "name").groupBy(F.col("__to").alias("name")).agg((F.min("hops") + 1).alias("hops"))
+        for n in range(max_rounds):
+            better = scratch.write(offers.join(kept.withColumnRenamed("hops", "__h"), "name", "left").where("__h is null or hops < __h").select("name", "hops"))
+            if better.isEmpty():
+                break
+            kept = kept.join(better, "name", "left_anti").unionByName(better)
+            if n % 8 == 7:
+                kept = scratch.write(kept)
+            offers = better.join(links, "name").groupBy(F.col("__to").alias("name")).agg((F.min("hops") + 1).alias("hops"))
+        return scratch.keep(kept.select("name", "hops"))
+
+
 def shortest_path(edges: DataFrame, a: str, b: str, max_depth: int = fixed.TREE_DEPTH) -> DataFrame:
     """One row (path, hops): the shortest, of equal ones the first by name; each node keeps one path, so it does not blow up."""
     spark = edges.sparkSession

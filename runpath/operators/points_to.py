@@ -313,6 +313,36 @@ def _solve_by_joins(c: DataFrame, max_rounds: int, scratch: Scratch) -> DataFram
     return pts
 
 
+#: How sure a kind of constraint is, best first: values that are named, members of structs, what goes through memory.
+CERTAINTY = (("High", ("AddressOf", "Copy")), ("Medium", ("FieldLoad", "FieldStore")), ("Low", ("Load", "Store", "ArrayLoad", "ArrayStore")))
+
+
+def with_confidence(constraints: DataFrame) -> DataFrame:
+    """constraints with the confidence of their kind, where they have none of their own."""
+    by_kind = F.when(F.lit(False), F.lit(""))
+    for name, kinds in CERTAINTY:
+        by_kind = by_kind.when(F.col("kind").isin(*kinds), name)
+    own = F.col("confidence") if "confidence" in constraints.columns else F.lit(None).cast("string")
+    return constraints.withColumn("confidence", F.coalesce(own, by_kind))
+
+
+def solve_with_confidence(constraints: DataFrame, functions: DataFrame | None = None, by: Keys = (), group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(*by, loc, target, confidence): each pair with the confidence of its best derivation, which is that of its weakest constraint.
+
+    A pair has a derivation of at least some confidence if it follows from the constraints of that confidence and better
+    ones alone; so the solution of each level is found, and the best level at which a pair is there counts.
+    """
+    levels = [name for name, _ in CERTAINTY]
+    with Scratch(constraints.sparkSession) as scratch:
+        rows = scratch.write(with_confidence(constraints))
+        found = None
+        for n in range(len(levels)):
+            pts = solve(rows.where(F.col("confidence").isin(levels[: n + 1])).drop("confidence"), functions, by=by, group_limit=group_limit).withColumn("__n", F.lit(n))
+            found = pts if found is None else found.unionByName(pts)
+        best = found.groupBy(*by, "loc", "target").agg(F.min("__n").alias("__n"))
+        return scratch.keep(best.select(*by, "loc", "target", F.element_at(F.array(*(F.lit(x) for x in levels)), F.col("__n") + 1).alias("confidence")))
+
+
 def function_targets(pts: DataFrame, by: Keys = ()) -> DataFrame:
     """(*by, loc, targets): what may be called through each location."""
     kept = pts.where(T.is_function_target("target"))

@@ -59,10 +59,31 @@ def mark_known(edges: DataFrame, functions: DataFrame) -> DataFrame:
     return edges.join(known, edges.dst == known["__n"], "left").withColumn("target", F.when(F.col("__n").isNull(), "External").otherwise("Known")).drop("__n")
 
 
+def _whole(c: str, df: DataFrame) -> Column:
+    """A whole number that orders like a column of numbers, dates or times."""
+    kind = df.schema[c].dataType.typeName()
+    return F.unix_date(c) if kind == "date" else F.unix_micros(F.col(c).cast("timestamp")) if kind.startswith("timestamp") else F.floor(c).cast("long")
+
+
 def in_range(points: DataFrame, intervals: DataFrame, key: str, point: str, lo: str, hi: str) -> DataFrame:
-    """Points within intervals of the same key; the key makes it a hash or merge join with a residual condition."""
-    p, i = points.alias("p"), intervals.alias("i")
-    return p.join(i, (F.col(f"p.{key}") == F.col(f"i.{key}")) & F.col(f"p.{point}").between(F.col(f"i.{lo}"), F.col(f"i.{hi}"))).drop(F.col(f"i.{key}"))
+    """Points within intervals of the same key, both ends included.
+
+    An interval goes to the one or two bins that it touches at the level whose bins are at least as long as it; a point goes
+    to its bin at every level that an interval has (64 at most, in practice few).  So the join is on equal key, level and
+    bin, and a point meets only intervals about as far from it as they are long, however many its key has.
+    """
+    a, b = _whole(lo, intervals), _whole(hi, intervals)
+    level = F.when(b > a, F.length(F.bin(b - a))).otherwise(0)
+    bin_of = lambda c, level: F.call_function("shiftright", c, level)
+    cut = intervals.where(F.col(lo) <= F.col(hi)).withColumn("__level", level)
+    cut = cut.withColumn("__bin", F.explode(F.sequence(bin_of(a, F.col("__level")), bin_of(b, F.col("__level")))))
+    levels = sorted(r[0] for r in cut.select("__level").distinct().collect())  # at most 65 numbers
+    at = _whole(point, points)
+    spread = points.withColumn("__level", F.explode(F.array(*(F.lit(n) for n in levels)).cast("array<int>"))).withColumn("__bin", bin_of(at, F.col("__level")))
+    p, i = spread.alias("p"), cut.alias("i")
+    same = [F.col(f"p.`{c}`") == F.col(f"i.`{c}`") for c in (key, "__level", "__bin")]
+    inside = F.col(f"p.`{point}`").between(F.col(f"i.`{lo}`"), F.col(f"i.`{hi}`"))
+    return p.join(i, same[0] & same[1] & same[2] & inside).drop(F.col(f"i.`{key}`")).drop("__level", "__bin")
 
 
 def callers(edges: DataFrame, name: str, bindings: DataFrame | None = None) -> DataFrame:

@@ -453,6 +453,12 @@ def _(s, d):
     return pts.where("loc = 'd'")
 
 
+@query("c_target_confidence", f"""SELECT path, name AS loc, name AS target, 'High' AS confidence FROM {FUNCTIONS_SQL} UNION ALL SELECT path, 'irq_d' || k || '->irq', 'irq_' || k, 'High' FROM {P_SQL} WHERE {IS['irq']}
+ UNION ALL SELECT path, 'alloc:31.handler', 'dim_' || k, 'Medium' FROM {P_SQL} WHERE {IS['assign']}""")
+def _(s, d):
+    return session(s, d).targets_with_confidence()
+
+
 FACTS = [("binding", 34, "d{k}->handler", "dim_{k}", IS["assign"]), ("invocation", 35, "d{k}->handler", None, "true"), ("queue", 18, "schedule_work", "d{k}->work", "true")]
 
 

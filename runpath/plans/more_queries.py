@@ -14,6 +14,7 @@ from runpath.operators import graph as G
 from runpath.operators import patterns as P
 from runpath.operators import relational as R
 from runpath.operators import views
+from runpath.operators.drawing import drawing
 from runpath.operators.storage import checkpoint, new_path
 from runpath.operators.types_db import TypeDatabase
 from runpath.plans import samples
@@ -384,6 +385,13 @@ def _(s, d):
     return G.folding(nation_tree(s, d)).select("root", "node", "state")
 
 
+@query("tree_drawing", _TREE + """, l AS (SELECT root, node, max(depth) AS rank, min(array_to_string(path, chr(1))) AS trail FROM t GROUP BY root, node)
+ SELECT root, node, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY root, rank ORDER BY trail) - 1 AS INTEGER) AS place, CAST(0 AS INTEGER) AS crossings FROM l""")
+def _(s, d):
+    """A tree is drawn without crossings, the children of each node side by side."""
+    return drawing(nation_tree(s, d)).select("root", "node", "rank", "place", "crossings")
+
+
 _LAYOUT = _TREE + ", l AS (SELECT root, node, min(depth) AS rank, row_number() OVER (PARTITION BY root, min(depth) ORDER BY node) - 1 AS place FROM t GROUP BY root, node) "
 
 

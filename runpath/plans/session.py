@@ -166,6 +166,12 @@ class AnalysisSession:
         names = self.defined.select("path", F.col("name").alias("function"), F.posexplode("params").alias("position", "p")).select("path", "function", "position", F.col("p.name").alias("name"))
         return self.constraints().unionByName(D.parameter_flow(c_front.call_arguments(self.files), names, BY))
 
+    def targets_with_confidence(self) -> DataFrame:
+        """(path, loc, target, confidence): what may be called through each location, arguments counted, with the best confidence of a way to it."""
+        names = self.defined.select("path", "name").distinct()
+        pts = PT.solve_with_confidence(self.flow_of_arguments(), names, by=BY)
+        return pts.where(T.is_function_target("target"))
+
     def resolved_callbacks(self) -> DataFrame:
         """(path, expr, handlers): handlers of the indirect calls of each file."""
         facts = checkpoint(c_front.callback_facts(self.files, self.defined.select("path", "name")))
