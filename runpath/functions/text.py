@@ -413,3 +413,8 @@ def jni_name(class_and_method: Column | str) -> Column:
     """C name of a native method: $ and dots rewritten, Java_ before it (D3)."""
     c = F.replace(col(class_and_method), F.lit("_"), F.lit("_1"))
     return F.concat(F.lit("Java_"), F.replace(F.replace(c, F.lit("$"), F.lit("_00024")), F.lit("."), F.lit("_")))
+
+
+def new_id(prefix: str) -> Column:
+    """A name for something new: the prefix, the time in milliseconds and six random characters, as in tab-1700000000000-3f09ac."""
+    return F.concat_ws("-", F.lit(prefix), F.unix_millis(F.current_timestamp()).cast("string"), F.substring(F.replace(F.uuid(), F.lit("-")), 1, 6))

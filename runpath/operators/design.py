@@ -70,6 +70,21 @@ def lanes(chains: DataFrame) -> DataFrame:
     return chains.select("chain_id", "ord", "function", lane.alias("lane"))
 
 
+def lanes_of(entries: DataFrame, chains: DataFrame) -> DataFrame:
+    """(path, root, ord, function, lane): the lanes through which each entry(path, root, chain_id) is reached."""
+    return entries.select("path", "root", "chain_id").join(F.broadcast(lanes(chains)), "chain_id").select("path", "root", "ord", "function", "lane")  # chains are a fixed table
+
+
+def async_timeline(bindings: DataFrame, timeline: DataFrame, chains: DataFrame, patterns: Column) -> DataFrame:
+    """(path, handler, phase, name, first_function, context): what runs before a bound handler, phase by phase.
+
+    timeline(pattern, phase, name, context, chain_id), chains(chain_id, ord, function); patterns is the pattern of a binding.
+    """
+    first = chains.groupBy("chain_id").agg(F.min_by("function", "ord").alias("first_function"))
+    phases = timeline.join(first, "chain_id").select("pattern", "phase", "name", "first_function", "context")  # fixed tables
+    return bindings.select("path", "handler", patterns.alias("pattern")).distinct().join(F.broadcast(phases), "pattern").drop("pattern")
+
+
 def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
     """One page of results in a fixed order."""
     return rows.orderBy(*order).offset(offset).limit(size)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runpath import fixed
@@ -84,3 +84,14 @@ def tabs_after_close(tabs: DataFrame, closed: DataFrame) -> DataFrame:
     left = marked.withColumns({"at": at, "lost": lost}).where("not gone")
     after, before = F.min(F.when(F.col("ord") > F.col("at"), F.col("ord"))).over(w), F.max(F.when(F.col("ord") < F.col("at"), F.col("ord"))).over(w)
     return left.withColumn("active", F.when(F.col("lost"), F.coalesce(F.col("ord") == F.coalesce(after, before), F.lit(False))).otherwise(F.col("active"))).select("user", "ord", "tab", "active")
+
+
+RECENT = "array<struct<path:string,name:string,timestamp:bigint,isProject:boolean>>"
+
+
+def recent_state(states: DataFrame, keep: int = fixed.RECENT_FILES) -> DataFrame:
+    """(user, place, path, name, timestamp, is_project): recent files from states(user, state), JSON lists, most recent first (S17); of a path that comes twice the last counts."""
+    each = states.select("user", F.explode(F.from_json("state", RECENT)).alias("r")).select("user", "r.path", "r.name", "r.timestamp", F.col("r.isProject").alias("is_project")).where("path is not null")
+    once = each.groupBy("user", "path").agg(F.max_by(F.struct("name", "timestamp", "is_project"), "timestamp").alias("r"))
+    order = Window.partitionBy("user").orderBy(F.desc("r.timestamp"), F.desc(F.length("path")), F.desc("path"))
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("user", "place", "path", "r.name", "r.timestamp", "r.is_project")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from runpath import fixed
 from runpath.functions import text as T
@@ -19,9 +20,13 @@ from runpath.operators import points_to as PT
 from runpath.operators import relational as R
 from runpath.operators import views
 from runpath.operators.index import DefinitionIndex, SymbolIndex
+from runpath.operators.storage import new_path, store
+from runpath.plans import samples
 from runpath.plans.registry import query, table
 from runpath.plans.session import AnalysisSession
 from runpath.sources import c_front
+from runpath.sources.files import knowledge
+from runpath.streaming import intake
 
 FILE = """#include <linux/module.h>
 /* unit {k} has { braces } in a comment */
@@ -407,6 +412,54 @@ def _(s, d):
     return session(s, d).trees.select("path", "root", "node", "parent", "depth", "node_type", "kernel_internal")
 
 
+_LANES = values(*[(c, i, f, "user" if i == len(nodes) else "hardware" if ctx == "HardIrq" else "kernel") for c, _, ctx, nodes in fixed.CHAINS for i, (f, _) in enumerate(nodes, 1)])
+
+
+@query("swim_lanes", CHAINED_SQL + f"SELECT path, root, CAST(v.ord AS INTEGER) AS ord, v.function, lane FROM en JOIN {_LANES} v(chain_id, ord, function, lane) USING (chain_id)")
+def _(s, d):
+    return session(s, d).swim_lanes()
+
+
+@query("async_timeline", f"SELECT path, handler, CAST(phase AS INTEGER) AS phase, name, first_function, t.context FROM {BINDINGS_SQL} b, {values((1, 'interrupt', 'do_IRQ', 'HardIrq'), (2, 'work queue', 'kworker/xxx', 'Process'))} t(phase, name, first_function, context) WHERE mechanism = 'WorkQueue'")
+def _(s, d):
+    return session(s, d).timeline()
+
+
+@query("knowledge_samples", f"""WITH k AS (SELECT * FROM {values(*[(f"{fw}.{cb}", description, signature) for fw, cb, description, signature, *_ in fixed.CALLBACKS])} k(framework, description, signature)), f AS (SELECT path, function AS input, 'usb_driver.' || field AS framework FROM {OPS_SQL} WHERE n > 0)
+ SELECT path, 'callback_timing' AS task, input, description AS output FROM f JOIN k USING (framework) UNION ALL SELECT path, 'function_pointer_target', input, signature FROM f JOIN k USING (framework)""")
+def _(s, d):
+    return samples.of_functions(session(s, d).functions, knowledge(s)).select("path", "task", "input", "output")
+
+
+@query("project_phases", f"""SELECT 'symbols' AS phase, 9 * count(*) + count(*) FILTER ({IS['broken']}) AS n FROM {P_SQL} UNION ALL SELECT 'types', 2 * count(*) FROM {P_SQL} UNION ALL SELECT 'signatures', count(*) FROM {FUNCTIONS_SQL} UNION ALL SELECT 'calls', count(*) FROM {EDGES_SQL}
+ UNION ALL SELECT 'async', count(*) FROM {BINDINGS_SQL} UNION ALL SELECT 'natives', 0""")
+def _(s, d):
+    return session(s, d).phases()
+
+
+def _streamed(s: SparkSession, d: str) -> tuple[DefinitionIndex, StreamingQuery]:
+    """An index that a stream of all files has filled, some files at a time."""
+    folder = new_path(s, "incoming")
+    store(c_files(s, d).select("path", "content").repartition(4), folder)
+    index = DefinitionIndex.temporary(s, 8)
+    files = s.readStream.schema("path string, content string").option("maxFilesPerTrigger", 2).parquet(folder)
+    done = intake.define_stream(files, index, new_path(s, "state"))
+    done.awaitTermination()
+    return index, done
+
+
+@query("stream_index", f"SELECT path, name, CAST(line AS INTEGER) AS line, CAST(end_line AS INTEGER) AS end_line FROM {FUNCTIONS_SQL}")
+def _(s, d):
+    return _streamed(s, d)[0].symbols().where("kind = 'function'").select("path", "name", "line", "end_line")
+
+
+@query("stream_progress", f"SELECT 'Parsing' AS phase, count(*) AS done, count(*) AS total, 'Parsing ' || count(*) || '/' || count(*) || ' (100%)' AS text FROM {P_SQL}")
+def _(s, d):
+    """The last line of progress of a stream that comes in several batches."""
+    rows = intake.stream_progress(s, _streamed(s, d)[1], "Parsing", c_files(s, d).count())
+    return rows.orderBy(F.desc("batch")).limit(1).drop("batch")
+
+
 # -- pointers, types, facts -------------------------------------------------------------------------------------------
 CONSTRAINTS = [
     ("AddressOf", "d{k}", "alloc:31", None, "true"), ("FieldStore", "d{k}->work", "work_{k}", "func", "true"), ("FieldStore", "d{k}->tick", "tick_{k}", "function", "true"),
@@ -580,8 +633,6 @@ def _(s, d):
  UNION ALL SELECT 'annotation', path || ':35:d' || k || '->handler', 'dim_' || k FROM {P_SQL} WHERE z % 7 > 0 AND z % 3 = 0 UNION ALL SELECT 'stats', CAST(count(*) FILTER (z % 7 > 0) AS VARCHAR), CAST(count(*) FILTER (z % 7 > 0 AND z % 3 = 0) AS VARCHAR) FROM {P_SQL}""")
 def _(s, d):
     """Calls through a member that nothing is assigned to are asked about; some are answered; the store is saved and loaded."""
-    from runpath.operators.storage import new_path
-
     x = session(s, d)
     calls = c_front.callback_facts(x.files, x.defined.select("path", "name")).where("fact = 'invocation'").select(F.concat_ws(":", "path", F.col("line").cast("string")).alias("location"), F.col("target").alias("call_expr"), "path")
     bound = P.assignments(x.files, x.defined).select("path").distinct()

@@ -24,7 +24,7 @@ from runpath.plans.registry import query, table
 from runpath.plans.session import restore, run_scenario, snapshot
 from runpath.sources import packs
 from runpath.sources import preprocess as PP
-from runpath.sources.files import Scenario, children, driver_files, is_kernel_source, knowledge, listing, parse_scenarios, scan
+from runpath.sources.files import Scenario, children, driver_files, is_kernel_source, knowledge, listing, parse_scenarios, scan, yaml_to_json
 from runpath.streaming import intake
 
 
@@ -425,18 +425,6 @@ def _(s, d):
     return s.read.text(folder).withColumnRenamed("value", "text")
 
 
-@query("swim_lanes", "SELECT chain_id, CAST(ord AS INTEGER) AS ord, function, lane FROM " + values(*[(c, i, f, "user" if i == len(nodes) else "hardware" if ctx == "HardIrq" else "kernel") for c, _, ctx, nodes in fixed.CHAINS for i, (f, _) in enumerate(nodes, 1)]) + " v(chain_id, ord, function, lane)")
-def _(s, d):
-    return D.lanes(knowledge(s)["chains"])
-
-
-@query("async_timeline", "SELECT 'work_struct' AS pattern, 1 AS phase, 'do_IRQ' AS first_function, 'HardIrq' AS context UNION ALL SELECT 'work_struct', 2, 'kworker/xxx', 'Process'")
-def _(s, d):
-    kb = knowledge(s)
-    first = kb["chains"].groupBy("chain_id").agg(F.min_by("function", "ord").alias("first_function"))
-    return packs.getter(kb["timeline"], pattern="work_struct").join(first, "chain_id").select("pattern", "phase", "first_function", "context")
-
-
 @query("knowledge_getters", f"SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'usb_driver.probe' WHEN 1 THEN 'file_operations.open' END AS chain_id, {picked('n_nationkey % 3', 'int (*)(struct usb_interface *, const struct usb_device_id *)', 'int (*)(struct inode *, struct file *)', 'ssize_t (*)(struct file *, char __user *, size_t, loff_t *)')} AS signature FROM nation")
 def _(s, d):
     x = table(s, d, "nation").select("n_nationkey", pick(F.col("n_nationkey") % 3, "usb_driver", "file_operations", "file_operations").alias("framework"), pick(F.col("n_nationkey") % 3, "probe", "open", "read").alias("callback"))
@@ -451,11 +439,6 @@ def _(s, d):
     return s.read.schema("output string, task string").json(folder).select("task", "output")
 
 
-@query("knowledge_samples", "SELECT * FROM (VALUES ('callback_timing', 5), ('function_pointer_target', 5), ('call_chain', 12), ('sync_mechanism', 5)) v(task, n)")
-def _(s, d):
-    return samples.samples(knowledge(s)).groupBy("task").agg(F.count("*").cast("int").alias("n"))
-
-
 @query("internal_symbols", "SELECT p_partkey AS id FROM part WHERE p_size % 4 <> 0")
 def _(s, d):
     return R.not_internal(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.when(F.col("p_size") % 4 == 0, "__").otherwise("_"), "p_name").alias("name"))).select("id")
@@ -545,11 +528,12 @@ def _(s, d):
     return rows.select("name", "entry_function", shown.alias("bindings"), "max_depth", "show_kernel_api")
 
 
-@query("state_snapshots", "SELECT turn AS step, role AS name, CASE WHEN turn = 3 THEN (SELECT md5(text) FROM conversations c WHERE c.conv_id = 0 AND c.turn = 1) ELSE md5(text) END AS value FROM conversations WHERE conv_id = 0 AND turn <= 3")
+@query("state_snapshots", "SELECT c.conv_id, c.turn AS step, CASE WHEN c.turn = 3 THEN o.role ELSE c.role END AS name, CASE WHEN c.turn = 3 THEN md5(o.text) ELSE md5(c.text) END AS value FROM conversations c LEFT JOIN (SELECT * FROM conversations WHERE turn = 1) o USING (conv_id) WHERE c.turn < 3 OR (c.turn = 3 AND o.conv_id IS NOT NULL)")
 def _(s, d):
-    states = table(s, d, "conversations").where("conv_id = 0").select(F.col("turn").alias("step"), F.create_map("role", F.md5(F.col("text").cast("binary"))).alias("variables"))
-    back = restore(states, snapshot(states, 1), 3)
-    return back.select("step", F.explode("variables").alias("name", "value"))
+    """Every conversation goes back, at its turn 3, to what it was after turn 1."""
+    states = table(s, d, "conversations").select("conv_id", F.col("turn").alias("step"), F.create_map("role", F.md5(F.col("text").cast("binary"))).alias("variables"))
+    back = restore(states, snapshot(states, 1, ("conv_id",)), 3, ("conv_id",))
+    return back.select("conv_id", "step", F.explode("variables").alias("name", "value"))
 
 
 @query("set_values", "SELECT p_partkey, CASE WHEN p_size > 255 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS a, 'NULL' AS b, CASE WHEN p_partkey > 255 THEN '0x' || lower(hex(p_partkey)) ELSE CAST(p_partkey AS VARCHAR) END AS c FROM part")
@@ -584,3 +568,52 @@ def _(s, d):
     calls = table(s, d, "lineitem").select(callee.alias("callee"), F.col("l_linenumber").alias("position"), F.concat(F.lit("a"), (F.col("l_partkey") % 30).cast("string")).alias("argument"))
     pars = calls.where("position <= 4").select(F.col("callee").alias("function"), "position", F.concat(F.lit("p"), F.col("position").cast("string"), F.lit("_"), F.substring("callee", 2, 9)).alias("name")).distinct()
     return D.parameter_flow(calls, pars).drop("field")
+
+
+# -- streams ----------------------------------------------------------------------------------------------------------
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table, one file or a folder of them, as a stream; a pattern is taken for either."""
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+@query("debounce_stream", """WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
+ SELECT user_id, max(ts) AS ts, count(*) AS burst FROM b GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(s, d):
+    """Bursts that have ended by the watermark, an hour behind the last event."""
+    events = _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks are on instants
+    bursts = intake.run_to_table(intake.debounced(events, "user_id", "ts", "6 hours", "1 hour"), new_path(s, "bursts"), new_path(s, "state"))
+    return bursts.withColumn("ts", F.col("ts").cast(table(s, d, "events").schema["ts"].dataType))
+
+
+@query("question_stream", "SELECT a.conv_id AS \"user\", CAST(a.turn AS BIGINT) AS question, CAST(b.turn AS BIGINT) AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role <> 'user'")
+def _(s, d):
+    turns = _stream(s, d, "conversations").select(F.col("conv_id").cast("long").alias("user"), F.col("turn").cast("long").alias("number"), (F.col("role") == "user").alias("asks"))
+    return intake.run_to_table(intake.answered(turns), new_path(s, "answers"), new_path(s, "state"))
+
+
+@query("new_ids", "SELECT count(*) AS n, count(*) AS distinct_ids, true AS well_formed FROM part")
+def _(s, d):
+    ids = checkpoint(table(s, d, "part").select(T.new_id("tab").alias("id")))  # written once, as they are new each time
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_ids"), F.bool_and(F.col("id").rlike("^tab-[0-9]{13}-[0-9a-f]{6}$")).alias("well_formed"))
+
+
+@query("scenario_yaml", "SELECT s_name AS name, 'f' || s_nationkey AS entry_function, CASE WHEN s_suppkey % 2 = 0 THEN 'dev.n=' || s_suppkey || ':integer' ELSE '' END AS bindings, CASE WHEN s_suppkey % 3 = 0 THEN 4 ELSE 10 END AS max_depth, s_suppkey % 5 > 0 AS show_kernel_api FROM supplier WHERE s_suppkey % 7 > 0")
+def _(s, d):
+    """Scenarios as YAML texts; some of them are no YAML, or no mapping."""
+    k, t = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    line = lambda test, *parts: F.when(F.expr(test), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise("")
+    good = F.concat(F.lit("name: '"), "s_name", F.lit("'\nentry_function: f"), F.col("s_nationkey").cast("string"), F.lit("\n"), line("s_suppkey % 2 = 0", "bindings:\n  dev.n: {text: '", t, "', hint: integer}\n"), line("s_suppkey % 3 = 0", "max_depth: 4\n"), line("s_suppkey % 5 = 0", "show_kernel_api: no\n"))
+    bad = F.when(k % 14 == 0, F.lit("- a\n- b\n")).otherwise(F.lit("name: [unclosed"))
+    rows = parse_scenarios(yaml_to_json(table(s, d, "supplier").select(F.when(k % 7 == 0, bad).otherwise(good).alias("text"))))
+    shown = F.array_join(F.transform(F.map_entries("bindings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["text"], F.lit(":"), e["value"]["hint"])), ",")
+    return rows.select("name", "entry_function", shown.alias("bindings"), "max_depth", "show_kernel_api")
+
+
+@query("recent_state", """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY epoch_ms(CAST(o_orderdate AS TIMESTAMP)) DESC, o_orderkey DESC) AS r FROM orders)
+ SELECT o_custkey AS "user", 'p/' || o_orderkey AS path, CAST(r AS INTEGER) AS place FROM o WHERE r <= 10""")
+def _(s, d):
+    """The lists of recent files that users' states hold as JSON, most recent first, ten of each."""
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    item = F.struct(F.concat(F.lit("p/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"), at.alias("timestamp"), (F.col("o_orderkey") % 2 == 0).alias("isProject"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("order"))
+    states = table(s, d, "orders").groupBy(F.col("o_custkey").alias("user")).agg(F.to_json(F.collect_list(item)).alias("state"))
+    return views.recent_state(states).select("user", "path", "place")

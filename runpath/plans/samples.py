@@ -33,6 +33,13 @@ def samples(kb: dict[str, DataFrame]) -> DataFrame:
     return when.unionByName(what).unionByName(chain).unionByName(nested).unionByName(sleep)
 
 
+def of_functions(functions: DataFrame, kb: dict[str, DataFrame]) -> DataFrame:
+    """(path, task, instruction, input, output, metadata) of functions(path, name, framework) that stand for a known callback: the samples of the knowledge, asked of the function."""
+    known = samples(kb).where("task in ('callback_timing', 'function_pointer_target')").withColumnRenamed("input", "framework")
+    hit = functions.where("framework is not null").select("path", F.col("name").alias("input"), "framework").join(F.broadcast(known), "framework")
+    return hit.select("path", "task", "instruction", "input", "output", "metadata")
+
+
 def save(rows: DataFrame, folder: str, by_task: bool = False) -> None:
     """JSON lines, one folder for each task if by_task (K9)."""
     writer = rows.write.mode("overwrite")

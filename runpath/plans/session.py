@@ -201,6 +201,20 @@ class AnalysisSession:
         """(path, text): the summary as JSON (K7)."""
         return self.summary().select("path", F.to_json(F.struct("path", "functions", "structs", "async_bindings", "entries")).alias("text"))
 
+    def swim_lanes(self) -> DataFrame:
+        """(path, root, ord, function, lane) of all entries with a kernel chain."""
+        return D.lanes_of(self.chain_entries(), knowledge(self.spark)["chains"])
+
+    def timeline(self) -> DataFrame:
+        """(path, handler, phase, name, first_function, context) of all bindings whose mechanism has phases."""
+        kb = knowledge(self.spark)
+        names = F.create_map(*(F.lit(x) for kv in fixed.MECHANISM_CHAIN.items() for x in kv))
+        return D.async_timeline(self.bound, kb["timeline"], kb["chains"], F.try_element_at(names, F.col("mechanism")))
+
+    def phases(self) -> DataFrame:
+        """(phase, n): rows of each phase of the project's analysis."""
+        return reduce(DataFrame.union, (rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("phase"), "n") for name, rows in self.project().items()))
+
     def project(self) -> dict[str, DataFrame]:
         """The phases of a project's analysis by name: symbols, types, calls, async, bridges."""
         t = self.types()
@@ -237,13 +251,16 @@ def run_scenario(tree: DataFrame, scenario: Scenario) -> DataFrame:
     return marked.select(F.row_number().over(order).alias("step"), F.col("node").alias("function"), "depth", (~F.col("off")).alias("reachable"), F.array_join(parts, " | ").alias("description"), table.alias("variables"))
 
 
-def snapshot(states: DataFrame, step: int) -> DataFrame:
-    """(name, value): the variables after one step of states(step, variables), to go on from there (ST8)."""
-    return states.where(F.col("step") == step).select(F.explode("variables").alias("name", "value"))
+def snapshot(states: DataFrame, step: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, name, value): the variables after one step of states(*by, step, variables), to go on from there (ST8)."""
+    return states.where(F.col("step") == step).select(*by, F.explode("variables").alias("name", "value"))
 
 
-def restore(states: DataFrame, saved: DataFrame, step: int) -> DataFrame:
-    """states up to a step, whose variables are those of a snapshot(name, value) again (ST8)."""
-    old = saved.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("__saved"))  # one scenario's variables
-    kept = states.where(F.col("step") <= step).join(F.broadcast(old))
-    return kept.withColumn("variables", F.when(F.col("step") == step, F.col("__saved")).otherwise(F.col("variables"))).drop("__saved")
+def restore(states: DataFrame, saved: DataFrame, step: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """states up to a step, whose variables are those of a snapshot(*by, name, value) again (ST8); a run without one has none then."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))  # one run's variables
+    kept = states.where(F.col("step") <= step)
+    old = saved.groupBy(*by).agg(entries.alias("__saved"))
+    joined = kept.join(old, list(by), "left") if by else kept.join(F.broadcast(old))
+    none = F.create_map().cast("map<string,string>")
+    return joined.withColumn("variables", F.when(F.col("step") == step, F.coalesce("__saved", none)).otherwise(F.col("variables"))).drop("__saved")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,24 @@ def parse_scenarios(texts: DataFrame, column: str = "text") -> DataFrame:
     return s.select("name", "entry_function", F.coalesce("bindings", none).alias("bindings"), F.coalesce("max_depth", F.lit(fixed.SCENARIO_DEPTH)).alias("max_depth"), F.coalesce("show_kernel_api", F.lit(True)).alias("show_kernel_api"), F.coalesce("follow_async", F.lit(True)).alias("follow_async"))
 
 
+def yaml_to_json(texts: DataFrame, column: str = "text") -> DataFrame:
+    """texts with a column of YAML as JSON; what is no YAML becomes null."""
+
+    @F.pandas_udf("string")
+    def convert(values: pd.Series) -> pd.Series:
+        import yaml
+
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(yaml.safe_load(text), default=str)
+            except yaml.YAMLError:
+                return None
+
+        return values.map(one)
+
+    return texts.withColumn(column, convert(F.col(column)))
+
+
 def find_scenario(collection: DataFrame, name: str) -> DataFrame:
     return collection.where(F.col("name") == name)
 

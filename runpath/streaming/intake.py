@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runpath import fixed
-from runpath.operators.index import SymbolIndex
+from runpath.operators.index import DefinitionIndex, SymbolIndex
+from runpath.operators.storage import Scratch
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -41,6 +43,58 @@ def debounced(events: DataFrame, key: str, ts: str, gap: str, late: str) -> Data
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("burst"), F.max(ts).alias(ts)).select(key, ts, "burst")
 
 
+def define_stream(files: DataFrame, index: DefinitionIndex, state: str) -> StreamingQuery:
+    """Take a stream of files(path, content) into an index, batch by batch; of a file that comes twice in a batch the last text by size, then text, counts."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        last = batch.groupBy("path").agg(F.max(F.struct(F.length("content").alias("n"), "content")).alias("f"))
+        with Scratch(batch.sparkSession) as scratch:  # the source is read once for each batch
+            index.refresh(scratch.write(last.select("path", "f.content")))
+
+    return files.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def stream_progress(spark: SparkSession, query: StreamingQuery, phase: str, total: int) -> DataFrame:
+    """(phase, batch, done, total, text): how far a stream had come after each of its last batches (A17, ST5)."""
+    rows, done = [], 0
+    for p in query.recentProgress:  # as many as the session keeps
+        done += p["numInputRows"]
+        rows.append((phase, p["batchId"], done, total))
+    return progress_text(spark.createDataFrame(rows, "phase string, batch long, done long, total long"))
+
+
+def progress_text(rows: DataFrame) -> DataFrame:
+    """rows(phase, done, total) with the text "parsing 3/10 (30%)"."""
+    percent = F.when(F.col("total") > 0, F.floor(F.col("done") * 100 / F.col("total") + 0.5)).otherwise(0).cast("long")
+    return rows.withColumn("text", F.format_string("%s %d/%d (%d%%)", "phase", "done", "total", percent))
+
+
+def answered(turns: DataFrame) -> DataFrame:
+    """(user, question, answer) as a stream: each question once its answer has come, whichever comes first (ST7).
+
+    turns(user, number, asks): the answer to a question is the next number of its user that doesn't ask.  The state of a
+    user is what still waits for its other half.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asked, given = (set(x) for x in (state.get if state.exists else ([], [])))
+        for b in batches:
+            asked |= set(b["number"][b["asks"]].tolist())
+            given |= set(b["number"][~b["asks"]].tolist())
+        pairs = sorted(n for n in asked if n + 1 in given)
+        state.update((sorted(asked - set(pairs)), sorted(given - {n + 1 for n in pairs})))
+        yield pd.DataFrame({"user": [key[0]] * len(pairs), "question": pairs, "answer": [n + 1 for n in pairs]})
+
+    waiting = "asked array<bigint>, given array<bigint>"
+    return turns.groupBy("user").applyInPandasWithState(step, "user long, question long, answer long", waiting, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, folder: str, state: str) -> DataFrame:
+    """Run a stream over what is there, and read what it wrote."""
+    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
 def _replayed(rows: DataFrame, key: str, start, step, end, schema: str) -> DataFrame:
     """Rows of each key in order of seq through step(state, row) -> rows; end(key, state) -> rows when the key is over.
 
