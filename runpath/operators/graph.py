@@ -54,10 +54,11 @@ def flow_tree(spark: SparkSession, edges: DataFrame, roots: DataFrame, known: Da
     links = edges.select(*by, F.col("src").alias("parent"), F.col("dst").alias("node")).distinct()
     kind = F.when(F.array_contains("trail", F.col("node")), "Ref").when(F.col("__known").isNull(), "KernelApi").otherwise("Function")
     with Scratch(spark) as scratch:
+        # Each link with whether its callee is known, worked out once for all levels.
+        steps = scratch.write(links.join(known, [*by, "node"], "left").repartition(*by, "parent"))
         out = level = scratch.write(level)
         for d in range(1, max_depth + 1):
-            grown = level.where("node_type = 'Function'").select(*by, "root", F.col("node").alias("parent"), "trail")
-            grown = grown.join(links, [*by, "parent"]).join(known, [*by, "node"], "left")
+            grown = level.where("node_type = 'Function'").select(*by, "root", F.col("node").alias("parent"), "trail").join(steps, [*by, "parent"])
             level = scratch.write(grown.select(*by, "root", "node", "parent", F.lit(d).alias("depth"), F.concat("trail", F.array("node")).alias("trail"), kind.alias("node_type")))
             if level.isEmpty():
                 break

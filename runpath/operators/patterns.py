@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from runpath import fixed
 from runpath.functions import text as T
+from runpath.operators import relational as R
 
 
 def lines_of(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -95,7 +96,7 @@ def async_edges(matched: DataFrame, functions: DataFrame) -> DataFrame:
     """(path, src, dst, line, mechanism, flag): from the function around a trigger to the handler (G1, J2). functions(path, name, line, end_line)."""
     f = functions.select("path", F.col("name").alias("src"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
     m = matched.select("path", F.col("handler").alias("dst"), F.col("trigger_line").alias("line"), "mechanism", "flag")
-    return m.join(f, "path").where(F.col("line").between(F.col("lo"), F.col("hi"))).select("path", "src", "dst", "line", "mechanism", "flag")
+    return R.in_range(m, f, "path", "line", "lo", "hi").select("path", "src", "dst", "line", "mechanism", "flag")
 
 
 def pack_scan(lines: DataFrame, pack: list[dict]) -> DataFrame:

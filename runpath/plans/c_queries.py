@@ -500,10 +500,9 @@ def _(s, d):
     return session(s, d).flow_of_arguments()
 
 
-@query("c_argument_targets", f"SELECT path, 'd' AS loc, 'alloc:31' AS target FROM {P_SQL}")
+@query("c_argument_targets", f"SELECT path, unnest(['d', 'd' || k]) AS loc, 'alloc:31' AS target FROM {P_SQL} UNION ALL SELECT path, 'irq_d' || k || '->irq', 'irq_' || k FROM {P_SQL} WHERE {IS['irq']}")
 def _(s, d):
-    pts = PT.solve(session(s, d).flow_of_arguments(), by=("path",))
-    return pts.where("loc = 'd'")
+    return PT.solve(session(s, d).flow_of_arguments(), by=("path",))
 
 
 @query("c_target_confidence", f"""SELECT path, name AS loc, name AS target, 'High' AS confidence FROM {FUNCTIONS_SQL} UNION ALL SELECT path, 'irq_d' || k || '->irq', 'irq_' || k, 'High' FROM {P_SQL} WHERE {IS['irq']}
@@ -550,7 +549,7 @@ def _(s, d):
     return R.best_candidates(t, f, 5)
 
 
-@query("c_registrations", f"SELECT path, name FROM {FUNCTIONS_SQL} WHERE starts_with(name, 'dim_') AND false UNION ALL SELECT 'reg' || k || '.c', CASE WHEN z % 2 = 0 THEN 'add_hook_' ELSE 'register_' END || k FROM {P_SQL}")
+@query("c_registrations", f"SELECT 'reg' || k || '.c' AS path, CASE WHEN z % 2 = 0 THEN 'add_hook_' ELSE 'register_' END || k AS name FROM {P_SQL}")
 def _(s, d):
     x = c_files(s, d).select(F.concat(F.lit("reg"), F.col("k").cast("string"), F.lit(".c")).alias("path"), filled("int {n}{k}({p})\n{\n\treturn 0;\n}\nint plain_{k}(int a)\n{\n\treturn a;\n}\n", {
         "n": F.when(F.col("z") % 2 == 0, "add_hook_").otherwise("register_"), "p": F.when(F.col("z") % 2 == 0, "int (*fn)(int a), void *data").otherwise("int a"), "k": F.col("k")}).alias("content"))

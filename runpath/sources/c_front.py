@@ -19,7 +19,7 @@ from runpath.sources.c_reader import NOT_CALLED, STORAGE, TAGS, Declared, Reader
 
 def _struct_body(r: Reader, brace: int) -> tuple[int, str] | None:
     """(struct word, name) of the body that a brace opens."""
-    tag = r._tag_before(brace) if r.tok[brace] == "{" else None
+    tag = r.tag_before(brace) if r.tok[brace] == "{" else None
     if tag is None or r.tok[tag] != "struct":
         return None
     name = next((r.tok[k] for k in range(tag + 1, brace) if is_word(r.tok[k]) and not is_attribute(r.tok[k]) and r.tok[k] != "__attribute__"), "")
@@ -31,7 +31,7 @@ def pointer_of(r: Reader, x: Declared) -> dict | None:
     if not x.declarator.is_function_pointer:
         return None
     words = [w for w in x.words if w not in STORAGE and not is_attribute(w)]
-    return {"return_type": r._pointed(" ".join(words), x.declarator.stars), "params": [t for _, t in r.parameters(x.declarator.params)]}
+    return {"return_type": r.pointed(" ".join(words), x.declarator.stars), "params": [t for _, t in r.parameters(x.declarator.params)]}
 
 
 def fields(r: Reader, lo: int, hi: int) -> list[dict]:

@@ -220,13 +220,13 @@ class Reader:
                 old |= not depth and called and is_word(self.peek(j + 1)) and not is_attribute(self.peek(j + 1))
             elif not depth:
                 if t == "{":
-                    return called or (words > 1 and self._tag_before(j) is not None)
+                    return called or (words > 1 and self.tag_before(j) is not None)
                 if (t == ";" and not old) or t in ("=", "}") or t in CONTROL:
                     return False
                 words += is_word(t)
         return False
 
-    def _tag_before(self, brace: int) -> int | None:
+    def tag_before(self, brace: int) -> int | None:
         """The struct, union or enum word whose body a brace opens."""
         k = brace - 1
         while k >= 0 and (is_attribute(self.tok[k]) or self.tok[k] == ")"):
@@ -347,11 +347,11 @@ class Reader:
         base = " ".join(w for w in words if w not in STORAGE and not is_attribute(w))
         if d.inner is not None and d.params is not None:
             pointers = d.named.stars + d.named.arrays
-            return f"{self._pointed(base, d.stars)} ({pointers})({re.sub(r'\s+', ' ', self.raw(*d.params)).strip()})"
-        return self._pointed(base, d.stars + (d.named.stars if d.inner else "")) + d.named.arrays
+            return f"{self.pointed(base, d.stars)} ({pointers})({re.sub(r'\s+', ' ', self.raw(*d.params)).strip()})"
+        return self.pointed(base, d.stars + (d.named.stars if d.inner else "")) + d.named.arrays
 
     @staticmethod
-    def _pointed(base: str, stars: str) -> str:
+    def pointed(base: str, stars: str) -> str:
         return f"{base} {stars}" if stars else base
 
     def parameter(self, lo: int, hi: int) -> tuple[str, str]:
@@ -397,7 +397,7 @@ class Reader:
             if t == "{":
                 if self._is_linkage(k):
                     yield from self.items(k + 1, min(self.close[k], hi))
-                elif self._tag_before(k) is not None or any(self.tok[j] == "=" for j in self._outside(start, k)):
+                elif self.tag_before(k) is not None or any(self.tok[j] == "=" for j in self._outside(start, k)):
                     closed = self.after[k] > self.close[k]
                     k = self.after[k]
                     start = start if closed else k  # what goes on there is a definition of its own
@@ -459,7 +459,7 @@ class Reader:
         if d is not f:  # a function that returns a pointer to a function or an array
             returns = self.type_text(words, d._replace(inner=d.inner._replace(name="", params=None)) if d.inner is f else d)
         else:
-            returns = self._pointed(" ".join(typed), d.stars)
+            returns = self.pointed(" ".join(typed), d.stars)
         arguments = [re.sub(r"\s+", " ", self.raw(a, b)) for a, b in self.parts(*f.params, ",") if b > a]
         if not typed and f.name.upper() == f.name:  # a macro that makes the head
             if m := re.fullmatch(r"(COMPAT_)?SYSCALL_DEFINE[0-6]", f.name):

@@ -50,9 +50,9 @@ def children(listed: DataFrame, parent: str) -> DataFrame:
     return own.withColumn("extension", ending).orderBy(F.desc("is_dir"), F.lower("name"), "name")
 
 
-def is_kernel_source(paths: DataFrame) -> DataFrame:
-    """One row: some marker file is there."""
-    return paths.agg(F.coalesce(F.max(F.col("path").isin(fixed.KERNEL_MARKERS)), F.lit(False)).alias("is_kernel"))
+def is_kernel_source(paths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, is_kernel): some marker file is there (P17); one row, or one for each tree where `by` names its columns."""
+    return paths.groupBy(*by).agg(F.coalesce(F.max(F.col("path").isin(fixed.KERNEL_MARKERS)), F.lit(False)).alias("is_kernel"))
 
 
 def knowledge(spark: SparkSession) -> dict[str, DataFrame]:
