@@ -617,3 +617,19 @@ def _(s, d):
     item = F.struct(F.concat(F.lit("p/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"), at.alias("timestamp"), (F.col("o_orderkey") % 2 == 0).alias("isProject"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("order"))
     states = table(s, d, "orders").groupBy(F.col("o_custkey").alias("user")).agg(F.to_json(F.collect_list(item)).alias("state"))
     return views.recent_state(states).select("user", "path", "place")
+
+
+@query("pack_texts", r"""WITH t AS (SELECT n_nationkey AS k, n_name AS n FROM nation)
+ SELECT 'packs/' || n || '.yaml' AS path, n AS pack, 'work' AS mechanism, 'bind' AS role, 0 AS nth, 'INIT_' || n || '\s*\((?P<var>\w+)' AS pattern, 'fn' AS handler, 'var' AS variable, NULL AS scope, false AS failed FROM t WHERE k % 5 > 0
+ UNION ALL SELECT 'packs/' || n || '.yaml', n, 'work', 'trigger', i, 'queue_' || i, NULL, NULL, CASE WHEN i = 1 THEN 'file' END, false FROM t, unnest([0, 1]) u(i) WHERE k % 5 > 0
+ UNION ALL SELECT 'packs/' || n || '.yaml', n, 'delayed', 'bind', 0, 'INIT_' || n || '\s*\((?P<var>\w+)', 'fn', 'var', NULL, false FROM t WHERE k % 5 > 0 AND k % 2 = 0
+ UNION ALL SELECT 'packs/' || n || '.yaml', n, 'delayed', 'trigger', 0, 'mod_' || k, NULL, NULL, NULL, false FROM t WHERE k % 5 > 0 AND k % 2 = 0
+ UNION ALL SELECT 'packs/' || n || '.yaml', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM t WHERE k % 5 = 0""")
+def _(s, d):
+    """Packs as YAML texts: a mechanism, one that extends it, and texts that are no pack."""
+    k, n = F.col("n_nationkey"), F.col("n_name")
+    work = F.concat(F.lit("work:\n  bind_patterns:\n    - {pattern: 'INIT_"), n, F.lit("\\s*\\((?P<var>\\w+)', handler_group: fn, variable_capture: var}\n  trigger_patterns: [queue_0, {pattern: queue_1, scope: file}]\n"))
+    more = F.when(k % 2 == 0, F.concat(F.lit("delayed:\n  extends: work\n  trigger_patterns:\n    - mod_"), k.cast("string"), F.lit("\n"))).otherwise("")
+    text = F.when(k % 5 > 0, F.concat(work, more)).when(k % 10 == 0, "- no\n- mapping\n").otherwise("work: {")
+    rows = packs.rules_of(table(s, d, "nation").select(F.concat(F.lit("packs/"), n, F.lit(".yaml")).alias("path"), text.alias("text")))
+    return rows.select("path", "pack", "mechanism", "role", "nth", "pattern", "handler", "variable", "scope", F.col("error").isNotNull().alias("failed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,31 @@ def rules(packs: dict[str, dict]) -> list[dict]:
     return out
 
 
+RULE = "array<struct<pack:string,mechanism:string,role:string,nth:int,pattern:string,handler:string,variable:string,scope:string,behavior:string>>"
+
+
+def rules_of(texts: DataFrame) -> DataFrame:
+    """The rules of pack texts(path, text), one row each, with their path; error where a text is no pack.
+
+    The name of a pack is that of its file.  Texts are parsed where they lie, so packs may be many.
+    """
+
+    @F.pandas_udf(f"struct<rules:{RULE},error:string>")
+    def read_text(paths: pd.Series, values: pd.Series) -> pd.DataFrame:
+        import yaml
+
+        out = []
+        for path, text in zip(paths, values, strict=True):
+            try:
+                out.append((rules({path.rsplit("/", 1)[-1].rsplit(".", 1)[0]: parse(path, text or "")}), None))
+            except (PackError, yaml.YAMLError, json.JSONDecodeError) as e:
+                out.append(([], str(e).split("\n", 1)[0]))
+        return pd.DataFrame(out, columns=["rules", "error"])
+
+    parsed = texts.select("path", read_text("path", "text").alias("p"))
+    return parsed.select("path", F.explode_outer("p.rules").alias("r"), "p.error").select("path", "r.*", "error")
+
+
 def rule_rows(spark: SparkSession, found: list[dict]) -> DataFrame:
     """The patterns as a table, in Java's form."""
     rows = [(r["pack"], r["mechanism"], r["role"], r["nth"], r["pattern"].replace("(?P<", "(?<"), r["handler"], r["variable"], r["scope"], r["behavior"]) for r in found]
