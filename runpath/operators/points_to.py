@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import logging
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,7 +73,8 @@ class Worklist:
     cycle become one, as they point to the same.
     """
 
-    def __init__(self, constraints: list[dict]):
+    def __init__(self, constraints: Iterable[tuple[str, str, str, str | None]]):
+        """constraints: (kind, dest, src, field)."""
         self.number: dict[str, int] = {}
         self.names: list[str] = []
         self.parent: list[int] = []
@@ -84,16 +85,16 @@ class Worklist:
         self.through: list[dict[tuple[bool, str | None, int], int]] = []
         self.work: deque[int] = deque()
         self.n_edges, self.next_collapse = 0, 0
-        for c in constraints:
-            kind, dest, src = c["kind"], self.at(c["dest"]), self.at(c["src"])
+        for kind, dest_name, src_name, field in constraints:
+            dest, src = self.at(dest_name), self.at(src_name)
             if kind == "AddressOf":
                 self.gain(dest, 1 << src)
             elif kind == "Copy":
                 self.edges[src].add(dest)
             elif kind in ("Load", "FieldLoad"):
-                self.through[src][True, c["field"] if kind == "FieldLoad" else None, dest] = 0
+                self.through[src][True, field if kind == "FieldLoad" else None, dest] = 0
             elif kind in ("Store", "FieldStore"):
-                self.through[dest][False, c["field"] if kind == "FieldStore" else None, src] = 0
+                self.through[dest][False, field if kind == "FieldStore" else None, src] = 0
         self.collapse()
 
     def at(self, name: str) -> int:
@@ -231,21 +232,28 @@ def solve_in_tasks(constraints: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            lists = b.column("__c")
+            rows, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            parts = [rows.field(c).to_pylist() for c in ("kind", "dest", "src", "field")]
+            # Names of several groups back to back; a pair is two numbers of names.
+            names, groups, locs, targets = [], [], [], []
             for i in range(b.num_rows):
-                w = Worklist(b.column("__c")[i].as_py())
+                w = Worklist(zip(*(p[ends[i] : ends[i + 1]] for p in parts), strict=True))
                 w.run()
-                names, locs, targets = pa.array(w.names, pa.string()), [], []
+                base = len(names)
+                names += w.names
                 for n, found in w.pairs():
-                    locs += [n] * len(found)
-                    targets += found
-                    if len(locs) > 50_000:
-                        yield rows(b, i, names, locs, targets)
-                        locs, targets = [], []
-                yield rows(b, i, names, locs, targets)
-
-    def rows(b: pa.RecordBatch, i: int, names: pa.Array, locs: list[int], targets: list[int]) -> pa.RecordBatch:
-        own = b.column(GROUP).take(pa.array([i] * len(locs), pa.int32()))
-        return pa.RecordBatch.from_arrays([own, names.take(pa.array(locs, pa.int32())), names.take(pa.array(targets, pa.int32()))], names=[GROUP, "loc", "target"])
+                    groups += [i] * len(found)
+                    locs += [base + n] * len(found)
+                    targets += [base + t for t in found]
+                    if len(locs) > 200_000:
+                        yield made(b, groups, names, locs, targets)
+                        groups, locs, targets = [], [], []
+            yield made(b, groups, names, locs, targets)
+
+    def made(b: pa.RecordBatch, groups: list[int], names: list[str], locs: list[int], targets: list[int]) -> pa.RecordBatch:
+        known = pa.array(names, pa.string())
+        return pa.RecordBatch.from_arrays([b.column(GROUP).take(pa.array(groups, pa.int32())), known.take(pa.array(locs, pa.int32())), known.take(pa.array(targets, pa.int32()))], names=[GROUP, "loc", "target"])
 
     return lists.mapInArrow(run, f"{GROUP} {kind}, loc string, target string")
 

@@ -32,7 +32,13 @@ class AnalysisSession:
     """strict_ref reproduces the end line of a function as its first line and operation tables without nested braces."""
 
     def __init__(self, spark: SparkSession, files: DataFrame, strict_ref: bool = False):
-        self.spark, self.files, self.strict_ref = spark, files.select("path", "content"), strict_ref
+        self.spark, self.given, self.strict_ref = spark, files.select("path", "content"), strict_ref
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """The files, which are read several times; where they come in fewer partitions than there are cores, they are dealt out once."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return self.given if self.given.rdd.getNumPartitions() >= cores else checkpoint(self.given.repartition(cores))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -155,7 +161,7 @@ class AnalysisSession:
         return self.trees.where(F.col("path") == path).drop("path").withColumn("entry_function", F.col("root"))
 
     def constraints(self) -> DataFrame:
-        return c_front.constraints(self.files, self.defined.select("path", "name"))
+        return c_front.constraints(self.files)
 
     def points_to(self) -> DataFrame:
         """(path, loc, targets): functions that may be called through each location, file by file."""
@@ -174,7 +180,7 @@ class AnalysisSession:
 
     def resolved_callbacks(self) -> DataFrame:
         """(path, expr, handlers): handlers of the indirect calls of each file."""
-        facts = checkpoint(c_front.callback_facts(self.files, self.defined.select("path", "name")))
+        facts = checkpoint(c_front.callback_facts(self.files))
         bound, calls = facts.where("fact = 'binding'"), facts.where("fact = 'invocation'")
         return R.resolve_invocations(bound.select("path", "target", F.col("name").alias("handler")), calls.select("path", F.col("target").alias("expr")), BY)
 

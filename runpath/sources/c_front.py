@@ -56,6 +56,10 @@ def _functions(r: Reader) -> Iterator[tuple[dict, int, int]]:
             yield head, brace, after
 
 
+def _names(r: Reader) -> set[str]:
+    return {head["name"] for head, *_ in _functions(r)}
+
+
 def definitions(text: str) -> tuple[list[dict], list[str]]:
     """Functions and structs with bodies, and what could not be read."""
     r = Reader(text)
@@ -287,10 +291,10 @@ class _Collector:
                 self.add("AddressOf", f"irq_{_flat(self.r, args[0])}", handler)
 
 
-def constraints_of(text: str, known: set[str]) -> list[tuple[str, str, str, str | None]]:
-    """(kind, dest, src, field) of the statements in function bodies and initialisers."""
+def constraints_of(text: str, known: set[str] | None = None) -> list[tuple[str, str, str, str | None]]:
+    """(kind, dest, src, field) of the statements in function bodies and initialisers (X6); without known the functions of the text are known."""
     r = Reader(text)
-    c = _Collector(r, known)
+    c = _Collector(r, _names(r) if known is None else known)
     for _, statements in bodies(r):
         for kind, _, x in statements:
             if kind == "declared" and x.init and "typedef" not in x.words:
@@ -308,9 +312,10 @@ def constraints_of(text: str, known: set[str]) -> list[tuple[str, str, str, str
 
 
 # -- callback facts ---------------------------------------------------------------------------------------------------
-def facts_of(text: str, known: set[str]) -> list[dict]:
-    """Callback facts: binding, invocation, registration, event_loop, queue, signal."""
+def facts_of(text: str, known: set[str] | None = None) -> list[dict]:
+    """Callback facts: binding, invocation, registration, event_loop, queue, signal (X5); without known the functions of the text are known."""
     r, out = Reader(text), []
+    known = _names(r) if known is None else known
     low = lambda name, parts: any(p in name.lower() for p in parts)
     target = lambda node: re.sub(r"\[\d+\]", "[*]", _flat(r, node))
     handler = lambda node: h if (h := _place(r.raw(node[1], node[2]))) in known else None
@@ -412,25 +417,25 @@ def types_of(text: str) -> list[dict]:
 
 # -- tables -----------------------------------------------------------------------------------------------------------
 def _with_functions(files: DataFrame, functions: DataFrame | None) -> DataFrame:
-    """files and the names that count as functions: those given for the path, else those defined in it."""
+    """files and the names that count as functions: those given for the path, else those defined in it, for which no text is shuffled."""
     if functions is None:
         return files.select("path", "content", F.lit(None).cast("array<string>").alias("known"))
     return files.select("path", "content").join(functions.groupBy("path").agg(F.collect_set("name").alias("known")), "path", "left")
 
 
-def _known(content: str, known) -> set[str]:
-    return set(known) if known is not None else {head["name"] for head, *_ in _functions(Reader(content))}
+def _known(known) -> set[str] | None:
+    return set(known) if known is not None else None
 
 
 def constraints(files: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """(path, kind, dest, src, field) for the points-to solver."""
-    read = lambda text, known: [dict(zip(("kind", "dest", "src", "field"), c, strict=True)) for c in constraints_of(text, _known(text, known))]
+    read = lambda text, known: [dict(zip(("kind", "dest", "src", "field"), c, strict=True)) for c in constraints_of(text, _known(known))]
     return _rows(_with_functions(files, functions), "path string, kind string, dest string, src string, field string", read, "known")
 
 
 def callback_facts(files: DataFrame, functions: DataFrame | None = None) -> DataFrame:
     """(path, fact, line, target, name)."""
-    return _rows(_with_functions(files, functions), "path string, fact string, line int, target string, name string", lambda text, known: facts_of(text, _known(text, known)), "known")
+    return _rows(_with_functions(files, functions), "path string, fact string, line int, target string, name string", lambda text, known: facts_of(text, _known(known)), "known")
 
 
 def pointer_types(files: DataFrame) -> DataFrame:

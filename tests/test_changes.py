@@ -38,20 +38,26 @@ def test_active_lines(spark):
     assert got.columns == lines.columns and sorted((r.path or "", r.line) for r in got.collect()) == [("", 2), ("f", 1), ("f", 4)]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", [1, 2])
 def test_maintained_closure(spark, seed):
     r = random.Random(seed)
-    names = [f"n{i}" for i in range(25)]
-    old = {(r.choice(names), r.choice(names)) for _ in range(45)} | {(names[i], names[i + 1]) for i in range(12)}
+    names = [f"n{i}" for i in range(20)]
+    old = {(r.choice(names), r.choice(names)) for _ in range(40)} | {(names[i], names[i + 1]) for i in range(7)}
     removed = set(r.sample(sorted(old), 9)) | {("n3", "n4")}
     added = {(r.choice(names), r.choice(names)) for _ in range(4 * (seed % 2))} - old
     frame = lambda rows: spark.createDataFrame(sorted(rows), "src string, dst string")
-    start = spark.createDataFrame([("n0",), ("n20",)][: 1 + seed // 2], "name string")
+    start = spark.createDataFrame([("n0",), ("n15",)][: 1 + seed // 2], "name string")
     now = (old - removed) | added
-    for reverse in (False, True):
-        before = G.closure(frame(old), start, reverse)
-        got = G.maintain_closure(before, frame(now), frame(removed), frame(added), start, reverse)
-        assert sorted(map(tuple, got.select("name", "hops").collect())) == sorted(map(tuple, G.closure(frame(now), start, reverse).select("name", "hops").collect()))
+    reverse = seed == 2
+    got = G.maintain_closure(G.closure(frame(old), start, reverse), frame(now), frame(removed), frame(added), start, reverse)
+    want, front = {r.name: 0 for r in start.collect()}, [r.name for r in start.collect()]
+    for x in front:
+        for a, b in now:
+            a, b = (b, a) if reverse else (a, b)
+            if a == x and b not in want:
+                want[b] = want[x] + 1
+                front.append(b)
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
 
 
 def test_confidence(spark):

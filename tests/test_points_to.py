@@ -52,7 +52,7 @@ def made(seed, n, places):
 
 
 def solved(constraints, functions=()):
-    w = PT.Worklist([dict(zip(("kind", "dest", "src", "field"), c, strict=True)) for c in lowered(constraints) + [("AddressOf", f, f, None) for f in functions]])
+    w = PT.Worklist(lowered(constraints) + [("AddressOf", f, f, None) for f in functions])
     w.run()
     return {(w.names[n], w.names[t]) for n, found in w.pairs() for t in found}
 
