@@ -72,7 +72,7 @@ def unit_of(z: Column, k: Column, j: Column) -> Column:
 
 def unit_files(s: SparkSession, d: str) -> DataFrame:
     """files(path, content) of 3 to 7 units."""
-    x = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("z"))
+    x = c_front.dealt(table(s, d, "part")).select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("z"))
     all_units = F.array(*(F.lit(u) for u in UNITS))
     piece = lambda j: F.replace(F.element_at(all_units, (unit_of(F.col("z"), F.col("k"), j) + 1).cast("int")), F.lit("{j}"), j.cast("string"))
     text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("z") % 5 + 2), piece), "")
