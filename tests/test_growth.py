@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runpath.functions import text as T
+from runpath.operators import learning as L
 from runpath.operators import relational as R
 from runpath.operators.drawing import drawing
 from runpath.plans import c_queries, c_units
@@ -50,3 +51,13 @@ def test_many_new_ids(spark):
     """Six random characters repeat among many ids of one millisecond."""
     ids = spark.range(0, 300_000, 1, 3).select(T.new_id("tab").alias("id"))
     assert ids.distinct().count() == 300_000 and ids.where(~F.col("id").rlike("^tab-[0-9]{13}-[0-9a-f]{6}$")).isEmpty()
+
+
+def test_what_a_store_takes_in_is_worked_out_once(spark):
+    """Each change of a store and each reading worked out all questions again."""
+    calls = spark.createDataFrame([("a.c:1", "x->f", None, None)], "location string, call_expr string, expected_signature string, reason string")
+    asked = L.question(calls.mapInArrow(lambda batches: batches, calls.schema))
+    store = L.LearningStore.empty(spark).add_queries(asked)
+    done = store.answer(asked.select("id", F.array(F.lit("t")).alias("targets"), F.lit(None).cast("string").alias("note")))
+    for rows in (store.pending, done.annotations):
+        assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 1
