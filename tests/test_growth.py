@@ -9,7 +9,8 @@ from runpath.operators import learning as L
 from runpath.operators import relational as R
 from runpath.operators.drawing import drawing
 from runpath.plans import c_queries, c_units
-from runpath.sources import c_front
+from runpath.plans.session import AnalysisSession
+from runpath.sources import c_chunks, c_front
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,16 @@ def test_what_a_store_takes_in_is_worked_out_once(spark):
     done = store.answer(asked.select("id", F.array(F.lit("t")).alias("targets"), F.lit(None).cast("string").alias("note")))
     for rows in (store.pending, done.annotations):
         assert "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 1
+
+
+def test_arguments_and_constraints_come_from_one_reading(spark, monkeypatch):
+    """Files were read once for symbols, once for constraints and once for arguments."""
+    def read_again(*_):
+        raise AssertionError("files are read again")
+
+    text = "int g(int *a)\n{\n\treturn h(a);\n}\nint f(int *b)\n{\n\tb = &x;\n\treturn g(b);\n}\n"
+    files = spark.createDataFrame([("a.c", text), ("b.c", "int f(int *b)\n{\n\treturn g(b);\n}\n")], "path string, content string")
+    for reader in ("symbols", "constraints", "call_arguments"):
+        monkeypatch.setattr(c_front, reader, read_again)
+    rows = sorted((r.path, r.kind, r.dest, r.src) for r in AnalysisSession(spark, files).flow_of_arguments().collect())
+    assert rows == [("a.c", "AddressOf", "b", "x"), ("a.c", "Copy", "a", "b")]
