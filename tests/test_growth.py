@@ -75,3 +75,12 @@ def test_arguments_and_constraints_come_from_one_reading(spark, monkeypatch):
         monkeypatch.setattr(c_front, reader, read_again)
     rows = sorted((r.path, r.kind, r.dest, r.src) for r in AnalysisSession(spark, files).flow_of_arguments().collect())
     assert rows == [("a.c", "AddressOf", "b", "x"), ("a.c", "Copy", "a", "b")]
+
+
+def test_chunks_of_few_input_files_are_read_by_all_cores(spark):
+    """A batch of a stream in two partitions gave two tasks."""
+    cores = spark.sparkContext.defaultParallelism
+    files = spark.range(40).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.format_string("int f%d(int a)\n{\n\treturn a;\n}\n", "id").alias("content")).coalesce(1)
+    found = c_chunks.chunks(files)
+    assert found.rdd.getNumPartitions() >= cores and found.count() == 40
+    assert c_chunks.symbols(found.select("hash", "content").coalesce(1)).where("kind = 'function'").select("name").distinct().count() == 40
