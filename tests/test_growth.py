@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runpath.functions import text as T
 from runpath.operators import learning as L
+from runpath.operators import patterns as P
 from runpath.operators import relational as R
 from runpath.operators.drawing import drawing
 from runpath.plans import c_queries, c_units
@@ -84,3 +85,12 @@ def test_chunks_of_few_input_files_are_read_by_all_cores(spark):
     found = c_chunks.chunks(files)
     assert found.rdd.getNumPartitions() >= cores and found.count() == 40
     assert c_chunks.symbols(found.select("hash", "content").coalesce(1)).where("kind = 'function'").select("name").distinct().count() == 40
+
+
+def test_pairs_of_one_file_are_made_by_many_tasks(spark):
+    """All pairs of a file and a mechanism were made by one task."""
+    bound = spark.range(3000).select(F.lit("p").alias("path"), F.lit(7).alias("pattern_id"), F.lit(0).alias("nth"), F.lit("").alias("variable"), F.lit("h").alias("handler"), F.col("id").alias("line"))
+    found = spark.range(20).select(F.lit("p").alias("path"), F.lit(7).alias("pattern_id"), F.lit("").alias("variable"), F.lit(False).alias("has_variable"), F.col("id").alias("line"))
+    pairs = P.match_triggers(bound, found).withColumn("task", F.spark_partition_id())
+    assert pairs.select("line", "trigger_line").distinct().count() == pairs.count() == 60_000
+    assert pairs.select("task").distinct().count() > 1
