@@ -94,3 +94,14 @@ def test_pairs_of_one_file_are_made_by_many_tasks(spark):
     pairs = P.match_triggers(bound, found).withColumn("task", F.spark_partition_id())
     assert pairs.select("line", "trigger_line").distinct().count() == pairs.count() == 60_000
     assert pairs.select("task").distinct().count() > 1
+
+
+def test_patterns_search_only_lines_that_hold_their_words(spark):
+    """Each line was searched by all patterns, however few hold a word that a match needs."""
+    words = {r"INIT_WORK\s*\(": "INIT_WORK", r"([\w.]+)\.function\s*=": ".function", "abc*d": "ab", "ab{2}cd": "cd", "a|bc": "", "(?i)abc": "", "(ab|cd)ef": "ef", r"\bxyz": "xyz", "[ab]?": ""}
+    assert {p: P.literal_of(p) for p in words} == words
+    lines = spark.createDataFrame([("p", 1, "INIT_WORK (&w, h);"), ("p", 2, "x = abd;"), ("p", 3, None), ("p", 4, "q;"), ("p", 5, "abccd")], "path string, line int, text string")
+    found = P.async_scan(lines)
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString() and [r.line for r in found.collect()] == [1]
+    rules = [("abc*d", {"n": 1}), ("q|z", {"n": 2})]  # the second needs no one word: all lines are searched
+    assert sorted((r.line, r.n) for r in P.scan(lines, rules).collect()) == [(2, 1), (4, 2), (5, 1)]
