@@ -152,3 +152,18 @@ def test_deep_and_long(text):
     for read in ALL:
         read("int f(void) { " + text + " }" + REST)
     assert "rest" in functions("int f(void) { " + text + " }" + REST)
+
+
+def test_texts_without_conditional_groups_are_cut_at_once(monkeypatch):
+    """Each token of each text was a match of its own, though only conditional groups need that."""
+    from types import SimpleNamespace
+
+    from runpath.sources import c_reader
+
+    text = "#include <a.h>\n/* { */ int f(int a) /* no #endif */\n{\n\treturn a->b + '}';\t\n}\n \n"
+    before = c_reader.tokens(text.replace("no #endif", "no #if"))  # by single matches; of the same length where it counts
+    monkeypatch.setattr(c_reader, "_MAYBE_GROUP", SimpleNamespace(search=lambda _: None))
+    monkeypatch.setattr(c_reader, "_TOKEN", None)
+    found = c_reader.tokens(text)
+    assert [t for t, _ in found] == [t for t, _ in before] == ["int", "f", "(", "int", "a", ")", "{", "return", "a", "->", "b", "+", "'}'", ";", "}"]
+    assert all(text[a : a + len(t)] == t for t, a in found)
