@@ -8,7 +8,9 @@ from runpath.functions import text as T
 from runpath.operators import learning as L
 from runpath.operators import patterns as P
 from runpath.operators import relational as R
+from runpath.operators import storage
 from runpath.operators.drawing import drawing
+from runpath.operators.index import SymbolIndex
 from runpath.plans import c_queries, c_units
 from runpath.plans.session import AnalysisSession
 from runpath.sources import c_chunks, c_front
@@ -105,3 +107,19 @@ def test_patterns_search_only_lines_that_hold_their_words(spark):
     assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString() and [r.line for r in found.collect()] == [1]
     rules = [("abc*d", {"n": 1}), ("q|z", {"n": 2})]  # the second needs no one word: all lines are searched
     assert sorted((r.line, r.n) for r in P.scan(lines, rules).collect()) == [(2, 1), (4, 2), (5, 1)]
+
+
+def test_an_index_takes_in_stored_rows_as_they_are(spark, tmp_path, monkeypatch):
+    """Keys and rows of each of the three tables were written once more before a change."""
+    files = spark.range(200).select(F.format_string("f%d.c", "id").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("mtime"), F.lit(9).cast("long").alias("size"), F.format_string("struct s%d { int a; };\nint f%d(int a)\n{\n\treturn g(a);\n}\n", "id", "id").alias("content"))
+    written = []
+    plain = storage.Scratch.write
+    monkeypatch.setattr(storage.Scratch, "write", lambda self, df: written.append(df.columns) or plain(self, df))
+    index = SymbolIndex(spark, str(tmp_path), 2)
+    assert index.refresh(files).count() == 200 and len(written) == 2  # what is known of the files, and what was read
+    assert index.read("functions").count() == index.read("structs").count() == index.read("versions").count() == 200
+    index.remove_files(files.where("path < 'f2'").select("path"))
+    left = files.where("path >= 'f2'").count()
+    assert {t: index.read(t).count() for t in ("functions", "structs", "versions")} == dict.fromkeys(("functions", "structs", "versions"), left)
+    assert index.refresh(files).count() == 200 - left and index.read("functions").select("path").distinct().count() == 200
+    assert index.refresh(files).count() == 0
