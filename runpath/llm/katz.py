@@ -133,8 +133,12 @@ def _in(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Index in sorted_keys and whether the key is there."""
     if not len(sorted_keys):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
+    order = np.argsort(keys)  # keys in order go through a large table from front to back
+    keys = keys[order]
+    place = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    at, there = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+    at[order], there[order] = place, sorted_keys[place] == keys
+    return at, there
 
 
 def _blob(x: np.ndarray) -> bytes:
