@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runpath.llm import kernel
-from runpath.llm.storage import discard, materialize
+from runpath.llm.storage import discard, materialize, shuffles_go
 
 
 @dataclass(frozen=True)
@@ -279,6 +279,11 @@ def _narrow(documents: DataFrame, text_col: str) -> DataFrame:
 
 def train(documents: DataFrame, p: KatzParams = PARAMS, text_col: str = "text") -> KatzModel:
     """The model of all rows of documents."""
+    with shuffles_go(documents.sparkSession):
+        return _train(documents, p, text_col)
+
+
+def _train(documents: DataFrame, p: KatzParams, text_col: str) -> KatzModel:
     spark = documents.sparkSession
     texts = _narrow(documents, text_col)
     counted = materialize(texts.mapInArrow(_count_words(p), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "word-counts")
@@ -521,6 +526,11 @@ def _finish(p: KatzParams, total: int):
 
 def score(documents: DataFrame, model: KatzModel, p: KatzParams = PARAMS, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of documents."""
+    with shuffles_go(documents.sparkSession):
+        return _score(documents, model, p, id_col, text_col, held)
+
+
+def _score(documents: DataFrame, model: KatzModel, p: KatzParams, id_col: str, text_col: str, held: Column | None) -> DataFrame:
     spark = documents.sparkSession
     sc = spark.sparkContext
     buckets = width = model.buckets
