@@ -100,6 +100,19 @@ def test_ways_agree(spark, limit):
     assert len(whole) == len(set(whole)) and {tuple(r) for r in whole} == naive(apart)
 
 
+def test_large_groups_share_sets(spark, monkeypatch):
+    """In a large group each location had rows of its own in every step, and function_targets() gathered all pairs again."""
+    monkeypatch.setattr(PT, "TASK_PAIRS", 20_000)
+    rows = [("AddressOf", "hub", f"f{i}", None) for i in range(300)] + [("Copy", f"d{i}", "hub", None) for i in range(1000)] + [("AddressOf", "p", "hub", None), ("Load", "q", "p", None), ("Store", "p", "s", None), ("AddressOf", "s", "alloc:1", None)]
+    c = spark.createDataFrame(rows, "kind string, dest string, src string, field string")
+    pairs, (locations, sets) = PT._solved(c, None, 100, (), 0)
+    assert pairs.isEmpty() and locations.count() == 1004 and sets.count() == 3
+    got = PT._of_locations(locations, sets).withColumn("task", PT.F.spark_partition_id()).where("loc like 'd%'").collect()
+    assert len(got) == 1000 and {len(r.targets) for r in got} == {301} and len({r.task for r in got}) > 1
+    found = {r.loc: r.targets for r in PT.solve_functions(c, group_limit=0).collect()}
+    assert found == {r.loc: r.targets for r in PT.solve_functions(c).collect()} == {r.loc: r.targets for r in PT.function_targets(PT.solve(c)).collect()}
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert PT.solve(empty.drop("file")).collect() == [] and PT.solve(empty, by=("file",)).collect() == []
