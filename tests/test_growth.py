@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runpath.functions import text as T
@@ -35,6 +38,21 @@ def test_files_are_read_some_at_a_time(spark):
     assert c_front.symbols(files).where("kind = 'function' and params[0].type_name = 'int'").select("path").distinct().count() == 1000
 
 
+def test_large_files_are_not_all_held_at_a_time():
+    """200 texts of a batch became Python texts before their length counted, and again for each piece."""
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{n}" for n in range(50)], "content": [None] + ["x" * 1_000_000] * 49})
+    tracemalloc.start()
+    try:
+        sizes, pieces = [], c_front._pieces(batch)
+        while piece := next(pieces, None):
+            sizes.append(len(piece))
+            del piece
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 50 and max(sizes) <= 6 and most < 3 * c_front.PIECE_LENGTH
+
+
 def test_best_candidates_cut_functions_before_they_meet(spark):
     """All functions of a signature were put in one set, of which k are needed."""
     types = spark.createDataFrame([("t", "int", ["int"])], "name string, return_type string, params array<string>")
