@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-from runpath.operators.storage import Scratch, exists, new_path, remove, shared_folder, store  # noqa: F401
+from runpath.operators.storage import Scratch, exists, new_path, remove, shared_folder, shuffles_go, store  # noqa: F401
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
@@ -24,18 +21,6 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         remove(spark, df.table_path)
 
 
-@contextmanager
-def shuffles_go(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a query go when it ends; else the garbage collector decides, which keeps those of the last query."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 class Tables(Scratch):
     """Tables of one run of an operator: when it ends, all of them go but the result given to keep()."""
 

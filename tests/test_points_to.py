@@ -113,6 +113,32 @@ def test_large_groups_share_sets(spark, monkeypatch):
     assert found == {r.loc: r.targets for r in PT.solve_functions(c).collect()} == {r.loc: r.targets for r in PT.function_targets(PT.solve(c)).collect()}
 
 
+def test_large_groups_hold_few_tables(spark, monkeypatch):
+    """Tables of all rounds lay on disk until the last, and a set had a copy for each 2 million pairs."""
+    held, write = [], PT.Scratch.write
+
+    def counted(self, df):
+        out = write(self, df)
+        held.append(len(self.paths))
+        return out
+
+    monkeypatch.setattr(PT.Scratch, "write", counted)
+    chain = [("AddressOf", "c0", "t", None)] + [("Copy", f"c{i + 1}", f"c{i}", None) for i in range(9)]
+    c = spark.createDataFrame(chain, "kind string, dest string, src string, field string").withColumn("file", PT.F.lit("a"))
+    assert {(r.loc, r.target) for r in PT.solve(c, by=("file",), group_limit=0).collect()} == {(f"c{i}", "t") for i in range(10)}
+    assert len(held) > 25 and max(held) < 12
+    locations = spark.range(50).selectExpr("0L g", "'v' v", "string(id) loc", "10 size")
+    monkeypatch.setattr(PT, "TASK_PAIRS", 1)
+    assert [r.parts for r in PT._parts(locations, 2).collect()] == [2 * PT.PARTS]
+
+
+def test_functions_as_text(spark):
+    """Names were joined once more for each location that shares a set."""
+    c = spark.createDataFrame([("AddressOf", "p", "f2", None), ("AddressOf", "p", "f1", None), ("AddressOf", "p", "alloc:3", None), ("Copy", "q", "p", None), ("AddressOf", "r", "alloc:3", None)], "kind string, dest string, src string, field string")
+    for limit in (0, 100):
+        assert {r.loc: r.targets for r in PT.solve_functions(c, group_limit=limit, joined=",").collect()} == {"p": "f1,f2", "q": "f1,f2"}
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert PT.solve(empty.drop("file")).collect() == [] and PT.solve(empty, by=("file",)).collect() == []
