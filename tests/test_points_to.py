@@ -69,6 +69,35 @@ def test_worklist(seed):
     assert solved(c, ["v1", "w"]) == naive(c, ["v1", "w"])
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_worklist_goes_on(seed):
+    """Constraints that come later find what is known by then."""
+    c = lowered(made(seed, 10 + seed * 3, 4 + seed % 17))
+    w, seen, got = PT.Worklist(()), {}, []
+    for lo in range(0, len(c), 20):
+        w.add(c[lo : lo + 20])
+        w.run()
+        new = [(w.names[n], w.names[t]) for n, found in w.pairs(seen, False) for t in found]
+        got += new
+        assert set(got) == naive(c[: lo + 20])
+    assert len(got) == len(set(got))
+
+
+def test_confidence_in_one_task(spark, monkeypatch):
+    """Each level was solved anew, by tables of its own; large groups still are."""
+    files = {f: made(i, 25 if i % 2 else 8, 7) for i, f in enumerate(["a.c", "b.c", None])}
+    rows = spark.createDataFrame([(f, *c) for f, cs in files.items() for c in cs], SCHEMA)
+    names = spark.createDataFrame([("a.c", "v1"), ("b.c", "v2"), (None, "w")], "file string, name string")
+    known = {"a.c": ["v1"], "b.c": ["v2"], None: ["w"]}
+    expected = {}
+    for level, kinds in reversed([(PT.CERTAINTY[n][0], [k for _, ks in PT.CERTAINTY[: n + 1] for k in ks]) for n in range(3)]):
+        expected |= {(f, *p): level for f, cs in files.items() for p in naive([c for c in cs if c[0] in kinds], known[f])}
+    found = lambda limit: {(r.file, r.loc, r.target): r.confidence for r in PT.solve_with_confidence(rows, names, by=("file",), group_limit=limit).collect()}
+    assert found(12) == expected
+    monkeypatch.setattr(PT, "solve", None)
+    assert found(PT.GROUP_LIMIT) == expected
+
+
 def test_worklist_collapses_cycles(monkeypatch):
     """Cycles that loads and stores close later on, with a pass for cycles after every edge."""
     ring = [("Copy", f"a{(i + 1) % 50}", f"a{i}", None) for i in range(49)] + [("AddressOf", "a3", "x", None), ("AddressOf", "p", "a0", None), ("Store", "p", "a49", None), ("Load", "q", "p", None), ("FieldStore", "a7", "a9", "f"), ("FieldLoad", "z", "q", "f")]
