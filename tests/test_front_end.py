@@ -173,3 +173,42 @@ def test_text_files(spark):
     assert sorted((r.line, r.column, r.match) for r in hits.collect()) == [(1, 1, "a.b"), (1, 5, "A.B")]
     rep = spark.range(1).select(F.lit(1)).count()
     assert rep == 1
+
+
+def _counted(monkeypatch):
+    """The names of the readers that were started."""
+    started, rows_of = [], c_front.rows_of
+
+    def noted(files, schema, read, *more):
+        started.append(getattr(read, "__name__", "read"))
+        return rows_of(files, schema, read, *more)
+
+    monkeypatch.setattr(c_front, "rows_of", noted)
+    return started
+
+
+def test_phases_read_once(spark, monkeypatch):
+    """Files were read for their symbols, and again for their types."""
+    files = spark.createDataFrame([("a.c", DRIVER), ("b.c", "int f(void) {\n"), ("c.c", None)], "path string, content string")
+    order = lambda df: sorted(map(repr, df.collect()))
+    symbols, types = c_front.symbols_and_types(files)
+    assert order(symbols) == order(c_front.symbols(files)) and order(types) == order(c_front.pointer_types(files))
+    started = _counted(monkeypatch)
+    s = AnalysisSession(spark, files)
+    found = {r.phase: r.n for r in s.phases().collect()}
+    assert started == ["symbols_and_types_of"] and found["symbols"] == symbols.count() and found["types"] + found["signatures"] == types.select("name").distinct().count()
+
+
+def test_facts_and_functions(spark, monkeypatch):
+    """learning_store read files for their facts, and again for their functions."""
+    files = spark.createDataFrame([("a.c", DRIVER), ("b.c", None)], "path string, content string")
+    order = lambda df: sorted(map(repr, df.collect()))
+    facts = AnalysisSession(spark, files).facts
+    assert order(facts.where("fact <> 'function'")) == order(c_front.callback_facts(files))
+    assert order(facts.where("fact = 'function'").select("path", "name", "line")) == order(c_front.symbols(files).where("kind = 'function'").select("path", "name", "line"))
+    from runpath.plans import c_queries, registry
+
+    started = _counted(monkeypatch)
+    monkeypatch.setattr(c_queries, "c_files", lambda s, d: files.selectExpr("path", "content", "1 AS k", "3 AS z"))
+    registry.QUERIES["learning_store"](spark, "")
+    assert started == ["facts_and_functions_of"]
